@@ -28,7 +28,8 @@ TAKE_COLUMNS = """
   CASE WHEN l_returnflag='N' THEN NULL ELSE (l_suppkey % 13)/2e0 END AS final_rebound,
   235e0*pow(2e0, ((l_partkey % 13)-363e-2)/12e0) AS first_hz,
   235e0*pow(2e0, ((l_suppkey % 9)-6)/12e0) AS last_hz,
-  l_linestatus='F' AS numeric_heavy, l_shipdate AS generated_at, -l_extendedprice AS baseline_score
+  l_linestatus='F' AS numeric_heavy, l_shipdate AS generated_at, -l_extendedprice AS baseline_score,
+  l_linenumber AS line, l_partkey AS part, l_suppkey AS supp
 """
 
 PHRASE_COLUMNS = """

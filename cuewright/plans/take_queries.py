@@ -152,11 +152,11 @@ def sequence_parts(spark, d):
     """Baseline picks, proposals and pins by block position."""
     at = ["project_id", "block_id", "phrase_idx"]
     s = cut_lineage(scored(spark, d))
-    base = selection.best_take(s).select(*KEY, "take_id")
-    placed = cut_lineage(selection.number_phrases(base))
+    flags = B.bare_phrases(spark, d).select(*KEY, "sentence_final")
+    placed = cut_lineage(selection.number_phrases(selection.best_take(s).select(*KEY, "take_id").join(flags, KEY)))
     idx = placed.select(*KEY, "phrase_idx")
     takes = s.join(idx, KEY)
-    wanted = placed.where("phrase_id % 3 = 0").select(*at, (F.col("phrase_id") % 5).cast("int").alias("take_id"))
+    wanted = placed.where("sentence_final").select(*at, (F.col("phrase_id") % 5).cast("int").alias("take_id"))
     held = B.pins(spark, d).join(idx, KEY).select(*at, "take_id")
     return placed, wanted, takes, held
 
@@ -177,7 +177,7 @@ GUARD_CTE = """
 base AS (SELECT *, row_number() OVER (PARTITION BY project_id, block_id ORDER BY phrase_id) - 1 AS idx FROM picks),
 asked AS (SELECT b.project_id, b.block_id, b.idx, b.phrase_id, CAST(b.phrase_id % 5 AS INT) AS want, n.phrase_id IS NOT NULL AS pinned,
    coalesce(s.ok, false) AS usable FROM base b LEFT JOIN pins n ON n.phrase_id=b.phrase_id
-   LEFT JOIN scored s ON s.phrase_id=b.phrase_id AND s.take_id = b.phrase_id % 5 WHERE b.phrase_id % 3 = 0),
+   LEFT JOIN scored s ON s.phrase_id=b.phrase_id AND s.take_id = b.phrase_id % 5 WHERE b.sentence_final),
 bad AS (SELECT project_id, block_id, count(*) AS n FROM asked WHERE NOT pinned AND NOT usable GROUP BY ALL),
 trial AS (SELECT b.project_id, b.block_id, b.idx, b.phrase_id, b.take_id AS before, coalesce(a.want, b.take_id) AS take_id FROM base b
    LEFT JOIN asked a ON a.phrase_id=b.phrase_id AND NOT a.pinned AND a.usable),
@@ -235,14 +235,14 @@ def stale_take_filter(spark, d):
 def resume_skip_done(spark, d):
     """Blocks still to do: those without a report."""
     blocks = B.bare_phrases(spark, d).groupBy("project_id", "block_id").agg(F.count(F.lit(1)).alias("n_phrases"))
-    reports = B.bare_phrases(spark, d).where("phrase_id % 11 = 0").select("project_id", "block_id")
+    reports = B.bare_phrases(spark, d).where("forced AND question").select("project_id", "block_id")
     return blocks.join(reports, ["project_id", "block_id"], "left_anti")
 
 
 def metrics_upgrade_needed(spark, d):
     """Rows whose tail metrics are missing, refilled from a re-measured table."""
     t = B.takes(spark, d)
-    again = t.where("phrase_id % 2 = 0 AND tail_delta IS NULL").select(
+    again = t.where("numeric_heavy AND tail_delta IS NULL").select(
         *KEY, "take_id", (F.col("range_st") * -0.25).alias("new_tail"), F.lit(5.0).alias("new_glide")
     )
     done = t.join(again, [*KEY, "take_id"], "left").select(
@@ -305,10 +305,10 @@ QUERIES = {
         (SELECT {SELECT_KEY}, CASE WHEN question OR forced THEN 10 ELSE 6 END AS base, count(*) AS n_takes, min(take_id) FILTER (ok) AS f FROM scored GROUP BY ALL) q) q2""")),
     "stale_take_filter": (stale_take_filter, B.with_sql(B.TAKES_SQL, tail=f"SELECT {SELECT_KEY}, take_id FROM takes WHERE take_id % 4 <> 3")),
     "resume_skip_done": (resume_skip_done, B.with_sql(B.TAKES_SQL, tail="""SELECT project_id, block_id, count(*) AS n_phrases FROM bare_phrases GROUP BY ALL
-        HAVING NOT bool_or(phrase_id % 11 = 0)""")),
+        HAVING NOT bool_or(forced AND question)""")),
     "metrics_upgrade_needed": (metrics_upgrade_needed, B.with_sql(B.TAKES_SQL, tail=f"""SELECT {SELECT_KEY}, take_id,
-        round(CASE WHEN tail_delta IS NULL AND phrase_id % 2 = 0 THEN range_st * -25e-2 ELSE tail_delta END, 6) AS tail_delta,
-        round(CASE WHEN final_glide IS NULL AND phrase_id % 2 = 0 THEN 5e0 ELSE final_glide END, 6) AS final_glide,
+        round(CASE WHEN tail_delta IS NULL AND numeric_heavy THEN range_st * -25e-2 ELSE tail_delta END, 6) AS tail_delta,
+        round(CASE WHEN final_glide IS NULL AND numeric_heavy THEN 5e0 ELSE final_glide END, 6) AS final_glide,
         tail_delta IS NULL OR final_glide IS NULL AS was_incomplete FROM takes""")),
     "ordered_row_numbers": (take_numbers, "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events"),
 }
