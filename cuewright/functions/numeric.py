@@ -25,7 +25,8 @@ def semitones(hz: Column, base: Column | float) -> Column:
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    # greatest/least skip nulls, so null has to be kept explicitly
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def sigmoid(c: Column, limit: float = 700.0) -> Column:

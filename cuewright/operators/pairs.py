@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.numeric import finite
+from ..functions.text import squeeze, strip
 from ..session import cut_lineage
 from .digest import table_digest
 from .ordered import number_rows
@@ -16,7 +17,7 @@ PHRASE = ["project_id", "block_id", "phrase_id"]
 
 def text_hash(text: Column, *identity: Column) -> Column:
     """sha256 of the whitespace-collapsed text, else of the identity path."""
-    squeezed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    squeezed = squeeze(F.coalesce(text, F.lit("")))
     path = F.concat_ws("/", *[F.coalesce(c.cast("string"), F.lit("")) for c in identity])
     return F.sha2(F.when(squeezed != "", squeezed).otherwise(path), 256)
 
@@ -51,7 +52,7 @@ def normalise(df: DataFrame) -> DataFrame:
         return F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
 
     empty = lambda c: F.coalesce(c, F.lit(""))
-    text = F.trim(empty(get("text")))
+    text = strip(empty(get("text")))
     passed = F.coalesce(get("hard_gate_pass", "boolean"), F.lit(False)) | (F.lower(empty(get("hard_gate_status"))) == "pass")
     baseline = get("baseline_score", "double") if "baseline_score" in have else get("existing_quality_score", "double")
     out = df.withColumns(
