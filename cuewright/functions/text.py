@@ -12,6 +12,10 @@ from .. import rules as R
 
 # What counts as white space, a line end, a sentence end, a clause boundary.
 WS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 ENDERS = ".!?。！？"
 CLAUSE_BOUNDARY = r"[,;:，；：]" + WS + r"*|(?:지만|는데|으며|하고|해서|라서|하면|다면)" + WS + "+"
@@ -28,8 +32,13 @@ MIN_SECONDS = 0.25
 CHARS_PER_SECOND = 4.0
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is mentioned."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def squeeze(c: Column) -> Column:
@@ -80,28 +89,40 @@ def sentences(c: Column) -> Column:
 
 def sentences_multi(c: Column) -> Column:
     """Cut at sentence ends of several scripts; the whole text where cutting would lose any of it."""
-    text = strip(c)
-    found = _kept(F.regexp_extract_all(text, F.lit(SENTENCE), 0))
-    whole = compact(F.array_join(found, "")) == compact(text)
-    return F.when((F.size(found) > 0) & whole, found).otherwise(F.array(text))
+
+    def cut(text: Column) -> Column:
+        def checked(found: Column) -> Column:
+            whole = compact(F.array_join(found, "")) == compact(text)
+            return F.when((F.size(found) > 0) & whole, found).otherwise(F.array(text))
+
+        return bind(_kept(F.regexp_extract_all(text, F.lit(SENTENCE), 0)), checked)
+
+    return bind(strip(c), cut)
 
 
 def clauses(c: Column, limit: int = SOFT_LIMIT) -> Column:
     """Cut after clause boundaries, then regroup neighbours up to the audible limit."""
-    marked = F.regexp_replace(c, f"({CLAUSE_BOUNDARY})", "$1" + MARK)
-    pieces = _kept(F.split(marked, MARK))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    start = F.struct(
+        F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("size")
+    )
 
     def step(acc: Column, piece: Column) -> Column:
+        # letters and digits of a joined text are the sum of those of its parts
+        more = audible(piece)
+        full = (acc["open"] != "") & (acc["size"] + more > limit)
         joined = F.when(acc["open"] == "", piece).otherwise(F.concat(acc["open"], F.lit(" "), piece))
-        full = (acc["open"] != "") & (audible(joined) > limit)
         return F.struct(
             F.when(full, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]).alias("done"),
             F.when(full, piece).otherwise(joined).alias("open"),
+            F.when(full, more).otherwise(acc["size"] + more).alias("size"),
         )
 
-    grouped = F.aggregate(pieces, start, step, lambda acc: F.array_append(acc["done"], acc["open"]))
-    return F.when(F.size(pieces) < 2, F.array(strip(c))).otherwise(grouped)
+    def regroup(pieces: Column) -> Column:
+        grouped = F.aggregate(pieces, start, step, lambda acc: F.array_append(acc["done"], acc["open"]))
+        return F.when(F.size(pieces) < 2, F.array(strip(c))).otherwise(grouped)
+
+    marked = F.regexp_replace(c, f"({CLAUSE_BOUNDARY})", "$1" + MARK)
+    return bind(_kept(F.split(marked, MARK)), regroup)
 
 
 def batch_lines(c: Column) -> Column:

@@ -53,13 +53,13 @@ def previous_row(
     across = W.partitionBy(*keys).orderBy(*marks)
     packed = F.struct(*[F.col(c).alias(new) for new, c in columns.items()])
     tails = base.groupBy(*keys, *marks).agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
-    inherited = tails.select(*keys, *marks, F.lag("_tail").over(across).alias("_inherited"))
+    inherited = tails.select(*keys, *marks, F.lag("_tail").over(across).alias("_chunk_before"))
     return (
-        base.withColumn("_before", F.lag(packed).over(within))
+        base.withColumn("_row_before", F.lag(packed).over(within))
         .join(inherited, [*keys, *marks])
-        .withColumn("_prev", F.coalesce("_before", "_inherited"))
-        .withColumns({new: F.col(f"_prev.{new}") for new in columns})
-        .drop("_before", "_inherited", "_prev", *marks)
+        .withColumn("_row_found", F.coalesce("_row_before", "_chunk_before"))
+        .withColumns({new: F.col(f"_row_found.{new}") for new in columns})
+        .drop("_row_before", "_chunk_before", "_row_found", *marks)
     )
 
 
@@ -101,31 +101,37 @@ def running_before(
     return out.drop(*marks, *[f"{p}{n}" for n in totals for p in ("_v_", "_l_", "_i_")])
 
 
-def exact_quantiles(
+def quantile_neighbours(
     df: DataFrame, keys: list[str], value: str, at: dict[str, float], width: float = 1.0
 ) -> DataFrame:
-    """Linear-interpolated quantiles per key, with no group gathered in one place.
+    """The two values around each quantile, per key, with no group gathered in one place.
 
     Equal values are counted map-side first; ranks come from running counts, and
-    only the two values around each quantile survive. ``width`` is the value span
-    of one chunk. Also returns ``_count``.
+    only the neighbours survive. ``width`` is the value span of one chunk. Gives
+    ``_count`` and, per quantile, ``<name>_low, <name>_high, <name>_part``.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_m"))
     sizes = counted.groupBy(*keys).agg(F.sum("_m").alias("_count"))
     ranked = running_before(
-        counted, keys, [F.col(value)], [F.floor(F.col(value) / width)], {"_low": ("sum", F.col("_m"))}
+        counted, keys, [F.col(value)], [F.floor(F.col(value) / width)], {"_before": ("sum", F.col("_m"))}
     ).join(sizes, keys)
-    picks, finals = [], []
+    picks = []
     for name, p in at.items():
         position = (F.col("_count") - 1) * F.lit(float(p))
-        for side, rank in (("a", F.floor(position)), ("b", F.ceil(position))):
-            holds = (F.col("_low") <= rank) & (rank < F.col("_low") + F.col("_m"))
-            picks.append(F.max(F.when(holds, F.col(value))).alias(f"_{name}_{side}"))
-        fraction = (F.col("_count") - 1) * F.lit(float(p)) - F.floor((F.col("_count") - 1) * F.lit(float(p)))
-        finals.append(
-            (F.col(f"_{name}_a") + (F.col(f"_{name}_b") - F.col(f"_{name}_a")) * fraction).alias(name)
-        )
-    return ranked.groupBy(*keys, "_count").agg(*picks).select(*keys, "_count", *finals)
+        for side, rank in (("low", F.floor(position)), ("high", F.ceil(position))):
+            holds = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_m"))
+            picks.append(F.max(F.when(holds, F.col(value))).alias(f"{name}_{side}"))
+        picks.append(F.max(position - F.floor(position)).alias(f"{name}_part"))
+    return ranked.groupBy(*keys, "_count").agg(*picks)
+
+
+def exact_quantiles(
+    df: DataFrame, keys: list[str], value: str, at: dict[str, float], width: float = 1.0
+) -> DataFrame:
+    """Linear-interpolated quantiles per key, plus ``_count``."""
+    near = quantile_neighbours(df, keys, value, at, width)
+    blend = lambda n: F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * F.col(f"{n}_part")
+    return near.select(*keys, "_count", *[blend(n).alias(n) for n in at])
 
 
 def ordered_fold(
