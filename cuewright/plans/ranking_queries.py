@@ -145,11 +145,15 @@ def fold_sql(name, source, prefix):
     return f"""{name} AS (SELECT project_id, b || sha256(string_agg(b || h, '' ORDER BY b || h)) AS h, sum(n) AS n FROM (SELECT *, {b} AS b FROM {source}) q GROUP BY project_id, b)"""
 
 
+def fold_levels():
+    return fold_sql("l1", "l0", 5), fold_sql("l2", "l1", 2), fold_sql("l3", "l2", 0)
+
+
 HASH_SQL = B.with_sql(*PAIRED, """
 rows_ AS (SELECT project_id, sha256(concat_ws('|', project_id, block_id, CAST(phrase_id AS VARCHAR), CAST(take_id AS VARCHAR), decision, CAST(ok AS VARCHAR), text_hash,
   CAST(CAST(round(range_st,6) AS DECIMAL(30,6)) AS VARCHAR), coalesce(CAST(CAST(round(tail_delta,6) AS DECIMAL(30,6)) AS VARCHAR), 'null'))) AS r FROM cand),
 l0 AS (SELECT project_id, sha256(r || ':' || n) AS h, n FROM (SELECT project_id, r, count(*) AS n FROM rows_ GROUP BY ALL) q)""",
-    fold_sql("l1", "l0", 5), fold_sql("l2", "l1", 2), fold_sql("l3", "l2", 0), tail="SELECT project_id, h AS digest, CAST(n AS BIGINT) AS n_rows FROM l3")
+    *fold_levels(), tail="SELECT project_id, h AS digest, CAST(n AS BIGINT) AS n_rows FROM l3")
 
 
 def feature_stats(spark, d):

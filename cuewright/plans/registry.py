@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("take_queries", "bank_queries", "ranking_queries", "text_queries", "signal_queries", "experiment_queries")
+MODULES = (
+    "take_queries", "bank_queries", "ranking_queries", "text_queries", "signal_queries", "experiment_queries", "session_queries",
+)
 
 
 def catalog() -> dict:
