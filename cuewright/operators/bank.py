@@ -68,14 +68,11 @@ def pin_decision(takes: DataFrame, pins: DataFrame) -> DataFrame:
     )
 
 
-def take_rows(parsed: DataFrame, pins: DataFrame, revisions: DataFrame) -> DataFrame:
-    """Bank rows for the takes whose revision is new."""
-    at = ["project_id", "path", "sha256"]
-    new = parsed.join(revisions.select(*at, "seq"), at)
-    decided = pin_decision(new, pins)
-    return decided.withColumns(
+def take_rows(fresh: DataFrame, pins: DataFrame) -> DataFrame:
+    """Bank rows of new revisions: decision, content key and derived measures."""
+    return pin_decision(fresh, pins).withColumns(
         {
-            "revision_id": key_of(*at),
+            "revision_id": key_of("project_id", "path", "sha256"),
             "syllables_per_second": ratio(F.col("n_syl"), F.col("dur")),
             "relative_tail": ratio(F.col("tail_delta"), F.col("range_st")),
         }
@@ -164,8 +161,10 @@ def retest(previous: DataFrame) -> DataFrame:
 
 
 class Bank:
-    """Tables under one folder. A run is visible once its own subfolder is complete:
-    each table is a directory of ``run_id=...`` partitions, written once."""
+    """Tables under one folder, each a directory of ``run_id=...`` partitions written once.
+
+    The revisions of a run are written last and make the run visible.
+    """
 
     TABLES = ("revisions", "takes", "events", "errors")
 
@@ -181,7 +180,11 @@ class Bank:
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        """Rows of finished runs: those whose revisions, written last, exist."""
+        rows = self.spark.read.parquet(self.path(name))
+        if name == "revisions":
+            return rows
+        return rows.join(self.table("revisions").select("run_id").distinct(), "run_id", "left_semi")
 
     def _append(self, name: str, df: DataFrame, run_id: str) -> None:
         df.write.mode("errorifexists").parquet(f"{self.path(name)}/run_id={run_id}")
@@ -193,15 +196,12 @@ class Bank:
         pins did. Returns inserted/unchanged/errors per project.
         """
         known = self.table("revisions") if self.exists("revisions") else None
-        stats = ingest_outcomes(parsed, known)
-        at = ["project_id", "path", "sha256"]
-        fresh = new_revisions(parsed.where("error IS NULL").select(*at, "seq", "modified"), known)
-        bad = parsed.where("error IS NOT NULL").select("project_id", "path", "error")
-        rows = take_rows(parsed.where("error IS NULL").drop("seq").dropDuplicates(at), pins, fresh)
-        stats.write.mode("errorifexists").parquet(f"{self.path('stats')}/run_id={run_id}")
-        self._append("takes", rows, run_id)
+        ingest_outcomes(parsed, known).write.mode("errorifexists").parquet(f"{self.path('stats')}/run_id={run_id}")
+        fresh = new_revisions(parsed.where("error IS NULL"), known).drop("error")
+        self._append("takes", take_rows(fresh, pins), run_id)
         written = self.spark.read.parquet(f"{self.path('takes')}/run_id={run_id}")
         self._append("events", selection_events(written), run_id)
-        self._append("errors", bad, run_id)
-        self._append("revisions", fresh.withColumn("revision_id", key_of(*at)), run_id)
+        self._append("errors", parsed.where("error IS NOT NULL").select("project_id", "path", "error"), run_id)
+        # last, so that an interrupted run leaves nothing marked as known
+        self._append("revisions", written.select("project_id", "path", "sha256", "seq", "revision_id"), run_id)
         return self.spark.read.parquet(f"{self.path('stats')}/run_id={run_id}")

@@ -6,6 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "take_queries", "bank_queries", "ranking_queries", "text_queries", "signal_queries", "experiment_queries", "session_queries",
+    "extra_queries",
 )
 
 

@@ -129,9 +129,12 @@ def cosine(spark, d):
     return similarities(spark, d).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-GROUP = F.when(F.col("label") < 2, "candidate").when(F.col("label") == 2, "approved").when(F.col("label") == 9, "rejected").when(
-    F.col("label") == 3, audio.EXTRA_GROUP
-)
+def group():
+    label = F.col("label")
+    named = F.when(label < 2, "candidate").when(label == 2, "approved").when(label == 9, "rejected")
+    return named.when(label == 3, audio.EXTRA_GROUP)
+
+
 SIM_SQL = """
 sims AS (SELECT e.vec_id, e.label, list_sum(list_transform(list_zip(e.embedding, r.embedding), lambda p: CAST(p[1] AS DOUBLE)*CAST(p[2] AS DOUBLE)))
    / sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)*x)) * list_sum(list_transform(r.embedding, lambda x: CAST(x AS DOUBLE)*x))) AS s
@@ -142,7 +145,7 @@ cal AS (SELECT count(*) AS n, (min(s) FILTER (grp IN ('candidate','approved')) +
 
 
 def calibration(spark, d):
-    return audio.calibrate(similarities(spark, d).withColumn("group", GROUP), score="similarity")
+    return audio.calibrate(similarities(spark, d).withColumn("group", group()), score="similarity")
 
 
 def speaker_calibrate(spark, d):
