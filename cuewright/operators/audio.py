@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
 from ..functions.vectors import cosine
-from .ordered import previous_row
+from .ordered import Hot, previous_row
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,9 @@ def _dbfs(c: Column) -> Column:
     return F.lit(20.0) * F.log10(F.greatest(c, F.lit(1e-12)))
 
 
-def stats(samples: DataFrame, config: SanityConfig = SanityConfig(), key: str = "path") -> DataFrame:
+def stats(
+    samples: DataFrame, config: SanityConfig = SanityConfig(), key: str = "path", hot: Hot = None
+) -> DataFrame:
     """Level, clipping, offset and silence measures per signal.
 
     ``samples``: key, sample_rate_hz, i (0-based, dense), x. Two aggregates and a
@@ -151,7 +153,7 @@ def stats(samples: DataFrame, config: SanityConfig = SanityConfig(), key: str =
         F.col("i") >= F.col("sample_count") - F.col("_w")
     ).groupBy(key).agg(F.sqrt(F.avg(x * x)).alias("end_rms"))
     loud = previous_row(
-        samples.where(active).select(key, "i"), [key], ["i"], [F.floor(F.col("i") / BLOCK_SAMPLES)], {"_prev": "i"}
+        samples.where(active).select(key, "i"), [key], ["i"], [F.floor(F.col("i") / BLOCK_SAMPLES)], {"_prev": "i"}, hot
     )
     gaps = loud.groupBy(key).agg(F.max(F.col("i") - F.col("_prev") - 1).alias("_gap"))
     joined = whole.join(end, key, "left").join(gaps, key, "left")

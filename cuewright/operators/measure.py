@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import finite, semitones
-from .ordered import quantile_neighbours
+from .ordered import Hot, quantile_neighbours
 
 END_WINDOW = 0.55
 TAIL_WINDOW, PREVIOUS_WINDOW = 0.25, 0.60
@@ -23,7 +23,7 @@ def _edge(voiced: DataFrame, keys: list[str], name: str, order: Column) -> DataF
     return few.groupBy(*keys).agg(F.median("f0").alias(name))
 
 
-def pitch(frames: DataFrame, lengths: DataFrame, keys: list[str]) -> DataFrame:
+def pitch(frames: DataFrame, lengths: DataFrame, keys: list[str], hot: Hot = None) -> DataFrame:
     """All pitch measures per take, unrounded; null where the take is unmeasurable.
 
     ``frames``: keys, t (seconds), f0 (Hz, null when unvoiced). ``lengths``:
@@ -32,7 +32,7 @@ def pitch(frames: DataFrame, lengths: DataFrame, keys: list[str]) -> DataFrame:
     the end hold a fixed number of frames by their length in time.
     """
     voiced = frames.withColumn("f0", finite(F.col("f0"))).where(F.col("f0").isNotNull())
-    near = quantile_neighbours(voiced, keys, "f0", {"median": 0.5, "p10": 0.1, "p90": 0.9}, 1.0)
+    near = quantile_neighbours(voiced, keys, "f0", {"median": 0.5, "p10": 0.1, "p90": 0.9}, 1.0, hot)
     base = near.select(
         *keys,
         F.col("_count").alias("n_voiced"),

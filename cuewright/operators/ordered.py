@@ -10,6 +10,10 @@ along the order (a prefix of it). The work then has two levels:
 
 Both levels are ordinary DataFrame operations and give exactly what the plain
 window would.
+
+Without further knowledge every key is treated this way. ``hot`` names the keys
+that need it (see ``hot_keys``): all others then take the plain window, one
+shuffle, and an empty list means that no key does.
 """
 
 from __future__ import annotations
@@ -27,40 +31,93 @@ def _chunked(df: DataFrame, chunk: list[Column]) -> tuple[DataFrame, list[str]]:
     return df.withColumns(dict(zip(names, chunk))), names
 
 
+HOT_ROWS = 1_000_000
+HOT_SHARE = 0.001
+SAMPLE_ROWS = 1_000_000
+Hot = list[tuple] | None
+
+
+def hot_keys(table: DataFrame, keys: list[str], min_rows: int = HOT_ROWS, share: float = HOT_SHARE) -> list[tuple]:
+    """Keys that hold at least ``min_rows`` rows and a ``share`` of the table: at most 1/share of them.
+
+    Meant for stored tables, whose row count comes from file footers. A sample of
+    the key columns is enough: it only decides which of two exact plans a key
+    gets. Tables too small to hold a hot key are not read at all.
+    """
+    total = table.count()
+    if total < min_rows:
+        return []
+    fraction = min(1.0, SAMPLE_ROWS / total)
+    seen = table.select(*keys).sample(fraction, seed=1).groupBy(*keys).count()
+    least = max(min_rows, share * total) * fraction
+    return [tuple(r)[: len(keys)] for r in seen.where(F.col("count") >= least).limit(int(2 / share)).collect()]
+
+
+def _by_heat(df: DataFrame, keys: list[str], hot: Hot, plain, chunked) -> DataFrame:
+    if hot is None or not keys:
+        return chunked(df)
+    if not hot:
+        return plain(df)
+    if len(keys) == 1:
+        listed = F.col(keys[0]).isin([k[0] for k in hot])
+        return plain(df.where(~listed)).unionByName(chunked(df.where(listed)))
+    # a list of at most 1/HOT_SHARE keys, so it is broadcast
+    marks = F.broadcast(df.sparkSession.createDataFrame(hot, df.select(*keys).schema))
+    return plain(df.join(marks, keys, "left_anti")).unionByName(chunked(df.join(marks, keys, "left_semi")))
+
+
 def number_rows(
-    df: DataFrame, keys: list[str], order: list[Column], chunk: list[Column], name: str
+    df: DataFrame, keys: list[str], order: list[Column], chunk: list[Column], name: str, hot: Hot = None
 ) -> DataFrame:
     """1-based row number within the keys."""
-    base, marks = _chunked(df, chunk)
-    within = W.partitionBy(*keys, *marks).orderBy(*order)
-    earlier = W.partitionBy(*keys).orderBy(*marks).rowsBetween(W.unboundedPreceding, -1)
-    sizes = base.groupBy(*keys, *marks).agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select(*keys, *marks, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    return (
-        base.withColumn("_local", F.row_number().over(within))
-        .join(starts, [*keys, *marks])
-        .withColumn(name, (F.col("_start") + F.col("_local")).cast("bigint"))
-        .drop("_local", "_start", *marks)
-    )
+
+    def plain(part: DataFrame) -> DataFrame:
+        return part.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+
+    def chunked(part: DataFrame) -> DataFrame:
+        base, marks = _chunked(part, chunk)
+        within = W.partitionBy(*keys, *marks).orderBy(*order)
+        earlier = W.partitionBy(*keys).orderBy(*marks).rowsBetween(W.unboundedPreceding, -1)
+        sizes = base.groupBy(*keys, *marks).agg(F.count(F.lit(1)).alias("_n"))
+        starts = sizes.select(*keys, *marks, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+        return (
+            base.withColumn("_local", F.row_number().over(within))
+            .join(starts, [*keys, *marks])
+            .withColumn(name, (F.col("_start") + F.col("_local")).cast("bigint"))
+            .drop("_local", "_start", *marks)
+        )
+
+    return _by_heat(df, keys, hot, plain, chunked)
 
 
 def previous_row(
-    df: DataFrame, keys: list[str], order: list[str], chunk: list[Column], columns: dict[str, str]
+    df: DataFrame, keys: list[str], order: list[str], chunk: list[Column], columns: dict[str, str], hot: Hot = None
 ) -> DataFrame:
     """``lag(column, 1)`` for each ``{new name: column}``; order columns ascend."""
-    base, marks = _chunked(df, chunk)
-    within = W.partitionBy(*keys, *marks).orderBy(*order)
-    across = W.partitionBy(*keys).orderBy(*marks)
     packed = F.struct(*[F.col(c).alias(new) for new, c in columns.items()])
-    tails = base.groupBy(*keys, *marks).agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
-    inherited = tails.select(*keys, *marks, F.lag("_tail").over(across).alias("_chunk_before"))
-    return (
-        base.withColumn("_row_before", F.lag(packed).over(within))
-        .join(inherited, [*keys, *marks])
-        .withColumn("_row_found", F.coalesce("_row_before", "_chunk_before"))
-        .withColumns({new: F.col(f"_row_found.{new}") for new in columns})
-        .drop("_row_before", "_chunk_before", "_row_found", *marks)
-    )
+
+    def plain(part: DataFrame) -> DataFrame:
+        w = W.partitionBy(*keys).orderBy(*order)
+        return part.withColumns({new: F.lag(c).over(w) for new, c in columns.items()})
+
+    def chunked(part: DataFrame) -> DataFrame:
+        base, marks = _chunked(part, chunk)
+        within = W.partitionBy(*keys, *marks).orderBy(*order)
+        across = W.partitionBy(*keys).orderBy(*marks)
+        tails = base.groupBy(*keys, *marks).agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
+        inherited = tails.select(*keys, *marks, F.lag("_tail").over(across).alias("_chunk_before"))
+        return (
+            base.withColumn("_row_before", F.lag(packed).over(within))
+            .join(inherited, [*keys, *marks])
+            .withColumn("_row_found", F.coalesce("_row_before", "_chunk_before"))
+            .withColumns({new: F.col(f"_row_found.{new}") for new in columns})
+            .drop("_row_before", "_chunk_before", "_row_found", *marks)
+        )
+
+    return _by_heat(df, keys, hot, plain, chunked)
+
+
+COMBINE: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def running_before(
@@ -69,27 +126,19 @@ def running_before(
     order: list[Column],
     chunk: list[Column],
     totals: dict[str, tuple[str, Column]],
+    hot: Hot = None,
 ) -> DataFrame:
     """Totals over all earlier rows (the current row excluded).
 
     ``totals`` maps a new name to ("sum" | "max" | "min", expression). Sums
     start at 0, extremes at null.
     """
-    combine: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "max": F.max, "min": F.min}
-    base, marks = _chunked(df, chunk)
-    base = base.withColumns({f"_v_{n}": e for n, (_, e) in totals.items()})
     before = (W.unboundedPreceding, -1)
-    within = W.partitionBy(*keys, *marks).orderBy(*order).rowsBetween(*before)
-    across = W.partitionBy(*keys).orderBy(*marks).rowsBetween(*before)
-    pieces = base.groupBy(*keys, *marks).agg(
-        *[combine[kind](f"_v_{n}").alias(f"_s_{n}") for n, (kind, _) in totals.items()]
-    )
-    inherited = pieces.select(
-        *keys, *marks, *[combine[kind](f"_s_{n}").over(across).alias(f"_i_{n}") for n, (kind, _) in totals.items()]
-    )
-    out = base.withColumns(
-        {f"_l_{n}": combine[kind](f"_v_{n}").over(within) for n, (kind, _) in totals.items()}
-    ).join(inherited, [*keys, *marks])
+
+    def plain(part: DataFrame) -> DataFrame:
+        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(*before)
+        made = {n: COMBINE[kind](e).over(w) for n, (kind, e) in totals.items()}
+        return part.withColumns({n: F.coalesce(c, F.lit(0)) if totals[n][0] == "sum" else c for n, c in made.items()})
 
     def merge(n: str, kind: str) -> Column:
         inside, outside = F.col(f"_l_{n}"), F.col(f"_i_{n}")
@@ -97,12 +146,28 @@ def running_before(
             return F.coalesce(inside, F.lit(0)) + F.coalesce(outside, F.lit(0))
         return (F.greatest if kind == "max" else F.least)(inside, outside)
 
-    out = out.withColumns({n: merge(n, kind) for n, (kind, _) in totals.items()})
-    return out.drop(*marks, *[f"{p}{n}" for n in totals for p in ("_v_", "_l_", "_i_")])
+    def chunked(part: DataFrame) -> DataFrame:
+        base, marks = _chunked(part, chunk)
+        base = base.withColumns({f"_v_{n}": e for n, (_, e) in totals.items()})
+        within = W.partitionBy(*keys, *marks).orderBy(*order).rowsBetween(*before)
+        across = W.partitionBy(*keys).orderBy(*marks).rowsBetween(*before)
+        pieces = base.groupBy(*keys, *marks).agg(
+            *[COMBINE[kind](f"_v_{n}").alias(f"_s_{n}") for n, (kind, _) in totals.items()]
+        )
+        inherited = pieces.select(
+            *keys, *marks, *[COMBINE[kind](f"_s_{n}").over(across).alias(f"_i_{n}") for n, (kind, _) in totals.items()]
+        )
+        out = base.withColumns(
+            {f"_l_{n}": COMBINE[kind](f"_v_{n}").over(within) for n, (kind, _) in totals.items()}
+        ).join(inherited, [*keys, *marks])
+        out = out.withColumns({n: merge(n, kind) for n, (kind, _) in totals.items()})
+        return out.drop(*marks, *[f"{p}{n}" for n in totals for p in ("_v_", "_l_", "_i_")])
+
+    return _by_heat(df, keys, hot, plain, chunked)
 
 
 def quantile_neighbours(
-    df: DataFrame, keys: list[str], value: str, at: dict[str, float], width: float = 1.0
+    df: DataFrame, keys: list[str], value: str, at: dict[str, float], width: float = 1.0, hot: Hot = None
 ) -> DataFrame:
     """The two values around each quantile, per key, with no group gathered in one place.
 
@@ -113,7 +178,7 @@ def quantile_neighbours(
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_m"))
     sizes = counted.groupBy(*keys).agg(F.sum("_m").alias("_count"))
     ranked = running_before(
-        counted, keys, [F.col(value)], [F.floor(F.col(value) / width)], {"_before": ("sum", F.col("_m"))}
+        counted, keys, [F.col(value)], [F.floor(F.col(value) / width)], {"_before": ("sum", F.col("_m"))}, hot
     ).join(sizes, keys)
     picks = []
     for name, p in at.items():

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions.numeric import sigmoid
 from . import metrics, pairs as P
-from .ordered import number_rows
+from .ordered import Hot, number_rows
 
 PHRASE = P.PHRASE
 
@@ -83,7 +83,7 @@ def feature_stats(pairs: DataFrame, names: tuple[str, ...] = R.FEATURE_NAMES) ->
 
 def fit(
     pairs: DataFrame, names: tuple[str, ...] = R.FEATURE_NAMES, l2: float = R.L2,
-    mos_multiplier: float = R.MOS_L2_MULTIPLIER, seed: int = R.SPLIT_SEED, max_iter: int = 200,
+    mos_multiplier: float = R.MOS_L2_MULTIPLIER, seed: int = R.SPLIT_SEED, max_iter: int = 100,
 ) -> LinearRanker:
     """Regularised logistic fit on standardised differences.
 
@@ -109,13 +109,15 @@ def fit(
     )
     data = VectorAssembler(inputCols=list(names), outputCol="features").transform(rows).select("features", "label")
     model = LogisticRegression(
-        fitIntercept=False, standardization=False, regParam=l2, elasticNetParam=0.0, maxIter=max_iter, tol=1e-10
+        fitIntercept=False, standardization=False, regParam=l2, elasticNetParam=0.0, maxIter=max_iter, tol=1e-8
     ).fit(data)
     weights = tuple(float(w) * s for w, s in zip(model.coefficients.toArray(), shrink))
     return LinearRanker(tuple(names), means, scales, weights, 0.0, seed)
 
 
-def rank(candidates: DataFrame, model: LinearRanker, threshold: float = R.CONFIDENCE_THRESHOLD) -> DataFrame:
+def rank(
+    candidates: DataFrame, model: LinearRanker, threshold: float = R.CONFIDENCE_THRESHOLD, hot: Hot = None
+) -> DataFrame:
     """Ranks of hard-gate passes per phrase; the rest are listed as excluded.
 
     Adds ``rank``, ``status``, ``reason``, and on rank 1 ``confidence`` and
@@ -124,7 +126,7 @@ def rank(candidates: DataFrame, model: LinearRanker, threshold: float = R.CONFID
     scored = candidates.withColumn("utility", model.utility())
     best = F.round("utility", 9)
     good = number_rows(
-        scored.where("hard_gate_pass"), PHRASE, [best.desc(), F.col("take_id")], [F.floor(-best)], "rank"
+        scored.where("hard_gate_pass"), PHRASE, [best.desc(), F.col("take_id")], [F.floor(-best)], "rank", hot
     )
     second = good.where("rank = 2").select(*PHRASE, F.col("utility").alias("_second"))
     ranked = good.join(second, PHRASE, "left")

@@ -13,7 +13,7 @@ from .. import rules as R
 from ..functions.numeric import outside
 from ..functions.prosody import reset_st
 from ..session import cut_lineage
-from .ordered import number_rows, ordered_fold, previous_row, running_before
+from .ordered import Hot, number_rows, ordered_fold, previous_row, running_before
 
 PHRASE = ["project_id", "block_id", "phrase_id"]
 BLOCK = ["project_id", "block_id"]
@@ -73,9 +73,9 @@ def stale_filter(takes: DataFrame, phrases: DataFrame, text: str = "text_hash")
     return takes.join(current, PHRASE).where(F.col(text).isNull() | (F.col(text) == F.col("_now"))).drop("_now")
 
 
-def with_reset(picks: DataFrame, order: str = "phrase_idx") -> DataFrame:
+def with_reset(picks: DataFrame, order: str = "phrase_idx", hot: Hot = None) -> DataFrame:
     """Pitch reset from the previous phrase of the block and whether it is in bounds."""
-    out = previous_row(picks, BLOCK, [order], index_chunk(order), {"prev_last_hz": "last_hz"})
+    out = previous_row(picks, BLOCK, [order], index_chunk(order), {"prev_last_hz": "last_hz"}, hot)
     out = out.withColumn("reset_st", reset_st(F.col("first_hz"), F.col("prev_last_hz")))
     return out.withColumn("reset_ok", ~outside(F.col("reset_st"), R.RESET_BAND))
 
@@ -258,7 +258,7 @@ def assemble(scored: DataFrame, pins: DataFrame | None = None) -> DataFrame:
 
 
 def guard(
-    baseline: DataFrame, proposals: DataFrame, takes: DataFrame, pins: DataFrame
+    baseline: DataFrame, proposals: DataFrame, takes: DataFrame, pins: DataFrame, hot: Hot = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Accept proposed takes only for blocks where every check holds.
 
@@ -301,7 +301,7 @@ def guard(
     off_median = block_median(sound).where(outside(F.col("median_slope"), R.BLOCK_MEDIAN_BAND)).select(
         *BLOCK, F.lit(-1).alias("phrase_idx"), F.lit("block_median_outside_gate").alias("reason")
     )
-    off_reset = with_reset(sound).where(~F.col("reset_ok")).select(
+    off_reset = with_reset(sound, hot=hot).where(~F.col("reset_ok")).select(
         *at, F.lit("reset_outside_gate").alias("reason")
     )
     why = (
@@ -350,10 +350,10 @@ def pause_seconds(sentence_final: Column, forced: Column, seed: Column | None =
     return low + (high - low) * part
 
 
-def timeline(picks: DataFrame, order: str = "phrase_idx") -> DataFrame:
+def timeline(picks: DataFrame, order: str = "phrase_idx", hot: Hot = None) -> DataFrame:
     """Start of each phrase inside its block: all earlier durations and pauses."""
     step = F.col("dur") + pause_seconds(F.col("sentence_final"), F.col("forced"))
-    out = running_before(picks, BLOCK, [F.col(order)], index_chunk(order), {"_start": ("sum", step)})
+    out = running_before(picks, BLOCK, [F.col(order)], index_chunk(order), {"_start": ("sum", step)}, hot)
     return out.withColumn("start", F.round("_start", 3)).withColumn("end_exact", F.col("_start") + F.col("dur"))
 
 
@@ -382,7 +382,7 @@ def global_timeline(timed: DataFrame, gap: float = R.BLOCK_GAP_SECONDS, order: s
     return spoken.unionByName(gaps)
 
 
-def early_stop(scored: DataFrame) -> DataFrame:
+def early_stop(scored: DataFrame, hot: Hot = None) -> DataFrame:
     """First take count at which generation would have stopped, per phrase."""
     good = F.col("ok") & F.col("dur").isNotNull()
     run = running_before(
@@ -392,6 +392,7 @@ def early_stop(scored: DataFrame) -> DataFrame:
             "_pass": ("sum", good.cast("int")),
             "_best": ("max", F.when(good, ranking_score())),
         },
+        hot,
     )
     n = F.col("_n") + 1
     passing = F.col("_pass") + good.cast("int")
@@ -486,7 +487,7 @@ def propose(ranked: DataFrame, pinned: DataFrame, minimum_confidence: float) ->
     return detail, blocks
 
 
-def number_phrases(picks: DataFrame, order: str = "phrase_id") -> DataFrame:
+def number_phrases(picks: DataFrame, order: str = "phrase_id", hot: Hot = None) -> DataFrame:
     """0-based position of each phrase in its block."""
-    out = number_rows(picks, BLOCK, [F.col(order)], index_chunk(order), "_rn")
+    out = number_rows(picks, BLOCK, [F.col(order)], index_chunk(order), "_rn", hot)
     return out.withColumn("phrase_idx", (F.col("_rn") - 1).cast("int")).drop("_rn")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .ordered import number_rows, running_before
+from .ordered import Hot, number_rows, running_before
 
 SESSION = "session_id"
 UNDERRUN_SECONDS = 0.02
@@ -18,7 +18,7 @@ def day_chunk(ts: str = "ts") -> list[Column]:
     return [F.date_trunc("day", F.col(ts))]
 
 
-def discard_stale(events: DataFrame) -> DataFrame:
+def discard_stale(events: DataFrame, hot: Hot = None) -> DataFrame:
     """Marks synthesis results of a generation the session has left.
 
     ``events``: session_id, ts, seq, kind (synth | invalidate), generation_id.
@@ -26,7 +26,7 @@ def discard_stale(events: DataFrame) -> DataFrame:
     the first synthesis sets it.
     """
     moved = F.when(F.col("kind") == "invalidate", F.struct("ts", "seq", "generation_id"))
-    run = running_before(events, [SESSION], [F.col("ts"), F.col("seq")], day_chunk(), {"_last": ("max", moved)})
+    run = running_before(events, [SESSION], [F.col("ts"), F.col("seq")], day_chunk(), {"_last": ("max", moved)}, hot)
     opening = events.where("kind = 'synth'").groupBy(SESSION).agg(
         F.min_by("generation_id", F.struct("ts", "seq")).alias("_first")
     )
@@ -50,12 +50,12 @@ def _with_context(numbered: DataFrame, depth: int) -> DataFrame:
     return numbered.select("*", F.inline(F.array_compact(F.array(own, F.when(late, ahead)))))
 
 
-def playback(events: DataFrame) -> DataFrame:
+def playback(events: DataFrame, hot: Hot = None) -> DataFrame:
     """Gap to the previous phrase, underrun flag and rolling factor of each phrase.
 
     ``events``: session_id, ts, seq, start, finish (seconds), rtf.
     """
-    numbered = number_rows(events, [SESSION], [F.col("ts"), F.col("seq")], day_chunk(), "n")
+    numbered = number_rows(events, [SESSION], [F.col("ts"), F.col("seq")], day_chunk(), "n", hot)
     w = W.partitionBy(SESSION, "bucket").orderBy("n")
     back = w.rowsBetween(-(ROLLING - 1), 0)
     gap = F.greatest(F.lit(0.0), F.col("start") - F.lag("finish").over(w))
@@ -89,14 +89,14 @@ def recent_phrases(played: DataFrame) -> DataFrame:
     return played.withColumn("recency", place).where(F.col("recency") <= RECENT)
 
 
-def sentence_buffer(events: DataFrame) -> DataFrame:
+def sentence_buffer(events: DataFrame, hot: Hot = None) -> DataFrame:
     """Closed sentences: the frames up to and including each final one.
 
     ``events``: session_id, ts, seq, sentence_final, seconds. Frames after the
     last final stay in the buffer and are not emitted.
     """
     run = running_before(
-        events, [SESSION], [F.col("ts"), F.col("seq")], day_chunk(), {"sentence": ("sum", F.col("sentence_final").cast("int"))}
+        events, [SESSION], [F.col("ts"), F.col("seq")], day_chunk(), {"sentence": ("sum", F.col("sentence_final").cast("int"))}, hot
     )
     return run.groupBy(SESSION, "sentence").agg(
         F.count(F.lit(1)).alias("frames"), F.sum("seconds").alias("seconds"), F.bool_or("sentence_final").alias("_closed"),
@@ -107,7 +107,7 @@ def sentence_buffer(events: DataFrame) -> DataFrame:
 STATES = ("PENDING", "PLAYING", "PASS", "ISSUE", "PAUSED", "RETEST_PENDING")
 
 
-def batch_states(events: DataFrame, items: DataFrame, recover: bool = False) -> DataFrame:
+def batch_states(events: DataFrame, items: DataFrame, recover: bool = False, hot: Hot = None) -> DataFrame:
     """State of every item after the session's events.
 
     ``events``: session_id, ts, seq, kind (start | complete | issue | pause |
@@ -117,15 +117,15 @@ def batch_states(events: DataFrame, items: DataFrame, recover: bool = False) ->
     """
     flag = F.when(F.col("kind").isin("pause", "continue"), F.struct("ts", "seq", (F.col("kind") == "pause").alias("paused")))
     order = [F.col("ts"), F.col("seq")]
-    run = running_before(events, [SESSION], order, day_chunk(), {"_flag": ("max", flag)})
+    run = running_before(events, [SESSION], order, day_chunk(), {"_flag": ("max", flag)}, hot)
     paused = F.coalesce(F.col("_flag.paused"), F.lit(False))
     live = run.where((F.col("kind") == "issue") | (F.col("kind").isin("start", "complete") & ~paused)).select(
         SESSION, "ts", "seq", "kind"
     )
     # the follower of an event is seen from the follower's side, as its predecessor
-    numbered = number_rows(live, [SESSION], order, day_chunk(), "n")
+    numbered = number_rows(live, [SESSION], order, day_chunk(), "n", hot)
     starts = running_before(
-        numbered.where("kind = 'start'"), [SESSION], [F.col("n")], [F.floor(F.col("n") / BUCKET)], {"_k": ("sum", F.lit(1))}
+        numbered.where("kind = 'start'"), [SESSION], [F.col("n")], [F.floor(F.col("n") / BUCKET)], {"_k": ("sum", F.lit(1))}, hot
     ).select(SESSION, "n", (F.col("_k") + 1).alias("item_index"))
     after = numbered.select(SESSION, (F.col("n") - 1).alias("n"), F.col("kind").alias("then"))
     settled = starts.join(after, [SESSION, "n"], "left")

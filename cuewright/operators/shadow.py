@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, ratio, semitones
 from ..rules import LEVEL_ANCHOR_HZ
-from .ordered import number_rows
+from .ordered import Hot, number_rows
 
 TAKE = ["project_id", "block_id", "phrase_id", "take_id"]
 PHRASE = TAKE[:3]
@@ -146,12 +146,12 @@ def ranking_features(takes: DataFrame) -> DataFrame:
     )
 
 
-def shadow_rank(evaluated: DataFrame, score: str = "rank_score") -> DataFrame:
+def shadow_rank(evaluated: DataFrame, score: str = "rank_score", hot: Hot = None) -> DataFrame:
     """Rank of every surviving take in its phrase, best first, null scores last."""
     known = F.round(F.col(score), 9)
     order = [F.coalesce(-known, F.lit(float("inf"))), F.col("take_id")]
     chunk = [F.coalesce(F.floor(-known), F.lit(1 << 40))]
-    return number_rows(evaluated.where("survives"), PHRASE, order, chunk, "shadow_rank")
+    return number_rows(evaluated.where("survives"), PHRASE, order, chunk, "shadow_rank", hot)
 
 
 def top_three(ranked: DataFrame) -> DataFrame:

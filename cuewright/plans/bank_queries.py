@@ -266,11 +266,11 @@ def ranking_features(spark, d):
 
 
 def shadow_rank(spark, d):
-    return shadow.shadow_rank(evaluated(spark, d)).select(*IDENT, "shadow_rank", F.round("rank_score", 6).alias("rank_score"))
+    return shadow.shadow_rank(evaluated(spark, d), hot=B.hot_phrases(spark, d)).select(*IDENT, "shadow_rank", F.round("rank_score", 6).alias("rank_score"))
 
 
 def shadow_top3(spark, d):
-    t = shadow.top_three(shadow.shadow_rank(evaluated(spark, d)))
+    t = shadow.top_three(shadow.shadow_rank(evaluated(spark, d), hot=B.hot_phrases(spark, d)))
     return t.select(*KEY, "shadow_top_1", F.array_join(F.col("shadow_top_3").cast("array<string>"), ",").alias("shadow_top_3"))
 
 
@@ -297,7 +297,7 @@ AGREED = (*OVERLAID, VALID_SQL, AGREE_SQL)
 
 def verdicts(spark, d):
     e = evaluated(spark, d)
-    return e, shadow.agreement(e, shadow.shadow_rank(e), selection_overlay(spark, d))
+    return e, shadow.agreement(e, shadow.shadow_rank(e, hot=B.hot_phrases(spark, d)), selection_overlay(spark, d))
 
 
 def agreement(spark, d):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordered import number_rows
+from ..operators.ordered import hot_keys, number_rows
 from ..session import tune
 
 
@@ -17,6 +17,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_HOT: dict = {}
+
+
+def hot(spark: SparkSession, sf_dir: str, name: str, keys: dict[str, str]) -> list[tuple]:
+    """Hot keys of a stored table, looked up once per application.
+
+    ``keys`` maps the names the operators use to expressions over the table.
+    """
+    at = (spark.sparkContext.applicationId, sf_dir, name, *keys.items())
+    if at not in _HOT:
+        rows = table(spark, sf_dir, name).select(*[F.expr(e).alias(n) for n, e in keys.items()])
+        _HOT[at] = hot_keys(rows, list(keys))
+    return _HOT[at]
+
+
+def hot_orders(spark, sf_dir):
+    return hot(spark, sf_dir, "lineitem", {"l_orderkey": "l_orderkey"})
+
+
+def hot_blocks(spark, sf_dir):
+    return hot(spark, sf_dir, "orders", {"project_id": "o_orderpriority", "block_id": "CAST(o_custkey AS STRING)"})
+
+
+def hot_users(spark, sf_dir, name: str = "user_id"):
+    return hot(spark, sf_dir, "events", {name: "user_id"})
+
+
+def hot_phrases(spark, sf_dir):
+    """Hot orders under their full phrase key; a lookup of the few that there are."""
+    found = [k[0] for k in hot_orders(spark, sf_dir)]
+    if not found:
+        return []
+    rows = bare_phrases(spark, sf_dir).where(F.col("phrase_id").isin(found))
+    return [tuple(r) for r in rows.select("project_id", "block_id", "phrase_id").collect()]
+
+
 TAKE_COLUMNS = """
   l_orderkey AS phrase_id, take_id, CAST(l_quantity AS INT) AS n_syl,
   l_quantity / (5e0 + 26e0*l_discount) AS dur,
@@ -86,6 +122,7 @@ def raw_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
         [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")],
         [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 65536)],
         "_rn",
+        hot_orders(spark, sf_dir),
     ).withColumn("take_id", (F.col("_rn") - 1).cast("int"))
     return lines.selectExpr(*_split(TAKE_COLUMNS))
 
@@ -103,6 +140,7 @@ def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
         [F.col("phrase_id")],
         [F.floor(F.col("phrase_id") / 65536)],
         "_rn",
+        hot_blocks(spark, sf_dir),
     )
     return numbered.withColumn("phrase_idx", (F.col("_rn") - 1).cast("int")).drop("_rn")
 

@@ -181,12 +181,12 @@ def preference_probability(spark, d):
 
 
 def rank_within_phrase(spark, d):
-    r = ranker.rank(candidates(spark, d), fixed_model())
+    r = ranker.rank(candidates(spark, d), fixed_model(), hot=B.hot_phrases(spark, d))
     return r.select(*IDENT, "status", "reason", "rank", F.round("utility", 6).alias("utility"))
 
 
 def top_confidence(spark, d):
-    r = ranker.rank(candidates(spark, d), fixed_model()).where("rank = 1")
+    r = ranker.rank(candidates(spark, d), fixed_model(), hot=B.hot_phrases(spark, d)).where("rank = 1")
     return r.select(*IDENT, F.round("confidence", 6).alias("confidence"), "reduction_allowed")
 
 
@@ -245,7 +245,7 @@ def baseline_compare(spark, d):
 
 
 def fit_pairwise(spark, d):
-    m = ranker.fit(pairs(spark, d))
+    m = ranker.fit(cut_lineage(pairs(spark, d)))
     rows = [(n, round(w, 3)) for n, w in zip(m.names, m.weights)]
     return spark.createDataFrame(rows, "feature string, weight double")
 

@@ -35,6 +35,10 @@ def events(spark, d):
     return shape(B.table(spark, d, "events"))
 
 
+def hot(spark, d):
+    return B.hot_users(spark, d, "session_id")
+
+
 def event_stream(spark, d):
     return shape(jobs.stream_table(tune(spark), d, "events"))
 
@@ -67,19 +71,19 @@ states AS (SELECT i.session_id, i.item_index, CASE WHEN s.seq IS NULL THEN 'PEND
 
 
 def stale_discard(spark, d):
-    r = S.discard_stale(synth(events(spark, d)))
+    r = S.discard_stale(synth(events(spark, d)), hot(spark, d))
     return r.select("session_id", "seq", "generation_id", "current_generation", "stale")
 
 
 def playback_metrics(spark, d):
-    p = S.playback(events(spark, d))
+    p = S.playback(events(spark, d), hot(spark, d))
     return p.select("session_id", "seq", F.round("gap", 5).alias("gap"), "underrun", F.round("rolling_rtf", 6).alias("rolling_rtf"))
 
 
 def session_snapshot(spark, d):
     e = events(spark, d)
     submitted = e.groupBy("session_id").agg((F.min("start") - 1.5).alias("submitted"))
-    s = S.session_snapshot(S.playback(e), submitted)
+    s = S.session_snapshot(S.playback(e, hot(spark, d)), submitted)
     return s.select(
         "session_id", "phrases", F.round("ttfa_seconds", 3).alias("ttfa_seconds"), "underrun_count", F.round("average_rtf", 6).alias("average_rtf"),
         F.round("recent_gap", 4).alias("recent_gap"),
@@ -87,11 +91,11 @@ def session_snapshot(spark, d):
 
 
 def recent_phrases(spark, d):
-    return S.recent_phrases(S.playback(events(spark, d))).select("session_id", "seq", F.col("recency").cast("bigint").alias("recency"))
+    return S.recent_phrases(S.playback(events(spark, d), hot(spark, d))).select("session_id", "seq", F.col("recency").cast("bigint").alias("recency"))
 
 
 def sentence_buffer(spark, d):
-    s = S.sentence_buffer(events(spark, d))
+    s = S.sentence_buffer(events(spark, d), hot(spark, d))
     return s.select("session_id", "sentence", "frames", F.round("seconds", 6).alias("seconds"), "last_seq")
 
 
@@ -101,11 +105,11 @@ def items(spark, d):
 
 
 def batch_state_machine(spark, d):
-    return S.batch_states(events(spark, d), items(spark, d), recover=True).select("session_id", "item_index", "state")
+    return S.batch_states(events(spark, d), items(spark, d), recover=True, hot=hot(spark, d)).select("session_id", "item_index", "state")
 
 
 def batch_counts(spark, d):
-    return S.batch_counts(S.batch_states(events(spark, d), items(spark, d)))
+    return S.batch_counts(S.batch_states(events(spark, d), items(spark, d), hot=hot(spark, d)))
 
 
 def stored_sessions(spark, d):

@@ -19,7 +19,7 @@ CONFIG = audio.SanityConfig(
 def numbered(spark, d):
     """Events of a user in time order, as a dense series."""
     e = B.table(spark, d, "events")
-    return number_rows(e, ["user_id"], [F.col("ts"), F.col("event_id")], [F.date_trunc("day", F.col("ts"))], "n")
+    return number_rows(e, ["user_id"], [F.col("ts"), F.col("event_id")], [F.date_trunc("day", F.col("ts"))], "n", B.hot_users(spark, d))
 
 
 NUMBERED = "numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
@@ -34,7 +34,7 @@ def frames(spark, d):
 
 def measured(spark, d):
     f, lengths = frames(spark, d)
-    return measure.pitch(f, lengths, ["user_id"])
+    return measure.pitch(f, lengths, ["user_id"], B.hot_users(spark, d))
 
 
 def rounded(df, *names):
@@ -95,7 +95,7 @@ st AS (SELECT b.*, er, coalesce(f,n)/1e2 AS lead_s, CASE WHEN l IS NULL THEN n E
 
 
 def audio_stats(spark, d):
-    s = audio.stats(samples(spark, d), CONFIG)
+    s = audio.stats(samples(spark, d), CONFIG, hot=B.hot_users(spark, d, "path"))
     return s.select(
         "path", "sample_count", "zero_waveform",
         *[F.round(c, 6).alias(c) for c in ("duration_seconds", "peak", "peak_dbfs", "rms", "rms_dbfs", "crest_factor_db", "clipping_ratio", "dc_offset", "end_window_rms_dbfs")],
@@ -103,16 +103,16 @@ def audio_stats(spark, d):
 
 
 def edge_silence(spark, d):
-    s = audio.stats(samples(spark, d), CONFIG)
+    s = audio.stats(samples(spark, d), CONFIG, hot=B.hot_users(spark, d, "path"))
     return s.select("path", "leading_silence_seconds", "trailing_silence_seconds")
 
 
 def internal_silence_run(spark, d):
-    return audio.stats(samples(spark, d), CONFIG).select("path", "longest_internal_silence_seconds")
+    return audio.stats(samples(spark, d), CONFIG, hot=B.hot_users(spark, d, "path")).select("path", "longest_internal_silence_seconds")
 
 
 def audio_gate(spark, d):
-    g = audio.gate(audio.stats(samples(spark, d), CONFIG), CONFIG)
+    g = audio.gate(audio.stats(samples(spark, d), CONFIG, hot=B.hot_users(spark, d, "path")), CONFIG)
     return g.select("path", "status", F.array_join("reasons", ",").alias("reasons"))
 
 

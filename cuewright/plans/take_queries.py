@@ -91,7 +91,7 @@ def candidate_topk(spark, d):
 
 
 def phrase_reset(spark, d):
-    r = selection.with_reset(picks(spark, d))
+    r = selection.with_reset(picks(spark, d), hot=B.hot_blocks(spark, d))
     return r.select(*KEY, "phrase_idx", F.round("reset_st", 6).alias("reset_st"), "reset_ok")
 
 
@@ -153,7 +153,7 @@ def sequence_parts(spark, d):
     at = ["project_id", "block_id", "phrase_idx"]
     s = cut_lineage(scored(spark, d))
     flags = B.bare_phrases(spark, d).select(*KEY, "sentence_final")
-    placed = cut_lineage(selection.number_phrases(selection.best_take(s).select(*KEY, "take_id").join(flags, KEY)))
+    placed = cut_lineage(selection.number_phrases(selection.best_take(s).select(*KEY, "take_id").join(flags, KEY), hot=B.hot_blocks(spark, d)))
     idx = placed.select(*KEY, "phrase_idx")
     takes = s.join(idx, KEY)
     wanted = placed.where("sentence_final").select(*at, (F.col("phrase_id") % 5).cast("int").alias("take_id"))
@@ -162,7 +162,7 @@ def sequence_parts(spark, d):
 
 
 def guard_proposals(spark, d):
-    _, status, why = selection.guard(*sequence_parts(spark, d))
+    _, status, why = selection.guard(*sequence_parts(spark, d), B.hot_blocks(spark, d))
     codes = why.groupBy("project_id", "block_id").agg(
         F.count_if(F.col("reason") == "reset_outside_gate").alias("n_reset"),
         F.count_if(F.col("reason") == "invalid_or_failed_take").alias("n_invalid"),
@@ -197,12 +197,12 @@ GUARDED = (*PICKED, B.PINS_SQL, GUARD_CTE)
 
 def selection_outcome(spark, d):
     placed, wanted, takes, held = sequence_parts(spark, d)
-    final, _, _ = selection.guard(placed, wanted, takes, held)
+    final, _, _ = selection.guard(placed, wanted, takes, held, B.hot_blocks(spark, d))
     return selection.outcome(placed.select("project_id", "block_id", "phrase_idx", "take_id"), final)
 
 
 def timeline_offsets(spark, d):
-    t = selection.timeline(picks(spark, d))
+    t = selection.timeline(picks(spark, d), hot=B.hot_blocks(spark, d))
     return t.select(*KEY, "phrase_idx", "start", F.round("dur", 3).alias("dur"), "take_id")
 
 
@@ -212,11 +212,11 @@ timed AS (SELECT *, coalesce(sum(dur + CASE WHEN sentence_final THEN 49e-2 WHEN
 
 
 def global_timeline(spark, d):
-    return selection.global_timeline(selection.timeline(picks(spark, d)))
+    return selection.global_timeline(selection.timeline(picks(spark, d), hot=B.hot_blocks(spark, d)))
 
 
 def early_stop_index(spark, d):
-    return selection.early_stop(scored(spark, d))
+    return selection.early_stop(scored(spark, d), B.hot_phrases(spark, d))
 
 
 def escalation_rounds(spark, d):

@@ -80,3 +80,24 @@ def test_fold_keeps_state_across_arrow_batches(spark, rows):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = rows.withColumn("s", F.sum("v").over(W.partitionBy("k").orderBy("t", "id"))).select("k", "id", "s").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_hot_keys_take_the_chunked_plan_and_agree(rows):
+    found = O.hot_keys(rows, ["k"], min_rows=300, share=0.2)
+    assert found == [("hot",)] and O.hot_keys(rows, ["k"]) == []
+    w = W.partitionBy("k").orderBy("t", "id")
+    order, chunk = [F.col("t"), F.col("id")], [F.floor(F.col("t") / 10)]
+    for hot in (None, [], found):
+        same(O.number_rows(rows, ["k"], order, chunk, "n", hot), rows.withColumn("n", F.row_number().over(w)), ["k", "id", "n"])
+        same(O.previous_row(rows, ["k"], ["t", "id"], chunk, {"p": "v"}, hot), rows.withColumn("p", F.lag("v").over(w)), ["k", "id", "p"])
+        got = O.running_before(rows, ["k"], order, chunk, {"s": ("sum", F.col("v"))}, hot)
+        want = rows.withColumn("s", F.coalesce(F.sum("v").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        same(got, want, ["k", "id", "s"])
+
+
+def test_hot_pairs_of_columns(rows):
+    two = rows.withColumn("g", F.col("id") % 2)
+    found = O.hot_keys(two, ["k", "g"], min_rows=300, share=0.2)
+    assert sorted(found) == [("hot", 0), ("hot", 1)]
+    got = O.number_rows(two, ["k", "g"], [F.col("t"), F.col("id")], [F.floor(F.col("t") / 10)], "n", found)
+    same(got, two.withColumn("n", F.row_number().over(W.partitionBy("k", "g").orderBy("t", "id"))), ["k", "id", "n"])
