@@ -203,7 +203,7 @@ def ordered_fold(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    fold: Callable[[], Callable[[tuple, pd.DataFrame], pd.DataFrame | None]],
+    fold: Callable[[], Callable[[tuple, Iterable[tuple]], list[tuple]]],
     schema: str,
 ) -> DataFrame:
     """A strictly sequential rule, streamed over each key in order.
@@ -211,25 +211,26 @@ def ordered_fold(
     Only for rules whose next step depends on the outcome of the last one. Spark
     partitions by key and sorts on disk; a task then holds the state of one key
     and one Arrow batch, never a whole group. ``fold()`` makes a handler per
-    task, called with (key, rows of that key in this batch) in order.
+    task, called with (key, rows of that key in this batch) in order; rows are
+    tuples of the non-key columns, results tuples of the schema's columns.
     """
-    width = len(keys)
+    rest = [c for c in df.columns if c not in keys]
+    names = [part.split()[0] for part in schema.split(",")]
 
     def run(batches: Iterable[pd.DataFrame]):
         handle = fold()
         for batch in batches:
             if batch.empty:
                 continue
-            changed = batch[keys].ne(batch[keys].shift()).any(axis=1).to_numpy().nonzero()[0]
-            edges = [*changed.tolist(), len(batch)] if changed[0] == 0 else [0, *changed.tolist(), len(batch)]
-            outs = []
-            for start, stop in zip(edges, edges[1:]):
-                part = batch.iloc[start:stop]
-                key = tuple(part.iloc[0][keys]) if width else ()
-                made = handle(key, part)
-                if made is not None and len(made):
-                    outs.append(made)
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+            marks = list(zip(*[batch[k].tolist() for k in keys]))
+            rows = list(zip(*[batch[c].tolist() for c in rest]))
+            out: list[tuple] = []
+            start = 0
+            for stop in range(1, len(marks) + 1):
+                if stop == len(marks) or marks[stop] != marks[start]:
+                    out.extend(handle(marks[start], rows[start:stop]))
+                    start = stop
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    return df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -124,36 +123,36 @@ def beam_assemble(cands: DataFrame, order: str = "phrase_id") -> DataFrame:
     def forward():
         state = {"key": None, "beams": None}
 
-        def handle(key, part: pd.DataFrame):
+        def handle(key, rows):
             if key != state["key"]:
                 state.update(key=key, beams=[(0.0, None)])
-            rows = []
-            for at, t, q, f, l in zip(part[order], part["take_id"], part["quality"], part["first_hz"], part["last_hz"]):
-                best = _beam_step(state["beams"], list(zip(t, q, f, l)))
+            out = []
+            for at, takes, quality, first, last in rows:
+                best = _beam_step(state["beams"], list(zip(takes, quality, first, last)))
                 state["beams"] = [(b[0], b[1]) for b in best]
-                rows.append((*key, at, [int(b[2]) for b in best], [b[3] for b in best], float(best[0][0])))
-            return pd.DataFrame(rows, columns=[*BLOCK, order, "takes", "parents", "score"])
+                out.append((*key, at, [int(b[2]) for b in best], [b[3] for b in best], float(best[0][0])))
+            return out
 
         return handle
 
     def backward():
         state = {"key": None, "slot": 0}
 
-        def handle(key, part: pd.DataFrame):
+        def handle(key, rows):
             if key != state["key"]:
                 state.update(key=key, slot=0)
-            rows = []
-            for back, takes, parents, score in zip(part["_back"], part["takes"], part["parents"], part["score"]):
+            out = []
+            for at, takes, parents, score, _ in rows:
                 slot = state["slot"]
-                rows.append((*key, -back, int(takes[slot]), float(score)))
+                out.append((*key, at, int(takes[slot]), float(score)))
                 state["slot"] = parents[slot]
-            return pd.DataFrame(rows, columns=[*BLOCK, order, "take_id", "beam_score"])
+            return out
 
         return handle
 
     trail = ordered_fold(
         packed, BLOCK, [order], forward,
-        f"project_id string, block_id string, {order} bigint, takes array<int>, parents array<int>, score double",
+        f"project_id string, block_id string, {order} bigint, takes array<int>, parents array<int>, beam_score double",
     ).withColumn("_back", -F.col(order))
     return ordered_fold(
         trail, BLOCK, ["_back"], backward,
@@ -210,13 +209,11 @@ def median_repair(picks: DataFrame, scored: DataFrame, order: str = "phrase_id")
             trial[new] = trial.get(new, 0) + 1
             return sorted([v, n] for v, n in trial.items() if n)
 
-        def handle(key, part: pd.DataFrame):
+        def handle(key, rows):
             if key != state["key"]:
                 state.update(key=key, cells={}, median=None, done_at=None)
-            rows = []
-            for kind, at, slope, n, pick in zip(
-                part["part"], part[order], part["end_slope"], part["n"], part["pick_slope"]
-            ):
+            out = []
+            for kind, at, slope, n, pick in rows:
                 if kind == 0:
                     state["cells"][slope] = n
                     continue
@@ -229,8 +226,8 @@ def median_repair(picks: DataFrame, scored: DataFrame, order: str = "phrase_id")
                 median = _median_of(moved)
                 if abs(median - middle) < abs(state["median"] - middle):
                     state.update(cells={v: m for v, m in moved}, median=median, done_at=at)
-                    rows.append((*key, at, int(n), float(slope), float(median)))
-            return pd.DataFrame(rows, columns=[*BLOCK, order, "new_take_id", "new_slope", "median_after"])
+                    out.append((*key, at, int(n), float(slope), float(median)))
+            return out
 
         return handle
 

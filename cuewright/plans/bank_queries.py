@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bank, gates, selection, shadow
 from ..rules import FEATURE_NAMES
+from ..session import cut_lineage
 from . import bindings as B
 from .take_queries import KEY, PICKED, SCORED, picks, scored
 
@@ -226,7 +227,7 @@ SHADOWED = (*SCORED, VALID_SQL)
 
 
 def validations(spark, d):
-    s = scored(spark, d)
+    s = cut_lineage(scored(spark, d))
     return shadow.complete_validations(s, results(spark, d, s))
 
 
@@ -252,7 +253,8 @@ def imported_gate(spark, d):
 
 
 def evaluated(spark, d):
-    s = scored(spark, d)
+    # read by every validator and again for the features: written once
+    s = cut_lineage(scored(spark, d))
     alive = shadow.survives(shadow.complete_validations(s, results(spark, d, s))).select(*IDENT, "survives")
     e = s.join(alive, IDENT).withColumn(
         "normalized_edit_distance", F.when(F.col("numeric_heavy"), (F.col("n_syl") % 10) / F.lit(10.0))
@@ -296,7 +298,7 @@ AGREED = (*OVERLAID, VALID_SQL, AGREE_SQL)
 
 
 def verdicts(spark, d):
-    e = evaluated(spark, d)
+    e = cut_lineage(evaluated(spark, d))
     return e, shadow.agreement(e, shadow.shadow_rank(e, hot=B.hot_phrases(spark, d)), selection_overlay(spark, d))
 
 
@@ -369,7 +371,7 @@ REQUIRED = ["audio_sanity", "existing_prosody_gate"]
 
 
 def eligible_takes(spark, d):
-    s = scored(spark, d)
+    s = cut_lineage(scored(spark, d))
     v = shadow.complete_validations(s, results(spark, d, s))
     # at most one entry per configured validator and take
     passed = v.groupBy(*IDENT).agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.numeric import derive_seed
 from ..operators import experiment as E
+from ..session import spread
 from . import bindings as B
 from .text_queries import ENDERS, WS, kept_sql, strip_sql
 
@@ -17,7 +18,7 @@ MODE_SQL = "CASE o_orderkey % 3 WHEN 0 THEN 'existing_phrase' WHEN 1 THEN 'sente
 
 def scripts(spark, d):
     """Documents as scripts; their batch lines are the given phrases."""
-    docs = B.table(spark, d, "documents")
+    docs = spread(B.table(spark, d, "documents"))
     phrases = F.transform(
         X.batch_lines(F.col("text")),
         lambda t: F.struct(t.alias("text"), F.lit(None).cast("boolean").alias("sentence_final"), (F.length(t) > 60).alias("forced")),

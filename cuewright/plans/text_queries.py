@@ -8,6 +8,7 @@ from ..functions import korean, text as X
 from ..functions.text import ENDERS, LINE_END, SENTENCE, WS
 from ..operators import content, gates
 from ..rules import NUMERAL_CHARS
+from ..session import spread
 from . import bindings as B
 
 # The test texts hold no Hangul. This letter table (fixed, arbitrary) turns their
@@ -21,7 +22,7 @@ def docs(spark, d):
 
 
 def hangul_docs(spark, d):
-    return docs(spark, d).withColumn("text", F.translate(F.lower("text"), LATIN, HANGUL))
+    return spread(docs(spark, d)).withColumn("text", F.translate(F.lower("text"), LATIN, HANGUL))
 
 
 HDOC = f"hdocs AS (SELECT * REPLACE (translate(lower(text), '{LATIN}', '{HANGUL}') AS text) FROM documents)"
@@ -116,7 +117,7 @@ def parse_batch_text(spark, d):
 
 
 def normalize_pronunciation(spark, d):
-    return docs(spark, d).select("doc_id", F.sha2(korean.normalise("text"), 256).alias("h"))
+    return spread(docs(spark, d)).select("doc_id", F.sha2(korean.normalise("text"), 256).alias("h"))
 
 
 def sino_number(spark, d):
@@ -127,7 +128,7 @@ def sino_number(spark, d):
 
 def turns(spark, d):
     """Each turn as expected text, the next turn of its conversation as what was heard."""
-    c = B.table(spark, d, "conversations")
+    c = spread(B.table(spark, d, "conversations"))
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("actual"))
     return c.select("conv_id", "turn", "role", F.col("text").alias("expected")).join(nxt, ["conv_id", "turn"])
 

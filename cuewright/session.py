@@ -15,6 +15,9 @@ SETTINGS = {
     # chunks of one hot key would share a task again.
     "spark.sql.requireAllClusterKeysForDistribution": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Few bytes can still be much work (alignment, folds): do not merge such
+    # partitions below the number of cores. Large data never meets this floor.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 
@@ -66,6 +69,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A stored table in at least as many partitions as there are cores.
+
+    For Python-heavy steps over a table of few files. A table of many files is
+    left as it is, without a shuffle. Only for plain scans: counting partitions
+    must not run anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint root."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,7 +2,6 @@
 
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,10 +65,10 @@ def test_fold_keeps_state_across_arrow_batches(spark, rows):
             if key != state["key"]:
                 state.update(key=key, sum=0.0)
             out = []
-            for i, v in zip(part["id"], part["v"]):
+            for _, i, v in part:
                 state["sum"] += v
                 out.append((*key, i, state["sum"]))
-            return pd.DataFrame(out, columns=["k", "id", "s"])
+            return out
 
         return handle
 
