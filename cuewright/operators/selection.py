@@ -356,6 +356,8 @@ def timeline(picks: DataFrame, order: str = "phrase_idx", hot: Hot = None) -> Da
 
 def global_timeline(timed: DataFrame, gap: float = R.BLOCK_GAP_SECONDS, order: str = "phrase_idx") -> DataFrame:
     """Block timelines laid end to end per project, with a GAP row between blocks."""
+    # read for the block lengths and again for the rows: written once
+    timed = cut_lineage(timed)
     lengths = timed.groupBy(*BLOCK).agg(F.max("end_exact").alias("length"))
     placed = running_before(
         lengths, ["project_id"], [F.col("block_id")], [F.substring("block_id", 1, 3)],
@@ -444,6 +446,7 @@ def propose(ranked: DataFrame, pinned: DataFrame, minimum_confidence: float) ->
     all phrases). A block is approved when it has an unpinned phrase and all of
     those got a proposal.
     """
+    ranked = cut_lineage(ranked.select(*PHRASE, "take_id", "utility"))
     first = F.struct((-F.round("utility", 9)).alias("s"), F.col("take_id"))
     top = ranked.groupBy(*PHRASE).agg(
         F.count(F.lit(1)).alias("n_eligible"), F.min(first).alias("_top")
