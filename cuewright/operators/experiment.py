@@ -137,12 +137,17 @@ def candidates(scripts: DataFrame, budget: int = 4) -> DataFrame:
     )
 
 
-def path_errors(rows: DataFrame, key: str, root: str) -> DataFrame:
+RESERVED_SUFFIXES = ("_voice.wav", "pins.json")
+
+
+def path_errors(rows: DataFrame, key: str, root: str, reserved: tuple[str, ...] = RESERVED_SUFFIXES) -> DataFrame:
     """Unsafe, misplaced or reserved output paths, one row per finding.
 
     ``rows``: key, mode, audio_path, metadata_path. ``root`` is the top folder
-    that audio must stay in, followed by its mode.
+    that audio must stay in, followed by its mode; ``reserved`` are the endings of
+    the names that production output uses.
     """
+
     def entry(kind: str, suffix: str) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.lit(suffix).alias("suffix"), F.col(kind).alias("path"))
 
@@ -151,11 +156,14 @@ def path_errors(rows: DataFrame, key: str, root: str) -> DataFrame:
     lower = F.lower(path)
     unsafe = (path == "") | path.startswith("/") | path.rlike(r"(^|/)\.\.(/|$)") | ~F.endswith(lower, F.col("suffix"))
     outside = (F.col("kind") == "audio_path") & ~F.startswith(path, F.concat(F.lit(f"{root}/"), F.col("mode"), F.lit("/")))
+    production = F.lit(False)
+    for suffix in reserved:
+        production = production | lower.endswith(suffix)
     found = F.array_compact(
         F.array(
             F.when(unsafe, F.lit("unsafe_output_path")),
             F.when(~unsafe & outside, F.lit("path_outside_mode_namespace")),
-            F.when(~unsafe & (lower.endswith("_luna.wav") | lower.endswith("pins.json")), F.lit("forbidden_production_name")),
+            F.when(~unsafe & production, F.lit("forbidden_production_name")),
         )
     )
     return long.select(key, "kind", "path", F.explode(found).alias("error"))

@@ -127,7 +127,7 @@ def order_paths(spark, d):
     audio = (
         F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("segments/"), mode, F.lit("/../"), k, F.lit(".wav")))
         .when(F.col("o_orderpriority") == "2-HIGH", F.concat(F.lit("other/"), k, F.lit(".wav")))
-        .when(F.col("o_orderpriority") == "3-MEDIUM", F.concat(F.lit("segments/"), mode, F.lit("/"), k, F.lit("_luna.wav")))
+        .when(F.col("o_orderpriority") == "3-MEDIUM", F.concat(F.lit("segments/"), mode, F.lit("/"), k, F.lit("_voice.wav")))
         .otherwise(F.concat(F.lit("segments/"), mode, F.lit("\\"), k, F.lit(".WAV")))
     )
     meta = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("/"), k)).otherwise(F.concat(k, F.lit(".json")))

@@ -103,12 +103,12 @@ def test_small_columns(spark):
 
 
 CASES = [
-    ("루나는 오늘 출발합니다.", "루나는 오늘 출발합니다", [], "pass", []),
-    ("루나는 오늘 서울에서 출발합니다", "루나는 오늘 출발합니다", ["서울"], "pass", ["content_mismatch", "critical_term_missing"]),
-    ("루나는 출발합니다", "루나는 출발합니다 지금", [], "pass", ["content_mismatch", "unexpected_continuation"]),
-    ("루나는 출발합니다", "루나는 출발합니다 출발합니다", [], "pass", ["content_mismatch", "unexpected_repetition", "unexpected_continuation"]),
+    ("하늘은 오늘 출발합니다.", "하늘은 오늘 출발합니다", [], "pass", []),
+    ("하늘은 오늘 서울에서 출발합니다", "하늘은 오늘 출발합니다", ["서울"], "pass", ["content_mismatch", "critical_term_missing"]),
+    ("하늘은 출발합니다", "하늘은 출발합니다 지금", [], "pass", ["content_mismatch", "unexpected_continuation"]),
+    ("하늘은 출발합니다", "하늘은 출발합니다 출발합니다", [], "pass", ["content_mismatch", "unexpected_repetition", "unexpected_continuation"]),
     ("3.5% 증가", "삼 점 오 퍼센트 증가", ["3.5%"], "pass", []),
-    ("루나", "", [], "unknown", ["asr_exception:RuntimeError"]),
+    ("하늘", "", [], "unknown", ["asr_exception:RuntimeError"]),
 ]
 
 
