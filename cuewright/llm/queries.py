@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules
+from . import decontaminate, line_dedup, near_dup, quality_rules
 
 
 def table(spark, sf_dir: str, name: str):
@@ -64,7 +64,54 @@ FROM documents d JOIN g ON g.doc_id = d.doc_id
 """
 
 
+def op8_benchmark_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP8_SQL = r"""
+WITH t AS (SELECT 'd' AS kind, CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT 'b', CAST(item_id AS VARCHAR), text FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM t),
+k AS (SELECT DISTINCT id AS item, words[i:i+9] AS win FROM (SELECT id, words, unnest(generate_series(1, greatest(1, len(words) - 9))) AS i
+  FROM w WHERE kind = 'b' AND len(words) > 0)),
+sizes AS (SELECT DISTINCT len(win) AS size FROM k),
+h AS (SELECT id, i, size, item FROM (SELECT id, i, size, words[i:i+size-1] AS win FROM (
+    SELECT id, words, size, unnest(generate_series(1, len(words) - size + 1)) AS i FROM w, sizes WHERE kind = 'd')) x JOIN k ON k.win = x.win),
+c AS (SELECT id, count(DISTINCT pos) AS n_hit FROM (SELECT id, unnest(generate_series(i, i + size - 1)) AS pos FROM h) GROUP BY id),
+m AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item FROM h) GROUP BY id)
+SELECT d.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(m.n_items, 0) AS n_items,
+  sha256(coalesce(m.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM documents d JOIN w ON w.kind = 'd' AND w.id = CAST(d.doc_id AS VARCHAR) LEFT JOIN c ON c.id = w.id LEFT JOIN m ON m.id = w.id
+"""
+
+
+def op9_minhash_near_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.near_duplicates(docs, width=2, percent=80).withColumnRenamed("id", "doc_id")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(sh) AS sh FROM (
+  SELECT doc_id, words[i] || ' ' || words[i+1] AS sh FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 1)) AS i FROM w)
+  UNION ALL SELECT doc_id, words[1] FROM w WHERE len(words) = 1)),
+n AS MATERIALIZED (SELECT w.doc_id, count(s.sh) AS n FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+reach AS (SELECT doc_id, doc_id AS node FROM n UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.node)
+SELECT n.doc_id, CAST(max(n.n) AS BIGINT) AS n_shingles, min(node) AS component_id, n.doc_id = min(node) AS kept
+FROM n JOIN reach ON reach.doc_id = n.doc_id GROUP BY n.doc_id
+"""
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op7_line_dedup": (op7_line_dedup, OP7_SQL),
+    "op8_benchmark_decontamination": (op8_benchmark_decontamination, OP8_SQL),
+    "op9_minhash_near_dedup": (op9_minhash_near_dedup, OP9_SQL),
 }
