@@ -123,7 +123,7 @@ def measure(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1
     total = df.count()
     if not total:
         return [{"rule": r.name, "cost": 1.0, "rejects": 0.0} for r in rules]
-    rows = df.sample(min(1.0, sample_rows / total), seed=seed).persist()
+    rows = base_statistics(df.sample(min(1.0, sample_rows / total), seed=seed)).persist()
     try:
         n = max(1, rows.count())
 
@@ -161,6 +161,6 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sa
     """All rows with their statistics, ``base_failed``, ``rejected_by`` and ``kept``."""
     named = df if text == "text" else df.withColumn("text", F.col(text))
     stats = base_statistics(named)
-    order = ordered(rules, measure(stats, rules, sample_rows))
+    order = ordered(rules, measure(named, rules, sample_rows))
     judged = stats.drop("base_failed", "rejected_by", "kept").withColumn("base_failed", base_failed())
     return judged.withColumn("rejected_by", cascade(order, F.col("base_failed"))).withColumn("kept", F.col("rejected_by").isNull())
