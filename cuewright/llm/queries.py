@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dup, quality_rules
+from ..session import scratch_path
+from . import decontaminate, line_dedup, near_dup, quality_rules, token_files
 
 
 def table(spark, sf_dir: str, name: str):
@@ -109,9 +110,22 @@ FROM n JOIN reach ON reach.doc_id = n.doc_id GROUP BY n.doc_id
 """
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_token_files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = token_files.token_files(docs, tokenizer_file("byte_bpe_50k.json"), scratch_path(spark, "token-files"))
+    return token_files.digests(token_files.read_documents(files)).withColumnRenamed("doc", "doc_id")
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op7_line_dedup": (op7_line_dedup, OP7_SQL),
     "op8_benchmark_decontamination": (op8_benchmark_decontamination, OP8_SQL),
     "op9_minhash_near_dedup": (op9_minhash_near_dedup, OP9_SQL),
+    "op10_token_files": (op10_token_files, None),
 }

@@ -1,0 +1,7 @@
+import pytest
+
+
+@pytest.fixture(scope="session")
+def small(spark):
+    """A session as a user may have it; the engine's own settings are not needed here."""
+    return spark
