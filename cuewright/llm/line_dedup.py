@@ -42,20 +42,20 @@ def counted_lines(df: DataFrame, id_col: str, text: str, site: str, min_words: i
 
 def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     """(h, h2, doc, line): every boilerplate line and the place where it stays."""
-    first = F.min(F.struct("doc", "line")).alias("first")
+    # one row per line and site, combined before the shuffle: a hot line is a row per task and site
+    sites = lines.groupBy("h", "h2", "site").agg(F.min(F.struct("doc", "line")).alias("first"))
     spread = (
-        lines.groupBy("h", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), first)
+        sites.groupBy("h", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min("first").alias("first"))
         .select("h", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
     )
     margin = max(1.0, BAND * min_sites)
     spread = spread.where(F.col("sites") >= min_sites - margin)
     near = spread.where(F.col("sites") <= min_sites + margin).select("h", "h2")
     exact = (
-        lines.join(near, ["h", "h2"], "left_semi").groupBy("h", "h2", "site").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("h", "h2").agg(F.count(F.lit(1)).alias("exact"))
+        sites.join(near, ["h", "h2"], "left_semi").groupBy("h", "h2").agg(F.count(F.lit(1)).alias("exact"))
     )
-    sites = F.coalesce(F.col("exact").cast("double"), F.col("sites"))
-    return spread.join(exact, ["h", "h2"], "left").where(sites >= min_sites).select("h", "h2", "first.doc", "first.line")
+    known = F.coalesce(F.col("exact").cast("double"), F.col("sites"))
+    return spread.join(exact, ["h", "h2"], "left").where(known >= min_sites).select("h", "h2", "first.doc", "first.line")
 
 
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", site: str = "source",
