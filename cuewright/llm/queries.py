@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, line_dedup, near_dup, quality_rules, token_files
+from . import decontaminate, line_dedup, near_dup, quality_rules, sentence_pieces, token_files
 
 
 def table(spark, sf_dir: str, name: str):
@@ -42,6 +42,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op4_sentence_pieces(spark, sf_dir):
+    model = tokenizer_file("piece_bpe_32k.model")
+    ids = sentence_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return sentence_pieces.decode(ids, model).select(
+        F.col("id").alias("doc_id"), "n_chars", "n_chunks", (F.octet_length("ids") / 2).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_dedup.dedup_lines(docs).select(
@@ -124,6 +133,7 @@ def op10_token_files(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
+    "op4_sentence_pieces": (op4_sentence_pieces, None),
     "op7_line_dedup": (op7_line_dedup, OP7_SQL),
     "op8_benchmark_decontamination": (op8_benchmark_decontamination, OP8_SQL),
     "op9_minhash_near_dedup": (op9_minhash_near_dedup, OP9_SQL),
