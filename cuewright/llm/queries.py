@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, line_dedup, near_dup, quality_rules, sentence_pieces, token_files
+from . import decontaminate, line_dedup, near_dup, quality_rules, secret_scan, sentence_pieces, token_files
 
 
 def table(spark, sf_dir: str, name: str):
@@ -51,6 +51,15 @@ def op4_sentence_pieces(spark, sf_dir):
     )
 
 
+def op5_secret_scan(spark, sf_dir):
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"CAST(size(filter(base, s -> s.kind = {k})) AS BIGINT) AS n_{n}") for k, n in enumerate(secret_scan.KINDS[:3])]
+    return found.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(secret_scan.joined("base"), 256).alias("base_sha256"), secret_scan.joined("spans").alias("spans"),
+        F.size("random").cast("long").alias("n_random"),
+    )
+
+
 def op7_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_dedup.dedup_lines(docs).select(
@@ -134,6 +143,7 @@ def op10_token_files(spark, sf_dir):
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op4_sentence_pieces": (op4_sentence_pieces, None),
+    "op5_secret_scan": (op5_secret_scan, None),
     "op7_line_dedup": (op7_line_dedup, OP7_SQL),
     "op8_benchmark_decontamination": (op8_benchmark_decontamination, OP8_SQL),
     "op9_minhash_near_dedup": (op9_minhash_near_dedup, OP9_SQL),
