@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, line_dedup, near_dup, quality_rules, secret_scan, sentence_pieces, token_files
+from . import decontaminate, line_dedup, near_dup, quality_classifier, quality_rules, secret_scan, sentence_pieces, token_files, url_filter
 
 
 def table(spark, sf_dir: str, name: str):
@@ -42,6 +42,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+# The listed rules.
+URL_RULES = [
+    url_filter.UrlRule("allow", "com", "/"),
+    url_filter.UrlRule("block", "example.com", "/en/"),
+    url_filter.UrlRule("allow", "www.example.com", "/en/"),
+    url_filter.UrlRule("block", "net", "/es/"),
+    url_filter.UrlRule("block", "net", "/fr/"),
+]
+
+
+def op2_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", F.round("block_probability", 6).alias("block_probability"))
+
+
+def graded_labels(spark, sf_dir):
+    """Toxic documents are graded 0, others of low quality 1, good ones 2."""
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    return table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+
+
+def op3_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, graded_labels(spark, sf_dir))
+    graded = quality_classifier.grade_documents(docs, model)
+    return graded.select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("tail", 6).alias("tail"), "kept")
+
+
 def op4_sentence_pieces(spark, sf_dir):
     model = tokenizer_file("piece_bpe_32k.model")
     ids = sentence_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
@@ -142,6 +170,8 @@ def op10_token_files(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
+    "op2_url_filter": (op2_url_filter, None),
+    "op3_quality_classifier": (op3_quality_classifier, None),
     "op4_sentence_pieces": (op4_sentence_pieces, None),
     "op5_secret_scan": (op5_secret_scan, None),
     "op7_line_dedup": (op7_line_dedup, OP7_SQL),
