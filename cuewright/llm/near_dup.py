@@ -30,7 +30,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,31 +192,53 @@ def rest_pairs(open_rows: DataFrame, reps: DataFrame, sizes: DataFrame) -> DataF
         "key", "id", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     ).join(reps.select("id", "n", "sig"), "id")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        key = np.int64(group["key"].iloc[0]).view(np.uint64)
-        low, high = group["low"].iloc[0], group["high"].iloc[0]
-        group = group.drop_duplicates("id")
-        one, two = (group, group) if low == high else (group[group["block"] == low], group[group["block"] == high])
-        if not len(one) or not len(two):
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        sig_two, all_two = unpack(two["sig"]), key_matrix(unpack(two["sig"]))
-        roots, ids, n = two["root"].to_numpy(), two["id"].to_numpy(), two["n"].to_numpy()
-        found = []
-        for sig, keys_one, id_one, root, size in zip(
-            unpack(one["sig"]), key_matrix(unpack(one["sig"])), one["id"], one["root"], one["n"], strict=True
-        ):
-            at = np.flatnonzero((roots != root) & (100 * np.minimum(n, size) >= 80 * np.maximum(n, size)))
-            if low == high:
-                at = at[ids[at] > id_one]
-            at = at[(sig_two[at] != sig).sum(axis=1) <= THRESHOLD]
-            if len(at):
-                same = all_two[at] == keys_one
-                at = at[keys_one[same.argmax(axis=1)] == key]
-                found.append(np.stack([np.maximum(ids[at], id_one), np.minimum(ids[at], id_one)], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return rows.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    def run(batches):
+        rest = None
+        for batch in batches:
+            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            group = _groups(rest)
+            # the last group may go on in the next batch
+            full = int(np.searchsorted(group, group[-1])) if len(group) else 0
+            if full:
+                yield from _compare(rest.slice(0, full), group[:full])
+                rest = rest.slice(full).combine_chunks()
+        if rest is not None and rest.num_rows:
+            yield from _compare(rest, _groups(rest))
+
+    dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _groups(rows: pa.Table) -> np.ndarray:
+    """Number of the (key, low, high) group of each row; rows are sorted by it."""
+    marks = np.stack([rows.column(c).to_numpy() for c in ("key", "low", "high")])
+    return np.cumsum(np.concatenate([[True], (marks[:, 1:] != marks[:, :-1]).any(axis=0)])) if rows.num_rows else np.zeros(0, int)
+
+
+def _compare(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole groups; rows at distance 1, 2, ... in the sorted order are compared at once."""
+    key, ids, root, n, block = (rows.column(c).to_numpy() for c in ("key", "id", "root", "n", "block"))
+    mixed = rows.column("low").to_numpy() != rows.column("high").to_numpy()
+    sigs = unpack(rows.column("sig").to_pylist())
+    ends = np.searchsorted(group, group, "right")
+    live = np.arange(len(group))
+    for step in range(1, len(group)):
+        live = live[live + step < ends[live]]
+        if not len(live):
+            break
+        other = live + step
+        fit = (root[live] != root[other]) & (100 * np.minimum(n[live], n[other]) >= 80 * np.maximum(n[live], n[other]))
+        fit &= ~mixed[live] | (block[live] != block[other])
+        one, two = live[fit], other[fit]
+        if len(one):
+            close = (sigs[one] != sigs[two]).sum(axis=1) <= THRESHOLD
+            one, two = one[close], two[close]
+        if len(one):
+            keys_one = key_matrix(sigs[one])
+            first = keys_one[np.arange(len(one)), (keys_one == key_matrix(sigs[two])).argmax(axis=1)].view(np.int64)
+            here = first == key[one]
+            a, b = ids[one[here]], ids[two[here]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
 
 def with_roots(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
