@@ -9,12 +9,18 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: White space as the tokenizer's pattern sees it (Unicode White_Space).
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: Scripts whose letters are letters to the tokenizer's pattern in every version of Unicode.
+ALPHA = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
+#: A byte is shown by its own character if that is printable, else by one from 256 on, in order.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SHOWN = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: Pieces remembered per Python worker, and the longest one.
 REMEMBERED = 400_000
 LONGEST = 40
@@ -39,30 +45,40 @@ class BytePairEncoder:
         return cls._known[path]
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [PIECE.findall(x) if x else [] for x in texts]
-        fresh = {p for row in pieces for p in row if p not in self.memory}
-        known: dict[str, bytes] = self.memory
+        keys = [self.keys(x) if x else [] for x in texts]
+        found = [list(map(self.memory.get, row)) for row in keys]
+        fresh = {row[k] for row, got in zip(keys, found, strict=True) if None in got for k, b in enumerate(got) if b is None}
         if fresh:
-            order = sorted(fresh)
-            found = self.tokenizer.encode_batch_fast(order, add_special_tokens=False)
-            new = {p: np.array(e.ids, "<u2").tobytes() for p, e in zip(order, found, strict=True)}
+            new = self.encoded(list(fresh))
+            for row, got in zip(keys, found, strict=True):
+                if None in got:
+                    got[:] = [new[p] if b is None else b for p, b in zip(row, got, strict=True)]
             room = REMEMBERED - len(self.memory)
-            if room >= len(new) and max(map(len, new)) <= LONGEST:
-                self.memory.update(new)
+            if room > 0:
+                self.memory.update([(p, b) for p, b in new.items() if len(p) <= LONGEST][:room])
+        return [b"".join(row) for row in found]
+
+    @staticmethod
+    def keys(text: str) -> list[str]:
+        """Names of the pieces: a bare word stands for itself behind a blank, a zero in front for the very piece."""
+        words = text.split()
+        blanks = len(text) - sum(map(len, words))
+        # single blanks and line ends between words are all the white space there is
+        if blanks != len(words) - 1 or blanks != text.count(" ") + text.count("\n") or "\0" in text:
+            return ["\0" + p for p in PIECE.findall(text)]
+        return ("\0" + text.replace("\n", " \0\n")).split(" ")
+
+    def encoded(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of pieces. A piece of letters is one pre-token, so the model alone will do."""
+        out, other = {}, []
+        tokenize = self.tokenizer.model.tokenize
+        for key in keys:
+            piece = key[1:] if key[0] == "\0" else " " + key
+            if (piece[1:] if piece[0] == " " else piece).isalpha() and ALPHA.fullmatch(piece):
+                out[key] = array("H", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(SHOWN))]).tobytes()
             else:
-                known = _Both(self.memory, new)
-                if room > 0:
-                    self.memory.update([(p, b) for p, b in new.items() if len(p) <= LONGEST][:room])
-        get = known.__getitem__
-        return [b"".join(map(get, row)) for row in pieces]
-
-
-class _Both(dict):
-    """Remembered pieces first, then those of this call."""
-
-    def __init__(self, memory: dict, new: dict):
-        super().__init__(new)
-        self.memory = memory
-
-    def __missing__(self, key):
-        return self.memory[key]
+                other.append((key, piece))
+        if other:
+            got = self.tokenizer.encode_batch_fast([p for _, p in other], add_special_tokens=False)
+            out.update((k, np.array(e.ids, "<u2").tobytes()) for (k, _), e in zip(other, got, strict=True))
+        return out

@@ -39,7 +39,7 @@ from .store import stored
 
 MAGIC = b"HTOK1\0"
 BLOCK_IDS = 1 << 16
-CHECKPOINT = 256
+CHECKPOINT = 64
 END_ID = 2
 
 
@@ -65,8 +65,10 @@ def global_counts(tokens: DataFrame, n_ids: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(n_ids, np.int64)
         for batch in batches:
-            for part in batch.column("ids"):
-                total += np.bincount(np.frombuffer(part.as_buffer(), "<u2"), minlength=n_ids)
+            _, offsets, data = batch.column("ids").cast(pa.large_binary()).buffers()
+            at = np.frombuffer(offsets, np.int64, batch.num_rows + 1, batch.column("ids").offset * 8)
+            if batch.num_rows and at[-1] > at[0]:
+                total += np.bincount(np.frombuffer(data, "<u2", (at[-1] - at[0]) // 2, at[0]), minlength=n_ids)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 

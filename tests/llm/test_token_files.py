@@ -30,7 +30,7 @@ def test_pack_and_unpack(ids):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab 'sl1!\n\t\x1c\x85　é한<|>", max_size=40))
+@given(st.text(alphabet="ab 'sl1!.,_\n\t\x1c\x85\u3000é한<|>", max_size=40))
 def test_pieces_give_the_ids_of_the_whole_text(text):
     whole = Tokenizer.from_file(FILE) if not hasattr(test_pieces_give_the_ids_of_the_whole_text, "t") else test_pieces_give_the_ids_of_the_whole_text.t
     test_pieces_give_the_ids_of_the_whole_text.t = whole
@@ -46,7 +46,7 @@ def test_special_text_and_full_memory(monkeypatch):
     want = [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
     for _ in range(2):
         assert [np.frombuffer(x, "<u2").tolist() for x in own.packed(texts)] == want
-    assert len(own.memory) <= 3
+    assert len(own.memory) <= 3  # the bound holds
 
 
 @pytest.mark.parametrize("rows", [[], [(3, "b b"), (1, None), (2, ""), (None, "no id"), (2, "again"), (9, "word " * 70_000)]])
