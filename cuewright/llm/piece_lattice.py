@@ -23,6 +23,9 @@ UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 CUT = (0, 0)
 #: Characters outside the vocabulary get numbers from here on.
 FOREIGN = 1 << 20
+#: Pairs remembered, and the score of what cannot merge.
+PAIRS = 300_000
+NEVER = float("-inf")
 
 
 class Vocabulary:
@@ -43,9 +46,12 @@ class Vocabulary:
         self.scores = {p.piece: p.score for p in model.pieces if p.type == 1}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.longest = max(map(len, self.ids))
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        #: Number of every prefix of a piece: -1 where merging does not make it one piece.
+        self.steps = {p[:k]: -1 for p in self.ids for k in range(1, len(p) + 1)}
+        self._histories: dict[int, list] = {}
+        self.ends: dict[str, int] = {}
         self._fits: dict[int, bool] = {}
-        self._whole: dict[int, bool] = {}
+        self.steps.update((p, i) for p, i in self.ids.items() if len(self.merged(p)) == 1)
 
     def normal(self, text: str) -> str:
         return self.prefix + text.replace(" ", SPACE) if text else ""
@@ -65,29 +71,55 @@ class Vocabulary:
         return parts
 
     def number(self, piece: str) -> int:
-        """Number of a piece, -1 if there is none; a single character always has one."""
-        found = self.ids.get(piece, -1)
-        if found < 0:
-            return FOREIGN + ord(piece) if len(piece) == 1 else -1
-        known = self._whole.get(found)
+        """Number of a piece that merging makes, else -1; a single character always has one."""
+        found = self.steps.get(piece, -1)
+        return FOREIGN + ord(piece) if found < 0 and len(piece) == 1 else found
+
+    def history(self, number: int) -> list[tuple[float, str, str]]:
+        """(score, first part, last part) after each merge that makes a piece; the first entry is its characters."""
+        known = self._histories.get(number)
         if known is None:
-            known = self._whole[found] = len(self.merged(piece)) == 1
-        return found if known else -1
+            parts, scores = list(self.text_of(number)), self.scores
+            known = [(0.0, parts[0], parts[-1])]
+            while len(parts) > 1:
+                score, at = max((s, -k) for k in range(len(parts) - 1) if (s := scores.get(parts[k] + parts[k + 1])) is not None)
+                parts[-at : -at + 2] = [parts[-at] + parts[-at + 1]]
+                known.append((score, parts[0], parts[-1]))
+            self._histories[number] = known
+        return known
 
     def text_of(self, number: int) -> str:
         return chr(number - FOREIGN) if number >= FOREIGN else self.pieces[number]
 
     def fits(self, a: int, b: int) -> bool:
+        """Whether merging the characters of both gives [a, b].
+
+        Each side goes through its own merges, best score first, the left side
+        at ties. They do not fit if the parts at the seam would merge before.
+        """
         key = a << 32 | b
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) >= PAIRS:
                 self._fits.clear()
-            left = self.text_of(a)
-            both = self.merged(left + self.text_of(b))
-            known = self._fits[key] = len(both) == 2 and both[0] == left
+            known = self._fits[key] = a >= FOREIGN or b >= FOREIGN or self._apart(self.history(a), self.history(b))
         return known
 
+    def _apart(self, left: list, right: list) -> bool:
+        i, j, seam = 1, 1, self.scores.get(left[0][2] + right[0][1], NEVER)
+        while True:
+            one = left[i][0] if i < len(left) else NEVER
+            two = right[j][0] if j < len(right) else NEVER
+            if seam > one and seam >= two:
+                return False
+            if one == two == NEVER:
+                return True
+            if one >= two:
+                i += 1
+            else:
+                j += 1
+            seam = self.scores.get(left[i - 1][2] + right[j - 1][1], NEVER)
+
     def ids_of(self, number: int) -> list[int]:
         return [number] if number < FOREIGN else [self.bytes[b] for b in chr(number - FOREIGN).encode("utf-8")]
 
@@ -181,23 +213,70 @@ def path(v: Vocabulary, text: str, begin: int, end: int, entry: tuple[int, int],
     return back[::-1]
 
 
+def last_piece(v: Vocabulary, text: str) -> int:
+    """The piece that ends at the end of a word's beginning: the one live piece there.
+
+    Each beginning has one merged form, so this is a function of the beginning
+    alone and is remembered across words.
+    """
+    found = v.ends.get(text)
+    if found is not None:
+        return found
+    n, steps, known = len(text), v.steps, v._fits
+    for start in range(max(0, n - v.longest), n):
+        piece = steps.get(text[start:], -1)
+        if piece < 0:
+            if start < n - 1:
+                continue
+            piece = FOREIGN + ord(text[start])
+        if start:
+            before = last_piece(v, text[:start])
+            good = known.get(before << 32 | piece)
+            if not (v.fits(before, piece) if good is None else good):
+                continue
+        break
+    if len(v.ends) >= PAIRS:
+        v.ends.clear()
+    v.ends[text] = piece
+    return piece
+
+
 def unit_numbers(v: Vocabulary, unit: str) -> list[int]:
-    """Pieces of one whole word. Each of its prefixes has one merged form, so one live piece per end."""
-    number, fits, longest, n = v.number, v.fits, v.longest, len(unit)
-    last = [-2] * (n + 1)
+    """Pieces of one whole word, from its end."""
+    if len(unit) > 64:
+        return long_unit_numbers(v, unit)
+    out = []
+    while unit:
+        piece = last_piece(v, unit)
+        out.append(piece)
+        unit = unit[: len(unit) - (1 if piece >= FOREIGN else len(v.pieces[piece]))]
+    return out[::-1]
+
+
+def long_unit_numbers(v: Vocabulary, unit: str) -> list[int]:
+    """The same by one walk ahead, without remembering beginnings."""
+    steps, known, n = v.steps, v._fits, len(unit)
+    last: list = [None] * (n + 1)
     begun = [0] * (n + 1)
     last[0] = -1
     for at in range(n):
         before = last[at]
-        if before == -2:
+        if before is None:
             continue
-        for stop in range(at + 1, min(n, at + longest) + 1):
-            part = unit[at:stop]
-            if part not in v.prefixes and stop > at + 1:
-                break
-            piece = number(part)
-            if piece >= 0 and (before < 0 or fits(before, piece)):
-                last[stop], begun[stop] = piece, at
+        for stop in range(at + 1, n + 1):
+            piece = steps.get(unit[at:stop])
+            if piece is None or piece < 0:
+                if stop == at + 1:
+                    piece = FOREIGN + ord(unit[at])
+                elif piece is None:
+                    break
+                else:
+                    continue
+            if before >= 0:
+                good = known.get(before << 32 | piece)
+                if not (v.fits(before, piece) if good is None else good):
+                    continue
+            last[stop], begun[stop] = piece, at
     out, at = [], n
     while at:
         out.append(last[at])
