@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, line_dedup, near_dup, quality_classifier, quality_rules, secret_scan, sentence_pieces, token_files, url_filter
+from . import decontaminate, line_dedup, near_dup, quality_classifier, quality_rules, secret_scan, sentence_pieces, suffix_dedup, token_files, url_filter
 
 
 def table(spark, sf_dir: str, name: str):
@@ -88,6 +88,14 @@ def op5_secret_scan(spark, sf_dir):
     )
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.dedup_suffixes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op7_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_dedup.dedup_lines(docs).select(
@@ -174,6 +182,7 @@ QUERIES = {
     "op3_quality_classifier": (op3_quality_classifier, None),
     "op4_sentence_pieces": (op4_sentence_pieces, None),
     "op5_secret_scan": (op5_secret_scan, None),
+    "op6_suffix_dedup": (op6_suffix_dedup, None),
     "op7_line_dedup": (op7_line_dedup, OP7_SQL),
     "op8_benchmark_decontamination": (op8_benchmark_decontamination, OP8_SQL),
     "op9_minhash_near_dedup": (op9_minhash_near_dedup, OP9_SQL),
