@@ -1,8 +1,10 @@
 """Row numbers, lags and running totals that survive a hot key.
 
 A plain window over ``partitionBy(key)`` sends all rows of one key to one task.
-Here the caller names a *chunk*: a non-null expression that never decreases
-along the order (a prefix of it). The work then has two levels:
+Here the caller names a *chunk*: an expression that never decreases along the
+order (a prefix of it); where the order puts nulls first, so does the chunk. Keys,
+order and chunk may be null: a null key is a key like any other. The work then
+has two levels:
 
 * inside (key, chunk): a normal window, so a hot key spreads over its chunks;
 * across chunks: one pre-aggregated row per (key, chunk), combined map-side,
@@ -19,6 +21,7 @@ shuffle, and an empty list means that no key does.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,19 +29,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def _chunked(df: DataFrame, chunk: list[Column]) -> tuple[DataFrame, list[str]]:
+def _chunked(df: DataFrame, keys: list[str], chunk: list[Column]) -> tuple[DataFrame, list[str]]:
+    """The rows dealt out by (key, chunk), so that no window inherits a layout by key alone."""
     names = [f"_chunk{i}" for i in range(len(chunk))]
-    return df.withColumns(dict(zip(names, chunk))), names
+    base = df.withColumns(dict(zip(names, chunk)))
+    return base.repartition(*[F.col(c) for c in [*keys, *names]]), names
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Joins on columns of one name where null equals null; ``right`` brings its other columns."""
+    other = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = reduce(lambda a, c: a & c, [left[c].eqNullSafe(other[f"_on_{c}"]) for c in on])
+    return left.join(other, same, how).drop(*[f"_on_{c}" for c in on])
+
+
+#: Rows of one key that a task can sort; keys with more are hot. Not relative to the table.
 HOT_ROWS = 1_000_000
-HOT_SHARE = 0.001
 SAMPLE_ROWS = 1_000_000
+#: With more hot keys than this, all keys take the chunked plan and none is listed.
+MOST_KEYS = 1_000
 Hot = list[tuple] | None
 
 
-def hot_keys(table: DataFrame, keys: list[str], min_rows: int = HOT_ROWS, share: float = HOT_SHARE) -> list[tuple]:
-    """Keys that hold at least ``min_rows`` rows and a ``share`` of the table: at most 1/share of them.
+def hot_keys(table: DataFrame, keys: list[str], min_rows: int = HOT_ROWS, most: int = MOST_KEYS) -> Hot:
+    """Keys that hold at least ``min_rows`` rows, or None (treat every key as hot) if there are many.
 
     Meant for stored tables, whose row count comes from file footers. A sample of
     the key columns is enough: it only decides which of two exact plans a key
@@ -49,8 +63,8 @@ def hot_keys(table: DataFrame, keys: list[str], min_rows: int = HOT_ROWS, share:
         return []
     fraction = min(1.0, SAMPLE_ROWS / total)
     seen = table.select(*keys).sample(fraction, seed=1).groupBy(*keys).count()
-    least = max(min_rows, share * total) * fraction
-    return [tuple(r)[: len(keys)] for r in seen.where(F.col("count") >= least).limit(int(2 / share)).collect()]
+    found = seen.where(F.col("count") >= min_rows * fraction).limit(most + 1).collect()
+    return None if len(found) > most else [tuple(r)[: len(keys)] for r in found]
 
 
 def _by_heat(df: DataFrame, keys: list[str], hot: Hot, plain, chunked) -> DataFrame:
@@ -58,12 +72,9 @@ def _by_heat(df: DataFrame, keys: list[str], hot: Hot, plain, chunked) -> DataFr
         return chunked(df)
     if not hot:
         return plain(df)
-    if len(keys) == 1:
-        listed = F.col(keys[0]).isin([k[0] for k in hot])
-        return plain(df.where(~listed)).unionByName(chunked(df.where(listed)))
-    # a list of at most 1/HOT_SHARE keys, so it is broadcast
+    # at most MOST_KEYS rows, so the list is broadcast
     marks = F.broadcast(df.sparkSession.createDataFrame(hot, df.select(*keys).schema))
-    return plain(df.join(marks, keys, "left_anti")).unionByName(chunked(df.join(marks, keys, "left_semi")))
+    return plain(join_null_safe(df, marks, keys, "left_anti")).unionByName(chunked(join_null_safe(df, marks, keys, "left_semi")))
 
 
 def number_rows(
@@ -75,14 +86,13 @@ def number_rows(
         return part.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint"))
 
     def chunked(part: DataFrame) -> DataFrame:
-        base, marks = _chunked(part, chunk)
+        base, marks = _chunked(part, keys, chunk)
         within = W.partitionBy(*keys, *marks).orderBy(*order)
         earlier = W.partitionBy(*keys).orderBy(*marks).rowsBetween(W.unboundedPreceding, -1)
         sizes = base.groupBy(*keys, *marks).agg(F.count(F.lit(1)).alias("_n"))
         starts = sizes.select(*keys, *marks, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
         return (
-            base.withColumn("_local", F.row_number().over(within))
-            .join(starts, [*keys, *marks])
+            join_null_safe(base.withColumn("_local", F.row_number().over(within)), starts, [*keys, *marks])
             .withColumn(name, (F.col("_start") + F.col("_local")).cast("bigint"))
             .drop("_local", "_start", *marks)
         )
@@ -101,14 +111,13 @@ def previous_row(
         return part.withColumns({new: F.lag(c).over(w) for new, c in columns.items()})
 
     def chunked(part: DataFrame) -> DataFrame:
-        base, marks = _chunked(part, chunk)
+        base, marks = _chunked(part, keys, chunk)
         within = W.partitionBy(*keys, *marks).orderBy(*order)
         across = W.partitionBy(*keys).orderBy(*marks)
         tails = base.groupBy(*keys, *marks).agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
         inherited = tails.select(*keys, *marks, F.lag("_tail").over(across).alias("_chunk_before"))
         return (
-            base.withColumn("_row_before", F.lag(packed).over(within))
-            .join(inherited, [*keys, *marks])
+            join_null_safe(base.withColumn("_row_before", F.lag(packed).over(within)), inherited, [*keys, *marks])
             .withColumn("_row_found", F.coalesce("_row_before", "_chunk_before"))
             .withColumns({new: F.col(f"_row_found.{new}") for new in columns})
             .drop("_row_before", "_chunk_before", "_row_found", *marks)
@@ -147,7 +156,7 @@ def running_before(
         return (F.greatest if kind == "max" else F.least)(inside, outside)
 
     def chunked(part: DataFrame) -> DataFrame:
-        base, marks = _chunked(part, chunk)
+        base, marks = _chunked(part, keys, chunk)
         base = base.withColumns({f"_v_{n}": e for n, (_, e) in totals.items()})
         within = W.partitionBy(*keys, *marks).orderBy(*order).rowsBetween(*before)
         across = W.partitionBy(*keys).orderBy(*marks).rowsBetween(*before)
@@ -157,9 +166,8 @@ def running_before(
         inherited = pieces.select(
             *keys, *marks, *[COMBINE[kind](f"_s_{n}").over(across).alias(f"_i_{n}") for n, (kind, _) in totals.items()]
         )
-        out = base.withColumns(
-            {f"_l_{n}": COMBINE[kind](f"_v_{n}").over(within) for n, (kind, _) in totals.items()}
-        ).join(inherited, [*keys, *marks])
+        local = base.withColumns({f"_l_{n}": COMBINE[kind](f"_v_{n}").over(within) for n, (kind, _) in totals.items()})
+        out = join_null_safe(local, inherited, [*keys, *marks])
         out = out.withColumns({n: merge(n, kind) for n, (kind, _) in totals.items()})
         return out.drop(*marks, *[f"{p}{n}" for n in totals for p in ("_v_", "_l_", "_i_")])
 
@@ -177,9 +185,8 @@ def quantile_neighbours(
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_m"))
     sizes = counted.groupBy(*keys).agg(F.sum("_m").alias("_count"))
-    ranked = running_before(
-        counted, keys, [F.col(value)], [F.floor(F.col(value) / width)], {"_before": ("sum", F.col("_m"))}, hot
-    ).join(sizes, keys)
+    ranked = running_before(counted, keys, [F.col(value)], [F.floor(F.col(value) / width)], {"_before": ("sum", F.col("_m"))}, hot)
+    ranked = join_null_safe(ranked, sizes, keys) if keys else ranked.crossJoin(F.broadcast(sizes))  # one row without keys
     picks = []
     for name, p in at.items():
         position = (F.col("_count") - 1) * F.lit(float(p))

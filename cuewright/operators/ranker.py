@@ -126,7 +126,7 @@ def rank(
     scored = candidates.withColumn("utility", model.utility())
     best = F.round("utility", 9)
     good = number_rows(
-        scored.where("hard_gate_pass"), PHRASE, [best.desc(), F.col("take_id")], [F.floor(-best)], "rank", hot
+        scored.where("hard_gate_pass"), PHRASE, [best.desc(), F.col("take_id")], [F.coalesce(F.floor(-best * 64), F.lit(1 << 50))], "rank", hot
     )
     second = good.where("rank = 2").select(*PHRASE, F.col("utility").alias("_second"))
     ranked = good.join(second, PHRASE, "left")

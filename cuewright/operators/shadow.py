@@ -150,7 +150,7 @@ def shadow_rank(evaluated: DataFrame, score: str = "rank_score", hot: Hot = None
     """Rank of every surviving take in its phrase, best first, null scores last."""
     known = F.round(F.col(score), 9)
     order = [F.coalesce(-known, F.lit(float("inf"))), F.col("take_id")]
-    chunk = [F.coalesce(F.floor(-known), F.lit(1 << 40))]
+    chunk = [F.coalesce(F.floor(-known * 64), F.lit(1 << 50))]
     return number_rows(evaluated.where("survives"), PHRASE, order, chunk, "shadow_rank", hot)
 
 

@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import hot_keys, number_rows
-from ..session import tune
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 _HOT: dict = {}
@@ -46,9 +45,10 @@ def hot_users(spark, sf_dir, name: str = "user_id"):
 
 def hot_phrases(spark, sf_dir):
     """Hot orders under their full phrase key; a lookup of the few that there are."""
-    found = [k[0] for k in hot_orders(spark, sf_dir)]
-    if not found:
-        return []
+    orders = hot_orders(spark, sf_dir)
+    if not orders:
+        return orders  # none, or too many to list
+    found = [k[0] for k in orders]
     rows = bare_phrases(spark, sf_dir).where(F.col("phrase_id").isin(found))
     return [tuple(r) for r in rows.select("project_id", "block_id", "phrase_id").collect()]
 

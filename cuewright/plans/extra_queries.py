@@ -8,7 +8,8 @@ from ..functions import korean, text as X
 from ..functions.numeric import sigmoid
 from ..functions.vectors import to_int16
 from ..operators import audio, bank, content, experiment as E, shadow
-from ..session import scratch_path, tune
+from ..operators.ordered import number_rows, previous_row, running_before
+from ..session import scratch_path
 from ..sources import sinks
 from . import bindings as B
 from .bank_queries import BANKED, IDENT, bank_takes
@@ -78,7 +79,7 @@ def force_split(spark, d):
 
 def phrase_udtf(spark, d):
     """The table function called from SQL, row by row of the script table."""
-    tune(spark).udtf.register("cut_phrases", content.make_phrase_udtf())
+    spark.udtf.register("cut_phrases", content.make_phrase_udtf())
     h = hangul_docs(spark, d).withColumn("spoken", X.respell(F.col("text")))
     h.select("doc_id", "spoken").createOrReplaceTempView("cuewright_scripts")
     return spark.sql(
@@ -118,7 +119,7 @@ def bank_store(spark, d):
         *IDENT, "path", "sha256", F.col("revision_seq").cast("bigint").alias("seq"), F.col("generated_at").alias("modified"), "ok", "why", "n_syl", "dur",
         "tail_delta", "range_st", F.lit(None).cast("string").alias("error"),
     )
-    store = bank.Bank(spark, scratch_path(tune(spark), "bank"))
+    store = bank.Bank(spark, scratch_path(spark, "bank"))
     store.ingest(parsed, B.pins(spark, d), "r1")
     again = store.ingest(parsed, B.pins(spark, d), "r2")
     takes = store.table("takes").groupBy("project_id").agg(
@@ -130,13 +131,36 @@ def bank_store(spark, d):
 
 def sink_exclusive(spark, d):
     """The analysis bundle written once and its long metrics read back."""
-    r = results(tune(spark), d)
+    r = results(spark, d)
     path = sinks.write_bundle(E.analyse(r), E.blind(r, "exp-1"), scratch_path(spark, "bundle"))
     back = spark.read.schema("mode string, metric string, value double").csv(f"{path}/metrics")
     return back.where("metric IN ('candidate_count', 'failed_candidate_count')")
 
 
+FORMS = {"plain": [], "chunked": None, "listed": [(None,), (1,), (2,)]}
+
+
+def ordered_scans_nulls(spark, d):
+    """Row number, previous row and running total over null keys and null times, by each of the three plans."""
+    rows = B.table(spark, d, "events").select(
+        "event_id", F.nullif(F.col("user_id") % 20, F.lit(3)).alias("k"), F.when(F.col("event_id") % 11 != 0, F.col("ts")).alias("t"), F.round("value", 2).cast("decimal(18,2)").alias("v")
+    )
+    chunk, order = [F.date_trunc("day", F.col("t"))], ["t", "event_id"]
+    out = None
+    for form, hot in FORMS.items():
+        one = number_rows(rows, ["k"], [F.col(c) for c in order], chunk, "n", hot)
+        one = previous_row(one, ["k"], order, chunk, {"before": "event_id"}, hot)
+        one = running_before(one, ["k"], [F.col(c) for c in order], chunk, {"total": ("sum", F.col("v"))}, hot)
+        one = one.select(F.lit(form).alias("form"), "event_id", "k", "n", "before", F.col("total").cast("double").alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 QUERIES = {
+    "ordered_scans_nulls": (ordered_scans_nulls, """WITH r AS (SELECT event_id, nullif(user_id % 20, 3) AS k, CASE WHEN event_id % 11 <> 0 THEN ts END AS t, CAST(round(value, 2) AS DECIMAL(18,2)) AS v FROM events),
+        w AS (SELECT event_id, k, row_number() OVER o AS n, lag(event_id) OVER o AS before, CAST(coalesce(sum(v) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS total
+          FROM r WINDOW o AS (PARTITION BY k ORDER BY t NULLS FIRST, event_id))
+        SELECT form, w.* FROM w, (SELECT unnest(['plain', 'chunked', 'listed']) AS form) f"""),
     "exception_rows": (exception_rows, B.with_sql(B.TAKES_SQL, CHECK_SQL, tail="SELECT project_id, block_id, phrase_id, take_id, status, round(score,6) AS score, reasons FROM checked")),
     "validator_plugin": (validator_plugin, B.with_sql(B.TAKES_SQL, CHECK_SQL, """
         v AS (SELECT 'mos' AS validator_name, status, score FROM checked UNION ALL SELECT 'audio_sanity', CASE WHEN NOT numeric_heavy THEN 'not_run' WHEN end_slope < -30 THEN 'fail' ELSE 'pass' END, CASE WHEN numeric_heavy THEN end_slope END FROM takes

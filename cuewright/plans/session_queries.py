@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import experiment as E, sessions as S
-from ..session import scratch_path, tune
+from ..session import scratch_path
 from ..sources import manifest as M, readers, sinks
 from ..streaming import jobs, processors
 from . import bindings as B
@@ -40,7 +40,7 @@ def hot(spark, d):
 
 
 def event_stream(spark, d):
-    return shape(jobs.stream_table(tune(spark), d, "events"))
+    return shape(jobs.stream_table(spark, d, "events"))
 
 
 def synth(df):
@@ -175,7 +175,6 @@ def stream_batch_states(spark, d):
 
 
 def stream_ingest(spark, d):
-    tune(spark)
     raw = jobs.stream_table(spark, d, "documents").select(
         F.col("source").alias("project_id"), F.concat_ws("/", "lang", F.floor(F.col("n_chars") / 50).cast("string")).alias("path"),
         F.sha2("text", 256).alias("sha256"), F.col("doc_id").alias("seq"),
@@ -187,7 +186,6 @@ def stream_ingest(spark, d):
 
 def stream_kpis(spark, d):
     """All windows, also those the watermark has not closed yet (complete mode)."""
-    tune(spark)
     k = jobs.windowed_kpis(event_stream(spark, d), "1 day", None, "2 days")
     base = scratch_path(spark, "kpis")
 
@@ -307,7 +305,6 @@ def manifest_verify(spark, d):
 
 def sink_json_safe(spark, d):
     """Non-finite numbers at every depth, written as JSON and read back."""
-    tune(spark)
     e = B.table(spark, d, "events")
     odd = F.when(F.col("value") < 20, F.lit(float("nan"))).when(F.col("value") > 60, F.lit(float("inf"))).otherwise(F.col("value"))
     df = e.select("event_id", odd.alias("v"), F.array(odd, F.lit(1.0)).alias("a"), F.struct(odd.alias("x")).alias("s"))

@@ -7,13 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime SQL settings. Shuffle partition counts stay with whoever owns the cluster.
+# Settings of a session of our own; a caller's session is left as it is. Shuffle partition counts stay with whoever owns the cluster.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # A window on (key, chunk) must not inherit a layout by key alone, or the
-    # chunks of one hot key would share a task again.
-    "spark.sql.requireAllClusterKeysForDistribution": "true",
     "spark.sql.session.timeZone": "UTC",
     # Few bytes can still be much work (alignment, folds): do not merge such
     # partitions below the number of cores. Large data never meets this floor.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bank
-from ..session import scratch_path, tune
+from ..session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -28,7 +28,7 @@ def keyed(events: DataFrame, processor, key: str = "session_id", output_mode: st
 
 def run_available(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
     """Processes all that is there, into Parquet under the shared checkpoint folder, and reads it back."""
-    spark = tune(stream.sparkSession)
+    spark = stream.sparkSession
     base = scratch_path(spark, name)
     query = (
         stream.writeStream.format("parquet")

@@ -82,8 +82,9 @@ def test_fold_keeps_state_across_arrow_batches(spark, rows):
 
 
 def test_hot_keys_take_the_chunked_plan_and_agree(rows):
-    found = O.hot_keys(rows, ["k"], min_rows=300, share=0.2)
+    found = O.hot_keys(rows, ["k"], min_rows=300)
     assert found == [("hot",)] and O.hot_keys(rows, ["k"]) == []
+    assert O.hot_keys(rows, ["k"], min_rows=1, most=3) is None
     w = W.partitionBy("k").orderBy("t", "id")
     order, chunk = [F.col("t"), F.col("id")], [F.floor(F.col("t") / 10)]
     for hot in (None, [], found):
@@ -96,7 +97,22 @@ def test_hot_keys_take_the_chunked_plan_and_agree(rows):
 
 def test_hot_pairs_of_columns(rows):
     two = rows.withColumn("g", F.col("id") % 2)
-    found = O.hot_keys(two, ["k", "g"], min_rows=300, share=0.2)
+    found = O.hot_keys(two, ["k", "g"], min_rows=300)
     assert sorted(found) == [("hot", 0), ("hot", 1)]
     got = O.number_rows(two, ["k", "g"], [F.col("t"), F.col("id")], [F.floor(F.col("t") / 10)], "n", found)
     same(got, two.withColumn("n", F.row_number().over(W.partitionBy("k", "g").orderBy("t", "id"))), ["k", "id", "n"])
+
+
+def test_null_keys_and_null_order(spark):
+    data = [(None if i % 5 == 0 else f"k{i % 3}", i % 2, None if i % 7 == 0 else i % 90, i, float(i)) for i in range(400)]
+    rows = spark.createDataFrame(data, "k string, g long, t long, id long, v double")
+    for keys, hot in ((["k"], [(None,), ("k1",)]), (["k", "g"], [(None, 1), ("k2", 0)])):
+        w = W.partitionBy(*keys).orderBy("t", "id")
+        order, chunk = [F.col("t"), F.col("id")], [F.floor(F.col("t") / 10)]
+        want = rows.withColumns({"n": F.row_number().over(w), "p": F.lag("v").over(w), "s": F.coalesce(F.sum("v").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))})
+        for plan in (None, [], hot):
+            same(O.number_rows(rows, keys, order, chunk, "n", plan), want, ["id", "n"])
+            same(O.previous_row(rows, keys, ["t", "id"], chunk, {"p": "v"}, plan), want, ["id", "p"])
+            same(O.running_before(rows, keys, order, chunk, {"s": ("sum", F.col("v"))}, plan), want, ["id", "s"])
+            near = O.quantile_neighbours(rows, keys, "v", {"m": 0.5}, 10.0, plan).agg(F.sum("_count")).first()[0]
+            assert near == 400
