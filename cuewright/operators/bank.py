@@ -16,7 +16,8 @@ PHRASE = IDENTITY[:3]
 
 
 def key_of(*columns: str) -> Column:
-    return F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)
+    """Hash of named values; neither separators inside them nor nulls make two keys one."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns]), {"ignoreNullFields": "false"}), 256)
 
 
 def new_revisions(deliveries: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -163,7 +164,9 @@ def retest(previous: DataFrame) -> DataFrame:
 class Bank:
     """Tables under one folder, each a directory of ``run_id=...`` partitions written once.
 
-    The revisions of a run are written last and make the run visible.
+    A row in ``runs`` is written last and makes a run visible, also one that
+    brought nothing but errors. A run that was interrupted before can be repeated
+    under its id; a finished one cannot.
     """
 
     TABLES = ("revisions", "takes", "events", "errors")
@@ -180,14 +183,19 @@ class Bank:
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
     def table(self, name: str) -> DataFrame:
-        """Rows of finished runs: those whose revisions, written last, exist."""
-        rows = self.spark.read.parquet(self.path(name))
-        if name == "revisions":
-            return rows
-        return rows.join(self.table("revisions").select("run_id").distinct(), "run_id", "left_semi")
+        """Rows of finished runs."""
+        rows = self.spark.read.parquet(self.path(name)).withColumn("run_id", F.col("run_id").cast("string"))
+        return rows.join(self.runs().select("run_id"), "run_id", "left_semi")
+
+    def runs(self) -> DataFrame:
+        return self.spark.read.schema("run_id string, revisions bigint").parquet(self.path("runs"))
+
+    def finished(self, run_id: str) -> bool:
+        return self.exists(f"runs/of={run_id}")
 
     def _append(self, name: str, df: DataFrame, run_id: str) -> None:
-        df.write.mode("errorifexists").parquet(f"{self.path(name)}/run_id={run_id}")
+        """Replaces what an interrupted run of this id has left."""
+        df.write.mode("overwrite").parquet(f"{self.path(name)}/run_id={run_id}")
 
     def ingest(self, parsed: DataFrame, pins: DataFrame, run_id: str) -> DataFrame:
         """One idempotent run. ``parsed`` carries project_id, path, sha256, seq, error and the take fields.
@@ -195,13 +203,17 @@ class Bank:
         Known revisions are skipped whole: their decisions do not change even if
         pins did. Returns inserted/unchanged/errors per project.
         """
-        known = self.table("revisions") if self.exists("revisions") else None
-        ingest_outcomes(parsed, known).write.mode("errorifexists").parquet(f"{self.path('stats')}/run_id={run_id}")
+        if self.finished(run_id):
+            raise ValueError(f"run {run_id} is finished")
+        known = self.table("revisions") if self.exists("runs") else None
+        self._append("stats", ingest_outcomes(parsed, known), run_id)
         fresh = new_revisions(parsed.where("error IS NULL"), known).drop("error")
         self._append("takes", take_rows(fresh, pins), run_id)
         written = self.spark.read.parquet(f"{self.path('takes')}/run_id={run_id}")
         self._append("events", selection_events(written), run_id)
         self._append("errors", parsed.where("error IS NOT NULL").select("project_id", "path", "error"), run_id)
-        # last, so that an interrupted run leaves nothing marked as known
         self._append("revisions", written.select("project_id", "path", "sha256", "seq", "revision_id"), run_id)
+        # last, so that an interrupted run leaves nothing marked as known
+        count = self.spark.read.parquet(f"{self.path('revisions')}/run_id={run_id}").agg(F.lit(run_id).alias("run_id"), F.count(F.lit(1)).alias("revisions"))
+        count.write.mode("errorifexists").parquet(f"{self.path('runs')}/of={run_id}")
         return self.spark.read.parquet(f"{self.path('stats')}/run_id={run_id}")

@@ -49,12 +49,13 @@ def normalise(df: DataFrame) -> DataFrame:
     have = set(df.columns)
 
     def get(name: str, kind: str = "string") -> Column:
-        return F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
+        return F.col(name).try_cast(kind) if name in have else F.lit(None).cast(kind)
 
     empty = lambda c: F.coalesce(c, F.lit(""))
     text = strip(empty(get("text")))
     passed = F.coalesce(get("hard_gate_pass", "boolean"), F.lit(False)) | (F.lower(empty(get("hard_gate_status"))) == "pass")
-    baseline = get("baseline_score", "double") if "baseline_score" in have else get("existing_quality_score", "double")
+    # a row without a score of its own takes the older one; a score that is no number counts as missing
+    baseline = F.when(get("baseline_score").isNotNull(), get("baseline_score", "double")).otherwise(get("existing_quality_score", "double"))
     out = df.withColumns(
         {
             "text": text,
@@ -155,7 +156,7 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Smallest node name reachable from each node of an undirected graph.
 
     Alternates "large star" and "small star" steps, which shrink every component
@@ -167,7 +168,7 @@ def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) ->
         edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where("a <> b").distinct()
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -186,8 +187,6 @@ def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) ->
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return stars.unionByName(roots)

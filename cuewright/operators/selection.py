@@ -85,13 +85,21 @@ def block_median(picks: DataFrame, value: str = "end_slope") -> DataFrame:
     return picks.groupBy(*BLOCK).agg(F.median(value).alias("median_slope"), F.count(F.lit(1)).alias("n_phrases"))
 
 
+def _voiced(hz) -> bool:
+    """A pitch that was measured; nulls arrive as None or NaN."""
+    return hz is not None and hz == hz and hz > 0
+
+
 def _beam_step(beams, cands):
-    """One phrase: extend up to three (score, last_hz) beams by up to four candidates."""
+    """One phrase: extend up to three (score, last_hz) beams by up to four candidates.
+
+    Without a pitch on both sides there is no reset to judge.
+    """
     grown = []
     for slot, (score, last_hz) in enumerate(beams):
         for take_id, quality, first_hz, own_last in cands:
             total = score + quality
-            if last_hz:
+            if _voiced(last_hz) and _voiced(first_hz):
                 reset = 12 * math.log2(first_hz / last_hz)
                 if not R.RESET_BAND[0] <= reset <= R.RESET_BAND[1]:
                     total -= R.RESET_MISS_PENALTY

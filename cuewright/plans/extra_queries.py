@@ -114,7 +114,7 @@ def scan_wav(spark, d):
 
 
 def bank_store(spark, d):
-    """Two ingest runs into Parquet tables; the second changes nothing. Reads the stored takes back."""
+    """Three ingest runs into Parquet tables: all files, all again, then known and unreadable files only."""
     parsed = bank_takes(spark, d).select(
         *IDENT, "path", "sha256", F.col("revision_seq").cast("bigint").alias("seq"), F.col("generated_at").alias("modified"), "ok", "why", "n_syl", "dur",
         "tail_delta", "range_st", F.lit(None).cast("string").alias("error"),
@@ -122,11 +122,18 @@ def bank_store(spark, d):
     store = bank.Bank(spark, scratch_path(spark, "bank"))
     store.ingest(parsed, B.pins(spark, d), "r1")
     again = store.ingest(parsed, B.pins(spark, d), "r2")
+    broken = parsed.groupBy("project_id").agg(F.max("seq").alias("seq")).select(
+        "project_id", F.lit("broken").alias("path"), "seq", F.lit("take_json_error").alias("error")
+    )
+    store.ingest(parsed.where("take_id = 0").unionByName(broken, allowMissingColumns=True), B.pins(spark, d), "r3")
+    listed = store.table("errors").groupBy("project_id").agg(F.count(F.lit(1)).alias("listed_errors"))
     takes = store.table("takes").groupBy("project_id").agg(
         F.count(F.lit(1)).alias("stored"), F.count_if(F.col("decision") == "selected").alias("selected"), F.round(F.sum("syllables_per_second"), 3).alias("rate_sum")
     )
     events = store.table("events").groupBy("project_id").agg(F.count(F.lit(1)).alias("events"))
-    return takes.join(again, "project_id").join(events, "project_id").select("project_id", "stored", "selected", "events", "rate_sum", "inserted", "unchanged", "errors")
+    return takes.join(again, "project_id").join(events, "project_id").join(listed, "project_id").select(
+        "project_id", "stored", "selected", "events", "rate_sum", "inserted", "unchanged", "errors", "listed_errors"
+    )
 
 
 def sink_exclusive(spark, d):
@@ -177,7 +184,7 @@ QUERIES = {
         CASE WHEN label<>5 THEN round(list_sum(list_transform(embedding, lambda x: round_even(CAST(x AS DOUBLE)*CASE WHEN x>=0 THEN 32767e0 ELSE 32768e0 END,0))),3) END AS total, CASE WHEN label=5 THEN 'truncated' END AS decode_error FROM embeddings"""),
     "bank_store": (bank_store, B.with_sql(*BANKED, """fresh AS (SELECT project_id, phrase_id, take_id, sha256, max(decision) AS decision, min_by(n_syl/dur, revision_seq) AS r1, count(*) AS deliveries FROM bank GROUP BY ALL),
         ev AS (SELECT project_id, count(*) AS events FROM fresh WHERE decision='selected' GROUP BY project_id)""",
-        tail="""SELECT f.project_id, count(*) AS stored, count(*) FILTER (decision='selected') AS selected, max(e.events) AS events, round(sum(r1),3) AS rate_sum, 0 AS inserted, CAST(sum(deliveries) AS BIGINT) AS unchanged, 0 AS errors
+        tail="""SELECT f.project_id, count(*) AS stored, count(*) FILTER (decision='selected') AS selected, max(e.events) AS events, round(sum(r1),3) AS rate_sum, 0 AS inserted, CAST(sum(deliveries) AS BIGINT) AS unchanged, 0 AS errors, 1 AS listed_errors
         FROM fresh f JOIN ev e ON e.project_id=f.project_id GROUP BY f.project_id""")),
     "sink_exclusive": (sink_exclusive, f"""WITH z AS ({ANALYSIS_SQL}) SELECT mode, 'candidate_count' AS metric, CAST(candidate_count AS DOUBLE) AS value FROM z UNION ALL SELECT mode, 'failed_candidate_count', CAST(failed_candidate_count AS DOUBLE) FROM z"""),
 }

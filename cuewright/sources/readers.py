@@ -74,15 +74,16 @@ def parse_takes(
     keyed = raw.where(name.rlike(pattern)).withColumns(
         {
             "block_id": _part(F.col("path"), 2),
-            "phrase_idx": F.regexp_extract(name, pattern, 1).cast("int"),
-            "take_id": F.regexp_extract(name, pattern, 2).cast("int"),
+            "phrase_idx": F.regexp_extract(name, pattern, 1).try_cast("int"),
+            "take_id": F.regexp_extract(name, pattern, 2).try_cast("int"),
         }
     )
     if blocks is not None:
         keyed = keyed.where(F.col("block_id").isin(*blocks))
     parsed = keyed.withColumn("doc", F.from_json("content", TAKE_SCHEMA, PERMISSIVE)).withColumn(
         "error",
-        F.when(_other_json(F.col("content")), F.lit("take_json_error:ValueError")).when(
+        F.when(F.col("phrase_idx").isNull() | F.col("take_id").isNull(), F.lit("take_name_error:OverflowError"))
+        .when(_other_json(F.col("content")), F.lit("take_json_error:ValueError")).when(
             F.col("doc._corrupt_record").isNotNull() | F.col("doc").isNull(), F.lit("take_json_error:JSONDecodeError")
         ),
     )
@@ -114,13 +115,12 @@ def parse_phrases(raw: DataFrame) -> DataFrame:
 
 
 def parse_pins(raw: DataFrame) -> DataFrame:
-    """(block, phrase_idx, take) from ``<block>_pins.json``; keys other than P<digits> are ignored."""
+    """(block, phrase_idx, take) from ``<block>_pins.json``; keys other than P<digits>, and numbers beyond an int, are ignored."""
     pins = F.from_json("content", "map<string,int>")
     block = F.regexp_replace(_part(F.col("path"), 1), r"_pins\.json$", "")
     rows = raw.select(block.alias("block_id"), F.explode(pins).alias("key", "take_id"))
-    return rows.where(F.col("key").rlike(r"^P\d+$") & F.col("take_id").isNotNull()).select(
-        "block_id", F.regexp_extract("key", r"^P(\d+)$", 1).cast("int").alias("phrase_idx"), "take_id"
-    )
+    index = F.regexp_extract("key", r"^P(\d+)$", 1).try_cast("int")
+    return rows.select("block_id", index.alias("phrase_idx"), "take_id").where("phrase_idx IS NOT NULL AND take_id IS NOT NULL")
 
 
 def parse_reports(raw: DataFrame) -> DataFrame:

@@ -152,6 +152,30 @@ def test_bank_runs(spark, tmp_path):
     assert store.table("events").count() == 1
     newest = bank.latest_revision(store.table("takes"), "seq").where("take_id = 1").first()
     assert newest["sha256"] == "c"
+    # a run of known and unreadable files only is finished too
+    worse = ("p", "B/P02_t0.json", None, 11, 0, "B", "P02", 0, None, None, None, None, None, None, "JSONDecodeError")
+    third = store.ingest(deliver(spark, [row(0, "a", 10), worse]), pins, "r3").first()
+    assert (third["inserted"], third["unchanged"], third["errors"]) == (0, 1, 1) and store.table("errors").count() == 2
+    # what an interrupted run left is not seen, and is replaced when the run is repeated
+    deliver(spark, [bad]).select("project_id", "path", "error").write.parquet(f"{store.path('errors')}/run_id=r4")
+    assert store.table("errors").count() == 2
+    assert store.ingest(deliver(spark, [row(2, "d", 12)]), pins, "r4").first()["inserted"] == 1
+    assert store.table("errors").count() == 2 and store.table("takes").count() == 4
+    with pytest.raises(ValueError):
+        store.ingest(deliver(spark, []), pins, "r4")
+
+
+def test_keys_tell_separators_and_nulls_apart(spark):
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "c"), ("c", None)], "x string, y string")
+    assert rows.select(bank.key_of("x", "y").alias("k")).distinct().count() == 4
+
+
+def test_numbers_too_long_for_a_name(spark):
+    raw = spark.createDataFrame([("B/P99999999999_t0.json", '{"take": 0}'), ("B/P1_t2.json", '{"take": 2}')], "path string, content string")
+    good, errors = readers.parse_takes(raw)
+    assert [r["take_id"] for r in good.collect()] == [2] and [r["error"] for r in errors.collect()] == ["take_name_error:OverflowError"]
+    pins = spark.createDataFrame([("x/B_pins.json", '{"P00": 1, "P99999999999": 2}')], "path string, content string")
+    assert [tuple(r)[1:] for r in readers.parse_pins(pins).collect()] == [(0, 1)]
 
 
 def test_decisions(spark):

@@ -36,6 +36,18 @@ def test_numbers(digits, reading):
     assert K.read_integer(digits) == reading
 
 
+def test_long_digit_runs_are_read_digit_by_digit():
+    assert K.read_integer("1" * 17) == " ".join(["일"] * 17)
+    assert len(K.normalise_text("7" * 5000).split()) == 5000
+
+
+def test_white_space_is_no_text(spark):
+    rows = spark.createDataFrame([("\n\t ", None), ("x", "q"), ("x", None)], "text string, seed string").selectExpr("*", "'o.wav' output_wav", "'fast' mode", "'r' request_id", "'B' block_id")
+    from cuewright.operators import gates
+
+    assert [r["error"] for r in gates.validate_requests(rows).collect()] == ["text is required", "seed must be an integer", None]
+
+
 def slow_align(expected, actual):
     grid = {(0, j): (0, 0, j, 0) for j in range(len(actual) + 1)}
     grid.update({(i, 0): (i, i, 0, 0) for i in range(1, len(expected) + 1)})
