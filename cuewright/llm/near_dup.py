@@ -205,7 +205,7 @@ def rest_pairs(open_rows: DataFrame, reps: DataFrame, sizes: DataFrame) -> DataF
         if rest is not None and rest.num_rows:
             yield from _compare(rest, _groups(rest))
 
-    dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
+    dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "root", "id")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -216,18 +216,20 @@ def _groups(rows: pa.Table) -> np.ndarray:
 
 
 def _compare(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs of whole groups; rows at distance 1, 2, ... in the sorted order are compared at once."""
+    """Pairs of whole groups, rows sorted by root. A row meets only those behind its own root's rows, step by step, all rows at once."""
     key, ids, root, n, block = (rows.column(c).to_numpy() for c in ("key", "id", "root", "n", "block"))
     mixed = rows.column("low").to_numpy() != rows.column("high").to_numpy()
     sigs = unpack(rows.column("sig").to_pylist())
     ends = np.searchsorted(group, group, "right")
+    fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (root[1:] != root[:-1])])
+    firsts = np.append(np.flatnonzero(fresh)[1:], len(group))[np.cumsum(fresh) - 1]
     live = np.arange(len(group))
-    for step in range(1, len(group)):
-        live = live[live + step < ends[live]]
+    for step in range(len(group)):
+        live = live[firsts[live] + step < ends[live]]
         if not len(live):
             break
-        other = live + step
-        fit = (root[live] != root[other]) & (100 * np.minimum(n[live], n[other]) >= 80 * np.maximum(n[live], n[other]))
+        other = firsts[live] + step
+        fit = (100 * np.minimum(n[live], n[other]) >= 80 * np.maximum(n[live], n[other]))
         fit &= ~mixed[live] | (block[live] != block[other])
         one, two = live[fit], other[fit]
         if len(one):
