@@ -230,6 +230,14 @@ def signal_fails(value: Column) -> Column:
     return F.lower(value.cast("string")).isin("true", "fail", "failed", "detected")
 
 
+def validator_failures(results: DataFrame) -> DataFrame:
+    """(mode, validator_name, reason, n): why each mode's validators failed; a failing row without a reason is ``unspecified``."""
+    reasons = F.col("v.reasons") if "reasons" in results.select(F.explode("validations").alias("v")).select("v.*").columns else F.lit(None).cast("array<string>")
+    told = F.when(F.coalesce(F.size(reasons), F.lit(0)) > 0, reasons).otherwise(F.array(F.lit("unspecified")))
+    rows = results.select("mode", F.explode("validations").alias("v")).where("v.status = 'fail'")
+    return rows.select("mode", "v.validator_name", F.explode(told).alias("reason")).groupBy("mode", "validator_name", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def failure_reasons(results: DataFrame) -> DataFrame:
     """Adds ``failures``: sorted distinct reasons why a candidate does not count."""
     told = F.coalesce("failure_reasons", F.array().cast("array<string>"))
@@ -274,7 +282,7 @@ def analyse(results: DataFrame) -> DataFrame:
     rows = failure_reasons(results).withColumns(
         {
             "_content": _score("content_accuracy", ("content_score", "score"), "normalized_edit_distance"),
-            "_speaker": _score("speaker_similarity", ("primary_similarity", "speaker_similarity", "score")),
+            "_speaker": _score("speaker_similarity", ("primary_chatterbox_similarity", "primary_similarity", "speaker_similarity", "score")),
             "_prosody": _score("existing_prosody_gates", ("score",)),
             "_transition": _score("phrase_transition", ("transition_score", "score")),
             "_dur": finite(F.col("duration_seconds")),

@@ -22,7 +22,11 @@ def text_hash(text: Column, *identity: Column) -> Column:
     return F.sha2(F.when(squeezed != "", squeezed).otherwise(path), 256)
 
 
-def extract_features(df: DataFrame, sources: tuple[str | None, ...] = (None, "features", "metrics")) -> DataFrame:
+# Where a feature may stand, in this order; None is the row itself.
+FEATURE_SOURCES = (None, "features", "metrics", "ranking_features", "existing_prosody_metrics")
+
+
+def extract_features(df: DataFrame, sources: tuple[str | None, ...] = FEATURE_SOURCES) -> DataFrame:
     """Feature columns ``f_*``: the first finite number over sources, then aliases.
 
     ``None`` names the row itself; other sources are map columns. Boolean

@@ -121,8 +121,10 @@ def ranking_features(takes: DataFrame) -> DataFrame:
     """
     have = set(takes.columns)
 
-    def maybe(name: str) -> Column:
-        return finite(F.col(name)) if name in have else F.lit(None).cast("double")
+    def maybe(*names: str) -> Column:
+        """The first finite value of the columns that there are."""
+        found = [finite(F.col(n)) for n in names if n in have]
+        return F.coalesce(*found) if found else F.lit(None).cast("double")
 
     error_rate = maybe("normalized_edit_distance")
     median = finite(F.col("median_hz"))
@@ -137,8 +139,8 @@ def ranking_features(takes: DataFrame) -> DataFrame:
             "f_final_rebound_st": finite(F.col("final_rebound")),
             "f_level_deviation_db": F.when(median > 0, semitones(median, LEVEL_ANCHOR_HZ)),
             "f_phrase_reset_st": F.lit(None).cast("double"),
-            "f_speaker_similarity_chatterbox": maybe("primary_similarity"),
-            "f_speaker_similarity_speechbrain": maybe("secondary_similarity"),
+            "f_speaker_similarity_chatterbox": maybe("primary_chatterbox_similarity", "primary_similarity"),
+            "f_speaker_similarity_speechbrain": maybe("secondary_speechbrain_similarity", "secondary_similarity"),
             "f_content_score": F.when(error_rate.isNotNull(), F.greatest(F.lit(0.0), F.lit(1.0) - error_rate)),
             "f_content_error_rate": error_rate,
             "f_mos_score": maybe("mos"),

@@ -217,6 +217,10 @@ blinded AS (SELECT 'B' || format('{:04d}', n) AS blind_id, n AS blind_rank, 'exp
   (SELECT *, row_number() OVER (ORDER BY sha256('exp-1|' || candidate_id || '|blind-order'), candidate_id) AS n FROM failed WHERE failures='' AND audio_path IS NOT NULL) q)"""
 
 
+def validator_failures(spark, d):
+    return E.validator_failures(results(spark, d))
+
+
 def failure_reasons(spark, d):
     return E.failure_reasons(results(spark, d)).select("candidate_id", "mode", F.array_join("failures", ",").alias("failures"))
 
@@ -271,6 +275,8 @@ SELECT m.mode, count(k) AS candidate_count, count(k) FILTER (failures<>'') AS fa
   0 AS signal_speaker_drift, count(k) FILTER (o_orderpriority='2-HIGH') AS signal_abnormal_silence, round(sum(dur),6) AS total_duration_seconds, round(sum(gen),6) AS total_generation_seconds, round(sum(asm),6) AS total_assembly_seconds,
   round(sum(gen)+sum(asm),6) AS total_processing_seconds, round((sum(gen)+sum(asm))/sum(dur),6) AS real_time_factor FROM modes m LEFT JOIN failed f ON f.mode=m.mode GROUP BY m.mode""")
 QUERIES = {
+    "validator_failures": (validator_failures, B.with_sql(RESULTS_SQL, tail="""SELECT mode, 'content_accuracy' AS validator_name, 'unspecified' AS reason, count(*) AS n FROM results WHERE cs='fail' GROUP BY ALL
+        UNION ALL SELECT mode, 'speaker_similarity', 'unspecified', count(*) FROM results WHERE ss='fail' GROUP BY ALL""")),
     "plan_input_validate": (plan_input_validate, B.with_sql(SCRIPTS_SQL, f"""c AS (SELECT *, CASE WHEN n_chars<60 THEN 'dup' ELSE 'd' || doc_id END AS sid, CASE WHEN n_chars % 2 = 0 THEN ps[1:3] ELSE ps END AS pp FROM given),
         e AS (SELECT CASE WHEN count(*) OVER (PARTITION BY sid) > 1 THEN 'script_id_not_unique_or_safe' WHEN {strip_sql('text')} = '' OR len(pp)=0 THEN 'text_or_phrases_missing' WHEN lang='de' THEN 'seed_not_integer'
         WHEN {COMPACT("array_to_string(pp, '')")} <> {COMPACT('text')} THEN 'phrases_do_not_cover_text' ELSE 'none' END AS error FROM c)""", tail="SELECT error, count(*) AS scripts FROM e GROUP BY error")),

@@ -8,7 +8,7 @@ from ..functions.text import WS
 from ..operators import bank, gates, metrics, pairs as P, ranker, shadow
 from ..operators.ranker import LinearRanker
 from ..rules import FEATURE_NAMES
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from . import bindings as B
 from .take_queries import KEY, SCORED
 
@@ -175,6 +175,14 @@ def score_candidates(spark, d):
     return candidates(spark, d).select(*IDENT, F.round(fixed_model().utility(), 6).alias("utility"))
 
 
+def artifact_round_trip(spark, d):
+    """Scores by a model that was saved and loaded again."""
+    path = scratch_path(spark, "artifact")
+    ranker.save(spark, ranker.artifact(fixed_model(), "d"), path)
+    model, status = ranker.load(spark, path)
+    return candidates(spark, d).select(*IDENT, F.lit(status).alias("status"), F.round(model.utility(), 6).alias("utility"))
+
+
 def preference_probability(spark, d):
     p = pairs(spark, d)
     return p.select(*KEY, "w_take", "l_take", F.round(fixed_model().probability(), 6).alias("p"))
@@ -297,6 +305,7 @@ QUERIES = {
     "dataset_hash": (dataset_hash, HASH_SQL),
     "feature_stats": (feature_stats, STATS_SQL),
     "score_candidates": (score_candidates, B.with_sql(*PAIRED, tail=f"SELECT {K}, take_id, round(u,6) AS utility FROM cand")),
+    "artifact_round_trip": (artifact_round_trip, B.with_sql(*PAIRED, tail=f"SELECT {K}, take_id, 'active' AS status, round(u,6) AS utility FROM cand")),
     "preference_probability": (preference_probability, B.with_sql(*PAIRED, tail=f"SELECT {K}, w_take, l_take, round(p,6) AS p FROM pairs")),
     "rank_within_phrase": (rank_within_phrase, B.with_sql(*PAIRED, tail=f"""SELECT {K}, take_id, CASE WHEN ok THEN 'ranked' ELSE 'excluded' END AS status, CASE WHEN NOT ok THEN 'hard_gate_not_pass' END AS reason,
         CASE WHEN ok THEN row_number() OVER (PARTITION BY phrase_id, ok ORDER BY round(u,9) DESC, take_id) END AS rank, CASE WHEN ok THEN round(u,6) END AS utility FROM cand""")),

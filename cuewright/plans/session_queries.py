@@ -314,6 +314,17 @@ def sink_json_safe(spark, d):
     return back.select("event_id", "v", F.get("a", 0).alias("a0"), F.col("s.x").alias("x"))
 
 
+def sink_guard(spark, d):
+    """A report may be written beside the input folder, never inside it."""
+    lines = B.table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    outside = sinks.write_report(lines, scratch_path(spark, "guarded"), forbid_inside=d)
+    try:
+        inside = sinks.write_report(lines, f"{d.rstrip('/')}/x/../report", forbid_inside=d)
+    except ValueError:
+        inside = "refused"
+    return spark.read.schema("l_returnflag string, n bigint").json(outside).withColumn("inside", F.lit(inside))
+
+
 def sink_csv_long(spark, d):
     return sinks.long_metrics(E.analyse(results(spark, d)))
 
@@ -337,6 +348,7 @@ def deterministic_order(spark, d):
 CSV_SQL = "\nUNION ALL ".join(f"SELECT mode, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM z" for m in sinks.CSV_METRICS)
 PF = "pf AS (SELECT *, url || '#' || page_id AS path FROM pages)"
 QUERIES = {
+    "sink_guard": (sink_guard, "SELECT l_returnflag, count(*) AS n, 'refused' AS inside FROM lineitem GROUP BY 1"),
     "stale_discard": (stale_discard, STALE_SQL),
     "playback_metrics": (playback_metrics, B.with_sql(EV, PLAY, tail="SELECT session_id, seq, round(gap,5) AS gap, underrun, round(roll,6) AS rolling_rtf FROM played")),
     "session_snapshot": (session_snapshot, B.with_sql(EV, PLAY, tail="""SELECT session_id, count(*) AS phrases, 15e-1 AS ttfa_seconds, count(*) FILTER (underrun) AS underrun_count, round(max_by(roll, n),6) AS average_rtf,

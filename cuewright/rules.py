@@ -112,3 +112,21 @@ CONFIDENCE_THRESHOLD = 0.20
 MIN_PINNED, MIN_PAIRS, MIN_BLOCKS, RECOMMENDED_PROJECTS = 50, 150, 5, 2
 
 STATUSES = ("pass", "fail", "unknown", "not_run")
+
+# Thresholds of the audio sanity check.
+SANITY = {
+    "config_version": "1",
+    "expected_sample_rate_hz": 24000,
+    "minimum_duration_seconds": 0.10,
+    "silence_threshold_dbfs": -60.0,
+    "maximum_leading_silence_seconds": 1.50,
+    "maximum_trailing_silence_seconds": 1.50,
+    "maximum_internal_silence_seconds": 0.75,
+    "peak_guard": 0.89,
+    "maximum_clipping_ratio": 0.001,
+    "maximum_dc_offset": 0.02,
+    "abrupt_end_window_seconds": 0.005,
+    "abrupt_end_max_rms_dbfs": -25.0,
+    "tail_window_seconds": 0.50,
+    "maximum_tail_seconds": 1.50,
+}
