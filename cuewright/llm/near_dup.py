@@ -9,7 +9,7 @@
    differing components (pigeonhole). Leaving out every choice of ``ERRORS``
    components of every chunk gives the keys of a signature; two signatures
    within the threshold share a key, always. At similarity 0.8 a pair is beyond
-   the threshold with a probability of about 2e-6, at 0.85 of 1e-11.
+   the threshold with a probability of about 4e-6, at 0.85 of 4e-10.
 4. Members of a key are linked with its smallest member (a star), pairs beyond
    the distance or the size ratio are dropped, the others are confirmed on the
    full sets. Keys whose members then still lie in several components are gone
