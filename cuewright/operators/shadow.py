@@ -113,6 +113,33 @@ def survives(validations: DataFrame) -> DataFrame:
     )
 
 
+def survival(takes: DataFrame, results: DataFrame, validators: tuple = VALIDATORS) -> DataFrame:
+    """What ``survives`` says of the completed validations, without writing a row for what did not run.
+
+    Results fold to one row per take before they are shuffled; validators that a
+    take has no result of are counted by subtraction.
+    """
+    names = [name for name, _, _ in validators]
+    default = F.create_map(*[F.lit(x) for name, hard, _ in validators for x in (name, hard)])
+    status = F.coalesce("status", F.lit("not_run"))
+    hard = F.coalesce(F.col("hard_gate"), default[F.col("validator_name")])
+    folded = results.where(F.col("validator_name").isin(names)).groupBy(*TAKE).agg(
+        F.bool_or(hard & (status == "fail")).alias("_failed"),
+        F.count_if(status == "pass").alias("_pass"),
+        F.count_if(status == "not_run").alias("_not_run"),
+        F.count_if(status == "unknown").alias("_unknown"),
+        *[F.max((F.col("validator_name") == n).cast("int")).alias(f"_has_{i}") for i, n in enumerate(names)],
+    )
+    found = sum((F.coalesce(F.col(f"_has_{i}"), F.lit(0)) for i in range(len(names))), F.lit(0))
+    return takes.select(*TAKE).join(folded, TAKE, "left").select(
+        *TAKE,
+        (~F.coalesce("_failed", F.lit(False))).alias("survives"),
+        F.coalesce("_pass", F.lit(0)).alias("n_pass"),
+        (F.coalesce("_not_run", F.lit(0)) + F.lit(len(names)) - found).alias("n_not_run"),
+        F.coalesce("_unknown", F.lit(0)).alias("n_unknown"),
+    )
+
+
 def ranking_features(takes: DataFrame) -> DataFrame:
     """Feature columns from take metrics and, where present, the validators' columns.
 

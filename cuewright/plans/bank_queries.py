@@ -232,7 +232,8 @@ def validations(spark, d):
 
 
 def hard_gate_survives(spark, d):
-    return shadow.survives(validations(spark, d))
+    s = cut_lineage(scored(spark, d))
+    return shadow.survival(s, results(spark, d, s))
 
 
 def not_run_rows(spark, d):
@@ -255,7 +256,7 @@ def imported_gate(spark, d):
 def evaluated(spark, d):
     # read by every validator and again for the features: written once
     s = cut_lineage(scored(spark, d))
-    alive = shadow.survives(shadow.complete_validations(s, results(spark, d, s))).select(*IDENT, "survives")
+    alive = shadow.survival(s, results(spark, d, s)).select(*IDENT, "survives")
     e = s.join(alive, IDENT).withColumn(
         "normalized_edit_distance", F.when(F.col("numeric_heavy"), (F.col("n_syl") % 10) / F.lit(10.0))
     )
