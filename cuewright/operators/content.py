@@ -20,7 +20,7 @@ def phrase_table(scripts: DataFrame, keys: list[str], text: str = "text") -> Dat
 def make_phrase_udtf():
     """The same as a table function for SQL: ``SELECT * FROM cut_phrases(text)``."""
 
-    @udtf(returnType="phrase_idx: int, text: string, sentence_final: boolean, forced: boolean")
+    @udtf(returnType="phrase_idx: int, text: string, sentence_final: boolean, forced: boolean", useArrow=True)
     class CutPhrases:
         def eval(self, text: str):
             for i, row in enumerate(korean.phrase_rows(text or "")):

@@ -218,7 +218,8 @@ def rank_metrics(spark, d):
 
 
 def by_class(spark, d):
-    m = metrics.evaluate(scored_pairs(spark, d))
+    # both metrics read the pairs: they are built once
+    m = metrics.evaluate(cut_lineage(scored_pairs(spark, d)))
     return m.select("scope", "pair_count", "group_count", *[F.round(c, 6).alias(c) for c in (
         "pairwise_accuracy", "brier_score", "low_confidence_fraction", "expected_calibration_error", "pin_top1_accuracy", "pin_top3_recall", "mrr", "ndcg")])
 
