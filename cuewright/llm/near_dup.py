@@ -12,7 +12,9 @@
    the threshold with a probability of about 4e-6, at 0.85 of 4e-10.
 4. Members of a key are linked with its smallest member (a star), pairs beyond
    the distance or the size ratio are dropped, the others are confirmed on the
-   full sets. Keys whose members then still lie in several components are gone
+   full sets. In keys whose members then still lie in several components, a
+   second star goes to the member that shares most with all others: the centre
+   of a group of near copies, if it has one. Keys that are still mixed are gone
    through in blocks: all members of different components are compared by
    signature, and what is within the distance is confirmed on the full sets. No
    link between two components is lost, and no key's pairs are ever written.
@@ -44,6 +46,8 @@ ERRORS = 1
 THRESHOLD = CHUNKS * (ERRORS + 1) - 1
 #: Members of a key that are compared in one piece.
 BLOCK = 2048
+#: Ids of documents to fetch that may be broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 _RANDOM = np.random.default_rng(977)
 _FLIP = _RANDOM.integers(0, 2**32, COMPONENTS, dtype=np.uint32)[:, None]
@@ -175,7 +179,9 @@ def full_sets(df: DataFrame, id_col: str, text: str, width: int, wanted: DataFra
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.join(wanted, "id", "left_semi").mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    wanted = stored(wanted, "wanted")
+    small = wanted.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(wanted) if small else wanted, "id", "left_semi").mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
 
 
 def rest_pairs(open_rows: DataFrame, reps: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -250,6 +256,22 @@ def with_roots(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]
     return named.withColumn("root", F.coalesce("root", "id")), roots
 
 
+def mixed_rows(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, id, members, root) of the keys whose members lie in several components."""
+    named = stored(with_roots(shared.select("key", "id", "members"), links)[0], "named")
+    mixed = named.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
+    return stored(named.join(mixed, "key", "left_semi"), "mixed")
+
+
+def central_star(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components, b being the member of a key with most members in all its keys."""
+    weight = rows.groupBy("id").agg(F.sum("members").alias("weight"))
+    centre = rows.join(weight, "id").groupBy("key").agg(
+        F.max_by(F.struct(F.col("id").alias("b"), F.col("root").alias("root_b")), F.struct("weight", "id")).alias("centre")
+    )
+    return rows.join(centre, "key").where("root <> centre.root_b").select(F.col("id").alias("a"), F.col("centre.b").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row per input row.
 
@@ -282,10 +304,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     side = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
     apart = left.join(side, "b", "left").where(F.col("root") != F.coalesce("root_b", "b")).select(F.col("id").alias("a"), "b")
     links = stored(links.unionByName(confirmed(apart, near_sets, percent)), "links")
-    named, _ = with_roots(shared.select("key", "id"), links)
-    named = stored(named, "named")
-    mixed = named.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-    rest = stored(rest_pairs(named.join(mixed, "key", "left_semi"), reps, sizes), "rest")
+    central = stored(within_distance(central_star(mixed_rows(shared, links)), reps), "central")
+    links = stored(links.unionByName(confirmed(central, sets_of(central), percent)), "links")
+    rest = stored(rest_pairs(mixed_rows(shared, links), reps, sizes), "rest")
     links = stored(links.unionByName(confirmed(rest, sets_of(rest), percent)), "links")
     final = stored(connected(links, "a", "b"), "roots").withColumnsRenamed({"node": "rep", "root": "_root"})
     named = classes.select("n", "s1", "s2", "rep").join(final, "rep", "left").select(
