@@ -173,7 +173,7 @@ def tokenizer_file(name: str) -> str:
 def op10_token_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     files = token_files.token_files(docs, tokenizer_file("byte_bpe_50k.json"), scratch_path(spark, "token-files"))
-    return token_files.digests(token_files.read_documents(files)).withColumnRenamed("doc", "doc_id")
+    return token_files.digests(files).withColumnRenamed("doc", "doc_id")
 
 
 QUERIES = {

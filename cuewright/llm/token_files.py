@@ -158,14 +158,13 @@ def read_footer(path: str) -> tuple[pa.Table, np.ndarray]:
     return table, np.frombuffer(lengths, np.uint8)
 
 
-def read_documents(files: DataFrame, unit: int = 16) -> DataFrame:
-    """(doc, start, ids) of every document in the files; ids are packed uint32.
+def blocks_of(files: DataFrame, unit: int = 16) -> DataFrame:
+    """(before, path, block): units of ``unit`` blocks, dealt out so that a large file is read by many tasks.
 
-    ``start`` is the number of ids of all documents before it. Blocks are dealt
-    out in units, so a large file is read by many tasks.
+    ``before`` is the number of ids in all files before.
     """
 
-    def list_units(batches):
+    def run(batches):
         for batch in batches:
             for before, path in zip(batch.column("before").to_pylist(), batch.column("path").to_pylist(), strict=True):
                 at = range(0, read_footer(path)[0].num_rows, unit)
@@ -174,44 +173,56 @@ def read_documents(files: DataFrame, unit: int = 16) -> DataFrame:
                     ["before", "path", "block"],
                 )
 
-    def read(batches):
-        for batch in batches:
-            for before, path, block in zip(*[batch.column(c).to_pylist() for c in ("before", "path", "block")], strict=True):
-                index, lengths = read_footer(path)
-                table = decode_table(lengths, LIMIT)
-                source, name = fs.FileSystem.from_uri(path)
-                with source.open_input_file(name) as f:
-                    for row in index.slice(block, unit).to_pylist():
-                        n_marks = -(-row["n_ids"] // CHECKPOINT)
-                        data = f.read_at(row["n_bytes"] + 4 * n_marks, row["offset"])
-                        marks = np.frombuffer(data, "<u4", n_marks, row["n_bytes"])
-                        ids = unpack(data[: row["n_bytes"]], row["n_ids"], marks, CHECKPOINT, table).astype("<u4")
-                        ends = np.cumsum(row["sizes"])
-                        pieces = [ids[e - s : e].tobytes() for s, e in zip(row["sizes"], ends, strict=True)]
-                        starts = before + row["first"] + ends - np.array(row["sizes"])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(row["docs"], pa.int64()), pa.array(starts, pa.int64()), pa.array(pieces, pa.binary())], ["doc", "start", "ids"]
-                        )
-
     # one small row per file
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    units = files.select(before.alias("before"), "path").mapInArrow(list_units, "before long, path string, block long")
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    return units.repartition(4 * cores, "path", "block").mapInArrow(read, "doc long, start long, ids binary")
+    units = files.select(before.alias("before"), "path").mapInArrow(run, "before long, path string, block long")
+    return units.repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "path", "block")
+
+
+def decoded(batches, unit: int = 16):
+    """(documents, starts, ids of each) of every block in batches of units."""
+    for batch in batches:
+        for before, path, block in zip(*[batch.column(c).to_pylist() for c in ("before", "path", "block")], strict=True):
+            index, lengths = read_footer(path)
+            table = decode_table(lengths, LIMIT)
+            source, name = fs.FileSystem.from_uri(path)
+            with source.open_input_file(name) as f:
+                for row in index.slice(block, unit).to_pylist():
+                    n_marks = -(-row["n_ids"] // CHECKPOINT)
+                    data = f.read_at(row["n_bytes"] + 4 * n_marks, row["offset"])
+                    marks = np.frombuffer(data, "<u4", n_marks, row["n_bytes"])
+                    ids = unpack(data[: row["n_bytes"]], row["n_ids"], marks, CHECKPOINT, table).astype("<u4")
+                    sizes = np.array(row["sizes"])
+                    ends = np.cumsum(sizes)
+                    yield row["docs"], before + row["first"] + ends - sizes, [ids[e - n : e] for n, e in zip(sizes, ends, strict=True)]
+
+
+def read_documents(files: DataFrame) -> DataFrame:
+    """(doc, start, ids) of every document in the files; ids are packed uint32.
 
+    ``start`` is the number of ids of all documents before it.
+    """
 
-def digests(documents: DataFrame) -> DataFrame:
-    """(doc, start, n_tokens, ids_crc32) of documents read from files."""
+    def run(batches):
+        for docs, starts, ids in decoded(batches):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc", "start", "ids"]
+            )
+
+    return blocks_of(files).mapInArrow(run, "doc long, start long, ids binary")
+
+
+def digests(files: DataFrame) -> DataFrame:
+    """(doc, start, n_tokens, ids_crc32) of every document in the files, read and checked block by block."""
 
     def run(batches):
-        for batch in batches:
-            bodies = [x.as_buffer() for x in batch.column("ids")]
+        for docs, starts, ids in decoded(batches):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("start"), pa.array([b.size // 4 for b in bodies], pa.int64()), pa.array([zlib.crc32(b) for b in bodies], pa.int64())],
+                [pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())],
                 ["doc", "start", "n_tokens", "ids_crc32"],
             )
 
-    return documents.mapInArrow(run, "doc long, start long, n_tokens long, ids_crc32 long")
+    return blocks_of(files).mapInArrow(run, "doc long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(df: DataFrame, tokenizer_file: str, folder: str, n_ids: int = 50_257, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:

@@ -53,10 +53,12 @@ def test_special_text_and_full_memory(monkeypatch):
 def test_files_round_trip(spark, tmp_path, rows):
     df = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, text string, ids string")
     files = token_files.token_files(df, FILE, f"file://{tmp_path}/out")
-    got = token_files.digests(token_files.read_documents(files)).orderBy("start").collect()
+    got = token_files.digests(files).orderBy("start").collect()
     t, start, want = Tokenizer.from_file(FILE), 0, []
     packed = {r: np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4") for r in rows}
     for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, packed[r].astype("<u2").tobytes())):
         want.append((r[0], start, len(packed[r]), zlib.crc32(packed[r].tobytes())))
         start += len(packed[r])
     assert [tuple(x) for x in got] == want
+    whole = token_files.read_documents(files).orderBy("start").collect()
+    assert [(x["doc"], x["start"], len(x["ids"]) // 4, zlib.crc32(x["ids"])) for x in whole] == want
