@@ -1,7 +1,8 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests for the rest.
 
-Patterns (``assign``, ``access``, ``hex``) give the base spans. Every other run
-of token characters of ``LEAST`` or more is tested. Its alphabet is inferred
+Patterns (``assign``, ``access``, ``hex``) give the base spans. What they leave of
+the runs of token characters is split at each ``=`` that is not padding at the end,
+and every part of ``LEAST`` characters or more is tested. Its alphabet is inferred
 (hexadecimal, base32, letters, letters and digits, base64 with either pair of
 signs). Two questions are asked:
 
@@ -43,8 +44,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
-#: Tested tokens, and the levels of the two decisions.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Runs of token characters, the tested parts of a run (``=`` is padding only at the end), and the levels of the two decisions.
+LEAST = 20
+TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+PART = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?")
 ALPHA = 1e-4
 FDR = 0.01
 #: Resolution and end of the histogram of -log10 p.
@@ -86,6 +89,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def tested_parts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of what the battery tests: parts of token runs outside the sorted base spans."""
+    out, i = [], 0
+    for run in TOKEN.finditer(text):
+        at, end = run.span()
+        gaps = []
+        while at < end:
+            while i < len(spans) and spans[i][2] <= at:
+                i += 1
+            if i == len(spans) or spans[i][0] >= end:
+                gaps.append((at, end))
+                break
+            if spans[i][0] > at:
+                gaps.append((at, spans[i][0]))
+            at = spans[i][2]
+        out += [m.span() for a, b in gaps for m in PART.finditer(text, a, b) if m.end() - m.start() >= LEAST]
+    return out
+
+
 def normal_below(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
@@ -177,7 +199,7 @@ TESTED = "array<struct<start:bigint,end:bigint,stratum:int,score:double,passes:b
 
 
 def examined(rows: DataFrame, battery: Battery) -> DataFrame:
-    """(id, base, tested) of every text; a token that touches a base span is not tested."""
+    """(id, base, tested) of every text; no tested part touches a base span."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
     tested_type = pa.list_(
         pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("score", pa.float64()), ("passes", pa.bool_()), ("encoding", pa.string())])
@@ -191,12 +213,10 @@ def examined(rows: DataFrame, battery: Battery) -> DataFrame:
                 spans = base_spans(text)
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
                 own = []
-                for m in TOKEN.finditer(text):
-                    if any(s < m.end() and m.start() < e for s, _, e in spans):
-                        continue
-                    passes, score, name = battery.test(m[0])
-                    stratum = int(2 * math.log2(len(m[0])))
-                    own.append({"start": m.start(), "end": m.end(), "stratum": stratum, "score": min(score, TOP), "passes": passes, "encoding": name})
+                for s, e in tested_parts(text, spans):
+                    passes, score, name = battery.test(text[s:e])
+                    stratum = int(2 * math.log2(e - s))
+                    own.append({"start": s, "end": e, "stratum": stratum, "score": min(score, TOP), "passes": passes, "encoding": name})
                 tested.append(own)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(base, span), pa.array(tested, tested_type)], ["id", "base", "tested"])
 
