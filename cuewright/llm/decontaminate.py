@@ -8,8 +8,9 @@ and their spans merged. Documents are never shuffled.
 
 A window is ``WINDOW`` consecutive item words; an item of fewer words, but not
 none, is one window. The benchmark is dealt into parts of a bounded size (bytes
-of its text), and one part at a time is sent to all tasks; with several parts
-the spans of a document are merged by an aggregation.
+of its text), each a broadcast of its own. One pass looks for all parts in every
+row, and a task loads one part at a time; rows are never grouped or joined, so
+ids may be null or repeat and the number of parts does not change the result.
 
 Null text has no words, a null item none either. Repeated documents are judged
 alike; repeated items count once. Extra columns pass through, and columns with
@@ -19,6 +20,8 @@ no items leave every document clean.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,7 +59,9 @@ class Windows:
         self.patterns = np.zeros((len(found), window), np.int64)
         for i, w in enumerate(found):
             self.patterns[i, : len(w)] = w
-        self.items = [np.array(sorted(v)) for v in found.values()]
+        # flat, so that a part is quick to load
+        self.item_at = np.cumsum([0, *(len(v) for v in found.values())])
+        self.item = np.array([i for v in found.values() for i in sorted(v)], np.int64)
         self.top = len(self.vocabulary)
         first, second = self.patterns[:, :-1].ravel(), self.patterns[:, 1:].ravel()
         self.pairs = np.unique((first * (self.top + 1) + second)[second > 0])
@@ -108,10 +113,18 @@ class Windows:
         return origin[index.locate(np.repeat(low, count) + inside)], window
 
 
-def scan(df: DataFrame, parts: list, id_columns: list[str], text: str, shard_bytes: int) -> DataFrame:
+def loaded(sent: list):
+    """The parts one after another; of several, only one stays in the worker's memory."""
+    for part in sent:
+        yield part.value
+        if len(sent) > 1 and hasattr(part, "_path"):  # without a file (encrypted) the value cannot be loaded again
+            part.__dict__.pop("_value", None)
+
+
+def scan(df: DataFrame, parts: Iterable[Windows], id_columns: list[str], text: str, shard_bytes: int) -> DataFrame:
     """Adds RESULTS to every row; ``hit_spans`` are byte spans of merged hit words."""
-    spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(parts)
+    context = df.sparkSession.sparkContext
+    sent = [context.broadcast(windows) for windows in parts]
     fields = [f for f in df.schema.fields if f.name not in RESULTS and f.name in id_columns]
     schema = T.StructType(
         fields
@@ -124,22 +137,24 @@ def scan(df: DataFrame, parts: list, id_columns: list[str], text: str, shard_byt
     kept = [f.name for f in fields]
 
     def run(batches):
-        windows = sent.value
         for batch in row_slices(batches, text, shard_bytes):
             body, at = utf8(batch.column(text))
             body = LOWER[body]
             starts, ends, rows = words(body, at, LETTER_OR_DIGIT)
-            found, which = windows.occurrences(windows.number(span_hashes(body, starts, ends)), rows)
+            hashes = span_hashes(body, starts, ends)
+            n = batch.num_rows
             marks = np.zeros(len(starts) + 1, np.int64)
-            np.add.at(marks, found, 1)
-            np.add.at(marks, found + windows.lengths[which], -1)
+            items: list[set] = [set() for _ in range(n)]
+            for windows in loaded(sent):
+                found, which = windows.occurrences(windows.number(hashes), rows)
+                np.add.at(marks, found, 1)
+                np.add.at(marks, found + windows.lengths[which], -1)
+                pairs = np.unique(np.stack([rows[found], which]), axis=1) if len(found) else np.zeros((2, 0), np.int64)
+                for row, window in pairs.T:
+                    items[row].update(windows.ids[i] for i in windows.item[windows.item_at[window] : windows.item_at[window + 1]])
+                del windows  # before the next one is loaded
             hit = np.cumsum(marks[:-1]) > 0
-            n = batch.num_rows
             n_words, n_hit = np.bincount(rows, minlength=n), np.bincount(rows[hit], minlength=n)
-            items: list[set] = [set() for _ in range(n)]
-            pairs = np.unique(np.stack([rows[found], which]), axis=1) if len(found) else np.zeros((2, 0), np.int64)
-            for row, window in pairs.T:
-                items[row].update(windows.ids[i] for i in windows.items[window])
             spans: list[list] = [[] for _ in range(n)]
             word = np.flatnonzero(hit)
             if len(word):
@@ -161,7 +176,7 @@ def scan(df: DataFrame, parts: list, id_columns: list[str], text: str, shard_byt
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def benchmark_parts(items: DataFrame, item_id: str, text: str, window: int, part_bytes: int) -> list:
+def benchmark_parts(items: DataFrame, item_id: str, text: str, window: int, part_bytes: int) -> Iterator[Windows]:
     """The benchmark in parts of a bounded size; one part is fetched at a time."""
     rows = items.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -175,52 +190,9 @@ def benchmark_parts(items: DataFrame, item_id: str, text: str, window: int, part
 def decontaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id",
                    item_text: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES, shard_bytes: int = SHARD_BYTES,
                    keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, ``keep`` columns, n_words, n_hit, items, hit_spans) for every document.
-
-    With one part of the benchmark this is a single pass. With several, the
-    documents' ids must be unique, as their spans are merged by id.
-    """
+    """(id, ``keep`` columns, n_words, n_hit, items, hit_spans) for every row, in one pass."""
     columns = list(dict.fromkeys([id_col, *keep]))
-    out = None
-    for windows in benchmark_parts(items, item_id, item_text, window, part_bytes):
-        found = scan(df, windows, columns, text, shard_bytes)
-        out = found if out is None else out.unionByName(found)
-        several = out is not found
-    if not several:
-        return out
-    return _merged(out, df, id_col, text, columns)
-
-
-def _merged(parts: DataFrame, df: DataFrame, id_col: str, text: str, columns: list[str]) -> DataFrame:
-    """Spans of all parts of a document as one list; hit words are counted again in the merged spans."""
-    lists = parts.groupBy(id_col).agg(
-        *[F.first(c).alias(c) for c in columns if c != id_col],
-        F.first("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("_spans"),
-    )
-    merged = F.aggregate(
-        "_spans",
-        F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= s["start"]),
-            F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], s["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    spans = lists.withColumn("hit_spans", merged).drop("_spans")
-    words_in = F.aggregate(
-        "hit_spans", F.lit(0).cast("long"),
-        lambda n, s: n + F.regexp_count(
-            F.decode(F.substring(F.encode(F.col("_text"), "utf-8"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), "utf-8"),
-            F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"),
-        ),
-    )
-    texts = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    joined = spans.join(texts, F.col(id_col).eqNullSafe(F.col("_id")))
-    return joined.withColumn("n_hit", words_in).drop("_id", "_text").select(*columns, *RESULTS)
+    return scan(df, benchmark_parts(items, item_id, item_text, window, part_bytes), columns, text, shard_bytes)
 
 
 def without_spans(text: str = "text", spans: str = "hit_spans"):

@@ -49,6 +49,25 @@ def test_agrees_with_a_plain_search(spark, seed, part, shard):
     assert all(len(WORD.findall(lower(t))) <= counts[i][0] - counts[i][1] for i, t in left.items())
 
 
+def test_null_and_repeated_ids_with_many_parts(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(6)]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.choice([3, 10, 12])))) for i in range(12)] + [(3, "w1 w2 w3")]
+    texts = [" ".join([*[r.choice(words) for _ in range(r.randrange(0, 9))], r.choice(items)[1], f"own{k}"]) for k in range(20)]
+    docs = [(None if k % 2 else k // 4, t) for k, t in enumerate([*texts, texts[0], texts[1], None])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame(items, "item_id long, text string")
+    # every row by its place, so that ids play no part
+    want = sorted([(docs[k][0], docs[k][1], n, hit, names) for k, n, hit, names in plain([(k, t) for k, (_, t) in enumerate(docs)], items)], key=str)
+    cuts = []
+    for part in (1 << 20, 60):
+        assert (len(list(D.benchmark_parts(marks, "item_id", "text", 10, part))) > 1) == (part == 60)
+        found = D.decontaminated(df, marks, part_bytes=part, keep=("text",)).withColumn("left", D.without_spans()).collect()
+        assert sorted([(g["doc_id"], g["text"], g["n_words"], g["n_hit"], sorted(g["items"])) for g in found], key=str) == want
+        cuts.append(sorted([(g["text"], g["hit_spans"], g["left"]) for g in found], key=str))
+    assert cuts[0] == cuts[1]
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.decontaminated(docs, items).first()["n_hit"] == 0
