@@ -6,8 +6,8 @@ threshold get an exact count of distinct sites. A line found on ``min_sites``
 sites or more is boilerplate: its first occurrence (smallest document, then
 line number) stays, every other one goes.
 
-A line is what stands between two newlines, without blanks at its ends; lines
-of fewer than ``min_words`` words never count. Null text has no lines, a null
+A line is what stands between two newlines, without blanks (space, tab to carriage
+return) at its ends; lines of fewer than ``min_words`` words never count. Null text has no lines, a null
 site counts as one site of its own. Repeated rows of one document id are
 repeated occurrences; ties are broken by line number. An empty table gives an
 empty result; extra columns pass through.
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 MIN_SITES = 5
 MIN_WORDS = 4
 LG_K = 12
+BLANKS = " \t\n\x0b\x0c\r"
 WORD, BLANK = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 #: Three relative standard errors of a sketch, and one site at least.
 BAND = 3 * 1.04 / 2 ** (LG_K / 2)
@@ -35,7 +36,7 @@ def counted_lines(df: DataFrame, id_col: str, text: str, site: str, min_words: i
     """One row (h, h2, site, doc, line) for each line that can count; 96 hash bits tell lines apart."""
     lines = df.select(
         F.col(id_col).alias("doc"), F.coalesce(F.col(site), F.lit("")).alias("site"), F.posexplode(split_lines(text)).alias("line", "value")
-    ).withColumn("value", F.trim("value"))
+    ).withColumn("value", F.trim("value", F.lit(BLANKS)))
     enough = F.regexp_like("value", F.lit(f"^(?:{WORD}{BLANK}){{{min_words - 1}}}{WORD}"))
     return lines.where(enough).select(F.xxhash64("value").alias("h"), F.hash("value").alias("h2"), "site", "doc", "line")
 

@@ -23,5 +23,19 @@ def test_exact_counts_decide_near_the_threshold(spark):
     assert found.count() == 4  # those of five, six, seven and eight sites
 
 
+def test_any_blanks_at_the_ends_are_no_part_of_a_line(spark):
+    line = "share this page with all friends"
+    forms = [f"\t{line}", f"{line}\r", f" \t{line} \x0b", f"\x0c{line}", line]
+    rows = [(i, f"own text of number {i} here\r\n{form}\n\u00a0end", f"s{i}") for i, form in enumerate(forms)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in L.dedup_lines(df).collect()}
+    # the first occurrence stays as it is written
+    assert got[0] == (rows[0][1], 3, 0)
+    assert all(got[i] == (f"own text of number {i} here\r\n\u00a0end", 3, 1) for i in range(1, 5))
+    # three words are too few, whatever blanks stand around them
+    short = spark.createDataFrame([(i, "\tonly three words\r", f"s{i}") for i in range(6)], "doc_id long, text string, source string")
+    assert L.removed_lines(short).count() == 0
+
+
 def test_empty(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
