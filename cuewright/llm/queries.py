@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, line_dedup, near_dup, quality_classifier, quality_rules, secret_scan, sentence_pieces, suffix_dedup, token_files, url_filter
+from . import decontaminate, filter_audit, line_dedup, near_dup, quality_classifier, quality_rules, secret_scan, sentence_pieces, suffix_dedup, token_files, url_filter
 
 
 def table(spark, sf_dir: str, name: str):
@@ -176,6 +176,39 @@ def op10_token_files(spark, sf_dir):
     return token_files.digests(files).withColumnRenamed("doc", "doc_id")
 
 
+def op11_filter_audit(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
+o AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+k AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * len(regexp_extract_all(w.text, '[A-Z]')) > 2 * length(w.text) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(w.text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN w.doc_id > o.first THEN 16 ELSE 0 END AS mask
+  FROM w JOIN o ON o.text = w.text LEFT JOIN k ON k.doc_id = w.doc_id),
+c AS MATERIALIZED (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY ALL),
+l AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(letter, bit)),
+walk AS (SELECT '' AS prefix, 0 AS before, 0 AS applied, 0 AS step, 0 AS bit
+  UNION ALL SELECT prefix || letter, applied, applied | l.bit, step + 1, l.bit FROM walk JOIN l ON applied & l.bit = 0),
+s AS (SELECT part, prefix, step, sum(CASE WHEN mask & applied = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM walk, c WHERE step > 0 GROUP BY part, prefix, step),
+f AS (SELECT s.*, x.prefix AS filter_order FROM s JOIN walk x ON x.step = 5 AND left(x.prefix, s.step) = s.prefix)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, right(prefix, 1)) AS BIGINT) AS shapley FROM f
+"""
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op2_url_filter": (op2_url_filter, None),
@@ -187,4 +220,5 @@ QUERIES = {
     "op8_benchmark_decontamination": (op8_benchmark_decontamination, OP8_SQL),
     "op9_minhash_near_dedup": (op9_minhash_near_dedup, OP9_SQL),
     "op10_token_files": (op10_token_files, None),
+    "op11_filter_audit": (op11_filter_audit, OP11_SQL),
 }
