@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, filter_audit, line_dedup, near_dup, quality_classifier, quality_rules, secret_scan, sentence_pieces, suffix_dedup, token_files, url_filter
+from . import decontaminate, filter_audit, line_dedup, near_dup, periodic_runs, quality_classifier, quality_rules, secret_scan, sentence_pieces, suffix_dedup, token_files, url_filter
 
 
 def table(spark, sf_dir: str, name: str):
@@ -209,6 +209,68 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 """
 
 
+def planted_periods(text="text", doc_id="doc_id"):
+    """The text, its tail made periodic in a tenth of the documents, as a hash of the id says."""
+    h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
+    rows = F.struct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"), F.floor(h / 10).alias("g"))
+
+    def tail(r):
+        w, g, n = r["w"], r["g"], F.size(r["w"])
+        at = F.struct(w.alias("w"), g.alias("g"), (g % n).cast("int").alias("a"))
+
+        def planted(x):
+            period = (F.lit(1) + F.floor((F.size(x["w"]) - x["a"]) / (F.lit(3) + x["g"] % 8))).cast("int")
+            named = F.struct(x["w"].alias("w"), x["a"].alias("a"), period.alias("p"))
+            return F.transform(F.array(named), lambda y: F.array_join(
+                F.transform(y["w"], lambda word, i: F.when(i < y["a"], word).otherwise(F.get(y["w"], y["a"] + (i - y["a"]) % y["p"]))), " "))[0]
+
+        return F.when(n > 0, F.transform(F.array(at), planted)[0]).otherwise(F.lit(""))
+
+    # one-element arrays name a value, so that words are split once
+    return F.when(h % 10 == 0, F.transform(F.array(rows), tail)[0]).otherwise(F.col(text))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted_periods().alias("text"))
+    found = periodic_runs.periodic_runs(docs).withColumn("lines", F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])))
+
+    # greatest exact length / period, ties to the first: the list is sorted by start, then period
+    def better(best, r):
+        return F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+
+    first = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), better)
+    return found.withColumn("first", first).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "first.start", "first.length", "first.period",
+        F.floor(1000 * F.col("first.length") / F.col("first.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("lines", lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+# Pairs of equal 8-grams at one distance make islands; the smallest distance of an island's ends is its period.
+OP13_SQL = r"""
+WITH h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      x -> [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      (c, x) -> CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) AS h FROM documents),
+a AS (SELECT *, len(words) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN (h // 10) % len(words) END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS MATERIALIZED (SELECT doc_id, n, CASE WHEN a IS NULL THEN words
+    ELSE list_transform(generate_series(0, n - 1), i -> words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS words FROM p),
+g AS MATERIALIZED (SELECT doc_id, i, hash(words[i+1:i+8]) AS gram FROM (SELECT doc_id, words, unnest(generate_series(0, n - 8)) AS i FROM t)),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i),
+k AS (SELECT doc_id, q, min(i) AS s, max(i) + q + 8 AS t FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island),
+r AS MATERIALIZED (SELECT doc_id, s AS start, t - s AS length, min(q) AS period FROM k GROUP BY doc_id, s, t HAVING t - s >= greatest(24, 3 * min(q))),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+f AS (SELECT DISTINCT ON (doc_id) * FROM r ORDER BY doc_id, CAST(length AS DOUBLE) / period DESC, start, period),
+d AS (SELECT doc_id, list(DISTINCT w) AS gone FROM (SELECT doc_id, unnest(generate_series(start + period, start + length - 1)) AS w FROM r) GROUP BY doc_id),
+c AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT doc_id, unnest(words) AS word, unnest(generate_series(0, n - 1)) AS i FROM t) t
+  LEFT JOIN d ON d.doc_id = t.doc_id WHERE NOT coalesce(list_contains(d.gone, i), false) GROUP BY t.doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, f.start, f.length, f.period, 1000 * f.length // f.period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN b ON b.doc_id = t.doc_id LEFT JOIN f ON f.doc_id = t.doc_id LEFT JOIN c ON c.doc_id = t.doc_id
+"""
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op2_url_filter": (op2_url_filter, None),
@@ -221,4 +283,5 @@ QUERIES = {
     "op9_minhash_near_dedup": (op9_minhash_near_dedup, OP9_SQL),
     "op10_token_files": (op10_token_files, None),
     "op11_filter_audit": (op11_filter_audit, OP11_SQL),
+    "op13_periodic_runs": (op13_periodic_runs, OP13_SQL),
 }

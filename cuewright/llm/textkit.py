@@ -125,3 +125,12 @@ def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     for k in range(n):
         total = total + hashes[k : len(hashes) - n + 1 + k] * _WEIGHT[k]
     return np.unique(mix(total))
+
+
+def gram_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` words, by its first word; none if there are fewer."""
+    n = max(0, len(hashes) - width + 1)
+    total = np.full(n, width, np.uint64)
+    for k in range(width):
+        total = total + hashes[k : k + n] * _WEIGHT[k]
+    return mix(total)

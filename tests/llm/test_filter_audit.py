@@ -27,8 +27,8 @@ def plain_masks(rows):
 
 def plain_audit(rows, labels):
     masks = plain_masks(rows)
-    good = {d for d, q, _ in labels if q == 1}
-    toxic = {d for d, _, t in labels if t == 1}
+    good = {d for d, q, _ in labels if q == 1} - {None}
+    toxic = {d for d, _, t in labels if t == 1} - {None}
     out = {}
     for part in {s or "" for _, _, s in rows}:
         mine = [(d, m) for (d, _, s), m in zip(rows, masks, strict=True) if (s or "") == part]
