@@ -107,10 +107,10 @@ def cells(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 #: ``before`` are the bits applied by earlier steps; one row per prefix and mask that occurs.
 WALK = """
 WITH RECURSIVE walk (prefix, before, applied, step, letter, bit, mask) AS (
-  SELECT '', 0, 0, 0, '', 0, m.mask FROM {masks} AS m
+  SELECT '', 0, 0, 0, '', 0, c.mask FROM {cells} AS c WHERE c.bit = 1
   UNION ALL
-  SELECT concat(w.prefix, l.letter), w.applied, w.applied | l.bit, w.step + 1, l.letter, l.bit, m.mask
-  FROM walk AS w JOIN {letters} AS l ON (w.applied & l.bit) = 0 JOIN {masks} AS m ON m.mask = w.mask
+  SELECT concat(w.prefix, c.letter), w.applied, w.applied | c.bit, w.step + 1, c.letter, c.bit, c.mask
+  FROM walk AS w JOIN {cells} AS c ON c.mask = w.mask AND (w.applied & c.bit) = 0
 )
 SELECT prefix, step, letter, mask,
   (mask & applied) = 0 AS kept,
@@ -121,18 +121,19 @@ FROM walk WHERE step > 0
 """
 
 
-def walks(spark, masks: DataFrame, letters: str = LETTERS) -> DataFrame:
-    """What every step of every prefix does to every mask."""
-    named = spark.createDataFrame([(x, 1 << k) for k, x in enumerate(letters)], "letter string, bit int")
-    return spark.sql(WALK, masks=masks, letters=named)
+def walks(masks: DataFrame, letters: str = LETTERS) -> DataFrame:
+    """What every step of every prefix does to every mask; the recursion joins on masks, each with all its letters."""
+    named = F.explode(F.array(*[F.struct(F.lit(x).alias("letter"), F.lit(1 << k).alias("bit")) for k, x in enumerate(letters)]))
+    cells = masks.withColumn("named", named).select("mask", "named.letter", "named.bit")
+    return masks.sparkSession.sql(WALK, cells=cells)
 
 
 def interactions(counted: DataFrame, letters: str = LETTERS) -> DataFrame:
     """One row per part, order of all letters, and step, from the cells."""
-    spark = counted.sparkSession
     counted = stored(counted, "cells")
     # one row per mask, 2 ** len(letters) at most
-    walked = stored(walks(spark, counted.select("mask").distinct(), letters).coalesce(1), "walks")
+    masks = stored(counted.select("mask").distinct().coalesce(1), "masks")
+    walked = stored(walks(masks, letters).coalesce(1), "walks")
     total = lambda flag, n: F.coalesce(F.sum(F.when(F.col(flag), F.col(n))), F.lit(0)).cast("long")
     steps = counted.join(F.broadcast(walked), "mask").groupBy("part", "prefix", "step", "letter").agg(
         total("kept", "n").alias("kept"), total("removed", "n").alias("removed"), total("redundant", "n").alias("redundant"),

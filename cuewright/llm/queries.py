@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, filter_audit, line_dedup, near_dup, periodic_runs, quality_classifier, quality_rules, secret_scan, sentence_pieces, suffix_dedup, token_files, url_filter
+from . import decontaminate, filter_audit, line_dedup, near_dup, periodic_runs, quality_classifier, quality_rules, repeat_paths, secret_scan, sentence_pieces, suffix_dedup, token_files, url_filter
 
 
 def table(spark, sf_dir: str, name: str):
@@ -209,6 +209,23 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 """
 
 
+def op12_substring_dedup(spark, sf_dir):
+    found = repeat_paths.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+k AS MATERIALIZED (SELECT doc_id, i, array_to_string(words[i:i+12], ' ') AS win FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 12)) AS i FROM w)),
+f AS (SELECT win, min(doc_id) AS first FROM k GROUP BY win),
+g AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM (SELECT k.doc_id, unnest(generate_series(i, i + 12)) AS pos FROM k JOIN f ON f.win = k.win AND f.first < k.doc_id) GROUP BY doc_id),
+c AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS i FROM w) w
+  LEFT JOIN g ON g.doc_id = w.doc_id WHERE NOT coalesce(list_contains(g.gone, i), false) GROUP BY w.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, len(words) - coalesce(c.n, 0) AS n_removed, sha256(coalesce(c.kept, '')) AS kept_sha256
+FROM w LEFT JOIN c ON c.doc_id = w.doc_id
+"""
+
+
 def planted_periods(text="text", doc_id="doc_id"):
     """The text, its tail made periodic in a tenth of the documents, as a hash of the id says."""
     h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
@@ -283,5 +300,6 @@ QUERIES = {
     "op9_minhash_near_dedup": (op9_minhash_near_dedup, OP9_SQL),
     "op10_token_files": (op10_token_files, None),
     "op11_filter_audit": (op11_filter_audit, OP11_SQL),
+    "op12_substring_dedup": (op12_substring_dedup, OP12_SQL),
     "op13_periodic_runs": (op13_periodic_runs, OP13_SQL),
 }
