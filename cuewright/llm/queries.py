@@ -267,12 +267,12 @@ def op13_periodic_runs(spark, sf_dir):
 OP13_SQL = r"""
 WITH h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
     xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
-      x -> [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
-      (c, x) -> CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) AS h FROM documents),
+      lambda x: [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) AS h FROM documents),
 a AS (SELECT *, len(words) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN (h // 10) % len(words) END AS a FROM h),
 p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
 t AS MATERIALIZED (SELECT doc_id, n, CASE WHEN a IS NULL THEN words
-    ELSE list_transform(generate_series(0, n - 1), i -> words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS words FROM p),
+    ELSE list_transform(generate_series(0, n - 1), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS words FROM p),
 g AS MATERIALIZED (SELECT doc_id, i, hash(words[i+1:i+8]) AS gram FROM (SELECT doc_id, words, unnest(generate_series(0, n - 8)) AS i FROM t)),
 e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i),
 k AS (SELECT doc_id, q, min(i) AS s, max(i) + q + 8 AS t FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island),
