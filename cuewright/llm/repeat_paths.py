@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import stored_tidily as stored
 from .textkit import NOT_BLANK, gram_hashes, mix, row_slices, span_hashes, utf8, words
 
 WIDTH = 13
@@ -104,8 +104,8 @@ def candidates(rows: DataFrame, width: int, core: int) -> DataFrame:
 
     found = cores(rows, width, core)
     often = found.groupBy("core").count().where("count > 1").select("core")
-    # written, so that the join of a core that many documents share can be split
-    wanted = stored(found, "cores").join(stored(often, "repeated-cores"), "core", "left_semi")
+    # the repeated cores are written, so that the join of a core that many documents share can be split
+    wanted = found.join(stored(often, "repeated-cores"), "core", "left_semi")
     lists = wanted.groupBy(*KEY).agg(F.collect_set("core").alias("cores"))  # fewer than the words of one text
     texts = rows.join(lists, KEY).dropDuplicates(KEY)
     return stored(texts, "candidates").mapInArrow(run, "id long, twin long, pos int, l long, r long, again boolean")
