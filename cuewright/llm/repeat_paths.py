@@ -5,6 +5,8 @@ last; both nodes are 64-bit hashes, so an edge is known by 128 bits. Each word
 covered by a window that also starts in a document with a smaller id goes.
 Windows are judged on the input.
 
+0. A row whose whole text a smaller id holds is a copy: it goes whole, if it has a
+   window at all, and only the first row of each text is looked at further.
 1. Which windows can repeat: the smallest hash of ``CORE`` words inside a window
    is its core, and equal windows have equal cores. Cores are counted, each once
    a document, map-side first. Windows whose core stands in one document only
@@ -36,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import forget
 from .store import stored_tidily as stored
 from .textkit import NOT_BLANK, gram_hashes, mix, row_slices, span_hashes, utf8, words
 
 WIDTH = 13
 CORE = 5
 KEY = ["id", "twin"]
+SPANS = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "end", "path", "place")]))
 #: Where a window's words first stand.
 SOURCE = ["src", "src_twin", "src_pos"]
 
@@ -71,6 +75,15 @@ def keyed(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("twin"), F.col(text).alias("text"))
 
 
+def copies(rows: DataFrame) -> DataFrame:
+    """(id, twin) of rows whose text a smaller id has; texts are told apart by 128 bits."""
+    known = rows.select(*KEY, F.xxhash64(F.lit(7), "text").alias("mark"))
+    firsts = known.groupBy("twin", "mark").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    # written, so that the join of a text with very many copies can be split
+    several = stored(firsts.drop("last"), "first-rows")
+    return stored(known.join(several, ["twin", "mark"]).where("first < id").select(*KEY).distinct(), "copies")
+
+
 def cores(rows: DataFrame, width: int, core: int) -> DataFrame:
     """(core, id, twin), each once a row."""
 
@@ -84,8 +97,9 @@ def cores(rows: DataFrame, width: int, core: int) -> DataFrame:
     return rows.mapInArrow(run, "core long, id long, twin long")
 
 
-def candidates(rows: DataFrame, width: int, core: int) -> DataFrame:
-    """(id, twin, pos, l, r, again) of every window whose core stands in several documents; again: not the first of its row."""
+def candidates(rows: DataFrame, copied: DataFrame, width: int, core: int) -> DataFrame:
+    """(id, twin, pos, l, r, again) of every window whose core stands in several documents, copies left out;
+    again: not the first of its row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches, "text"):
@@ -107,7 +121,7 @@ def candidates(rows: DataFrame, width: int, core: int) -> DataFrame:
     # the repeated cores are written, so that the join of a core that many documents share can be split
     wanted = found.join(stored(often, "repeated-cores"), "core", "left_semi")
     lists = wanted.groupBy(*KEY).agg(F.collect_set("core").alias("cores"))  # fewer than the words of one text
-    texts = rows.join(lists, KEY).dropDuplicates(KEY)
+    texts = rows.join(lists.join(copied, KEY, "left_anti"), KEY).dropDuplicates(KEY)
     return stored(texts, "candidates").mapInArrow(run, "id long, twin long, pos int, l long, r long, again boolean")
 
 
@@ -182,13 +196,18 @@ def compacted(edges: DataFrame) -> DataFrame:
     crossed = crossings.join(ends, [f"from_{c}" for c in SOURCE]).select("before", name("src", "src_twin", "src_pos").alias("segment")).where("before <> segment")
     paths = chained(segments, stored(crossed, "crossings"))
     path = F.coalesce("path", "segment").alias("path")
-    return placed.join(paths, "segment", "left").select("l", "r", "src", path, (F.coalesce("offset", F.lit(0)) + F.col("place")).alias("place"))
+    out = placed.join(paths, "segment", "left").select("l", "r", "src", path, (F.coalesce("offset", F.lit(0)) + F.col("place")).alias("place"))
+    out = stored(out, "paths")
+    forget(edges, links, placed)
+    return out
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, core: int = CORE) -> DataFrame:
-    """(id, twin, spans): word spans that windows of smaller ids cover, each (start, end, path, place on the path)."""
-    found = candidates(keyed(df, id_col, text).where("id IS NOT NULL AND text IS NOT NULL"), width, core)
-    edges = stored(compacted(repeated_edges(found)), "paths")
+    """(id, twin, spans, copy): word spans that windows of smaller ids cover, each (start, end, path, place on the path)."""
+    rows = keyed(df, id_col, text).where("id IS NOT NULL AND text IS NOT NULL")
+    copied = copies(rows)
+    found = candidates(rows, copied, width, core)
+    edges = compacted(repeated_edges(found))
     hits = found.drop("again").join(edges, ["l", "r"]).where("src < id").select(*KEY, "pos", "path", "place")
     # windows that walk along a path word by word
     along = Window.partitionBy(*KEY).orderBy("pos")
@@ -198,11 +217,14 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     merged = spans.groupBy(*KEY, "_span").agg(
         F.min("pos").cast("long").alias("start"), (F.max("pos") + width).cast("long").alias("end"), F.first("path").alias("path"), F.min("place").alias("place")
     )
-    return merged.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end", "path", "place")).alias("spans"))
+    spans = merged.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end", "path", "place")).alias("spans"))
+    whole = copied.select(*KEY, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.lit(True).alias("copy"))
+    return spans.withColumn("copy", F.lit(False)).unionByName(whole)
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, core: int = CORE) -> DataFrame:
-    """(id, n_words, n_removed, spans, kept) of every row; kept holds the words that stay, joined by one space."""
+    """(id, n_words, n_removed, spans, kept) of every row; kept holds the words that stay, joined by one space.
+    The one span of a copy has no path."""
     if not 1 <= core <= width or width < 2:
         raise ValueError("a window has two words or more, and its core lies in it")
     spans = stored(repeated_spans(df, id_col, text, width, core), "spans")
@@ -210,20 +232,25 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches, "text"):
             total, removed, kept = [], [], []
-            for value, own in zip(batch.column("text"), batch.column("spans"), strict=True):
+            listed = []
+            for value, own, copy in zip(batch.column("text"), batch.column("spans"), batch.column("copy"), strict=True):
                 parts = (value.as_py() or "").encode().split()  # at the six ASCII blanks
                 total.append(len(parts))
+                spans = sorted(own.as_py() or [], key=lambda s: s["start"])
+                if copy.as_py() and len(parts) >= width:
+                    spans = [{"start": 0, "end": len(parts), "path": None, "place": None}]
+                listed.append(spans)
                 out, at = [], 0
-                for s in sorted(own.as_py() or [], key=lambda s: s["start"]):
+                for s in spans:
                     out += parts[at : s["start"]]
                     at = max(at, s["end"])
                 out += parts[at:]
                 removed.append(len(parts) - len(out))
                 kept.append(b" ".join(out).decode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), batch.column("spans"), pa.array(kept, pa.string())],
+                [batch.column("id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(listed, SPANS), pa.array(kept, pa.string())],
                 ["id", "n_words", "n_removed", "spans", "kept"],
             )
 
-    joined = keyed(df, id_col, text).join(spans, KEY, "left").select("id", "text", "spans")
+    joined = keyed(df, id_col, text).join(spans, KEY, "left").select("id", "text", "spans", "copy")
     return joined.mapInArrow(run, "id long, n_words long, n_removed long, spans array<struct<start:long,end:long,path:long,place:long>>, kept string")

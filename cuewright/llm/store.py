@@ -28,3 +28,11 @@ def stored_tidily(df: DataFrame, name: str) -> DataFrame:
         return stored(df, name)
     finally:
         conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

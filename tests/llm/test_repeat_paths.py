@@ -49,7 +49,7 @@ def removed(spark, rows, width, **how):
 
 def test_against_search(spark):
     long = " ".join(f"w{i}" for i in range(50_000))
-    rows = made(1, 70) + [(None, made(1, 3)[2][1]), (None, long), (500, None), (501, ""), (502, long), (503, "x " + long + " y"), (503, long + " z"), (503, long + " z"), (40, "é " * 40)]
+    rows = made(1, 70) + [(None, made(1, 3)[2][1]), (None, long), (500, None), (501, ""), (502, long), (503, "x " + long + " y"), (503, long + " z"), (503, long + " z"), (504, "a b c"), (505, "a b c"), (40, "é " * 40)]
     assert removed(spark, rows, 13) == plain_removal(rows, 13)
 
 
@@ -66,7 +66,8 @@ def test_paths_are_compact_and_in_step(spark):
         (4, "d1 " + " ".join(passage)), (5, " ".join(half) + " e1"), (6, "f1 " + " ".join(half)),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = R.candidates(R.keyed(df, "doc_id", "text"), 13, 5)
+    keyed = R.keyed(df, "doc_id", "text")
+    found = R.candidates(keyed, R.copies(keyed), 13, 5)
     edges = R.compacted(R.repeated_edges(found)).orderBy("path", "place").collect()
     paths = {}
     for e in edges:
