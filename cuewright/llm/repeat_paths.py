@@ -51,7 +51,7 @@ SOURCE = ["src", "src_twin", "src_pos"]
 
 
 def windows(texts: pa.Array, width: int, core: int) -> tuple[np.ndarray, ...]:
-    """(row, word number, left node, right node, core) of every window."""
+    """(row, word number, left node, right node, core, whether the window before has the same one) of every window."""
     body, at = utf8(texts)
     starts, ends, row = words(body, at, NOT_BLANK)
     hashes = span_hashes(body, starts, ends)
@@ -67,7 +67,9 @@ def windows(texts: pa.Array, width: int, core: int) -> tuple[np.ndarray, ...]:
         np.minimum(least, order[k : k + n], out=least)
     owner = (low - (least[whole] & low)).astype(np.int64)
     place = whole - np.searchsorted(row, row[whole])
-    return row[whole], place, nodes[whole], nodes[whole + 1], grams[owner].view(np.int64)
+    shared = np.zeros(len(whole), bool)
+    shared[1:] = owner[1:] == owner[:-1]
+    return row[whole], place, nodes[whole], nodes[whole + 1], grams[owner].view(np.int64), shared
 
 
 def keyed(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -89,7 +91,8 @@ def cores(rows: DataFrame, width: int, core: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches, "text"):
-            row, *_, found = windows(batch.column("text"), width, core)
+            row, *_, found, shared = windows(batch.column("text"), width, core)
+            row, found = row[~shared], found[~shared]
             _, once = np.unique(found.view(np.uint64) + mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)
             keys = [batch.column(c).to_numpy(zero_copy_only=False)[row[once]] if len(once) else [] for c in KEY]
             yield pa.RecordBatch.from_arrays([pa.array(found[once], pa.int64()), *[pa.array(k, pa.int64()) for k in keys]], ["core", *KEY])
@@ -98,36 +101,41 @@ def cores(rows: DataFrame, width: int, core: int) -> DataFrame:
 
 
 def candidates(rows: DataFrame, copied: DataFrame, width: int, core: int) -> DataFrame:
-    """(id, twin, pos, l, r, again) of every window whose core stands in several documents, copies left out;
-    again: not the first of its row."""
+    """(id, twin, text, cores) of rows that are no copies, with their cores that stand in several documents."""
+    found = cores(rows, width, core)
+    often = found.groupBy("core").count().where("count > 1").select("core")
+    # the repeated cores are written, so that the join of a core that many documents share can be split
+    # in which each stands once, so hash tables of them are even
+    wanted = found.join(stored(often, "repeated-cores").hint("shuffle_hash"), "core", "left_semi")
+    lists = wanted.groupBy(*KEY).agg(F.collect_set("core").alias("cores"))  # fewer than the words of one text
+    texts = rows.join(lists.join(copied, KEY, "left_anti"), KEY).dropDuplicates(KEY)
+    return stored(texts, "candidates")
+
+
+def repeatable(rows: DataFrame, width: int, core: int, once: bool) -> DataFrame:
+    """(id, twin, pos, l, r) of all windows with one of their row's cores; once: one of equal windows of a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches, "text"):
-            row, place, left, right, found = windows(batch.column("text"), width, core)
-            known = batch.column("cores")
-            keep = np.isin(found, known.flatten().to_numpy())
+            row, place, left, right, found, _ = windows(batch.column("text"), width, core)
+            keep = np.isin(found, batch.column("cores").flatten().to_numpy())
             row, place, left, right = row[keep], place[keep], left[keep], right[keep]
-            order = np.lexsort((place, right, left, row))
-            again = np.zeros(len(row), bool)
-            same = (row[order[1:]] == row[order[:-1]]) & (left[order[1:]] == left[order[:-1]]) & (right[order[1:]] == right[order[:-1]])
-            again[order[1:][same]] = True
+            if once:
+                key = mix(left.view(np.uint64)) + right.view(np.uint64) + mix(row.astype(np.uint64) + np.uint64(1))
+                order = np.argsort(key, kind="stable")
+                same = (row[order[1:]] == row[order[:-1]]) & (left[order[1:]] == left[order[:-1]]) & (right[order[1:]] == right[order[:-1]])
+                fresh = np.ones(len(row), bool)
+                fresh[order[1:][same]] = False
+                row, place, left, right = row[fresh], place[fresh], left[fresh], right[fresh]
             keys = [batch.column(c).to_numpy(zero_copy_only=False)[row] if len(row) else [] for c in KEY]
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(k, pa.int64()) for k in keys], pa.array(place, pa.int32()), pa.array(left), pa.array(right), pa.array(again)], [*KEY, "pos", "l", "r", "again"]
-            )
+            yield pa.RecordBatch.from_arrays([*[pa.array(k, pa.int64()) for k in keys], pa.array(place, pa.int32()), pa.array(left), pa.array(right)], [*KEY, "pos", "l", "r"])
 
-    found = cores(rows, width, core)
-    often = found.groupBy("core").count().where("count > 1").select("core")
-    # the repeated cores are written, so that the join of a core that many documents share can be split
-    wanted = found.join(stored(often, "repeated-cores"), "core", "left_semi")
-    lists = wanted.groupBy(*KEY).agg(F.collect_set("core").alias("cores"))  # fewer than the words of one text
-    texts = rows.join(lists.join(copied, KEY, "left_anti"), KEY).dropDuplicates(KEY)
-    return stored(texts, "candidates").mapInArrow(run, "id long, twin long, pos int, l long, r long, again boolean")
+    return rows.mapInArrow(run, "id long, twin long, pos int, l long, r long")
 
 
 def repeated_edges(found: DataFrame) -> DataFrame:
     """(l, r, src, src_twin, src_pos) of every edge that two ids hold."""
-    first = found.where("NOT again").groupBy("l", "r").agg(
+    first = found.groupBy("l", "r").agg(
         F.min("id").alias("src"), F.max("id").alias("_last"), F.min_by("twin", "id").alias("src_twin"), F.min_by("pos", "id").alias("src_pos")
     )
     return stored(first.where("src < _last").drop("_last"), "edges")
@@ -206,9 +214,11 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     """(id, twin, spans, copy): word spans that windows of smaller ids cover, each (start, end, path, place on the path)."""
     rows = keyed(df, id_col, text).where("id IS NOT NULL AND text IS NOT NULL")
     copied = copies(rows)
-    found = candidates(rows, copied, width, core)
-    edges = compacted(repeated_edges(found))
-    hits = found.drop("again").join(edges, ["l", "r"]).where("src < id").select(*KEY, "pos", "path", "place")
+    texts = candidates(rows, copied, width, core)
+    edges = compacted(repeated_edges(repeatable(texts, width, core, once=True)))
+    found = repeatable(texts, width, core, once=False)
+    # each edge stands once among the edges, so hash tables of them are even
+    hits = found.join(edges.hint("shuffle_hash"), ["l", "r"]).where("src < id").select(*KEY, "pos", "path", "place")
     # windows that walk along a path word by word
     along = Window.partitionBy(*KEY).orderBy("pos")
     before = lambda c: F.lag(c).over(along)

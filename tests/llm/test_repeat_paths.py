@@ -67,7 +67,7 @@ def test_paths_are_compact_and_in_step(spark):
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     keyed = R.keyed(df, "doc_id", "text")
-    found = R.candidates(keyed, R.copies(keyed), 13, 5)
+    found = R.repeatable(R.candidates(keyed, R.copies(keyed), 13, 5), 13, 5, once=True)
     edges = R.compacted(R.repeated_edges(found)).orderBy("path", "place").collect()
     paths = {}
     for e in edges:
