@@ -191,3 +191,9 @@ def kpis(events: DataFrame, length: str, slide: str | None = None) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("rtf").alias("rtf_sum"), F.max("rtf").alias("rtf_max")
     ).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "kind", "n", "rtf_sum", "rtf_max")
 
+
+def activity(events: DataFrame, gap: str) -> DataFrame:
+    """Stretches of a session without a pause of more than ``gap``; also works on a stream with a watermark."""
+    return events.groupBy(SESSION, F.session_window("ts", gap).alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("rtf").alias("rtf_sum"), F.max("rtf").alias("rtf_max"), F.count_if("sentence_final").alias("sentences")
+    ).select(SESSION, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "rtf_sum", "rtf_max", "sentences")

@@ -39,8 +39,24 @@ def hot(spark, d):
     return B.hot_users(spark, d, "session_id")
 
 
-def event_stream(spark, d):
-    return shape(jobs.stream_table(spark, d, "events"))
+#: How far behind the newest row a streamed row may arrive.
+LATENESS = "2 days"
+PARTS = 4
+
+
+def arrivals(spark, d):
+    """The events in four parts as they arrive: most at once, some half a day late, some five days."""
+    e = B.table(spark, d, "events")
+    at, last = F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id") % 10
+    low, high = e.agg(F.min(at), F.max(at)).first()
+    delay = F.when(last == 0, 5 * 86_400_000_000).when(last < 3, 43_200_000_000).otherwise(0)
+    part = F.least(F.lit(PARTS - 1), F.floor((at + delay - low) / F.lit((high - low) // PARTS + 1)))
+    return [shape(e.where(part == i)) for i in range(PARTS)]
+
+
+def streamed(spark, d, processor, of=lambda e: e):
+    """What a processor makes of the events in time, up to the watermark."""
+    return jobs.behind_watermark(arrivals(spark, d), LATENESS, lambda e: jobs.keyed(of(e), processor, LATENESS))[0]
 
 
 def synth(df):
@@ -155,46 +171,68 @@ def windowed_kpis(spark, d):
 
 
 def stream_stale_discard(spark, d):
-    return jobs.run_available(jobs.keyed(synth(event_stream(spark, d)), processors.StaleFilter), "stale")
+    return streamed(spark, d, processors.StaleFilter, synth)
 
 
 def stream_playback(spark, d):
-    p = jobs.run_available(jobs.keyed(event_stream(spark, d), processors.Playback), "playback")
+    p = streamed(spark, d, processors.Playback)
     return p.select("session_id", "seq", F.round("gap", 5).alias("gap"), "underrun", F.round("rolling_rtf", 6).alias("rolling_rtf"))
 
 
 def stream_sentence_buffer(spark, d):
-    s = jobs.run_available(jobs.keyed(event_stream(spark, d), processors.SentenceBuffer), "sentences")
+    s = streamed(spark, d, processors.SentenceBuffer)
     return s.select("session_id", "sentence", "frames", F.round("seconds", 6).alias("seconds"), "last_seq")
 
 
 def stream_batch_states(spark, d):
     """Last emitted state of each started item."""
-    s = jobs.run_available(jobs.keyed(event_stream(spark, d), processors.BatchMachine), "items")
+    s = streamed(spark, d, processors.BatchMachine)
     return s.groupBy("session_id", "item_index").agg(F.max_by("state", F.struct("seq")).alias("state"))
 
 
 def stream_ingest(spark, d):
-    raw = jobs.stream_table(spark, d, "documents").select(
+    """Deliveries in three parts; two of them bring many revisions again."""
+    raw = B.table(spark, d, "documents").select(
         F.col("source").alias("project_id"), F.concat_ws("/", "lang", F.floor(F.col("n_chars") / 50).cast("string")).alias("path"),
         F.sha2("text", 256).alias("sha256"), F.col("doc_id").alias("seq"),
     )
+    again = raw.withColumn("seq", F.col("seq") + 1_000_000_000)
+    parts = [raw.where("seq % 3 = 0"), raw.where("seq % 3 = 1").unionByName(again.where("seq % 2 = 0")), raw.where("seq % 3 = 2").unionByName(again)]
     base = scratch_path(spark, "ingest")
-    jobs.ingest(raw, f"{base}/store", f"{base}/state").awaitTermination()
+    jobs.deliver(parts, f"{base}/inbox", [lambda: jobs.ingest(jobs.folder_stream(spark, f"{base}/inbox", raw.schema), f"{base}/store", f"{base}/state")])
     return spark.read.parquet(f"{base}/store").select("project_id", "path", "sha256", "seq")
 
 
 def stream_kpis(spark, d):
-    """All windows, also those the watermark has not closed yet (complete mode)."""
-    k = jobs.windowed_kpis(event_stream(spark, d), "1 day", None, "2 days")
-    base = scratch_path(spark, "kpis")
+    """Closed days, each emitted once."""
+    return plain_times(jobs.behind_watermark(arrivals(spark, d), LATENESS, lambda e: jobs.windowed_kpis(e, "1 day", None, LATENESS))[0])
+
+
+def stream_sliding_kpis(spark, d):
+    return plain_times(jobs.behind_watermark(arrivals(spark, d), LATENESS, lambda e: jobs.windowed_kpis(e, "1 day", "12 hours", LATENESS))[0])
+
+
+def plain_activity(k):
+    bounds = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")]
+    return k.select("session_id", *bounds, "n", F.round("rtf_sum", 6).alias("rtf_sum"), "rtf_max", "sentences")
+
+
+GAP = "6 hours"
+
+
+def session_windows(spark, d):
+    return plain_activity(S.activity(events(spark, d), GAP))
+
+
+def stream_session_windows(spark, d):
+    """Closed stretches of activity."""
+    return plain_activity(jobs.behind_watermark(arrivals(spark, d), LATENESS, lambda e: jobs.session_kpis(e, GAP, LATENESS))[0])
 
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{base}/out")
 
-    q = k.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return plain_times(spark.read.parquet(f"{base}/out"))
+def stream_late_rows(spark, d):
+    """The side table: rows too late for the windows, by the part they came in."""
+    late = jobs.behind_watermark(arrivals(spark, d), LATENESS, lambda e: jobs.windowed_kpis(e, "1 day", None, LATENESS))[1]
+    return late.groupBy("session_id", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.sum("seq").alias("seq_sum"))
 
 
 # ---- files and manifests ------------------------------------------------------------------------
@@ -345,6 +383,32 @@ def deterministic_order(spark, d):
     return r.select(*at, F.col("line").alias("output_line"))
 
 
+# What the streams see: parts by arrival, rows behind the horizon left out, results up to the last watermark (milliseconds).
+ARRIVED = f"""
+span AS (SELECT min(epoch_us(ts)) AS low, (max(epoch_us(ts)) - min(epoch_us(ts))) // {PARTS} + 1 AS width FROM events),
+arrived AS (SELECT e.*, least({PARTS - 1}, (epoch_us(ts) + CASE WHEN event_id % 10 = 0 THEN 5 * 86400000000 WHEN event_id % 10 < 3 THEN 43200000000 ELSE 0 END - low) // width) AS part FROM events e, span),
+newest AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL '{LATENESS}' AS horizon FROM arrived GROUP BY part),
+timed AS (SELECT a.*, coalesce(a.ts < n.horizon, false) AS late FROM arrived a JOIN newest n ON n.part = a.part),
+seen AS (SELECT * FROM timed WHERE NOT late),
+mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '{LATENESS}' AS mark FROM seen)"""
+SEEN = EV.replace("FROM events", "FROM seen")
+DUE = "date_trunc('milliseconds', ts) <= (SELECT mark FROM mark)"
+
+
+def of_seen(*parts, tail):
+    """The batch twin over the rows that a stream sees."""
+    return B.with_sql(ARRIVED, SEEN, *parts, tail=tail)
+
+
+ACTIVE = """
+gaps AS (SELECT *, coalesce(ts > lag(ts) OVER w + INTERVAL '6 hours', true)::INT AS opens FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY ts, seq)),
+stretches AS (SELECT *, sum(opens) OVER (PARTITION BY session_id ORDER BY ts, seq) AS stretch FROM gaps),
+active AS (SELECT session_id, min(ts)::TIMESTAMP AS start, max(ts)::TIMESTAMP + INTERVAL '6 hours' AS "end", count(*) AS n, round(sum(rtf),6) AS rtf_sum, max(rtf) AS rtf_max,
+  count(*) FILTER (event_type='purchase') AS sentences FROM stretches GROUP BY session_id, stretch)"""
+WINDOWS = """w AS (SELECT *, unnest([time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01') - INTERVAL '12 hours']) AS st FROM ev)"""
+STALE_ROWS = STALE_SQL[STALE_SQL.index("tracked AS"):STALE_SQL.rindex("SELECT session_id, seq")]
+SENT_ROWS = SENT_SQL[SENT_SQL.index("sn AS"):SENT_SQL.rindex("SELECT session_id, CAST(sentence")]
+CLOSED = 'WHERE "end" <= (SELECT mark FROM mark)'
 CSV_SQL = "\nUNION ALL ".join(f"SELECT mode, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM z" for m in sinks.CSV_METRICS)
 PF = "pf AS (SELECT *, url || '#' || page_id AS path FROM pages)"
 QUERIES = {
@@ -364,12 +428,24 @@ QUERIES = {
         row_number() OVER (PARTITION BY n>6 ORDER BY n DESC, conv_id DESC) AS r FROM cn WHERE n%4<>0) q WHERE r=1""")),
     "windowed_kpis": (windowed_kpis, B.with_sql(EV, """w AS (SELECT *, unnest([time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01') - INTERVAL '12 hours']) AS st FROM ev)""",
         tail="""SELECT st AS start, st + INTERVAL '1 day' AS "end", kind, count(*) AS n, round(sum(rtf),6) AS rtf_sum, max(rtf) AS rtf_max FROM w GROUP BY ALL""")),
-    "stream_stale_discard": (stream_stale_discard, STALE_SQL),
-    "stream_playback": (stream_playback, B.with_sql(EV, PLAY, tail="SELECT session_id, seq, round(gap,5) AS gap, underrun, round(roll,6) AS rolling_rtf FROM played")),
-    "stream_sentence_buffer": (stream_sentence_buffer, SENT_SQL),
-    "stream_batch_states": (stream_batch_states, B.with_sql(EV, STATE, tail="SELECT session_id, item_index, CASE WHEN nxt='complete' THEN 'PASS' WHEN nxt='issue' THEN 'ISSUE' ELSE 'PLAYING' END AS state FROM started")),
-    "stream_ingest": (stream_ingest, B.with_sql(DELIVERIES_SQL, tail="SELECT project_id, path, sha256, min(seq) AS seq FROM deliveries GROUP BY ALL")),
-    "stream_kpis": (stream_kpis, B.with_sql(EV, tail="""SELECT date_trunc('day', ts)::TIMESTAMP AS start, date_trunc('day', ts)::TIMESTAMP + INTERVAL '1 day' AS "end", kind, count(*) AS n, round(sum(rtf),6) AS rtf_sum, max(rtf) AS rtf_max FROM ev GROUP BY ALL""")),
+    "session_windows": (session_windows, B.with_sql(EV, ACTIVE, tail="SELECT * FROM active")),
+    "stream_stale_discard": (stream_stale_discard, of_seen(STALE_ROWS, tail=f"""SELECT session_id, seq, generation_id, coalesce(moved, opening) AS current_generation, generation_id <> coalesce(moved, opening) AS stale
+        FROM tracked WHERE event_type <> 'signup' AND {DUE}""")),
+    "stream_playback": (stream_playback, of_seen(PLAY, tail=f"SELECT session_id, seq, round(gap,5) AS gap, underrun, round(roll,6) AS rolling_rtf FROM played WHERE {DUE}")),
+    "stream_sentence_buffer": (stream_sentence_buffer, of_seen(SENT_ROWS, tail=f"""SELECT session_id, CAST(sentence AS BIGINT) AS sentence, count(*) AS frames, round(sum(rtf),6) AS seconds, max(seq) AS last_seq
+        FROM sn WHERE {DUE} GROUP BY session_id, sentence HAVING bool_or(event_type='purchase')""")),
+    "stream_batch_states": (stream_batch_states, of_seen(STATE.replace("fl AS", f"due AS (SELECT * FROM ev WHERE {DUE}),\nfl AS").replace("FROM ev),\nlive", "FROM due),\nlive"),
+        tail="SELECT session_id, item_index, CASE WHEN nxt='complete' THEN 'PASS' WHEN nxt='issue' THEN 'ISSUE' ELSE 'PLAYING' END AS state FROM started")),
+    "stream_ingest": (stream_ingest, B.with_sql(DELIVERIES_SQL, tail="""SELECT project_id, path, sha256, min_by(seq, struct_pack(p := part, s := seq)) AS seq FROM (
+        SELECT project_id, path, sha256, seq, CASE seq % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS part FROM deliveries UNION ALL
+        SELECT project_id, path, sha256, seq + 1000000000, 1 FROM deliveries WHERE (seq + 1000000000) % 2 = 0 UNION ALL
+        SELECT project_id, path, sha256, seq + 1000000000, 2 FROM deliveries) q GROUP BY ALL""")),
+    "stream_kpis": (stream_kpis, of_seen(tail=f"""SELECT * FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS start, date_trunc('day', ts)::TIMESTAMP + INTERVAL '1 day' AS "end", kind, count(*) AS n, round(sum(rtf),6) AS rtf_sum, max(rtf) AS rtf_max
+        FROM ev GROUP BY ALL) q {CLOSED}""")),
+    "stream_sliding_kpis": (stream_sliding_kpis, of_seen(WINDOWS, tail=f"""SELECT * FROM (SELECT st AS start, st + INTERVAL '1 day' AS "end", kind, count(*) AS n, round(sum(rtf),6) AS rtf_sum, max(rtf) AS rtf_max FROM w GROUP BY ALL) q {CLOSED}""")),
+    "stream_session_windows": (stream_session_windows, of_seen(ACTIVE, tail=f"SELECT * FROM active {CLOSED}")),
+    "stream_late_rows": (stream_late_rows, B.with_sql(ARRIVED, tail="""SELECT user_id AS session_id, CAST(part AS INT) AS batch, count(*) AS n, min(event_id) AS first_seq, CAST(sum(event_id) AS BIGINT) AS seq_sum
+        FROM timed WHERE late GROUP BY ALL""")),
     "scan_takes": (scan_takes, B.with_sql(*SCORED, tail="""SELECT block_id, phrase_id, take_id, ok, why, CAST(n_syl AS DOUBLE) AS n_syl, numeric_heavy, round(range_st,6) AS range_st, end_slope, round(tail_delta,6) AS tail_delta, CAST(NULL AS DOUBLE) AS absent
         FROM scored WHERE NOT (question AND (forced OR sentence_final))""")),
     "discover_takes": (discover_takes, B.with_sql(*SCORED, tail="""SELECT CASE WHEN forced THEN 'take_json_error:JSONDecodeError' ELSE 'take_json_error:ValueError' END AS error, count(*) AS files FROM scored WHERE question AND (forced OR sentence_final) GROUP BY ALL""")),

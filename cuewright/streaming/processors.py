@@ -1,14 +1,17 @@
-"""Keyed state for live sessions.
-
-A processor keeps a few values per session: the current generation, the last
-finish time and at most ten factors, or the open sentence. Rows of one
-micro-batch may arrive in any order, so each call sorts what it got; bound the
-batch with the source's ``maxFilesPerTrigger`` / ``maxBytesPerTrigger``.
+"""Keyed state for live sessions, in event-time order.
+
+Rows of a session may arrive in any order within the allowed lateness. Each waits
+in list state until the watermark has passed it; an event-time timer then hands
+the rows that are due to the rule in order, so a row's result never depends on
+how rows were cut into batches. Rows are appended to state chunk by chunk as
+they arrive. What waits is bounded by the lateness, what a rule itself keeps by
+a few values: the current generation, the last finish time and at most ten
+factors, the open sentence, or the items re-opened out of turn.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,22 +20,87 @@ ROLLING = 10
 UNDERRUN_SECONDS = 0.02
 
 
-def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
+class InOrder(StatefulProcessor):
+    """Buffers rows behind the watermark; a subclass sees them once, sorted by time and ``seq``.
+
+    ``INPUT`` names the columns a rule reads, ``seq`` first; ``OUTPUT`` its result,
+    the key first. The input's ``at`` is the event time in microseconds.
+    """
+
+    INPUT: dict[str, str]
+    OUTPUT: str
+
+    def opened(self, handle: StatefulProcessorHandle) -> None:
+        """Declares the rule's own state."""
 
+    def handle_due(self, key, rows: Iterable[tuple]) -> list[tuple]:
+        """Results of the rows that are due; rows are tuples of the ``INPUT`` columns."""
+        raise NotImplementedError
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        columns = ", ".join(f"{name} {kind}" for name, kind in self.INPUT.items())
+        self.waiting = handle.getListState("waiting", f"at bigint, {columns}")
+        self.timer = handle.getValueState("timer", "at bigint")
+        self.opened(handle)
+
+    def _wake(self, at: int) -> None:
+        """A timer for the earliest waiting row, unless an earlier one is set."""
+        known = self.timer.get()[0] if self.timer.exists() else None
+        if known is None or at < known:
+            self.handle.registerTimer(at // 1000)
+            self.timer.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for chunk in rows:
+            if len(chunk):
+                held = chunk[["at", *self.INPUT]].astype(object)
+                self.waiting.appendList(list(held.where(held.notna(), None).itertuples(index=False, name=None)))
+                first = int(chunk["at"].min())
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self._wake(earliest)
+        yield self._made([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        due, later = [], []
+        for row in self.waiting.get() if self.waiting.exists() else ():
+            (due if row[0] // 1000 <= now else later).append(tuple(row))
+        out = []
+        if due:
+            due.sort(key=lambda row: row[:2])
+            out = self.handle_due(key, [row[1:] for row in due])
+            if later:
+                self.waiting.put(later)
+            else:
+                self.waiting.clear()
+        self.timer.clear()
+        if later:
+            self._wake(min(row[0] for row in later))
+        yield self._made(out)
 
-class StaleFilter(StatefulProcessor):
+    def _made(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[part.split()[0] for part in self.OUTPUT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+class StaleFilter(InOrder):
     """Marks results of a generation the session has left."""
 
+    INPUT = {"seq": "bigint", "kind": "string", "generation_id": "string"}
     OUTPUT = "session_id bigint, seq bigint, generation_id string, current_generation string, stale boolean"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def opened(self, handle):
         self.current = handle.getValueState("current", "generation_id string")
 
-    def handleInputRows(self, key, rows, timerValues):
+    def handle_due(self, key, rows):
         current = self.current.get()[0] if self.current.exists() else None
         out = []
-        for seq, kind, generation in _ordered(rows)[["seq", "kind", "generation_id"]].itertuples(index=False):
+        for seq, kind, generation in rows:
             if kind == "invalidate":
                 current = generation
             else:
@@ -40,73 +108,67 @@ class StaleFilter(StatefulProcessor):
                 out.append((key[0], seq, generation, current, generation != current))
         if current is not None:
             self.current.update((current,))
-        yield pd.DataFrame(out, columns=["session_id", "seq", "generation_id", "current_generation", "stale"])
-
-    def close(self) -> None:
-        pass
+        return out
 
 
-class Playback(StatefulProcessor):
+class Playback(InOrder):
     """Gap, underrun and rolling factor of each phrase; state is one time and ten factors."""
 
+    INPUT = {"seq": "bigint", "start": "double", "finish": "double", "rtf": "double"}
     OUTPUT = "session_id bigint, seq bigint, gap double, underrun boolean, rolling_rtf double"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def opened(self, handle):
         self.finished = handle.getValueState("finished", "finish double")
         self.factors = handle.getListState("factors", "rtf double")
 
-    def handleInputRows(self, key, rows, timerValues):
+    def handle_due(self, key, rows):
         last = self.finished.get()[0] if self.finished.exists() else None
         recent = [r[0] for r in self.factors.get()] if self.factors.exists() else []
         out = []
-        for seq, start, finish, rtf in _ordered(rows)[["seq", "start", "finish", "rtf"]].itertuples(index=False):
+        for seq, start, finish, rtf in rows:
             gap = None if last is None else max(0.0, start - last)
             recent = [*recent, rtf][-ROLLING:]
             out.append((key[0], seq, gap, gap is not None and gap > UNDERRUN_SECONDS, sum(recent) / len(recent)))
             last = finish
         self.finished.update((last,))
         self.factors.put([(r,) for r in recent])
-        yield pd.DataFrame(out, columns=["session_id", "seq", "gap", "underrun", "rolling_rtf"])
-
-    def close(self) -> None:
-        pass
+        return out
 
 
-class SentenceBuffer(StatefulProcessor):
-    """Emits a sentence when its final frame arrives; state is the open sentence's totals."""
+class SentenceBuffer(InOrder):
+    """Emits a sentence when its final frame is due; state is the open sentence's totals."""
 
+    INPUT = {"seq": "bigint", "sentence_final": "boolean", "seconds": "double"}
     OUTPUT = "session_id bigint, sentence bigint, frames bigint, seconds double, last_seq bigint"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "sentence bigint, frames bigint, seconds double, last_seq bigint")
+    def opened(self, handle):
+        self.begun = handle.getValueState("open", "sentence bigint, frames bigint, seconds double, last_seq bigint")
 
-    def handleInputRows(self, key, rows, timerValues):
-        number, frames, seconds, top = self.open.get() if self.open.exists() else (0, 0, 0.0, -1)
+    def handle_due(self, key, rows):
+        number, frames, seconds, top = self.begun.get() if self.begun.exists() else (0, 0, 0.0, -1)
         out = []
-        for seq, final, length in _ordered(rows)[["seq", "sentence_final", "seconds"]].itertuples(index=False):
+        for seq, final, length in rows:
             frames, seconds, top = frames + 1, seconds + length, max(top, seq)
             if final:
                 out.append((key[0], number, frames, seconds, top))
                 number, frames, seconds, top = number + 1, 0, 0.0, -1
-        self.open.update((number, frames, seconds, top))
-        yield pd.DataFrame(out, columns=["session_id", "sentence", "frames", "seconds", "last_seq"])
+        self.begun.update((number, frames, seconds, top))
+        return out
 
-    def close(self) -> None:
-        pass
 
-
-class BatchMachine(StatefulProcessor):
+class BatchMachine(InOrder):
     """Walks a session's items through their states; emits each item when it changes."""
 
+    INPUT = {"seq": "bigint", "kind": "string"}
     OUTPUT = "session_id bigint, seq bigint, item_index bigint, state string"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def opened(self, handle):
         self.place = handle.getValueState("place", "next bigint, active bigint, paused boolean")
 
-    def handleInputRows(self, key, rows, timerValues):
+    def handle_due(self, key, rows):
         nxt, active, paused = self.place.get() if self.place.exists() else (1, 0, False)
         out = []
-        for seq, kind in _ordered(rows)[["seq", "kind"]].itertuples(index=False):
+        for seq, kind in rows:
             if kind in ("pause", "continue"):
                 paused = kind == "pause"
             elif kind == "start" and not paused:
@@ -116,7 +178,4 @@ class BatchMachine(StatefulProcessor):
                 out.append((key[0], seq, active, "ISSUE" if kind == "issue" else "PASS"))
                 active = 0
         self.place.update((nxt, active, paused))
-        yield pd.DataFrame(out, columns=["session_id", "seq", "item_index", "state"])
-
-    def close(self) -> None:
-        pass
+        return out

@@ -1,6 +1,6 @@
-"""Streams that see the events in several micro-batches agree with the batch operators."""
+"""Streams that see the events shuffled over several micro-batches agree with the batch operators."""
 
-import uuid
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,39 +10,37 @@ from cuewright.plans import session_queries as Q
 from cuewright.streaming import jobs, processors
 
 SF = "/root/testdata/sf0.001"
+LATENESS = "60 days"
 
 
 @pytest.fixture(scope="module")
-def split(spark, tmp_path_factory):
-    """The events in four files, in time order, so that state must carry over."""
-    root = tmp_path_factory.mktemp("events")
+def parts(spark):
+    """The events shuffled over four parts, and a row of another session that lets the watermark pass them all."""
     e = spark.read.parquet(f"{SF}/events.parquet")
-    cuts = e.approxQuantile("event_id", [0.25, 0.5, 0.75], 0.0)
-    bounds = [-1, *cuts, 1e18]
-    for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
-        e.where((F.col("event_id") > low) & (F.col("event_id") <= high)).coalesce(1).write.parquet(f"{root}/part={i}")
-    return str(root)
+    last = e.orderBy("event_id").limit(1).withColumns({"user_id": F.lit(-1).cast("long"), "ts": (F.col("ts") + F.expr("INTERVAL 200 days")).cast(e.schema["ts"].dataType)})
+    return [Q.shape(x) for x in [*[e.where(F.pmod(F.hash("event_id"), F.lit(4)) == i) for i in range(4)], last]]
 
 
-def stream(spark, root):
-    schema = spark.read.parquet(f"{SF}/events.parquet").schema
-    return Q.shape(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(root))
+def run(parts, processor, of=lambda e: e):
+    out, late = jobs.behind_watermark(parts, LATENESS, lambda e: jobs.keyed(of(e), processor, LATENESS))
+    assert late.count() == 0
+    return out.where("session_id >= 0")
 
 
 def rows(df):
     return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
 
 
-def test_stale(spark, split):
-    got = jobs.run_available(jobs.keyed(Q.synth(stream(spark, split)), processors.StaleFilter), "t")
+def test_stale(spark, parts):
+    got = run(parts, processors.StaleFilter, Q.synth)
     want = S.discard_stale(Q.synth(Q.events(spark, SF)))
     cols = ["session_id", "seq", "generation_id", "stale"]
     assert rows(got.select(*cols)) == rows(want.select(*cols))
     assert got.where("stale").count() > 0
 
 
-def test_playback(spark, split):
-    got = jobs.run_available(jobs.keyed(stream(spark, split), processors.Playback), "t")
+def test_playback(spark, parts):
+    got = run(parts, processors.Playback)
     want = S.playback(Q.events(spark, SF))
     cols = ["session_id", "seq", "underrun", F.coalesce("gap", F.lit(-1.0)), "rolling_rtf"]
     assert rows(got.select(*cols)) == rows(want.select(*cols))
@@ -54,14 +52,14 @@ def test_playback_buckets(spark, monkeypatch):
     assert rows(S.playback(Q.events(spark, SF)).select("session_id", "seq", "rolling_rtf", F.coalesce("gap", F.lit(-1.0)))) == want
 
 
-def test_sentences(spark, split):
-    got = jobs.run_available(jobs.keyed(stream(spark, split), processors.SentenceBuffer), "t")
+def test_sentences(spark, parts):
+    got = run(parts, processors.SentenceBuffer)
     cols = ["session_id", "sentence", "frames", "seconds", "last_seq"]
     assert rows(got.select(*cols)) == rows(S.sentence_buffer(Q.events(spark, SF)).select(*cols))
 
 
-def test_items(spark, split):
-    got = jobs.run_available(jobs.keyed(stream(spark, split), processors.BatchMachine), "t")
+def test_items(spark, parts):
+    got = run(parts, processors.BatchMachine)
     last = got.groupBy("session_id", "item_index").agg(F.max_by("state", "seq").alias("state"))
     e = Q.events(spark, SF)
     many = e.select("session_id").distinct().select("session_id", F.explode(F.sequence(F.lit(1), F.lit(300))).alias("item_index"))
@@ -103,17 +101,48 @@ def test_ingest_over_batches_and_restart(spark, tmp_path):
     run = lambda: jobs.ingest(spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).json(src), store, state).awaitTermination()
     run()
     put([("p", "a", "1", 4), ("p", "a", "2", 5)])
+    put([("p", "b", "1", 0), (None, "a", "1", 6), (None, "a", "1", 7)])
     run()
-    got = spark.read.parquet(store).select("path", "sha256", "seq").collect()
-    assert sorted(map(tuple, got)) == [("a", "1", 1), ("a", "2", 5), ("b", "1", 3)]
-
-
-def test_windows_drop_late_rows(spark, tmp_path):
-    src = f"{tmp_path}/{uuid.uuid4().hex}"
-    shape = "ts timestamp, kind string, rtf double"
-    for day, rtf in (("2024-01-01 00:10:00", 1.0), ("2024-01-05 00:00:00", 2.0), ("2024-01-06 00:00:00", 16.0), ("2024-01-01 00:20:00", 4.0), ("2024-01-09 00:00:00", 8.0)):
-        spark.createDataFrame([(day, "start", rtf)], "ts string, kind string, rtf double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(src)
-    s = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(src)
-    out = jobs.run_available(jobs.windowed_kpis(s, "1 day", None, "1 day"), "late")
-    sums = {str(r["start"]): r["rtf_sum"] for r in out.collect()}
-    assert sums["2024-01-01 00:00:00"] == 1.0 and sums["2024-01-05 00:00:00"] == 2.0
+    got = spark.read.parquet(store).select("project_id", "path", "sha256", "seq").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("p", "a", "1", 1), ("p", "a", "2", 5), ("p", "b", "1", 3), (None, "a", "1", 6)], key=str)
+    # nothing of the store is read: with its files gone, what was delivered is still known
+    moved = f"{tmp_path}/other"
+    put([("p", "a", "2", 9), ("p", "c", "1", 10)])
+    jobs.ingest(spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).json(src), moved, state).awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(moved).select("path", "seq").collect()] == [("c", 10)]
+
+
+def at(*times):
+    return [datetime.fromisoformat(f"2024-01-{t}") for t in times]
+
+
+def events_of(spark, times):
+    made = [(1, t, i, "start", 1.0, False) for i, t in enumerate(times)]
+    return spark.createDataFrame(made, "session_id long, ts timestamp, seq long, kind string, rtf double, sentence_final boolean").coalesce(1)
+
+
+def test_late_rows_go_to_the_side_table(spark):
+    parts = [events_of(spark, at("01 00:10", "05 00:00")), events_of(spark, at("06 00:00", "04 00:00", "03 23:59")), events_of(spark, at("01 00:20", "09 00:00"))]
+    out, late = jobs.behind_watermark(parts, "1 day", lambda e: jobs.windowed_kpis(e, "1 day", None, "1 day"))
+    assert {r["start"].day: r["n"] for r in out.collect()} == {1: 1, 4: 1, 5: 1, 6: 1}
+    assert sorted((r["batch"], r["ts"].day) for r in late.collect()) == [(1, 3), (2, 1)]
+
+
+def test_sessions_merge_over_batches(spark):
+    parts = [events_of(spark, at("01 00:00", "01 08:00")), events_of(spark, at("01 04:00", "02 00:00")), events_of(spark, at("20 00:00"))]
+    out, late = jobs.behind_watermark(parts, "3 days", lambda e: jobs.session_kpis(e, "5 hours", "3 days"))
+    assert sorted((r["start"].hour, r["n"], r["end"].hour) for r in out.collect()) == [(0, 1, 5), (0, 3, 13)] and late.count() == 0
+
+
+def test_a_replayed_batch_moves_no_row(spark, tmp_path):
+    base, inbox = f"{tmp_path}/split", f"{tmp_path}/inbox"
+    first = events_of(spark, at("01 00:00", "05 00:00"))
+    again = lambda: jobs.split_late(jobs.folder_stream(spark, inbox, first.schema), base, "1 day")
+    jobs.deliver([first, events_of(spark, at("02 00:00", "08 00:00"))], inbox, [again])
+    before = sorted(spark.read.parquet(f"{base}/rows").inputFiles())
+    # the last batch's commit is lost, so that it runs again
+    for name in ("1", ".1.crc"):
+        (tmp_path / "split" / "state" / "commits" / name).unlink()
+    again().awaitTermination()
+    assert sorted(spark.read.parquet(f"{base}/rows").inputFiles()) == before
+    assert [r["batch"] for r in jobs.late_rows(spark, base, first.schema).collect()] == [1]
