@@ -1,9 +1,9 @@
 """Order-free fingerprints of whole tables.
 
-One hash over one sorted list would push every row through one task. Here the
-row hashes are ordered inside buckets of equal hash prefix, each bucket is
-hashed, and the bucket hashes are hashed again over shorter prefixes. Equal
-tables give equal digests; bucket sizes follow the hash, never the data's skew.
+The digest of a multiset is its size and, for each of eight parts of the row
+hashes, their sum: one map-side combined aggregate, whatever the skew and
+however many copies a row has. Equal tables give equal digests; tables that
+differ agree only if all eight sums of their hashes (256 bits a row) do.
 """
 
 from __future__ import annotations
@@ -11,28 +11,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEVELS = (5, 2, 0)
+PARTS = 8
 
 
-def _fold(hashes: DataFrame, keys: list[str], prefix: int) -> DataFrame:
-    bucket = F.substring("h", 1, prefix) if prefix else F.lit("")
-    return (
-        hashes.withColumn("_b", bucket)
-        .groupBy(*keys, "_b")
-        .agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list(F.concat("_b", "h")))), 256).alias("h"), F.sum("n").alias("n"))
-        .select(*keys, F.concat("_b", "h").alias("h"), "n")
-    )
+def table_digest(df: DataFrame, row: Column, keys: list[str] | None = None) -> DataFrame:
+    """``digest`` and ``n_rows`` per key of the multiset of ``row`` strings; one row without keys, also for an empty table."""
+    hashed = df.select(*(keys or []), F.sha2(row, 256).alias("_h"))
+    part = lambda i: F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
+    sums = [F.coalesce(F.sum(part(i)), F.lit(0)).cast("decimal(38,0)").alias(f"_s{i}") for i in range(PARTS)]
+    counted = hashed.groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("n_rows"), *sums)
+    text = F.concat_ws(",", F.col("n_rows").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(PARTS)])
+    return counted.select(*(keys or []), F.sha2(text, 256).alias("digest"), "n_rows")
 
 
-def table_digest(df: DataFrame, row: Column, keys: list[str] | None = None, levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """``digest`` and ``n_rows`` per key of the multiset of ``row`` strings.
-
-    Equal rows are counted map-side and enter as one (hash, count) entry, so
-    copies cannot pile up in a bucket.
-    """
-    keys = keys or []
-    counted = df.select(*keys, F.sha2(row, 256).alias("_r")).groupBy(*keys, "_r").agg(F.count(F.lit(1)).alias("n"))
-    hashes = counted.select(*keys, F.sha2(F.concat_ws(":", "_r", F.col("n").cast("string")), 256).alias("h"), "n")
-    for prefix in levels:
-        hashes = _fold(hashes, keys, prefix)
-    return hashes.select(*keys, F.col("h").alias("digest"), F.col("n").alias("n_rows"))
+def digest_sql(rows: str, key: str, row: str) -> str:
+    """SQL twin over a relation with a key and a hex hash a row: the fields ``digest, n_rows`` per key."""
+    sums = ", ".join(f"CAST(sum(CAST('0x' || substr({row}, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(PARTS))
+    return f"SELECT {key}, sha256(concat_ws(',', CAST(count(*) AS VARCHAR), {sums})) AS digest, count(*) AS n_rows FROM {rows} GROUP BY {key}"

@@ -33,21 +33,21 @@ def first_error(*checks: tuple[Column, str]) -> Column:
 
 
 def validate_requests(df: DataFrame) -> DataFrame:
-    """First broken constraint of a request row (text, output_wav, mode, seed, request_id, block_id). An absent seed takes the default."""
+    """Code of the first broken constraint of a request row (text, output_wav, mode, seed, request_id, block_id). An absent seed takes the default."""
     c = F.col
     text = strip(F.coalesce(c("text"), F.lit("")))
     seed = c("seed").try_cast("bigint")
     return df.withColumn(
         "error",
         first_error(
-            (text == "", "text is required"),
-            (F.length(text) > 2000, "text exceeds the 2000-character request limit"),
-            (strip(F.coalesce(c("output_wav"), F.lit(""))) == "", "output_wav is required"),
-            (~F.lower(strip(c("mode"))).isin("fast", "production"), "mode must be 'fast' or 'production'"),
-            (c("seed").isNotNull() & seed.isNull(), "seed must be an integer"),
-            ((seed < 0) | (seed >= 2**31), "seed must be in [0, 2^31)"),
-            (F.length(strip(c("request_id"))).between(1, 128) == F.lit(False), "request_id must contain 1..128 characters"),
-            (~strip(c("block_id")).rlike("^[A-Za-z0-9_-]{1,64}$"), "block_id may contain only letters, digits, '_' and '-'"),
+            (text == "", "text_missing"),
+            (F.length(text) > 2000, "text_too_long"),
+            (strip(F.coalesce(c("output_wav"), F.lit(""))) == "", "output_missing"),
+            (~F.lower(strip(c("mode"))).isin("fast", "production"), "mode_unknown"),
+            (c("seed").isNotNull() & seed.isNull(), "seed_no_integer"),
+            ((seed < 0) | (seed >= 2**31), "seed_out_of_range"),
+            (F.length(strip(c("request_id"))).between(1, 128) == F.lit(False), "request_id_length"),
+            (~strip(c("block_id")).rlike("^[A-Za-z0-9_-]{1,64}$"), "block_id_characters"),
         ),
     )
 

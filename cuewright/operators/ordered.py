@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import cut_lineage
+
 
 def _chunked(df: DataFrame, keys: list[str], chunk: list[Column]) -> tuple[DataFrame, list[str]]:
     """The rows dealt out by (key, chunk), so that no window inherits a layout by key alone."""
@@ -174,6 +176,35 @@ def running_before(
     return _by_heat(df, keys, hot, plain, chunked)
 
 
+def _in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows in sampled ranges of the order, written once; ``_range`` ascends along the order, nulls first."""
+    sorted_rows = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*order)
+    return cut_lineage(sorted_rows.withColumn("_range", F.spark_partition_id()))
+
+
+def running_in_order(df: DataFrame, order: list[str], totals: dict[str, Column], keys: list[str] | None = None) -> DataFrame:
+    """Sums over all earlier rows, per ``keys``, which lead the order; the current row is excluded.
+
+    Ranges are sampled, so tasks are even for any form of the order columns: a hot
+    key spans several ranges. One row per (key, range) says what each inherits.
+    """
+    keys = keys or []
+    rows = _in_ranges(df.withColumns({f"_v_{n}": e for n, e in totals.items()}), order)
+    inside = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    pieces = rows.groupBy(*keys, "_range").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals])
+    inherited = pieces.select(*keys, "_range", *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_i_{n}") for n in totals])
+    local = rows.withColumns({f"_l_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in totals})
+    out = join_null_safe(local, inherited, [*keys, "_range"]).withColumns({n: F.col(f"_i_{n}") + F.col(f"_l_{n}") for n in totals})
+    return out.drop("_range", *[f"{p}{n}" for n in totals for p in ("_v_", "_l_", "_i_")])
+
+
+def number_in_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """1-based number of every row of the table along the order."""
+    before = running_in_order(df, order, {"_before": F.lit(1)})
+    return before.withColumn(name, (F.col("_before") + 1).cast("bigint")).drop("_before")
+
+
 def quantile_neighbours(
     df: DataFrame, keys: list[str], value: str, at: dict[str, float], width: float = 1.0, hot: Hot = None
 ) -> DataFrame:

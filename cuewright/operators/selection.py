@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import math
+from bisect import bisect_left
+from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,7 +14,7 @@ from .. import rules as R
 from ..functions.numeric import outside
 from ..functions.prosody import reset_st
 from ..session import cut_lineage
-from .ordered import Hot, number_rows, ordered_fold, previous_row, running_before
+from .ordered import Hot, join_null_safe, number_rows, ordered_fold, previous_row, running_before, running_in_order
 
 PHRASE = ["project_id", "block_id", "phrase_id"]
 BLOCK = ["project_id", "block_id"]
@@ -85,60 +87,50 @@ def block_median(picks: DataFrame, value: str = "end_slope") -> DataFrame:
     return picks.groupBy(*BLOCK).agg(F.median(value).alias("median_slope"), F.count(F.lit(1)).alias("n_phrases"))
 
 
-def _voiced(hz) -> bool:
-    """A pitch that was measured; nulls arrive as None or NaN."""
-    return hz is not None and hz == hz and hz > 0
+def step_gain(quality: Column, first_hz: Column, previous_last_hz: Column) -> Column:
+    """What a take adds to a sequence: its quality, less what its jump from the take before costs, if both have a pitch."""
+    jump = F.when(first_hz > 0, reset_st(first_hz, previous_last_hz))
+    cost = F.abs(jump - R.RESET_TARGET) * R.RESET_WEIGHT + F.when(outside(jump, R.RESET_BAND), R.RESET_MISS_PENALTY).otherwise(0.0)
+    return quality - F.coalesce(F.nanvl(cost, F.lit(0.0)), F.lit(0.0))
 
 
-def _beam_step(beams, cands):
-    """One phrase: extend up to three (score, last_hz) beams by up to four candidates.
-
-    Without a pitch on both sides there is no reset to judge.
-    """
-    grown = []
-    for slot, (score, last_hz) in enumerate(beams):
-        for take_id, quality, first_hz, own_last in cands:
-            total = score + quality
-            if _voiced(last_hz) and _voiced(first_hz):
-                reset = 12 * math.log2(first_hz / last_hz)
-                if not R.RESET_BAND[0] <= reset <= R.RESET_BAND[1]:
-                    total -= R.RESET_MISS_PENALTY
-                total -= abs(reset - R.RESET_TARGET) * R.RESET_WEIGHT
-            grown.append((total, own_last, take_id, slot))
-    grown.sort(key=lambda g: -round(g[0], 9))
-    return grown[: R.BEAM_WIDTH]
-
-
-def beam_assemble(cands: DataFrame, order: str = "phrase_id") -> DataFrame:
+def beam_assemble(cands: DataFrame, order: str = "phrase_id", hot: Hot = None) -> DataFrame:
     """Best sequence of takes per block under a width-3 beam.
 
-    Each step depends on the last, so the beam itself cannot be split without
-    changing results. It runs as two ordered folds: forward over the phrases of
-    a block keeping three scores, writing back-pointers; then backward following
-    them. State is constant per block, and only the top candidates enter.
+    What each candidate would gain behind each candidate of the phrase before is
+    a table of at most four by four columns a phrase, computed for all phrases at
+    once. Only the choice of the best three sums depends on the step before, so
+    only that runs as two ordered folds: forward over the phrases of a block
+    keeping three scores, writing back-pointers; then backward following them.
+    State is constant per block, but one block stays one task.
     """
     packed = (
         cands.withColumn("_c", F.struct("candidate", "take_id", "quality", "first_hz", "last_hz"))
         .groupBy(*BLOCK, order)
         .agg(F.array_sort(F.collect_list("_c")).alias("_cands"))
-        .select(
-            *BLOCK,
-            order,
-            *[F.col(f"_cands.{c}").alias(c) for c in ("take_id", "quality", "first_hz", "last_hz")],
-        )
+        .withColumn("_ends", F.col("_cands.last_hz"))
     )
+    led = previous_row(packed, BLOCK, [order], index_chunk(order), {"_before": "_ends"}, hot)
+    # the first phrase of a block follows one take without a pitch
+    before = F.coalesce("_before", F.array(F.lit(None).cast("double")))
+    gains = F.transform(before, lambda end: F.transform("_cands", lambda c: step_gain(c["quality"], c["first_hz"], end)))
+    tables = led.select(*BLOCK, order, F.col("_cands.take_id").alias("takes"), gains.alias("gains"))
 
     def forward():
-        state = {"key": None, "beams": None}
+        state = {"key": None}
 
         def handle(key, rows):
             if key != state["key"]:
-                state.update(key=key, beams=[(0.0, None)])
+                state.update(key=key, scores=np.zeros(1), at=np.zeros(1, int))
             out = []
-            for at, takes, quality, first, last in rows:
-                best = _beam_step(state["beams"], list(zip(takes, quality, first, last)))
-                state["beams"] = [(b[0], b[1]) for b in best]
-                out.append((*key, at, [int(b[2]) for b in best], [b[3] for b in best], float(best[0][0])))
+            for phrase, takes, gains in rows:
+                table = np.stack([np.asarray(g, float) for g in gains])
+                sums = (state["scores"][:, None] + table[state["at"]]).ravel()
+                # compared at nine decimals; of equal ones the better beam, then the better candidate
+                best = np.argsort(-np.round(sums, 9), kind="stable")[: R.BEAM_WIDTH]
+                parents, at = np.divmod(best, table.shape[1])
+                state.update(scores=sums[best], at=at)
+                out.append((*key, phrase, [int(takes[i]) for i in at], parents.tolist(), float(sums[best[0]])))
             return out
 
         return handle
@@ -159,7 +151,7 @@ def beam_assemble(cands: DataFrame, order: str = "phrase_id") -> DataFrame:
         return handle
 
     trail = ordered_fold(
-        packed, BLOCK, [order], forward,
+        tables, BLOCK, [order], forward,
         f"project_id string, block_id string, {order} bigint, takes array<int>, parents array<int>, beam_score double",
     ).withColumn("_back", -F.col(order))
     return ordered_fold(
@@ -168,17 +160,39 @@ def beam_assemble(cands: DataFrame, order: str = "phrase_id") -> DataFrame:
     )
 
 
-def _median_of(counts: list[list]) -> float:
-    """Median of sorted [value, count] cells."""
-    total = sum(n for _, n in counts)
-    low, high, seen, a = (total - 1) // 2, total // 2, 0, None
-    for value, n in counts:
-        seen += n
-        if a is None and seen > low:
-            a = value
-        if seen > high:
-            return (a + value) / 2
-    raise ValueError("empty block")
+class SortedCounts:
+    """How often each of a fixed set of values occurs: changes and medians in logarithmic time (a Fenwick tree)."""
+
+    def __init__(self, cells: Iterable[tuple[float, int]]):
+        cells = sorted(cells)
+        self.values = [v for v, _ in cells]
+        self.total = sum(n for _, n in cells)
+        self.tree = [0, *(n for _, n in cells)]
+        for i in range(1, len(self.tree)):
+            above = i + (i & -i)
+            if above < len(self.tree):
+                self.tree[above] += self.tree[i]
+        self.top = 1 << max(0, len(cells).bit_length() - 1)
+
+    def add(self, value: float, n: int) -> None:
+        i = bisect_left(self.values, value) + 1
+        self.total += n
+        while i < len(self.tree):
+            self.tree[i] += n
+            i += i & -i
+
+    def at(self, rank: int) -> float:
+        """The value at a rank, from 0."""
+        i, step = 0, self.top
+        while step:
+            if i + step < len(self.tree) and self.tree[i + step] <= rank:
+                i += step
+                rank -= self.tree[i]
+            step >>= 1
+        return self.values[i]
+
+    def median(self) -> float:
+        return (self.at((self.total - 1) // 2) + self.at(self.total // 2)) / 2
 
 
 def median_repair(picks: DataFrame, scored: DataFrame, order: str = "phrase_id") -> DataFrame:
@@ -186,17 +200,14 @@ def median_repair(picks: DataFrame, scored: DataFrame, order: str = "phrase_id")
 
     ``picks`` holds the chosen take per phrase with ``end_slope, question,
     forced``; ``scored`` every take with ``ok``. Only blocks out of band are
-    streamed. A block's slopes travel as (value, count) header rows and a
-    phrase's alternatives as one row per distinct slope.
+    streamed. A block's slopes travel as (value, count) header rows, those of its
+    alternatives with a count of zero, and a phrase's alternatives as one row per
+    distinct slope. A move is tried in time logarithmic in the distinct slopes.
     Returns one row per replaced phrase.
     """
     band, middle = R.BLOCK_MEDIAN_BAND, sum(R.BLOCK_MEDIAN_BAND) / 2
     off = block_median(picks).where(outside(F.col("median_slope"), band)).select(*BLOCK)
     off_picks = picks.join(off, BLOCK, "left_semi")
-    headers = off_picks.groupBy(*BLOCK, "end_slope").agg(F.count(F.lit(1)).alias("n")).select(
-        *BLOCK, F.lit(0).alias("part"), F.lit(0).cast("bigint").alias(order), "end_slope",
-        F.col("n").cast("bigint").alias("n"), F.lit(0.0).alias("pick_slope"),
-    )
     movable = off_picks.where(~F.col("question") & ~F.col("forced")).select(
         *PHRASE, F.col("end_slope").alias("pick_slope")
     )
@@ -208,33 +219,38 @@ def median_repair(picks: DataFrame, scored: DataFrame, order: str = "phrase_id")
         .select(*BLOCK, F.lit(1).alias("part"), order, "end_slope", F.col("n").cast("bigint").alias("n"), "pick_slope")
     )
 
+    slopes = off_picks.select(*BLOCK, "end_slope", F.lit(1).alias("n")).unionByName(alternatives.select(*BLOCK, "end_slope", F.lit(0).alias("n")))
+    headers = slopes.groupBy(*BLOCK, "end_slope").agg(F.sum("n").alias("n")).select(
+        *BLOCK, F.lit(0).alias("part"), F.lit(0).cast("bigint").alias(order), "end_slope",
+        F.col("n").cast("bigint").alias("n"), F.lit(0.0).alias("pick_slope"),
+    )
+
     def fold():
         state = {"key": None}
 
-        def move(cells: dict, gone: float, new: float) -> list[list]:
-            trial = dict(cells)
-            trial[gone] -= 1
-            trial[new] = trial.get(new, 0) + 1
-            return sorted([v, n] for v, n in trial.items() if n)
-
         def handle(key, rows):
             if key != state["key"]:
-                state.update(key=key, cells={}, median=None, done_at=None)
+                state.update(key=key, cells=[], counts=None, median=None, done_at=None)
             out = []
             for kind, at, slope, n, pick in rows:
                 if kind == 0:
-                    state["cells"][slope] = n
+                    state["cells"].append((slope, n))
                     continue
-                if state["median"] is None:
-                    state["median"] = _median_of(sorted([v, m] for v, m in state["cells"].items()))
-                inside = band[0] <= state["median"] <= band[1]
-                if at == state["done_at"] or inside:
+                if state["counts"] is None:
+                    counts = SortedCounts(state["cells"])
+                    state.update(counts=counts, median=counts.median(), cells=[])
+                if at == state["done_at"] or band[0] <= state["median"] <= band[1]:
                     continue
-                moved = move(state["cells"], pick, slope)
-                median = _median_of(moved)
+                counts = state["counts"]
+                counts.add(pick, -1)
+                counts.add(slope, 1)
+                median = counts.median()
                 if abs(median - middle) < abs(state["median"] - middle):
-                    state.update(cells={v: m for v, m in moved}, median=median, done_at=at)
+                    state.update(median=median, done_at=at)
                     out.append((*key, at, int(n), float(slope), float(median)))
+                else:
+                    counts.add(slope, -1)
+                    counts.add(pick, 1)
             return out
 
         return handle
@@ -367,19 +383,17 @@ def global_timeline(timed: DataFrame, gap: float = R.BLOCK_GAP_SECONDS, order: s
     # read for the block lengths and again for the rows: written once
     timed = cut_lineage(timed)
     lengths = timed.groupBy(*BLOCK).agg(F.max("end_exact").alias("length"))
-    placed = running_before(
-        lengths, ["project_id"], [F.col("block_id")], [F.substring("block_id", 1, 3)],
-        {"offset": ("sum", F.col("length") + gap)},
-    )
-    spoken = timed.join(placed, BLOCK).select(
+    placed = running_in_order(lengths, ["project_id", "block_id"], {"offset": F.col("length") + gap}, ["project_id"])
+    spoken = join_null_safe(timed, placed, BLOCK).select(
         *BLOCK,
         F.col(order).cast("bigint").alias("phrase_idx"),
         F.lit("PHRASE").alias("kind"),
         F.round(F.col("offset") + F.col("_start"), 1).alias("start"),
         F.round(F.col("offset") + F.col("end_exact"), 1).alias("end"),
     )
+    # a null block comes first
     last = placed.groupBy("project_id").agg(F.max("block_id").alias("_last"))
-    gaps = placed.join(last, "project_id").where("block_id < _last").select(
+    gaps = join_null_safe(placed, last, ["project_id"]).where("block_id < _last OR (block_id IS NULL AND _last IS NOT NULL)").select(
         *BLOCK,
         F.lit(-1).cast("bigint").alias("phrase_idx"),
         F.lit("GAP").alias("kind"),

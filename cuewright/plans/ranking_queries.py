@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WS
 from ..operators import bank, gates, metrics, pairs as P, ranker, shadow
+from ..operators.digest import digest_sql
 from ..operators.ranker import LinearRanker
 from ..rules import FEATURE_NAMES
 from ..session import cut_lineage, scratch_path
@@ -137,23 +138,7 @@ def train_test_disjoint(spark, d):
 
 
 def dataset_hash(spark, d):
-    return P.dataset_hash(candidates(spark, d), ["f_pitch_range_st", "f_tail_delta_st"], ["project_id"])
-
-
-def fold_sql(name, source, prefix):
-    b = f"substr(h,1,{prefix})" if prefix else "''"
-    return f"""{name} AS (SELECT project_id, b || sha256(string_agg(b || h, '' ORDER BY b || h)) AS h, sum(n) AS n FROM (SELECT *, {b} AS b FROM {source}) q GROUP BY project_id, b)"""
-
-
-def fold_levels():
-    return fold_sql("l1", "l0", 5), fold_sql("l2", "l1", 2), fold_sql("l3", "l2", 0)
-
-
-HASH_SQL = B.with_sql(*PAIRED, """
-rows_ AS (SELECT project_id, sha256(concat_ws('|', project_id, block_id, CAST(phrase_id AS VARCHAR), CAST(take_id AS VARCHAR), decision, CAST(ok AS VARCHAR), text_hash,
-  CAST(CAST(round(range_st,6) AS DECIMAL(30,6)) AS VARCHAR), coalesce(CAST(CAST(round(tail_delta,6) AS DECIMAL(30,6)) AS VARCHAR), 'null'))) AS r FROM cand),
-l0 AS (SELECT project_id, sha256(r || ':' || n) AS h, n FROM (SELECT project_id, r, count(*) AS n FROM rows_ GROUP BY ALL) q)""",
-    *fold_levels(), tail="SELECT project_id, h AS digest, CAST(n AS BIGINT) AS n_rows FROM l3")
+    return P.dataset_hash(candidates(spark, d), FEATURES, ["project_id"])
 
 
 def feature_stats(spark, d):
@@ -166,6 +151,15 @@ STAT_COLUMNS = {
     "relative_tail": "x.tail_delta/x.range_st", "final_glide_st_per_s": "x.final_glide", "final_rebound_st": "x.final_rebound",
     "level_deviation_db": "12e0*log2(x.median_hz/235e0)",
 }
+
+def cell_sql(name):
+    value = STAT_COLUMNS.get(name)
+    return f"coalesce(CAST(CAST(round({value},6) AS DECIMAL(30,6)) AS VARCHAR), 'null')" if value else "'null'"
+
+
+HASH_SQL = B.with_sql(*PAIRED, f"""
+rows_ AS (SELECT project_id, sha256(concat_ws('|', project_id, block_id, CAST(phrase_id AS VARCHAR), CAST(take_id AS VARCHAR), decision, CAST(ok AS VARCHAR), text_hash,
+  {", ".join(cell_sql(n) for n in FEATURE_NAMES)})) AS r FROM cand x)""", tail=digest_sql("rows_", "project_id", "r"))
 STATS_SQL = B.with_sql(*PAIRED, "sides AS (SELECT w AS x FROM pairs UNION ALL SELECT l FROM pairs)", tail="\nUNION ALL ".join(
     f"""SELECT '{n}' AS feature, round(coalesce(avg({e}),0),6) AS mean, round(CASE WHEN count({e})>=2 AND stddev_pop({e})>1e-12 THEN stddev_pop({e}) ELSE 1 END,6) AS scale, count({e}) AS n FROM sides"""
     for n, e in ((n, STAT_COLUMNS.get(n, "CAST(NULL AS DOUBLE)")) for n in FEATURE_NAMES)))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import experiment as E, sessions as S
+from ..operators.digest import digest_sql
 from ..session import scratch_path
 from ..sources import manifest as M, readers, sinks
 from ..streaming import jobs, processors
 from . import bindings as B
 from .bank_queries import DELIVERIES_SQL
 from .experiment_queries import ANALYSIS_SQL, results
-from .ranking_queries import fold_levels
 from .take_queries import SCORED, scored
 
 
@@ -375,12 +375,11 @@ def sink_markdown(spark, d):
 
 def deterministic_order(spark, d):
     """Identity order at the sink: the row number that a sorted output would have."""
-    from ..operators.ordered import number_rows
+    from ..operators.ordered import number_in_order
 
     s = B.takes(spark, d)
     at = ["project_id", "block_id", "phrase_id", "take_id"]
-    r = number_rows(s, [], [F.col(c) for c in at], [F.col("project_id"), F.substring("block_id", 1, 3)], "line")
-    return r.select(*at, F.col("line").alias("output_line"))
+    return number_in_order(s.select(*at), at, "output_line").select(*at, "output_line")
 
 
 # What the streams see: parts by arrival, rows behind the horizon left out, results up to the last watermark (milliseconds).
@@ -455,8 +454,7 @@ QUERIES = {
         (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) q) q2 WHERE length(t) >= 15"""),
     "scan_pins": (scan_pins, "SELECT 'B' || o_custkey AS block_id, CAST(o_orderkey AS INT) AS phrase_idx, CAST(o_custkey % 5 AS INT) AS take_id FROM orders"),
     "scan_reports": (scan_reports, """SELECT 'B' || vec_id AS block_id, unnest(range(len(embedding)))::INT AS phrase_idx, CAST(floor(abs(unnest(embedding))*20) AS INT) AS take_id FROM embeddings"""),
-    "file_manifest": (file_manifest, B.with_sql(PF, """r AS (SELECT regexp_extract(path, '//([^/]*)/', 1) AS project_id, sha256(path || ':' || sha256(html)) AS r FROM pf),
-        l0 AS (SELECT project_id, sha256(r || ':' || n) AS h, n FROM (SELECT project_id, r, count(*) AS n FROM r GROUP BY ALL) q)""", *fold_levels(), tail="SELECT project_id AS site, h AS digest, CAST(n AS BIGINT) AS n_rows FROM l3")),
+    "file_manifest": (file_manifest, B.with_sql(PF, """r AS (SELECT regexp_extract(path, '//([^/]*)/', 1) AS site, sha256(path || ':' || sha256(html)) AS r FROM pf)""", tail=digest_sql("r", "site", "r"))),
     "manifest_diff": (manifest_diff, B.with_sql(PF, tail="""SELECT path, CASE WHEN contains(url,'/fr/') THEN 'removed' WHEN contains(url,'?') THEN 'changed' ELSE 'same' END AS change FROM pf
         UNION ALL SELECT path || '-copy', 'added' FROM pf WHERE contains(url,'/en/')""")),
     "read_only_check": (read_only_check, """SELECT count(*) FILTER (contains(url,'/en/')) AS added, count(*) FILTER (contains(url,'/fr/')) AS removed, count(*) FILTER (NOT contains(url,'/fr/') AND contains(url,'?')) AS changed,

@@ -100,7 +100,7 @@ def block_median_slope(spark, d):
 
 
 def beam_assemble(spark, d):
-    b = selection.beam_assemble(selection.candidates(scored(spark, d), B.pins(spark, d)))
+    b = selection.beam_assemble(selection.candidates(scored(spark, d), B.pins(spark, d)), hot=B.hot_blocks(spark, d))
     return b.select(*KEY, "take_id", F.round("beam_score", 6).alias("beam_score"))
 
 

@@ -336,8 +336,8 @@ QUERIES = {
         CASE WHEN es > 32e0 THEN 'experiment_audio_safety_margin_exceeded,' ELSE '' END), ',') AS reasons FROM (SELECT *, round(greatest(25e-2, {AUD}/4e0),3) AS es FROM documents) q"""),
     "safe_id": (safe_id, """SELECT page_id, substr(CASE WHEN c <> url OR c = '' THEN CASE WHEN c='' THEN 'block' ELSE substr(c,1,60) END || '-' || substr(sha256(url),1,12) ELSE c END, 1, 80) AS url_id, 'B' || page_id AS plain_id
         FROM (SELECT *, regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') AS c FROM pages) q"""),
-    "request_validate": (request_validate, f"""SELECT d.doc_id, CASE WHEN {strip_sql('text')}='' THEN 'text is required' WHEN length({strip_sql('text')})>2000 THEN 'text exceeds the 2000-character request limit' WHEN lang='de' THEN 'output_wav is required'
-        WHEN quality=0 THEN 'mode must be ''fast'' or ''production''' WHEN toxic=1 THEN 'seed must be an integer' WHEN n_chars<200 THEN 'block_id may contain only letters, digits, ''_'' and ''-''' END AS error
+    "request_validate": (request_validate, f"""SELECT d.doc_id, CASE WHEN {strip_sql('text')}='' THEN 'text_missing' WHEN length({strip_sql('text')})>2000 THEN 'text_too_long' WHEN lang='de' THEN 'output_missing'
+        WHEN quality=0 THEN 'mode_unknown' WHEN toxic=1 THEN 'seed_no_integer' WHEN n_chars<200 THEN 'block_id_characters' END AS error
         FROM documents d LEFT JOIN labels l ON l.doc_id=d.doc_id"""),
     "identity_validate": (identity_validate, """WITH p AS (SELECT page_id, url, regexp_replace(url, '^http://[^/]*', '') AS path FROM pages),
         m AS (SELECT page_id, CASE WHEN contains(url,'www') THEN path WHEN contains(url,'?') THEN '..' || path ELSE 'a/.' || path || '//' END AS s FROM p),

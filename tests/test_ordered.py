@@ -116,3 +116,36 @@ def test_null_keys_and_null_order(spark):
             same(O.running_before(rows, keys, order, chunk, {"s": ("sum", F.col("v"))}, plan), want, ["id", "s"])
             near = O.quantile_neighbours(rows, keys, "v", {"m": 0.5}, 10.0, plan).agg(F.sum("_count")).first()[0]
             assert near == 400
+
+
+def test_running_in_order_over_sampled_ranges(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = [(rng.choice([None, "a", "bb", "hot", "hot", "hot"]), rng.choice([None, *range(40)]), i, rng.randint(0, 9)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, o int, i int, v int").repartition(7)
+    first = lambda x: (x is not None, x if x is not None else 0)
+    ordered = sorted(rows, key=lambda r: ((r[0] is not None, r[0] or ""), first(r[1]), r[2]))
+    got = {r["i"]: r["n"] for r in O.number_in_order(df, ["k", "o", "i"], "n").collect()}
+    assert got == {r[2]: n for n, r in enumerate(ordered, 1)}
+    sums, want = {}, {}
+    for k, _, i, v in ordered:
+        want[i] = sums.get(k, 0)
+        sums[k] = want[i] + v
+    per_key = O.running_in_order(df, ["k", "o", "i"], {"s": F.col("v")}, ["k"])
+    assert {r["i"]: r["s"] for r in per_key.collect()} == want and per_key.columns == ["k", "o", "i", "v", "s"]
+    assert O.number_in_order(df.limit(0), ["k", "o", "i"], "n").count() == 0
+
+
+def test_digest_of_multisets(spark):
+    from pyspark.sql import functions as F
+
+    from cuewright.operators.digest import table_digest
+
+    digest = lambda values: tuple(table_digest(spark.createDataFrame([(v,) for v in values], "v string").repartition(3), F.coalesce("v", F.lit("null"))).first())
+    same = digest(["x", "y", "y", None])
+    assert same == digest(["y", None, "x", "y"]) and same[1] == 4
+    assert len({same, digest(["x", "y", None]), digest(["x", "x", "y", None]), digest([]), digest(["x", "y", "y", "null", "z"])}) == 5
+    assert table_digest(spark.createDataFrame([(None, "a")], "k string, v string"), F.col("v"), ["k"]).columns == ["k", "digest", "n_rows"]

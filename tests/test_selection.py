@@ -175,3 +175,28 @@ def test_assemble_end_to_end(spark):
     assert starts[0] == 0.0 and starts == sorted(starts)
     laid = S.global_timeline(timed)
     assert laid.where("kind = 'GAP'").count() == 3
+
+
+def test_sorted_counts_follow_a_list():
+    import random
+    import statistics
+    import time
+
+    rng = random.Random(2)
+    values = [rng.randint(-40, 40) / 4 for _ in range(60)]
+    held = [rng.choice(values) for _ in range(41)]
+    counts = S.SortedCounts((v, held.count(v)) for v in set(values))
+    for _ in range(300):
+        assert counts.median() == statistics.median(held)
+        gone, new = rng.choice(held), rng.choice(values)
+        held[held.index(gone)] = new
+        counts.add(gone, -1)
+        counts.add(new, 1)
+    # a hundred thousand distinct slopes and as many tried moves
+    start = time.perf_counter()
+    many = S.SortedCounts((float(v), 1) for v in range(100_000))
+    for v in range(100_000):
+        many.add(float(v), -1)
+        many.add(float(99_999 - v), 1)
+        many.median()
+    assert time.perf_counter() - start < 20

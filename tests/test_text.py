@@ -45,7 +45,7 @@ def test_white_space_is_no_text(spark):
     rows = spark.createDataFrame([("\n\t ", None), ("x", "q"), ("x", None)], "text string, seed string").selectExpr("*", "'o.wav' output_wav", "'fast' mode", "'r' request_id", "'B' block_id")
     from cuewright.operators import gates
 
-    assert [r["error"] for r in gates.validate_requests(rows).collect()] == ["text is required", "seed must be an integer", None]
+    assert [r["error"] for r in gates.validate_requests(rows).collect()] == ["text_missing", "seed_no_integer", None]
 
 
 def slow_align(expected, actual):
