@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .ordered import Hot, number_rows, running_before
+from .ordered import Hot, number_rows, ordered_fold, running_before
 
 SESSION = "session_id"
 UNDERRUN_SECONDS = 0.02
@@ -107,14 +110,136 @@ def sentence_buffer(events: DataFrame, hot: Hot = None) -> DataFrame:
 STATES = ("PENDING", "PLAYING", "PASS", "ISSUE", "PAUSED", "RETEST_PENDING")
 
 
+OPEN = ("PENDING", "RETEST_PENDING")
+
+
+class ItemWalk:
+    """One session's walk through its items, event by event.
+
+    Items that are open at first are known by their rank among these, others by
+    the rank they follow plus a half. What is kept is the next rank, the item that
+    plays, whether the session is paused, and the items re-opened out of turn.
+    """
+
+    def __init__(self, following: int = 1, active: tuple | None = None, paused: bool = False, reopened: Iterable[tuple] = ()):
+        self.following, self.active, self.paused = following, active, paused
+        self.reopened = sorted(reopened)
+
+    def step(self, kind: str, rank: float | None, index: int | None, n_open: int) -> tuple | None:
+        """(rank, index, state) of the item that changes, if any; a start without an open item gives NONE.
+
+        ``rank`` and ``index`` name the item a resume asks for, null if there is none.
+        """
+        if kind in ("pause", "continue"):
+            self.paused = kind == "pause"
+        elif kind == "resume" and rank is not None:
+            self.paused, self.active = False, None
+            if (rank < self.following or rank % 1) and (rank, index) not in self.reopened:
+                insort(self.reopened, (rank, index))
+            return rank, index, "PENDING"
+        elif kind == "start" and not self.paused:
+            if self.reopened and (self.reopened[0][0] < self.following or self.following > n_open):
+                self.active = self.reopened.pop(0)
+            elif self.following <= n_open:
+                self.active = (float(self.following), None)
+                self.following += 1
+            else:
+                self.active = None
+                return None, None, "NONE"
+            return *self.active, "PLAYING"
+        elif self.active and (kind == "issue" or (kind == "complete" and not self.paused)):
+            done, self.active = self.active, None
+            return *done, "ISSUE" if kind == "issue" else "PASS"
+        return None
+
+
+def ranked_items(items: DataFrame, hot: Hot = None) -> DataFrame:
+    """Items with their ``rank`` among those that are open at first, and their first ``state``."""
+    known = items if "state" in items.columns else items.withColumn("state", F.lit("PENDING"))
+    is_open = F.col("state").isin(*OPEN)
+    order, chunk = [F.col("item_index")], [F.floor(F.col("item_index") / BUCKET)]
+    before = running_before(known, [SESSION], order, chunk, {"_open": ("sum", is_open.cast("int"))}, hot)
+    return before.withColumn("rank", F.col("_open") + F.when(is_open, 1.0).otherwise(0.5)).drop("_open")
+
+
+def with_targets(events: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Events with the item each resume asks for (the first with that text), and how many items are open at first.
+
+    ``ranked`` is a stored or batch table; ``events`` may be a stream.
+    """
+    first = ranked.groupBy(SESSION, "text").agg(F.min_by(F.struct("rank", "item_index"), "item_index").alias("_t"))
+    sizes = ranked.groupBy(SESSION).agg(F.count_if(F.col("rank") % 1 == 0).alias("n_open"))
+    asked = F.when(F.col("kind") == "resume", F.col("text"))
+    out = events.withColumn("_asked", asked).join(first.withColumnsRenamed({SESSION: "_s", "text": "_x"}), (F.col(SESSION) == F.col("_s")) & (F.col("_asked") == F.col("_x")), "left")
+    out = out.select(*events.columns, F.col("_t.rank").alias("rank"), F.col("_t.item_index").alias("index"))
+    return out.join(sizes, SESSION, "left").withColumn("n_open", F.coalesce("n_open", F.lit(0)))
+
+
+CHANGES = "session_id bigint, at bigint, seq bigint, rank double, item_index bigint, state string"
+
+
+def _walked(targets: DataFrame) -> DataFrame:
+    """Every change of the sessions, by walking each in order."""
+
+    def fold():
+        walks = {}
+
+        def handle(key, rows):
+            if key not in walks:
+                walks.clear()
+                walks[key] = ItemWalk()
+            out = []
+            for at, seq, kind, rank, index, n_open in rows:
+                absent = rank is None or rank != rank
+                change = walks[key].step(kind, None if absent else rank, None if absent else int(index), n_open)
+                if change:
+                    out.append((*key, at, seq, *change))
+            return out
+
+        return handle
+
+    rows = targets.select(SESSION, F.unix_micros("ts").alias("at"), "seq", "kind", "rank", "index", "n_open")
+    return ordered_fold(rows, [SESSION], ["at", "seq"], fold, CHANGES)
+
+
+def last_changes(changes: DataFrame, ranked: DataFrame, recover: bool) -> DataFrame:
+    """State of every item after all changes; one that never changed keeps its first state."""
+    order = F.struct("at", "seq")
+    if recover:
+        ends = changes.groupBy(SESSION).agg(F.max(order).alias("_end"))
+        cut_short = (F.col("state") == "PLAYING") & (order == F.col("_end"))
+        changes = changes.join(ends, SESSION).withColumn("state", F.when(cut_short, "PENDING").otherwise(F.col("state")))
+    last = changes.where("state <> 'NONE'").groupBy(SESSION, "rank", (F.col("rank") % 1 > 0).alias("_closed"), F.when(F.col("rank") % 1 > 0, F.col("item_index")).alias("_i")).agg(
+        F.max_by("state", order).alias("_state")
+    )
+    named = ranked.withColumn("_i", F.when(F.col("rank") % 1 > 0, F.col("item_index")))
+    joined = named.join(last.drop("_closed").withColumnsRenamed({SESSION: "_s", "rank": "_r", "_i": "_j"}), (F.col(SESSION) == F.col("_s")) & (F.col("rank") == F.col("_r")) & F.col("_i").eqNullSafe(F.col("_j")), "left")
+    return joined.withColumn("state", F.coalesce("_state", "state")).drop("rank", "_i", "_s", "_r", "_j", "_state")
+
+
 def batch_states(events: DataFrame, items: DataFrame, recover: bool = False, hot: Hot = None) -> DataFrame:
     """State of every item after the session's events.
 
     ``events``: session_id, ts, seq, kind (start | complete | issue | pause |
-    continue). ``items``: session_id, item_index (from 1). Starts and completions
-    count only while not paused; each start takes the next item; what directly
-    follows a start among the effective events settles it.
+    continue | resume), text (of a resume). ``items``: session_id, item_index (from
+    1), optionally text and a first state. Starts and completions count only
+    while not paused; each start takes the first open item; what directly follows
+    a start among the effective events settles it. A resume re-opens the first
+    item with its text, ends the pause and leaves what plays.
+
+    Sessions that resume are walked in order, one task a session: what a start
+    takes then depends on all re-opened items. All others are split by rank.
     """
+    ranked = ranked_items(items, hot)
+    if "text" not in events.columns:
+        return _unresumed(events, ranked, recover, hot)
+    resuming = events.where("kind = 'resume'").select(SESSION).distinct()
+    walked = last_changes(_walked(with_targets(events.join(resuming, SESSION, "left_semi"), ranked)), ranked.join(resuming, SESSION, "left_semi"), recover)
+    plain = _unresumed(events.join(resuming, SESSION, "left_anti").drop("text"), ranked.join(resuming, SESSION, "left_anti"), recover, hot)
+    return walked.unionByName(plain)
+
+
+def _unresumed(events: DataFrame, ranked: DataFrame, recover: bool, hot: Hot) -> DataFrame:
     flag = F.when(F.col("kind").isin("pause", "continue"), F.struct("ts", "seq", (F.col("kind") == "pause").alias("paused")))
     order = [F.col("ts"), F.col("seq")]
     run = running_before(events, [SESSION], order, day_chunk(), {"_flag": ("max", flag)}, hot)
@@ -126,14 +251,14 @@ def batch_states(events: DataFrame, items: DataFrame, recover: bool = False, hot
     numbered = number_rows(live, [SESSION], order, day_chunk(), "n", hot)
     starts = running_before(
         numbered.where("kind = 'start'"), [SESSION], [F.col("n")], [F.floor(F.col("n") / BUCKET)], {"_k": ("sum", F.lit(1))}, hot
-    ).select(SESSION, "n", (F.col("_k") + 1).alias("item_index"))
+    ).select(SESSION, "n", (F.col("_k") + 1).cast("double").alias("rank"))
     after = numbered.select(SESSION, (F.col("n") - 1).alias("n"), F.col("kind").alias("then"))
     settled = starts.join(after, [SESSION, "n"], "left")
     state = F.when(F.col("then") == "complete", "PASS").when(F.col("then") == "issue", "ISSUE")
     if recover:
         state = state.when(F.col("then").isNull(), "PENDING")
-    settled = settled.select(SESSION, "item_index", state.otherwise("PLAYING").alias("state"))
-    return items.join(settled, [SESSION, "item_index"], "left").withColumn("state", F.coalesce("state", F.lit("PENDING")))
+    settled = settled.select(SESSION, "rank", state.otherwise("PLAYING").alias("_state"))
+    return ranked.join(settled, [SESSION, "rank"], "left").withColumn("state", F.coalesce("_state", "state")).drop("_state", "rank")
 
 
 def batch_counts(states: DataFrame) -> DataFrame:

@@ -172,4 +172,4 @@ def _split(columns: str) -> list[str]:
 
 
 def with_sql(*parts: str, tail: str) -> str:
-    return "WITH " + ",\n".join(parts) + "\n" + tail
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + tail

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import experiment as E, sessions as S
 from ..operators.digest import digest_sql
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import manifest as M, readers, sinks
 from ..streaming import jobs, processors
 from . import bindings as B
@@ -184,10 +184,34 @@ def stream_sentence_buffer(spark, d):
     return s.select("session_id", "sentence", "frames", F.round("seconds", 6).alias("seconds"), "last_seq")
 
 
+def item_count(spark, d):
+    e = events(spark, d).groupBy("session_id").agg(F.count_distinct("generation_id").alias("n"))
+    return e.select("session_id", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("item_index"))
+
+
+def told_items(spark, d):
+    """Items with a text that others share, some to be tested again, some passed before."""
+    i = F.col("item_index")
+    state = F.when(i % 7 == 3, "RETEST_PENDING").when(i % 9 == 2, "PASS").otherwise("PENDING")
+    return item_count(spark, d).select("session_id", "item_index", F.concat(F.lit("T"), i % 4).alias("text"), state.alias("state"))
+
+
+def resuming(e):
+    """Some neutral events ask for a sentence again; no item has the text T4."""
+    asks = (F.col("kind") == "continue") & (F.col("seq") % 6 == 0) & (F.col("session_id") % 3 > 0)
+    return e.withColumns({"kind": F.when(asks, "resume").otherwise(F.col("kind")), "text": F.when(asks, F.concat(F.lit("T"), F.col("seq") % 5))})
+
+
+def batch_resume(spark, d):
+    """States of items in sessions two thirds of which go back to earlier sentences."""
+    return S.batch_states(resuming(events(spark, d)), told_items(spark, d), recover=True, hot=hot(spark, d)).select("session_id", "item_index", "state")
+
+
 def stream_batch_states(spark, d):
-    """Last emitted state of each started item."""
-    s = streamed(spark, d, processors.BatchMachine)
-    return s.groupBy("session_id", "item_index").agg(F.max_by("state", F.struct("seq")).alias("state"))
+    """The same from a stream: state of every item by the last change up to the watermark."""
+    ranked = S.ranked_items(told_items(spark, d), hot(spark, d)).transform(cut_lineage)
+    changes = streamed(spark, d, processors.BatchMachine, lambda e: S.with_targets(resuming(e), ranked))
+    return S.last_changes(changes, ranked, recover=False).select("session_id", "item_index", "state")
 
 
 def stream_ingest(spark, d):
@@ -408,6 +432,26 @@ WINDOWS = """w AS (SELECT *, unnest([time_bucket(INTERVAL '12 hours', ts, TIMEST
 STALE_ROWS = STALE_SQL[STALE_SQL.index("tracked AS"):STALE_SQL.rindex("SELECT session_id, seq")]
 SENT_ROWS = SENT_SQL[SENT_SQL.index("sn AS"):SENT_SQL.rindex("SELECT session_id, CAST(sentence")]
 CLOSED = 'WHERE "end" <= (SELECT mark FROM mark)'
+
+
+def walk_sql(rows, last):
+    """Sessions walked event by event with a list of states; ``last`` is what an item's state becomes at the end."""
+    return f"""
+told AS (SELECT session_id, list(CASE WHEN i % 7 = 3 THEN 'RETEST_PENDING' WHEN i % 9 = 2 THEN 'PASS' ELSE 'PENDING' END ORDER BY i) AS states, list('T' || (i % 4) ORDER BY i) AS texts
+  FROM (SELECT user_id AS session_id, unnest(range(1, n+1)) AS i FROM (SELECT user_id, count(DISTINCT strftime(ts, '%m%d')) AS n FROM events GROUP BY ALL) q) q2 GROUP BY session_id),
+asked AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS rn, CASE WHEN kind='continue' AND seq % 6 = 0 AND session_id % 3 > 0 THEN 'resume' ELSE kind END AS kind, 'T' || (seq % 5) AS text FROM {rows}),
+steps AS (SELECT session_id, 0 AS rn, states, texts, 0 AS active, false AS paused FROM told
+  UNION ALL SELECT session_id, rn + 1, list_transform(states, lambda s, i: CASE WHEN i = k AND kind = 'start' THEN 'PLAYING' WHEN i = t AND kind = 'resume' THEN 'PENDING'
+      WHEN i = active AND kind = 'issue' THEN 'ISSUE' WHEN i = active AND kind = 'complete' AND NOT paused THEN 'PASS' ELSE s END), texts,
+    CASE WHEN kind = 'start' AND NOT paused THEN k WHEN kind = 'issue' OR kind = 'complete' AND NOT paused OR kind = 'resume' AND t > 0 THEN 0 ELSE active END,
+    CASE WHEN kind = 'pause' THEN true WHEN kind = 'continue' OR kind = 'resume' AND t > 0 THEN false ELSE paused END
+  FROM (SELECT s.*, a.kind, CASE WHEN a.kind = 'start' AND NOT s.paused THEN coalesce(list_position(list_transform(s.states, lambda x: x IN ('PENDING', 'RETEST_PENDING')), true), 0) ELSE 0 END AS k,
+      coalesce(list_position(s.texts, a.text), 0) AS t FROM steps s JOIN asked a ON a.session_id = s.session_id AND a.rn = s.rn + 1) q),
+ended AS (SELECT session_id, max_by(states, rn) AS states, max_by(active, rn) AS active FROM steps GROUP BY session_id),
+walked AS (SELECT session_id, list_transform(states, lambda s, i: {last}) AS states FROM ended)"""
+
+
+WALKED = "SELECT session_id, unnest(range(1, len(states)+1)) AS item_index, unnest(states) AS state FROM walked"
 CSV_SQL = "\nUNION ALL ".join(f"SELECT mode, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM z" for m in sinks.CSV_METRICS)
 PF = "pf AS (SELECT *, url || '#' || page_id AS path FROM pages)"
 QUERIES = {
@@ -433,8 +477,8 @@ QUERIES = {
     "stream_playback": (stream_playback, of_seen(PLAY, tail=f"SELECT session_id, seq, round(gap,5) AS gap, underrun, round(roll,6) AS rolling_rtf FROM played WHERE {DUE}")),
     "stream_sentence_buffer": (stream_sentence_buffer, of_seen(SENT_ROWS, tail=f"""SELECT session_id, CAST(sentence AS BIGINT) AS sentence, count(*) AS frames, round(sum(rtf),6) AS seconds, max(seq) AS last_seq
         FROM sn WHERE {DUE} GROUP BY session_id, sentence HAVING bool_or(event_type='purchase')""")),
-    "stream_batch_states": (stream_batch_states, of_seen(STATE.replace("fl AS", f"due AS (SELECT * FROM ev WHERE {DUE}),\nfl AS").replace("FROM ev),\nlive", "FROM due),\nlive"),
-        tail="SELECT session_id, item_index, CASE WHEN nxt='complete' THEN 'PASS' WHEN nxt='issue' THEN 'ISSUE' ELSE 'PLAYING' END AS state FROM started")),
+    "batch_resume": (batch_resume, B.with_sql(EV, walk_sql("ev", "CASE WHEN i = active AND s = 'PLAYING' THEN 'PENDING' ELSE s END"), tail=WALKED)),
+    "stream_batch_states": (stream_batch_states, of_seen(walk_sql(f"(SELECT * FROM ev WHERE {DUE}) ev", "s"), tail=WALKED)),
     "stream_ingest": (stream_ingest, B.with_sql(DELIVERIES_SQL, tail="""SELECT project_id, path, sha256, min_by(seq, struct_pack(p := part, s := seq)) AS seq FROM (
         SELECT project_id, path, sha256, seq, CASE seq % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS part FROM deliveries UNION ALL
         SELECT project_id, path, sha256, seq + 1000000000, 1 FROM deliveries WHERE (seq + 1000000000) % 2 = 0 UNION ALL

@@ -16,10 +16,18 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.sessions import CHANGES, ItemWalk
+
 ROLLING = 10
 UNDERRUN_SECONDS = 0.02
 
 
+def _values(column: pd.Series, kind: str) -> list:
+    """Plain values; pandas turns whole numbers with gaps into floats."""
+    whole = kind == "bigint"
+    return [None if absent else int(v) if whole else v for v, absent in zip(column.tolist(), column.isna())]
+
+
 class InOrder(StatefulProcessor):
     """Buffers rows behind the watermark; a subclass sees them once, sorted by time and ``seq``.
 
@@ -34,7 +42,7 @@ class InOrder(StatefulProcessor):
         """Declares the rule's own state."""
 
     def handle_due(self, key, rows: Iterable[tuple]) -> list[tuple]:
-        """Results of the rows that are due; rows are tuples of the ``INPUT`` columns."""
+        """Results of the rows that are due; rows are (event time, tuple of the ``INPUT`` columns)."""
         raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -55,8 +63,7 @@ class InOrder(StatefulProcessor):
         earliest = None
         for chunk in rows:
             if len(chunk):
-                held = chunk[["at", *self.INPUT]].astype(object)
-                self.waiting.appendList(list(held.where(held.notna(), None).itertuples(index=False, name=None)))
+                self.waiting.appendList(list(zip(*[_values(chunk[c], kind) for c, kind in {"at": "bigint", **self.INPUT}.items()])))
                 first = int(chunk["at"].min())
                 earliest = first if earliest is None else min(earliest, first)
         if earliest is not None:
@@ -71,7 +78,7 @@ class InOrder(StatefulProcessor):
         out = []
         if due:
             due.sort(key=lambda row: row[:2])
-            out = self.handle_due(key, [row[1:] for row in due])
+            out = self.handle_due(key, [(row[0], row[1:]) for row in due])
             if later:
                 self.waiting.put(later)
             else:
@@ -100,7 +107,7 @@ class StaleFilter(InOrder):
     def handle_due(self, key, rows):
         current = self.current.get()[0] if self.current.exists() else None
         out = []
-        for seq, kind, generation in rows:
+        for _, (seq, kind, generation) in rows:
             if kind == "invalidate":
                 current = generation
             else:
@@ -125,7 +132,7 @@ class Playback(InOrder):
         last = self.finished.get()[0] if self.finished.exists() else None
         recent = [r[0] for r in self.factors.get()] if self.factors.exists() else []
         out = []
-        for seq, start, finish, rtf in rows:
+        for _, (seq, start, finish, rtf) in rows:
             gap = None if last is None else max(0.0, start - last)
             recent = [*recent, rtf][-ROLLING:]
             out.append((key[0], seq, gap, gap is not None and gap > UNDERRUN_SECONDS, sum(recent) / len(recent)))
@@ -147,7 +154,7 @@ class SentenceBuffer(InOrder):
     def handle_due(self, key, rows):
         number, frames, seconds, top = self.begun.get() if self.begun.exists() else (0, 0, 0.0, -1)
         out = []
-        for seq, final, length in rows:
+        for _, (seq, final, length) in rows:
             frames, seconds, top = frames + 1, seconds + length, max(top, seq)
             if final:
                 out.append((key[0], number, frames, seconds, top))
@@ -157,25 +164,31 @@ class SentenceBuffer(InOrder):
 
 
 class BatchMachine(InOrder):
-    """Walks a session's items through their states; emits each item when it changes."""
+    """Walks a session's items through their states; emits each item when it changes.
+
+    Events come with the item a resume asks for and the number of open items
+    (``sessions.with_targets``, a join with the items' table).
+    """
 
-    INPUT = {"seq": "bigint", "kind": "string"}
-    OUTPUT = "session_id bigint, seq bigint, item_index bigint, state string"
+    INPUT = {"seq": "bigint", "kind": "string", "rank": "double", "index": "bigint", "n_open": "bigint"}
+    OUTPUT = CHANGES
 
     def opened(self, handle):
-        self.place = handle.getValueState("place", "next bigint, active bigint, paused boolean")
+        self.place = handle.getValueState("place", "following bigint, rank double, index bigint, paused boolean")
+        self.reopened = handle.getListState("reopened", "rank double, index bigint")
 
     def handle_due(self, key, rows):
-        nxt, active, paused = self.place.get() if self.place.exists() else (1, 0, False)
+        following, rank, index, paused = self.place.get() if self.place.exists() else (1, None, None, False)
+        held = [tuple(r) for r in self.reopened.get()] if self.reopened.exists() else []
+        walk = ItemWalk(following, None if rank is None else (rank, index), paused, held)
         out = []
-        for seq, kind in rows:
-            if kind in ("pause", "continue"):
-                paused = kind == "pause"
-            elif kind == "start" and not paused:
-                active, nxt = nxt, nxt + 1
-                out.append((key[0], seq, active, "PLAYING"))
-            elif active and (kind == "issue" or (kind == "complete" and not paused)):
-                out.append((key[0], seq, active, "ISSUE" if kind == "issue" else "PASS"))
-                active = 0
-        self.place.update((nxt, active, paused))
+        for at, (seq, *event) in rows:
+            change = walk.step(*event)
+            if change:
+                out.append((key[0], at, seq, *change))
+        self.place.update((walk.following, *(walk.active or (None, None)), walk.paused))
+        if walk.reopened:
+            self.reopened.put(walk.reopened)
+        else:
+            self.reopened.clear()
         return out

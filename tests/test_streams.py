@@ -58,23 +58,17 @@ def test_sentences(spark, parts):
     assert rows(got.select(*cols)) == rows(S.sentence_buffer(Q.events(spark, SF)).select(*cols))
 
 
-def test_items(spark, parts):
-    got = run(parts, processors.BatchMachine)
-    last = got.groupBy("session_id", "item_index").agg(F.max_by("state", "seq").alias("state"))
-    e = Q.events(spark, SF)
-    many = e.select("session_id").distinct().select("session_id", F.explode(F.sequence(F.lit(1), F.lit(300))).alias("item_index"))
-    want = S.batch_states(e, many).where("state <> 'PENDING'")
-    cols = ["session_id", F.col("item_index").cast("long"), "state"]
-    assert rows(last.select(*cols)) == rows(want.select(*cols))
-
-
-def walk(kinds, n):
-    states, paused, active, nxt = ["PENDING"] * n, False, None, 0
-    for kind in kinds:
+def walk(events, states, texts):
+    """(states) after (kind, text) events, item by item."""
+    states, paused, active = list(states), False, None
+    for kind, text in events:
         if kind in ("pause", "continue"):
             paused = kind == "pause"
+        elif kind == "resume" and text in texts:
+            paused, active = False, None
+            states[texts.index(text)] = "PENDING"
         elif kind == "start" and not paused:
-            active, nxt = (nxt, nxt + 1) if nxt < n else (None, nxt)
+            active = next((i for i, s in enumerate(states) if s in S.OPEN), None)
             if active is not None:
                 states[active] = "PLAYING"
         elif active is not None and (kind == "issue" or (kind == "complete" and not paused)):
@@ -82,15 +76,36 @@ def walk(kinds, n):
     return states
 
 
-def test_item_states_by_walking(spark):
-    e = Q.events(spark, SF).cache()
-    items = e.select("session_id").distinct().select("session_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("item_index"))
-    got = {(r["session_id"], r["item_index"]): r["state"] for r in S.batch_states(e, items).collect()}
-    by = {}
+def told(spark, sessions, n):
+    """Items with shared texts and first states of every kind; few items, so that sessions run out of them."""
+    i = F.col("item_index")
+    state = F.when(i % 4 == 3, "RETEST_PENDING").when(i % 5 == 2, "PASS").when(i == 6, "ISSUE").otherwise("PENDING")
+    return sessions.distinct().select("session_id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("item_index")).withColumns({"text": F.concat(F.lit("T"), i % 4), "state": state})
+
+
+def by_walking(e, n):
+    by, want = {}, {}
     for r in sorted(e.collect(), key=lambda r: (r["ts"], r["seq"])):
-        by.setdefault(r["session_id"], []).append(r["kind"])
-    for session, kinds in by.items():
-        assert [got[(session, i + 1)] for i in range(6)] == walk(kinds, 6)
+        by.setdefault(r["session_id"], []).append((r["kind"], r["text"] if "text" in r else None))
+    for session, happened in by.items():
+        first = ["RETEST_PENDING" if i % 4 == 3 else "PASS" if i % 5 == 2 else "ISSUE" if i == 6 else "PENDING" for i in range(1, n + 1)]
+        for i, state in enumerate(walk(happened, first, [f"T{i % 4}" for i in range(1, n + 1)]), 1):
+            want[session, i] = state
+    return want
+
+
+@pytest.mark.parametrize("n", [3, 8, 40])
+def test_item_states_by_walking(spark, n):
+    plain = Q.events(spark, SF)
+    for e in (plain, Q.resuming(plain)):
+        got = S.batch_states(e, told(spark, e.select("session_id"), n))
+        assert {(r["session_id"], r["item_index"]): r["state"] for r in got.collect()} == by_walking(e, n)
+
+
+def test_items_of_a_stream(spark, parts):
+    ranked = S.ranked_items(told(spark, Q.events(spark, SF).select("session_id"), 8)).cache()
+    got = S.last_changes(run(parts, processors.BatchMachine, lambda e: S.with_targets(Q.resuming(e), ranked)), ranked, recover=False)
+    assert {(r["session_id"], r["item_index"]): r["state"] for r in got.collect()} == by_walking(Q.resuming(Q.events(spark, SF)), 8)
 
 
 def test_ingest_over_batches_and_restart(spark, tmp_path):
