@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,12 @@ class SanityConfig:
         """One tag per set of values, whatever their order."""
         return hashlib.sha256(json.dumps(self.values, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
+    @staticmethod
+    def config_hash_of(**changes: Column) -> Column:
+        """The tag of a configuration whose replaced thresholds are columns; equal values give the tag of ``config_hash``."""
+        fields = [changes.get(n, F.lit(v)).alias(n) for n, v in sorted(R.SANITY.items())]
+        return F.sha2(F.to_json(F.struct(*fields)), 256)
+
     @property
     def silence_amplitude(self) -> float:
         return 10.0 ** (self.values["silence_threshold_dbfs"] / 20.0)
@@ -258,11 +265,14 @@ def similarity(embeddings: DataFrame, reference: DataFrame, vector: str = "embed
     return joined.withColumn("similarity", F.when(known, cosine(F.col(vector), F.col("_ref")))).drop("_ref", "_n")
 
 
-def calibrate(scores: DataFrame, group: str = "group", score: str = "primary_score") -> DataFrame:
-    """One row: threshold between the worst positive and best negative, with error counts."""
+def calibrate(
+    scores: DataFrame, group: str = "group", score: str = "primary_score", positives: tuple[str, ...] = POSITIVE_GROUPS,
+    negative: str = NEGATIVE_GROUP, extras: tuple[str, ...] = (EXTRA_GROUP,),
+) -> DataFrame:
+    """One row: threshold between the worst positive and best negative, with error counts and ``n_, min_, max_`` per group."""
     g, s = F.col(group), F.col(score)
-    positive, negative = g.isin(*POSITIVE_GROUPS), g == NEGATIVE_GROUP
-    names = (*POSITIVE_GROUPS, NEGATIVE_GROUP, EXTRA_GROUP)
+    names = (*positives, negative, *extras)
+    positive, negative = g.isin(*positives), g == negative
     bounds = scores.agg(
         F.count(F.lit(1)).alias("sample_count"),
         ((F.min(F.when(positive, s)) + F.max(F.when(negative, s))) / 2).alias("_mid"),
@@ -270,7 +280,7 @@ def calibrate(scores: DataFrame, group: str = "group", score: str = "primary_sco
         *[F.min(F.when(g == n, s)).alias(f"min_{n}") for n in names],
         *[F.max(F.when(g == n, s)).alias(f"max_{n}") for n in names],
     )
-    enough = (F.col("n_candidate") > 0) & (F.col("n_approved") > 0) & (F.col("n_rejected") > 0)
+    enough = reduce(lambda a, b: a & b, [F.col(f"n_{n}") > 0 for n in names[: len(positives) + 1]])
     bounds = bounds.withColumn("threshold", F.when(enough, F.col("_mid"))).withColumn(
         "status", F.when(enough, "calibrated_candidate").otherwise("insufficient_data")
     ).drop("_mid")

@@ -26,6 +26,11 @@ def schema_hash(names: tuple[str, ...] = R.FEATURE_NAMES) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def schema_hash_of(names: Column) -> Column:
+    """The same tag for an array of names in their order."""
+    return F.sha2(F.to_json(F.struct(names.alias("feature_names"), F.lit(R.FEATURE_VERSION).alias("feature_version"))), 256)
+
+
 @dataclass(frozen=True)
 class LinearRanker:
     names: tuple[str, ...]

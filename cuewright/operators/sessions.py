@@ -282,14 +282,14 @@ def resume_from(states: DataFrame, texts: DataFrame) -> DataFrame:
 SCHEMAS = ("session/1", "session/2")
 
 
-def load_sessions(stored: DataFrame) -> DataFrame:
+def load_sessions(stored: DataFrame, schemas: tuple[str, ...] = SCHEMAS) -> DataFrame:
     """Stored session documents made safe to resume, one row per item.
 
     ``stored``: session_id, modified, schema_version, active_index, items
     (array of item_id, text, state). Unknown schemas and states are refused; the
     item that was playing starts over.
     """
-    ok = F.col("schema_version").isin(*SCHEMAS) & (F.size("items") > 0) & F.forall("items", lambda i: i["state"].isin(*STATES))
+    ok = F.col("schema_version").isin(*schemas) & (F.size("items") > 0) & F.forall("items", lambda i: i["state"].isin(*STATES))
     kept = stored.where(ok).withColumn(
         "active_index",
         F.when((F.col("active_index") >= 0) & (F.col("active_index") < F.size("items")), F.col("active_index")),
@@ -301,9 +301,9 @@ def load_sessions(stored: DataFrame) -> DataFrame:
     )
 
 
-def latest_session(stored: DataFrame, owner: str) -> DataFrame:
+def latest_session(stored: DataFrame, owner: str, schemas: tuple[str, ...] = SCHEMAS) -> DataFrame:
     """Newest loadable session of each owner."""
-    ok = F.col("schema_version").isin(*SCHEMAS) & (F.size("items") > 0) & F.forall("items", lambda i: i["state"].isin(*STATES))
+    ok = F.col("schema_version").isin(*schemas) & (F.size("items") > 0) & F.forall("items", lambda i: i["state"].isin(*STATES))
     rest = [c for c in stored.columns if c != owner]
     newest = stored.where(ok).groupBy(owner).agg(F.max_by(F.struct(*rest), F.struct("modified", SESSION)).alias("_s"))
     return newest.select(owner, "_s.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bank, gates, selection, shadow
+from ..operators.ordered import previous_row
 from ..rules import FEATURE_NAMES
 from ..session import cut_lineage
 from . import bindings as B
@@ -263,9 +264,34 @@ def evaluated(spark, d):
     return shadow.ranking_features(e).withColumn("rank_score", F.when(F.col("survives"), F.col("quality")))
 
 
+def with_evidence(e):
+    """Evaluated takes with what speaker and listening validators said of some of them; all features."""
+    return shadow.ranking_features(
+        e.withColumns(
+            {
+                "primary_chatterbox_similarity": F.when(F.col("part") % 3 != 0, (F.col("supp") % 21) / F.lit(20.0)),
+                "primary_similarity": F.when(F.col("part") % 2 == 0, (F.col("part") % 17) / F.lit(16.0)),
+                "secondary_similarity": F.when(F.col("supp") % 4 != 0, (F.col("part") % 31) / F.lit(30.0)),
+                "mos": F.when(F.col("line") % 2 == 0, F.lit(1.0) + (F.col("part") % 41) / F.lit(10.0)),
+            }
+        )
+    )
+
+
+# The names of all features, and their columns over evaluated takes.
+EVIDENCE = {
+    "f_syllables_per_second": "f_rate", "f_pitch_median_hz": "median_hz", "f_pitch_range_st": "range_st", "f_tail_delta_st": "tail_delta", "f_relative_tail": "f_rel",
+    "f_final_glide_st_per_s": "final_glide", "f_final_rebound_st": "final_rebound", "f_level_deviation_db": "f_level", "f_phrase_reset_st": "CAST(NULL AS DOUBLE)",
+    "f_speaker_similarity_chatterbox": "CASE WHEN part % 3 <> 0 THEN (supp % 21)/2e1 WHEN part % 2 = 0 THEN (part % 17)/16e0 END",
+    "f_speaker_similarity_speechbrain": "CASE WHEN supp % 4 <> 0 THEN (part % 31)/3e1 END", "f_content_score": "1e0-f_err", "f_content_error_rate": "f_err",
+    "f_mos_score": "CASE WHEN line % 2 = 0 THEN 1e0+(part % 41)/1e1 END",
+}
+EVIDENCE_SQL = "evidence AS (SELECT project_id, block_id, phrase_id, take_id, survives, rank_score, " + ", ".join(f"{sql} AS {name}" for name, sql in EVIDENCE.items()) + " FROM evaluated)"
+
+
 def ranking_features(spark, d):
-    e = evaluated(spark, d)
-    return e.select(*IDENT, *[F.round(f, 6).alias(f) for f in FEATURES if not f.startswith(("f_speaker", "f_mos", "f_phrase"))])
+    e = with_evidence(evaluated(spark, d))
+    return e.select(*IDENT, *[F.round(f, 6).alias(f) for f in FEATURES])
 
 
 def shadow_rank(spark, d):
@@ -316,44 +342,37 @@ def actual_lookup(spark, d):
 
 def disagreement_reasons(spark, d):
     e, v = verdicts(spark, d)
-    fields = ["f_syllables_per_second", "f_pitch_range_st", "f_tail_delta_st", "f_level_deviation_db", "f_content_error_rate"]
-    r = shadow.disagreements(v, e, fields)
+    r = shadow.disagreements(v, with_evidence(e), list(FEATURES))
     return r.select(
         *KEY, "kind", "feature", F.round("actual", 6).alias("actual"), F.round("shadow", 6).alias("shadow"),
         F.round("shadow_minus_actual", 6).alias("shadow_minus_actual"),
     )
 
 
-def _delta(feature, column):
-    return f"""SELECT project_id, block_id, phrase_id, 'feature_delta', '{feature}', round(a.{column},6), round(s.{column},6), round(s.{column}-a.{column},6) FROM both_ WHERE a.{column} <> s.{column}"""
+def _delta(feature):
+    return f"""SELECT project_id, block_id, phrase_id, 'feature_delta', '{feature}', round(a.{feature},6), round(s.{feature},6), round(s.{feature}-a.{feature},6) FROM both_ WHERE a.{feature} <> s.{feature}"""
 
 
-DISAGREE_SQL = B.with_sql(*AGREED, """
-both_ AS (SELECT v.project_id, v.block_id, v.phrase_id, a, s FROM verdicts v JOIN evaluated a ON a.phrase_id=v.phrase_id AND a.take_id=v.selected_take
-  JOIN evaluated s ON s.phrase_id=v.phrase_id AND s.take_id=v.shadow_top_1 WHERE NOT agreement)""", tail="""
+DISAGREE_SQL = B.with_sql(*AGREED, EVIDENCE_SQL, """
+both_ AS (SELECT v.project_id, v.block_id, v.phrase_id, a, s FROM verdicts v JOIN evidence a ON a.phrase_id=v.phrase_id AND a.take_id=v.selected_take
+  JOIN evidence s ON s.phrase_id=v.phrase_id AND s.take_id=v.shadow_top_1 WHERE NOT agreement)""", tail="""
 SELECT project_id, block_id, phrase_id, 'hard_gate_survival' AS kind, '' AS feature, CAST(a.survives::INT AS DOUBLE) AS actual, CAST(s.survives::INT AS DOUBLE) AS shadow,
   CAST(s.survives::INT - a.survives::INT AS DOUBLE) AS shadow_minus_actual FROM both_ WHERE a.survives <> s.survives
 UNION ALL SELECT project_id, block_id, phrase_id, 'rank_score', '', round(a.rank_score,6), round(s.rank_score,6), round(s.rank_score-a.rank_score,6) FROM both_ WHERE a.rank_score IS DISTINCT FROM s.rank_score
-UNION ALL """ + "\nUNION ALL ".join([
-    _delta("f_syllables_per_second", "f_rate"), _delta("f_pitch_range_st", "range_st"), _delta("f_tail_delta_st", "tail_delta"),
-    _delta("f_level_deviation_db", "f_level"), _delta("f_content_error_rate", "f_err")]))
+UNION ALL """ + "\nUNION ALL ".join(_delta(f) for f in EVIDENCE if f != "f_phrase_reset_st"))
 
 
 def feature_union_keys(spark, d):
-    """Key union and deltas over free-form maps: first against second take of a phrase."""
-    t = B.raw_takes(spark, d).where("take_id < 2")
+    """Key union and deltas over free-form maps: each take against the one before it."""
     m = F.map_filter(
         F.create_map(F.lit("range"), F.col("range_st"), F.lit("slope"), F.col("end_slope"), F.lit("tail"), F.col("tail_delta")),
         lambda k, v: v.isNotNull(),
     )
-    two = t.groupBy("phrase_id").agg(
-        F.max_by(F.when(F.col("take_id") == 0, m), F.when(F.col("take_id") == 0, F.lit(1)).otherwise(0)).alias("a"),
-        F.max_by(F.when(F.col("take_id") == 1, m), F.when(F.col("take_id") == 1, F.lit(1)).otherwise(0)).alias("s"),
-        F.count(F.lit(1)).alias("n"),
-    ).where("n = 2")
-    return two.select(
-        "phrase_id",
-        F.array_join(shadow.feature_names(F.col("a"), F.col("s")), ",").alias("names"),
+    t = B.raw_takes(spark, d).select("phrase_id", "take_id", m.alias("s"))
+    hot = [(k[0],) for k in B.hot_orders(spark, d)] if B.hot_orders(spark, d) is not None else None
+    pairs = previous_row(t, ["phrase_id"], ["take_id"], [F.floor(F.col("take_id") / 4096)], {"a": "s"}, hot).where("a IS NOT NULL")
+    return pairs.select(
+        "phrase_id", "take_id", F.array_join(shadow.feature_names(F.col("a"), F.col("s")), ",").alias("names"),
         F.array_join(F.transform(shadow.disagreement_maps(F.col("a"), F.col("s")), lambda e: e["feature"]), ",").alias("changed"),
     )
 
@@ -475,9 +494,7 @@ QUERIES = {
     "not_run_rows": (not_run_rows, B.with_sql(*SHADOWED, tail="""SELECT validator_name, status, hard_gate, count(*) AS takes, count(*) FILTER (validator_name='speaker_identity') AS unconfigured FROM validations GROUP BY ALL""")),
     "imported_gate": (imported_gate, B.with_sql(*SCORED, tail=f"""SELECT {K}, CASE WHEN n_syl=7 THEN 'unknown' WHEN ok THEN 'pass' ELSE 'fail' END AS status,
         CASE WHEN n_syl=7 THEN 'existing_gate_status_missing' ELSE why END AS reasons, 1 + (tail_delta IS NOT NULL)::BIGINT AS n_metrics FROM scored""")),
-    "ranking_features": (ranking_features, B.with_sql(*SHADOWED, tail=f"""SELECT {K}, round(f_rate,6) AS f_syllables_per_second, round(median_hz,6) AS f_pitch_median_hz, round(range_st,6) AS f_pitch_range_st,
-        round(tail_delta,6) AS f_tail_delta_st, round(f_rel,6) AS f_relative_tail, round(final_glide,6) AS f_final_glide_st_per_s, round(final_rebound,6) AS f_final_rebound_st,
-        round(f_level,6) AS f_level_deviation_db, round(1e0-f_err,6) AS f_content_score, round(f_err,6) AS f_content_error_rate FROM evaluated""")),
+    "ranking_features": (ranking_features, B.with_sql(*SHADOWED, EVIDENCE_SQL, tail=f"SELECT {K}, " + ", ".join(f"round({f},6) AS {f}" for f in EVIDENCE) + " FROM evidence")),
     "shadow_rank": (shadow_rank, B.with_sql(*SHADOWED, tail=f"SELECT {K}, shadow_rank, round(rank_score,6) AS rank_score FROM ranked")),
     "shadow_top3": (shadow_top3, B.with_sql(*SHADOWED, tail="""SELECT project_id, block_id, phrase_id, max(CASE WHEN shadow_rank=1 THEN take_id END) AS shadow_top_1,
         string_agg(CAST(take_id AS VARCHAR), ',' ORDER BY shadow_rank) AS shadow_top_3 FROM ranked WHERE shadow_rank<=3 GROUP BY ALL""")),
@@ -486,9 +503,9 @@ QUERIES = {
         FROM overlay o LEFT JOIN scored s ON s.phrase_id=o.phrase_id AND s.take_id=o.take_id""")),
     "agreement": (agreement, B.with_sql(*AGREED, tail="SELECT * FROM verdicts")),
     "disagreement_reasons": (disagreement_reasons, DISAGREE_SQL),
-    "feature_union_keys": (feature_union_keys, B.with_sql(B.TAKES_SQL, tail="""SELECT a.phrase_id, CASE WHEN a.tail_delta IS NOT NULL OR s.tail_delta IS NOT NULL THEN 'range,slope,tail' ELSE 'range,slope' END AS names,
+    "feature_union_keys": (feature_union_keys, B.with_sql(B.TAKES_SQL, tail="""SELECT a.phrase_id, s.take_id, CASE WHEN a.tail_delta IS NOT NULL OR s.tail_delta IS NOT NULL THEN 'range,slope,tail' ELSE 'range,slope' END AS names,
         rtrim(CASE WHEN a.range_st<>s.range_st THEN 'range,' ELSE '' END || CASE WHEN a.end_slope<>s.end_slope THEN 'slope,' ELSE '' END || CASE WHEN a.tail_delta<>s.tail_delta THEN 'tail,' ELSE '' END, ',') AS changed
-        FROM raw_takes a JOIN raw_takes s ON s.phrase_id=a.phrase_id AND a.take_id=0 AND s.take_id=1""")),
+        FROM raw_takes a JOIN raw_takes s ON s.phrase_id=a.phrase_id AND s.take_id=a.take_id+1""")),
     "phrase_meta_join": (phrase_meta_join, B.with_sql(B.TAKES_SQL, tail="SELECT phrase_id, take_id, sentence_final AND NOT question AS sentence_final, forced AND NOT question AS forced FROM takes")),
     "select_eligible": (select_eligible, B.with_sql(*SHADOWED, ELIG_SQL, tail=f"SELECT {K}, base_ok AND coverage >= 5e-1 AS eligible, round(coverage,6) AS coverage FROM elig")),
     "select_proposals": (select_proposals, B.with_sql(*SHADOWED, ELIG_SQL, B.PINS_SQL, PROPOSE_SQL, tail="""SELECT project_id, block_id, phrase_id, status, CASE WHEN status='approved_proposal' THEN t END AS take_id,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
+from .. import rules as R
 from ..functions import korean, text as X
 from ..functions.numeric import sigmoid
 from ..functions.vectors import to_int16
@@ -16,7 +19,7 @@ from .bank_queries import BANKED, IDENT, bank_takes
 from .experiment_queries import ANALYSIS_SQL, results
 from .ranking_queries import PAIRED, candidates, fixed_model
 
-from .text_queries import HDOC, QUIET, WS, docs, hangul_docs, turns
+from .text_queries import HDOC, QUIET, WS, align_sql, docs, hangul_docs, turns
 
 
 def row_check(row):
@@ -89,9 +92,20 @@ def phrase_udtf(spark, d):
 
 
 def align_udf(spark, d):
-    """Alignment of role-neutral tokens: distance can never beat the length difference."""
+    """The alignment of turns cut at single blanks, all four counts."""
     t = turns(spark, d).withColumns({"e": F.split("expected", " "), "a": F.split("actual", " ")}).withColumn("al", korean.align("e", "a"))
-    return t.select("conv_id", "turn", (F.col("al.insertions") - F.col("al.deletions")).alias("surplus"), (F.col("al.distance") >= F.size("e") - F.size("a")).alias("bounded"))
+    return t.select("conv_id", "turn", *[F.col(f"al.{c}").alias(c) for c in korean.ALIGNMENT])
+
+
+def config_hash(spark, d):
+    """Sanity configurations as suppliers would ask for them: one tag per pair of replaced thresholds."""
+    c = B.table(spark, d, "supplier").select("s_suppkey", (F.col("s_nationkey") * 1000 + 8000).cast("int").alias("rate"), ((F.col("s_suppkey") % 8 + 1) / F.lit(8.0)).alias("shortest"))
+    return c.select("s_suppkey", audio.SanityConfig.config_hash_of(expected_sample_rate_hz=F.col("rate"), minimum_duration_seconds=F.col("shortest")).alias("config_hash"))
+
+
+CONFIG_SQL = "SELECT s_suppkey, sha256('{' || " + " || ',' || ".join(
+    f"""'"{name}":' || """ + {"expected_sample_rate_hz": "CAST(s_nationkey*1000+8000 AS INT)", "minimum_duration_seconds": "CAST((s_suppkey % 8 + 1)/8e0 AS VARCHAR)"}.get(name, "'" + json.dumps(value) + "'")
+    for name, value in sorted(R.SANITY.items())) + " || '}') AS config_hash FROM supplier"
 
 
 def scan_wav(spark, d):
@@ -178,8 +192,10 @@ QUERIES = {
     "sigmoid": (sigmoid_q, "SELECT event_id, round(1e0/(1e0+exp(-(value-40e0)/7e0)),6) AS p, CASE WHEN value > 0 THEN round(1e0/(1e0+exp(least(value*1e3, 700e0))),6) ELSE 5e-1 END AS floor FROM events"),
     "utility": (utility, B.with_sql(*PAIRED, tail="SELECT project_id, sentence_class, round(avg(u),6) AS mean_utility, round(max(u),6) AS best FROM cand GROUP BY ALL")),
     "force_split": (force_split, None),
+    "config_hash": (config_hash, CONFIG_SQL),
     "phrase_udtf": (phrase_udtf, None),
-    "align_udf": (align_udf, """SELECT a.conv_id, a.turn, len(string_split(b.text,' ')) - len(string_split(a.text,' ')) AS surplus, true AS bounded FROM conversations a JOIN conversations b ON b.conv_id=a.conv_id AND b.turn=a.turn+1"""),
+    "align_udf": (align_udf, align_sql("SELECT a.conv_id, a.turn, string_split(a.text, ' ') AS e, string_split(b.text, ' ') AS a FROM conversations a JOIN conversations b ON b.conv_id=a.conv_id AND b.turn=a.turn+1",
+        "conv_id, turn, distance, deletions, insertions, substitutions")),
     "scan_wav": (scan_wav, """SELECT 'v' || vec_id AS path, CASE WHEN label<>5 THEN 24000 END AS sample_rate_hz, CASE WHEN label<>5 THEN 1 END AS channels, CASE WHEN label<>5 THEN 2 END AS sample_width, CASE WHEN label<>5 THEN len(embedding) END AS n,
         CASE WHEN label<>5 THEN round(list_sum(list_transform(embedding, lambda x: round_even(CAST(x AS DOUBLE)*CASE WHEN x>=0 THEN 32767e0 ELSE 32768e0 END,0))),3) END AS total, CASE WHEN label=5 THEN 'truncated' END AS decode_error FROM embeddings"""),
     "bank_store": (bank_store, B.with_sql(*BANKED, """fresh AS (SELECT project_id, phrase_id, take_id, sha256, max(decision) AS decision, min_by(n_syl/dur, revision_seq) AS r1, count(*) AS deliveries FROM bank GROUP BY ALL),

@@ -8,7 +8,7 @@ from ..functions.text import WS
 from ..operators import bank, gates, metrics, pairs as P, ranker, shadow
 from ..operators.digest import digest_sql
 from ..operators.ranker import LinearRanker
-from ..rules import FEATURE_NAMES
+from ..rules import FEATURE_NAMES, FEATURE_VERSION
 from ..session import cut_lineage, scratch_path
 from . import bindings as B
 from .take_queries import KEY, SCORED
@@ -270,8 +270,20 @@ def source_hash_collect(spark, d):
     return ranker.source_hashes(c, ("source_sha256", "selection_source_sha256", "audio_sha256"))
 
 
+def schema_hash(spark, d):
+    """Feature schema of each block: the tag of the features that any of its takes has."""
+    c = candidates(spark, d)
+    seen = c.groupBy("project_id", "block_id").agg(*[F.max(F.col(f).isNotNull()).alias(f) for f in FEATURES])
+    names = F.array_compact(F.array(*[F.when(F.col(f), F.lit(n)) for f, n in zip(FEATURES, FEATURE_NAMES)]))
+    return seen.select("project_id", "block_id", F.size(names).alias("n_features"), ranker.schema_hash_of(names).alias("schema_hash"))
+
+
+SCHEMA_SQL = B.with_sql(*PAIRED, "named AS (SELECT project_id, block_id, [" + ", ".join(
+    f"CASE WHEN bool_or({STAT_COLUMNS[n]} IS NOT NULL) THEN '{n}' END" for n in FEATURE_NAMES if n in STAT_COLUMNS) + "] AS names FROM cand x GROUP BY ALL),\nkept AS (SELECT project_id, block_id, list_filter(names, lambda n: n IS NOT NULL) AS names FROM named)",
+    tail=f"""SELECT project_id, block_id, len(names) AS n_features, sha256('{{"feature_names":[' || array_to_string(list_transform(names, lambda n: '"' || n || '"'), ',') || '],"feature_version":"{FEATURE_VERSION}"}}') AS schema_hash FROM kept""")
 K = "project_id, block_id, phrase_id"
 QUERIES = {
+    "schema_hash": (schema_hash, SCHEMA_SQL),
     "pairs_self_join": (pairs_self_join, B.with_sql(*PAIRED, tail=f"SELECT {K}, sentence_class, sentence_key, w_take, l_take FROM pairs")),
     "normalise_candidate": (normalise_candidate, f"""SELECT d.doc_id AS phrase_id, coalesce(quality,-1) AS take_id,
         sha256(CASE WHEN t <> '' THEN t ELSE source || '/' || lang || '/' || d.doc_id END) AS text_hash, CASE WHEN toxic=1 THEN 'selected' ELSE 'unknown' END AS decision,

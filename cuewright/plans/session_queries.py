@@ -128,6 +128,9 @@ def batch_counts(spark, d):
     return S.batch_counts(S.batch_states(events(spark, d), items(spark, d), hot=hot(spark, d)))
 
 
+TAGS = ("cue/1", "cue/2")
+
+
 def stored_sessions(spark, d):
     """Conversations as stored sessions; a role stands for the state, the turn count for the schema."""
     c = B.table(spark, d, "conversations")
@@ -137,7 +140,7 @@ def stored_sessions(spark, d):
     docs = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.count(F.lit(1)).alias("n"))
     return docs.select(
         F.col("conv_id").alias("session_id"), F.col("n").alias("modified"),
-        F.when(F.col("n") % 4 == 0, "session/9").when(F.col("n") % 4 == 1, "session/1").otherwise("session/2").alias("schema_version"),
+        F.when(F.col("n") % 4 == 0, "cue/9").when(F.col("n") % 4 == 1, "cue/1").otherwise("cue/2").alias("schema_version"),
         F.when(F.col("n") > 6, 99).otherwise(1).alias("active_index"),
         F.transform("items", lambda i: F.struct(i["item_id"], i["text"], i["state"])).alias("items"),
     )
@@ -148,12 +151,12 @@ cn AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY ALL)"""
 
 
 def session_load(spark, d):
-    return S.load_sessions(stored_sessions(spark, d)).select("session_id", "pos", "item_id", "state")
+    return S.load_sessions(stored_sessions(spark, d), TAGS).select("session_id", "pos", "item_id", "state")
 
 
 def recent_session(spark, d):
     s = stored_sessions(spark, d).withColumn("owner", F.col("active_index"))
-    return S.latest_session(s, "owner").select("owner", "session_id", "modified", "schema_version")
+    return S.latest_session(s, "owner", TAGS).select("owner", "session_id", "modified", "schema_version")
 
 
 def plain_times(k):
@@ -467,7 +470,7 @@ QUERIES = {
         count(*) FILTER (state='ISSUE') AS issue, 0 AS paused, 0 AS retest_pending FROM states GROUP BY session_id""")),
     "session_load": (session_load, B.with_sql(STORED, tail="""SELECT c.conv_id AS session_id, CAST(row_number() OVER (PARTITION BY c.conv_id ORDER BY turn)-1 AS INT) AS pos, 'S' || turn AS item_id,
         CASE WHEN turn=1 THEN CASE WHEN n<=6 AND n>1 AND row_number() OVER (PARTITION BY c.conv_id ORDER BY turn)=2 THEN 'PENDING' ELSE 'PLAYING' END WHEN role='user' THEN 'PASS' ELSE 'PENDING' END AS state FROM conversations c JOIN cn ON cn.conv_id=c.conv_id WHERE n%4<>0""")),
-    "recent_session": (recent_session, B.with_sql(STORED, tail="""SELECT owner, conv_id AS session_id, n AS modified, CASE WHEN n%4=1 THEN 'session/1' ELSE 'session/2' END AS schema_version FROM (SELECT *, CASE WHEN n>6 THEN 99 ELSE 1 END AS owner,
+    "recent_session": (recent_session, B.with_sql(STORED, tail="""SELECT owner, conv_id AS session_id, n AS modified, CASE WHEN n%4=1 THEN 'cue/1' ELSE 'cue/2' END AS schema_version FROM (SELECT *, CASE WHEN n>6 THEN 99 ELSE 1 END AS owner,
         row_number() OVER (PARTITION BY n>6 ORDER BY n DESC, conv_id DESC) AS r FROM cn WHERE n%4<>0) q WHERE r=1""")),
     "windowed_kpis": (windowed_kpis, B.with_sql(EV, """w AS (SELECT *, unnest([time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01') - INTERVAL '12 hours']) AS st FROM ev)""",
         tail="""SELECT st AS start, st + INTERVAL '1 day' AS "end", kind, count(*) AS n, round(sum(rtf),6) AS rtf_sum, max(rtf) AS rtf_max FROM w GROUP BY ALL""")),

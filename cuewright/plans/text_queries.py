@@ -147,8 +147,29 @@ turns AS (SELECT a.conv_id, a.turn, a.role, a.text AS expected, b.text AS actual
 toks AS (SELECT *, list_filter(regexp_split_to_array(lower(expected), '{WS}+'), lambda w: w <> '') AS e, list_filter(regexp_split_to_array(lower(actual), '{WS}+'), lambda w: w <> '') AS a FROM turns)"""
 
 
+def align_sql(pairs, columns):
+    """Token alignment by anti-diagonals: cell i of diagonal s aligns the first i expected with the first s - i actual tokens."""
+    return f"""WITH RECURSIVE toks AS ({pairs}),
+cells AS (SELECT *, 0 AS s, [struct_pack(d := 0, x := 0, w := 0)] AS newer, [struct_pack(d := 0, x := 0, w := 0)] AS older FROM toks
+  UNION ALL SELECT * EXCLUDE (s, newer, older), s + 1, list_transform(generate_series(0, len(e)), lambda i:
+    CASE WHEN s + 1 - i < 0 OR s + 1 - i > len(a) THEN NULL
+      WHEN i = 0 THEN struct_pack(d := 0, x := 0, w := 0)
+      WHEN i = s + 1 THEN struct_pack(d := CAST(i AS INT), x := CAST(i AS INT), w := 0)
+      WHEN newer[i].d <= newer[i+1].d AND newer[i].d + 1 <= older[i].d + (e[i] <> a[s+1-i])::INT THEN struct_pack(d := newer[i].d + 1, x := newer[i].x + 1, w := newer[i].w)
+      WHEN newer[i+1].d + 1 <= older[i].d + (e[i] <> a[s+1-i])::INT THEN struct_pack(d := newer[i+1].d + 1, x := newer[i+1].x, w := newer[i+1].w)
+      ELSE struct_pack(d := older[i].d + (e[i] <> a[s+1-i])::INT, x := older[i].x, w := older[i].w + (e[i] <> a[s+1-i])::INT) END), newer
+  FROM cells WHERE s < len(e) + len(a)),
+aligned AS (SELECT *, newer[len(e)+1].d AS distance, newer[len(e)+1].x AS deletions, CAST(newer[len(e)+1].x - len(e) + len(a) AS INT) AS insertions, newer[len(e)+1].w AS substitutions FROM cells WHERE s = len(e) + len(a))
+SELECT {columns} FROM aligned"""
+
+
+ALIGN_SQL = align_sql(f"""SELECT a.conv_id, a.turn, list_filter(regexp_split_to_array(lower(a.text), '{WS}+'), lambda w: w <> '') AS e, list_filter(regexp_split_to_array(lower(b.text), '{WS}+'), lambda w: w <> '') AS a
+  FROM conversations a JOIN conversations b ON b.conv_id=a.conv_id AND b.turn=a.turn+1""",
+    "conv_id, turn, distance, deletions, insertions, substitutions, round(distance / greatest(1, len(e)), 6) AS rate")
+
+
 def content_align(spark, d):
-    r = content.compare(turns(spark, d))
+    r = content.compare(turns(spark, d), simple_tokens)
     return r.select("conv_id", "turn", "distance", "deletions", "insertions", "substitutions", F.round("normalized_edit_distance", 6).alias("rate"))
 
 
@@ -317,7 +338,7 @@ QUERIES = {
         SELECT doc_id, format('S{{:04d}}', unnest(range(1, len(ps)+1))) AS item_id, sha256(unnest(ps)) AS h FROM i"""),
     "normalize_pronunciation": (normalize_pronunciation, None),
     "sino_number": (sino_number, None),
-    "content_align": (content_align, None),
+    "content_align": (content_align, ALIGN_SQL),
     "critical_terms": (critical_terms, B.with_sql(TURNS_SQL, tail="""SELECT conv_id, turn, concat_ws('|', CASE WHEN NOT contains(p, ' '||e[1]||' ') THEN e[1] END, CASE WHEN NOT contains(p, ' '||e[1]||' '||e[2]||' ') THEN e[1]||' '||e[2] END,
         CASE WHEN NOT contains(p, ' '||e[3]||' ') THEN e[3] END, ' ') AS missing FROM (SELECT *, ' ' || array_to_string(a, ' ') || ' ' AS p FROM toks WHERE len(e) >= 3) q""")),
     "adjacent_repetition": (adjacent_repetition, B.with_sql(TURNS_SQL, tail="""SELECT conv_id, turn, array_to_string(list_transform(list_filter(range(2, len(a)+1), lambda i: a[i]=a[i-1] AND a[i] IS DISTINCT FROM e[i]), lambda i: a[i]), ',') AS repeated FROM toks""")),
