@@ -154,8 +154,7 @@ def sink_exclusive(spark, d):
     """The analysis bundle written once and its long metrics read back."""
     r = results(spark, d)
     path = sinks.write_bundle(E.analyse(r), E.blind(r, "exp-1"), scratch_path(spark, "bundle"))
-    back = spark.read.schema("mode string, metric string, value double").csv(f"{path}/metrics")
-    return back.where("metric IN ('candidate_count', 'failed_candidate_count')")
+    return spark.read.schema("mode string, metric string, value double").csv(f"{path}/metrics")
 
 
 FORMS = {"plain": [], "chunked": None, "listed": [(None,), (1,), (2,)]}
@@ -202,5 +201,5 @@ QUERIES = {
         ev AS (SELECT project_id, count(*) AS events FROM fresh WHERE decision='selected' GROUP BY project_id)""",
         tail="""SELECT f.project_id, count(*) AS stored, count(*) FILTER (decision='selected') AS selected, max(e.events) AS events, round(sum(r1),3) AS rate_sum, 0 AS inserted, CAST(sum(deliveries) AS BIGINT) AS unchanged, 0 AS errors, 1 AS listed_errors
         FROM fresh f JOIN ev e ON e.project_id=f.project_id GROUP BY f.project_id""")),
-    "sink_exclusive": (sink_exclusive, f"""WITH z AS ({ANALYSIS_SQL}) SELECT mode, 'candidate_count' AS metric, CAST(candidate_count AS DOUBLE) AS value FROM z UNION ALL SELECT mode, 'failed_candidate_count', CAST(failed_candidate_count AS DOUBLE) FROM z"""),
+    "sink_exclusive": (sink_exclusive, f"WITH z AS ({ANALYSIS_SQL}) " + "\nUNION ALL ".join(f"SELECT mode, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM z" for m in sinks.CSV_METRICS)),
 }

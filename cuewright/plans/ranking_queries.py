@@ -69,15 +69,28 @@ def normalise_candidate(spark, d):
 
 
 def extract_features(spark, d):
+    """Features from the row and four maps; what is no finite number there is looked for in the next one."""
     t = B.takes(spark, d)
-    nan = F.lit(float("nan"))
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    pairs_of = lambda **values: F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
+    share = lambda n: (F.col("supp") % n) / F.lit(float(n))
     rows = t.select(
         *IDENT, F.when(F.col("numeric_heavy"), F.col("n_syl") / F.col("dur")).alias("rate"), F.col("forced").alias("mos"),
-        F.create_map(F.lit("syllables_per_second"), F.lit(1.0), F.lit("median_hz"), F.when(F.col("forced"), nan).otherwise(F.col("median_hz"))).alias("features"),
-        F.create_map(F.lit("pitch_median_hz"), F.lit(200.0), F.lit("tail_delta"), F.col("tail_delta")).alias("metrics"),
+        pairs_of(syllables_per_second=F.lit(1.0), median_hz=F.when(F.col("forced"), nan).otherwise(F.col("median_hz")), speaker_primary_score=share(7)).alias("features"),
+        pairs_of(pitch_median_hz=F.lit(200.0), tail_delta=F.col("tail_delta"), final_glide=F.col("final_glide"), content_similarity=share(3)).alias("metrics"),
+        pairs_of(relative_tail=F.when(F.col("question"), F.lit(0.5)), final_rebound=F.col("final_rebound"), level_deviation=F.when(F.col("question"), inf).otherwise(share(11)), cer=share(5)).alias("ranking_features"),
+        pairs_of(range_st=F.col("range_st"), relative_tail=F.col("range_st") / 10, level_deviation_db=F.lit(3.0), phrase_reset=share(9), mos=F.when(F.col("forced"), F.lit(4.0)), rate=F.lit(9.0)).alias("existing_prosody_metrics"),
     )
     r = P.extract_features(rows)
-    return r.select(*IDENT, *[F.round(f"f_{n}", 6).alias(n) for n in ("syllables_per_second", "pitch_median_hz", "tail_delta_st", "mos_score")])
+    return r.select(*IDENT, *[F.round(f"f_{n}", 6).alias(n) for n in FEATURE_NAMES])
+
+
+FOUND = {
+    "syllables_per_second": "CASE WHEN numeric_heavy THEN n_syl/dur ELSE 1e0 END", "pitch_median_hz": "CASE WHEN forced THEN 200e0 ELSE median_hz END", "pitch_range_st": "range_st",
+    "tail_delta_st": "tail_delta", "relative_tail": "CASE WHEN question THEN 5e-1 ELSE range_st/1e1 END", "final_glide_st_per_s": "final_glide", "final_rebound_st": "final_rebound",
+    "level_deviation_db": "CASE WHEN question THEN 3e0 ELSE (supp % 11)/11e0 END", "phrase_reset_st": "(supp % 9)/9e0", "speaker_similarity_chatterbox": "(supp % 7)/7e0",
+    "speaker_similarity_speechbrain": "CAST(NULL AS DOUBLE)", "content_score": "(supp % 3)/3e0", "content_error_rate": "(supp % 5)/5e0", "mos_score": "CASE WHEN forced THEN 4e0 END",
+}
 
 
 def data_sufficiency(spark, d):
@@ -289,8 +302,7 @@ QUERIES = {
         sha256(CASE WHEN t <> '' THEN t ELSE source || '/' || lang || '/' || d.doc_id END) AS text_hash, CASE WHEN toxic=1 THEN 'selected' ELSE 'unknown' END AS decision,
         coalesce(quality=1,false) OR coalesce(toxic=0,false) AS hard_gate_pass, 'unknown' AS sentence_class, CASE WHEN n_chars <= 500 THEN CAST(n_chars AS DOUBLE) END AS baseline_score
         FROM (SELECT *, regexp_replace(regexp_replace(text, '{WS}+', ' ', 'g'), '^{WS}+|{WS}+\\z', '', 'g') AS t FROM documents) d LEFT JOIN labels l ON l.doc_id=d.doc_id"""),
-    "extract_features": (extract_features, B.with_sql(B.TAKES_SQL, tail=f"""SELECT {K}, take_id, round(CASE WHEN numeric_heavy THEN n_syl/dur ELSE 1e0 END,6) AS syllables_per_second,
-        round(CASE WHEN forced THEN 200e0 ELSE median_hz END,6) AS pitch_median_hz, round(tail_delta,6) AS tail_delta_st, CAST(NULL AS DOUBLE) AS mos_score FROM takes""")),
+    "extract_features": (extract_features, B.with_sql(B.TAKES_SQL, tail=f"SELECT {K}, take_id, " + ", ".join(f"round({e},6) AS {n}" for n, e in FOUND.items()) + " FROM takes")),
     "data_sufficiency": (data_sufficiency, B.with_sql(*PAIRED, tail="""SELECT CASE WHEN ph>=50 AND pc>=150 AND bc>=5 THEN 'sufficient' ELSE 'insufficient_data' END AS status, ph AS pinned_phrase_count, pc AS pair_count, bc AS block_count, prc AS project_count,
         round(miss/(el*14e0),6) AS feature_missing_rate, round(top/CAST(ph AS DOUBLE),6) AS project_concentration,
         rtrim(concat(CASE WHEN ph<50 THEN 'pinned_phrases_below_minimum,' ELSE '' END, CASE WHEN pc<150 THEN 'pairs_below_minimum,' ELSE '' END, CASE WHEN bc<5 THEN 'blocks_below_minimum,' ELSE '' END),',') AS reasons,

@@ -292,7 +292,7 @@ def scan_takes(spark, d):
 def discover_takes(spark, d):
     """Error rows of the recursive, case-insensitive scan."""
     _, bad = readers.parse_takes(take_files(spark, d).withColumn("path", F.replace("path", F.lit("/P"), F.lit("/p"))), ignore_case=True)
-    return bad.groupBy("error").agg(F.count(F.lit(1)).alias("files"))
+    return bad
 
 
 def scan_jobs(spark, d):
@@ -395,9 +395,7 @@ def sink_csv_long(spark, d):
 
 
 def sink_markdown(spark, d):
-    return sinks.markdown_rows(E.analyse(results(spark, d)).withColumn("failure_rate", F.lit(0.5)).withColumn("mean_content_accuracy", F.lit(None).cast("double"))).select(
-        "mode", F.regexp_extract("line", r"^\| (\S+ \| \d+ \| \d+ \| \S+ \| \S+) \|", 1).alias("head")
-    )
+    return sinks.markdown_rows(E.analyse(results(spark, d)))
 
 
 def deterministic_order(spark, d):
@@ -494,7 +492,8 @@ QUERIES = {
         FROM timed WHERE late GROUP BY ALL""")),
     "scan_takes": (scan_takes, B.with_sql(*SCORED, tail="""SELECT block_id, phrase_id, take_id, ok, why, CAST(n_syl AS DOUBLE) AS n_syl, numeric_heavy, round(range_st,6) AS range_st, end_slope, round(tail_delta,6) AS tail_delta, CAST(NULL AS DOUBLE) AS absent
         FROM scored WHERE NOT (question AND (forced OR sentence_final))""")),
-    "discover_takes": (discover_takes, B.with_sql(*SCORED, tail="""SELECT CASE WHEN forced THEN 'take_json_error:JSONDecodeError' ELSE 'take_json_error:ValueError' END AS error, count(*) AS files FROM scored WHERE question AND (forced OR sentence_final) GROUP BY ALL""")),
+    "discover_takes": (discover_takes, B.with_sql(*SCORED, tail="""SELECT '/data/' || project_id || '/' || block_id || '/p' || lpad(CAST(phrase_id AS VARCHAR), 7, '0') || '_t' || take_id || '.json' AS path,
+        CASE WHEN forced THEN 'take_json_error:JSONDecodeError' ELSE 'take_json_error:ValueError' END AS error FROM scored WHERE question AND (forced OR sentence_final)""")),
     "scan_jobs": (scan_jobs, """SELECT path, i AS block_pos, 'B' || (i+1) AS block_id, sha256(t) AS h, doc_id + i AS seed FROM (SELECT doc_id, CAST(doc_id AS VARCHAR) AS path, unnest(range(len(ls)))::INT AS i, unnest(ls) AS t FROM
         (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) q) q2"""),
     "scan_phrases": (scan_phrases, """SELECT block_id, i AS phrase_idx, sha256(t) AS h, length(t) > 40 AND contains(t, ',') AS sentence_final, false AS forced FROM (SELECT CAST(doc_id AS VARCHAR) AS block_id, unnest(range(len(ls)))::INT AS i, unnest(ls) AS t FROM
@@ -510,6 +509,7 @@ QUERIES = {
         WHEN length(html)%4=0 THEN 'artifact_missing' WHEN page_id%2=0 THEN 'artifact_hash_mismatch' END AS reason FROM pf)""", tail="SELECT *, reason IS NULL AS hit FROM v")),
     "sink_json_safe": (sink_json_safe, "SELECT event_id, v, v AS a0, v AS x FROM (SELECT event_id, CASE WHEN value BETWEEN 20 AND 60 THEN value END AS v FROM events) q"),
     "sink_csv_long": (sink_csv_long, f"WITH z AS ({ANALYSIS_SQL}) {CSV_SQL}"),
-    "sink_markdown": (sink_markdown, f"SELECT mode, mode || ' | ' || candidate_count || ' | ' || failed_candidate_count || ' | 0.5 | not_run' AS head FROM ({ANALYSIS_SQL}) z"),
+    "sink_markdown": (sink_markdown, "SELECT mode, '| ' || mode || ' | ' || candidate_count || ' | ' || failed_candidate_count || " + " || ".join(
+        f"' | ' || coalesce(CAST({c} AS VARCHAR), 'not_run')" for c in ("failure_rate", "mean_content_accuracy", "mean_speaker_similarity", "mean_phrase_transition_score")) + f" || ' |' AS line FROM ({ANALYSIS_SQL}) z"),
     "deterministic_order": (deterministic_order, B.with_sql(B.TAKES_SQL, tail="SELECT project_id, block_id, phrase_id, take_id, row_number() OVER (ORDER BY project_id, block_id, phrase_id, take_id) AS output_line FROM takes")),
 }

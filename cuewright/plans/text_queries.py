@@ -147,7 +147,7 @@ turns AS (SELECT a.conv_id, a.turn, a.role, a.text AS expected, b.text AS actual
 toks AS (SELECT *, list_filter(regexp_split_to_array(lower(expected), '{WS}+'), lambda w: w <> '') AS e, list_filter(regexp_split_to_array(lower(actual), '{WS}+'), lambda w: w <> '') AS a FROM turns)"""
 
 
-def align_sql(pairs, columns):
+def align_sql(pairs, columns, tail="aligned"):
     """Token alignment by anti-diagonals: cell i of diagonal s aligns the first i expected with the first s - i actual tokens."""
     return f"""WITH RECURSIVE toks AS ({pairs}),
 cells AS (SELECT *, 0 AS s, [struct_pack(d := 0, x := 0, w := 0)] AS newer, [struct_pack(d := 0, x := 0, w := 0)] AS older FROM toks
@@ -160,12 +160,12 @@ cells AS (SELECT *, 0 AS s, [struct_pack(d := 0, x := 0, w := 0)] AS newer, [str
       ELSE struct_pack(d := older[i].d + (e[i] <> a[s+1-i])::INT, x := older[i].x, w := older[i].w + (e[i] <> a[s+1-i])::INT) END), newer
   FROM cells WHERE s < len(e) + len(a)),
 aligned AS (SELECT *, newer[len(e)+1].d AS distance, newer[len(e)+1].x AS deletions, CAST(newer[len(e)+1].x - len(e) + len(a) AS INT) AS insertions, newer[len(e)+1].w AS substitutions FROM cells WHERE s = len(e) + len(a))
-SELECT {columns} FROM aligned"""
+SELECT {columns} FROM {tail}"""
 
 
-ALIGN_SQL = align_sql(f"""SELECT a.conv_id, a.turn, list_filter(regexp_split_to_array(lower(a.text), '{WS}+'), lambda w: w <> '') AS e, list_filter(regexp_split_to_array(lower(b.text), '{WS}+'), lambda w: w <> '') AS a
-  FROM conversations a JOIN conversations b ON b.conv_id=a.conv_id AND b.turn=a.turn+1""",
-    "conv_id, turn, distance, deletions, insertions, substitutions, round(distance / greatest(1, len(e)), 6) AS rate")
+TOKENS_SQL = f"""SELECT a.conv_id, a.turn, a.role, list_filter(regexp_split_to_array(lower(a.text), '{WS}+'), lambda w: w <> '') AS e, list_filter(regexp_split_to_array(lower(b.text), '{WS}+'), lambda w: w <> '') AS a
+  FROM conversations a JOIN conversations b ON b.conv_id=a.conv_id AND b.turn=a.turn+1"""
+ALIGN_SQL = align_sql(TOKENS_SQL, "conv_id, turn, distance, deletions, insertions, substitutions, round(distance / greatest(1, len(e)), 6) AS rate")
 
 
 def content_align(spark, d):
@@ -199,22 +199,24 @@ def unexpected_continuation(spark, d):
 
 
 def content_gate(spark, d):
-    t = turn_tokens(spark, d)
-    gated = content.content_gate(
-        t.withColumns(
-            {
-                "distance": (F.array_join("exp", " ") != F.array_join("act", " ")).cast("int"),
-                "missing_terms": F.filter(F.slice("exp", 1, 1), lambda w: ~F.array_contains("act", w)),
-                "repetitions": X.repetitions(F.col("exp"), F.col("act")),
-                "unexpected_continuation": X.continues(F.col("exp"), F.col("act")),
-                "asr_status": F.when(F.col("role") == "user", "pass").when(F.size("act") > 20, "unknown").otherwise("not_run"),
-                "asr_reason": F.when(F.size("act") > 40, "asr_exception:TooLong"),
-            }
-        )
+    """Turns compared, checked for their first word and gated."""
+    t = content.compare(turns(spark, d), simple_tokens).withColumns(
+        {
+            "critical_terms": F.slice("exp", 1, 1), "asr_status": F.when(F.col("role") == "user", "pass").when(F.size("act") > 20, "unknown").otherwise("not_run"),
+            "asr_reason": F.when(F.size("act") > 40, "asr_exception:TooLong"),
+        }
     )
+    gated = content.content_gate(content.missing_terms(t, normal=None))
     return gated.select("conv_id", "turn", "status", F.array_join("reasons", ",").alias("reasons"))
 
 
+GATE_SQL = align_sql(
+    TOKENS_SQL, """conv_id, turn, CASE WHEN role='user' THEN CASE WHEN why='' THEN 'pass' ELSE 'fail' END WHEN len(a)>20 THEN 'unknown' ELSE 'not_run' END AS status,
+  CASE WHEN role='user' THEN why WHEN len(a)>40 THEN 'asr_exception:TooLong' ELSE 'asr_not_available' END AS reasons FROM (SELECT *, rtrim(concat(CASE WHEN distance>0 THEN 'content_mismatch,' ELSE '' END,
+  CASE WHEN len(e)>0 AND NOT list_contains(a, e[1]) THEN 'critical_term_missing,' ELSE '' END, CASE WHEN len(list_filter(range(2, len(a)+1), lambda i: a[i]=a[i-1] AND a[i] IS DISTINCT FROM e[i]))>0 THEN 'unexpected_repetition,' ELSE '' END,
+  CASE WHEN len(a)>len(e) AND a[1:len(e)]=e THEN 'unexpected_continuation,' ELSE '' END), ',') AS why""", tail="aligned) q")
+
+
 def asr_segments_input(spark, d):
     pieces = X.sentences_multi(F.col("text"))
     seg = F.transform(
@@ -343,10 +345,7 @@ QUERIES = {
         CASE WHEN NOT contains(p, ' '||e[3]||' ') THEN e[3] END, ' ') AS missing FROM (SELECT *, ' ' || array_to_string(a, ' ') || ' ' AS p FROM toks WHERE len(e) >= 3) q""")),
     "adjacent_repetition": (adjacent_repetition, B.with_sql(TURNS_SQL, tail="""SELECT conv_id, turn, array_to_string(list_transform(list_filter(range(2, len(a)+1), lambda i: a[i]=a[i-1] AND a[i] IS DISTINCT FROM e[i]), lambda i: a[i]), ',') AS repeated FROM toks""")),
     "unexpected_continuation": (unexpected_continuation, B.with_sql(TURNS_SQL, tail="""SELECT conv_id, turn, len(a) > len(e) AND a[1:len(e)] = e AS next_turn, len(a) > 0 AS appended, false AS cut_short FROM toks""")),
-    "content_gate": (content_gate, B.with_sql(TURNS_SQL, tail="""SELECT conv_id, turn, CASE WHEN role='user' THEN CASE WHEN why='' THEN 'pass' ELSE 'fail' END WHEN len(a)>20 THEN 'unknown' ELSE 'not_run' END AS status,
-        CASE WHEN role='user' THEN why WHEN len(a)>40 THEN 'asr_exception:TooLong' ELSE 'asr_not_available' END AS reasons FROM (SELECT *, rtrim(concat(CASE WHEN e<>a THEN 'content_mismatch,' ELSE '' END,
-        CASE WHEN len(e)>0 AND NOT list_contains(a, e[1]) THEN 'critical_term_missing,' ELSE '' END, CASE WHEN len(list_filter(range(2, len(a)+1), lambda i: a[i]=a[i-1] AND a[i] IS DISTINCT FROM e[i]))>0 THEN 'unexpected_repetition,' ELSE '' END,
-        CASE WHEN len(a)>len(e) AND a[1:len(e)]=e THEN 'unexpected_continuation,' ELSE '' END), ',') AS why FROM toks) q""")),
+    "content_gate": (content_gate, GATE_SQL),
     "asr_segment_filter": (asr_segment_filter, B.with_sql(MULTI, """segs AS (SELECT doc_id, list_filter(list_transform(ps, lambda s, i: {'t': CASE WHEN length(s)%7=0 THEN '' ELSE s END, 's': CASE WHEN length(s)%5=0 THEN NULL ELSE CAST(i-1 AS DOUBLE) END,
         'e': CAST(i-1+length(s)%4-1 AS DOUBLE)}), lambda x: x.t <> '' AND x.s IS NOT NULL AND x.e >= x.s) AS k FROM multi)""", tail="""SELECT doc_id, pos AS segment_idx, sha256(x.t) AS h, x.s AS start, x.e AS "end" FROM
         (SELECT doc_id, unnest(range(len(k)))::INT AS pos, unnest(k) AS x FROM segs) q""")),
