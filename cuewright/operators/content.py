@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
 
 from ..functions import korean, text as X
 from ..functions.numeric import finite
@@ -18,13 +18,28 @@ def phrase_table(scripts: DataFrame, keys: list[str], text: str = "text") -> Dat
 
 
 def make_phrase_udtf():
-    """The same as a table function for SQL: ``SELECT * FROM cut_phrases(text)``."""
+    """The same as a table function for SQL: ``SELECT * FROM cut_phrases(TABLE(scripts), 'text')``.
 
-    @udtf(returnType="phrase_idx: int, text: string, sentence_final: boolean, forced: boolean", useArrow=True)
+    It takes a table and the name of its text column and returns the table's other
+    columns with ``phrase_idx, text, sentence_final, forced``, whatever their
+    types. Rows stay in the partitions in which they come.
+    """
+
+    @udtf
     class CutPhrases:
-        def eval(self, text: str):
-            for i, row in enumerate(korean.phrase_rows(text or "")):
-                yield (i, *row)
+        @staticmethod
+        def analyze(scripts: AnalyzeArgument, column: AnalyzeArgument) -> AnalyzeResult:
+            fields = scripts.dataType.fields
+            if column.value not in [f.name for f in fields]:
+                raise ValueError(f"the table has no column {column.value}")
+            made = T.StructType([f for f in fields if f.name != column.value])
+            made = made.add("phrase_idx", T.IntegerType()).add("text", T.StringType())
+            return AnalyzeResult(made.add("sentence_final", T.BooleanType()).add("forced", T.BooleanType()))
+
+        def eval(self, row: T.Row, column: str):
+            kept = [row[c] for c in row.__fields__ if c != column]
+            for i, phrase in enumerate(korean.phrase_rows(row[column] or "")):
+                yield (*kept, i, *phrase)
 
     return CutPhrases
 

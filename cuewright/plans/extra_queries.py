@@ -19,7 +19,7 @@ from .bank_queries import BANKED, IDENT, bank_takes
 from .experiment_queries import ANALYSIS_SQL, results
 from .ranking_queries import PAIRED, candidates, fixed_model
 
-from .text_queries import HDOC, QUIET, WS, align_sql, docs, hangul_docs, turns
+from .text_queries import HDOC, PHRASES_SQL, QUIET, WS, align_sql, docs, hangul_docs, turns
 
 
 def row_check(row):
@@ -75,20 +75,16 @@ def utility(spark, d):
 
 
 def force_split(spark, d):
-    """Forced pieces of each script: how many, and how long the longest left piece is."""
+    """Forced pieces of each script."""
     p = content.phrase_table(hangul_docs(spark, d), ["doc_id"])
-    return p.where("forced").groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.max(X.syllables(F.col("text"))).alias("longest"))
+    return p.where("forced").select("doc_id", "phrase_idx", F.sha2("text", 256).alias("h"), "sentence_final")
 
 
 def phrase_udtf(spark, d):
-    """The table function called from SQL, row by row of the script table."""
+    """The table function called from SQL over the script table."""
     spark.udtf.register("cut_phrases", content.make_phrase_udtf())
-    h = hangul_docs(spark, d).withColumn("spoken", X.respell(F.col("text")))
-    h.select("doc_id", "spoken").createOrReplaceTempView("cuewright_scripts")
-    return spark.sql(
-        "SELECT s.doc_id, count(*) AS phrases, count_if(p.sentence_final) AS finals, count_if(p.forced) AS forced "
-        "FROM cuewright_scripts s, LATERAL cut_phrases(s.spoken) p GROUP BY s.doc_id"
-    )
+    scripts = hangul_docs(spark, d).select("doc_id", "lang", X.respell(F.col("text")).alias("spoken"))
+    return spark.sql("SELECT doc_id, lang, phrase_idx, sha2(text, 256) AS h, sentence_final, forced FROM cut_phrases(TABLE({scripts}), 'spoken')", scripts=scripts)
 
 
 def align_udf(spark, d):
@@ -190,9 +186,9 @@ QUERIES = {
     "compact": (compact, f"SELECT doc_id, sha256(regexp_replace(text, '{WS}+', '', 'g')) AS h FROM documents"),
     "sigmoid": (sigmoid_q, "SELECT event_id, round(1e0/(1e0+exp(-(value-40e0)/7e0)),6) AS p, CASE WHEN value > 0 THEN round(1e0/(1e0+exp(least(value*1e3, 700e0))),6) ELSE 5e-1 END AS floor FROM events"),
     "utility": (utility, B.with_sql(*PAIRED, tail="SELECT project_id, sentence_class, round(avg(u),6) AS mean_utility, round(max(u),6) AS best FROM cand GROUP BY ALL")),
-    "force_split": (force_split, None),
+    "force_split": (force_split, PHRASES_SQL + "SELECT doc_id, phrase_idx, sha256(text) AS h, sentence_final FROM phrases WHERE forced"),
     "config_hash": (config_hash, CONFIG_SQL),
-    "phrase_udtf": (phrase_udtf, None),
+    "phrase_udtf": (phrase_udtf, PHRASES_SQL + "SELECT p.doc_id, lang, phrase_idx, sha256(p.text) AS h, sentence_final, forced FROM phrases p JOIN documents d ON d.doc_id = p.doc_id"),
     "align_udf": (align_udf, align_sql("SELECT a.conv_id, a.turn, string_split(a.text, ' ') AS e, string_split(b.text, ' ') AS a FROM conversations a JOIN conversations b ON b.conv_id=a.conv_id AND b.turn=a.turn+1",
         "conv_id, turn, distance, deletions, insertions, substitutions")),
     "scan_wav": (scan_wav, """SELECT 'v' || vec_id AS path, CASE WHEN label<>5 THEN 24000 END AS sample_rate_hz, CASE WHEN label<>5 THEN 1 END AS channels, CASE WHEN label<>5 THEN 2 END AS sample_width, CASE WHEN label<>5 THEN len(embedding) END AS n,

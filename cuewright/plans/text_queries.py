@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import korean, text as X
 from ..functions.text import ENDERS, LINE_END, SENTENCE, WS
 from ..operators import content, gates
-from ..rules import NUMERAL_CHARS
+from ..rules import BAD_CUT_ENDINGS, CONNECTIVE_ENDINGS, GOOD_CUT_ENDINGS, JOIN_SYLLABLES, LOCATIVE_ENDING, MAX_SYLLABLES, MIN_SYLLABLES, NUMERAL_CHARS, RESPELLINGS
 from ..session import spread
 from . import bindings as B
 
@@ -91,23 +91,86 @@ def split_phrases(spark, d):
     return content.phrase_table(hangul_docs(spark, d), ["doc_id"])
 
 
-def phrase_summary(spark, d):
-    p = split_phrases(spark, d)
-    return p.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("phrases"), F.count_if("sentence_final").alias("finals"), F.count_if("forced").alias("forced"),
-        F.max(X.syllables(F.col("text"))).alias("longest"),
-    )
+def phrase_rows(spark, d):
+    return split_phrases(spark, d).select("doc_id", "phrase_idx", F.sha2("text", 256).alias("h"), X.syllables(F.col("text")).alias("n_syl"), "sentence_final", "forced")
 
 
 def build_phrases(spark, d):
-    """Losslessness of phrase building: syllables in equal syllables out."""
+    """Each script against its phrases in a row: syllables in and out, and the hash of all phrases."""
     h = hangul_docs(spark, d)
-    out = content.phrase_table(h, ["doc_id"]).groupBy("doc_id").agg(F.sum(X.syllables(F.col("text"))).alias("n_out"))
+    # the phrases of one text, so the list is no longer than the text
+    out = content.phrase_table(h, ["doc_id"]).groupBy("doc_id").agg(
+        F.sum(X.syllables(F.col("text"))).alias("n_out"), F.array_sort(F.collect_list(F.struct("phrase_idx", "text"))).alias("rows")
+    )
     return h.join(out, "doc_id", "left").select(
-        "doc_id", X.syllables(X.respell(F.col("text"))).cast("bigint").alias("n_in"), F.coalesce("n_out", F.lit(0)).alias("n_out")
+        "doc_id", X.syllables(X.respell(F.col("text"))).cast("bigint").alias("n_in"), F.coalesce("n_out", F.lit(0)).alias("n_out"),
+        F.sha2(F.coalesce(F.array_join("rows.text", "|"), F.lit("")), 256).alias("h"),
     )
 
 
+def _syllables_sql(e):
+    return f"CAST(length(regexp_replace({e}, '[^가-힣]', '', 'g')) AS BIGINT)"
+
+
+def respell_sql(e):
+    for old, new in (*RESPELLINGS, ("?", ".")):
+        e = f"replace({e}, '{old}', '{new}')"
+    return e
+
+
+def _ends(words):
+    return "(?:" + "|".join(words) + r")\z"
+
+
+def force_sql(name, source, keep):
+    """Over-long phrases of ``source`` (text, n and the columns ``keep``) cut at their best word edges: pieces with their number from 1."""
+    return f"""
+{name}_w AS (SELECT {keep}, text, n, string_split(text, ' ') AS ws FROM {source}),
+{name}_s AS (SELECT *, list_transform(ws, lambda w: {_syllables_sql('w')}) AS sy, list_transform(ws, lambda w: CASE WHEN regexp_matches(w, '{_ends(GOOD_CUT_ENDINGS)}') THEN 6e0 ELSE 0e0 END
+    - CASE WHEN regexp_matches(w, '{_ends(BAD_CUT_ENDINGS)}') THEN 8e0 ELSE 0e0 END) AS bonus FROM {name}_w),
+{name}_t AS (SELECT *, list_transform(range(0, len(ws) + 1), lambda i: CAST(coalesce(list_sum(sy[1:i]), 0) AS BIGINT)) AS sums FROM {name}_s),
+{name}_c AS (SELECT *, CASE WHEN n <= {MAX_SYLLABLES} THEN [CAST(0 AS BIGINT)] ELSE list_reduce(list_transform(range(0, len(ws) + 1), lambda i: [CAST(0 AS BIGINT)]), lambda acc, x:
+    CASE WHEN sums[len(ws) + 1] - sums[acc[len(acc)] + 1] > {MAX_SYLLABLES} AND len(ws) - acc[len(acc)] > 1 THEN list_append(acc, acc[len(acc)] + list_position(
+      list_transform(range(acc[len(acc)] + 1, len(ws)), lambda c: bonus[c] - abs(sums[c + 1] - (sums[len(ws) + 1] + sums[acc[len(acc)] + 1]) / 2e0)),
+      list_max(list_transform(range(acc[len(acc)] + 1, len(ws)), lambda c: bonus[c] - abs(sums[c + 1] - (sums[len(ws) + 1] + sums[acc[len(acc)] + 1]) / 2e0)))))
+    ELSE acc END) END AS cuts FROM {name}_t),
+{name} AS (SELECT {keep}, piece, CASE WHEN len(cuts) = 1 THEN text ELSE array_to_string(ws[cuts[piece] + 1 : coalesce(cuts[piece + 1], len(ws))], ' ') END AS text,
+    CASE WHEN len(cuts) = 1 THEN n ELSE sums[coalesce(cuts[piece + 1], len(ws)) + 1] - sums[cuts[piece] + 1] END AS n, piece < len(cuts) AS cut FROM (SELECT *, unnest(range(1, len(cuts) + 1)) AS piece FROM {name}_c) q)"""
+
+
+def merge_sql(name, source, joins):
+    """Neighbouring units of a sentence joined while ``joins`` (of the open sum ``o`` and the next ``m``) allows."""
+    test = joins.replace("o", "acc[1]").replace("m", "x[1]")
+    return f"""
+{name}_g AS (SELECT *, list_reduce(list_prepend([CAST(0 AS BIGINT), 0], list_transform(units, lambda u: [u.n])), lambda acc, x:
+    CASE WHEN len(acc) > 2 AND {test} THEN [acc[1] + x[1], acc[2] + 1] || acc[3:] ELSE list_append([x[1], acc[2] + 1] || acc[3:], acc[2] + 1) END)[3:] AS gs FROM {source}),
+{name} AS (SELECT doc_id, sent, list_transform(range(1, len(gs) + 1), lambda j: struct_pack(text := array_to_string(list_transform(units[gs[j] : coalesce(gs[j + 1] - 1, len(units))], lambda u: u.text), ' '),
+    n := CAST(list_sum(list_transform(units[gs[j] : coalesce(gs[j + 1] - 1, len(units))], lambda u: u.n)) AS BIGINT))) AS units FROM {name}_g)"""
+
+
+# The phrase rules as folds over lists: units, two merges, cuts, tiny phrases, cuts again.
+PHRASES_SQL = B.with_sql(HDOC, f"""
+sents AS (SELECT doc_id, unnest(range(len(ss))) AS sent, {strip_sql('unnest(ss)')} AS sentence FROM (SELECT doc_id, regexp_extract_all({respell_sql('text')}, '{X.FIRST_SENTENCE}') AS ss FROM hdocs) q),
+parts AS (SELECT doc_id, sent, unnest(range(len(ps))) AS part, {strip_sql('unnest(ps)')} AS part_text FROM (SELECT doc_id, sent, string_split(sentence, ',') AS ps FROM sents) q),
+words AS (SELECT *, string_split(part_text, ' ') AS ws FROM parts WHERE part_text <> ''),
+cuts AS (SELECT *, list_reduce(list_prepend([CAST(0 AS BIGINT), 0], list_transform(ws, lambda w, i: [{_syllables_sql('w')}, (regexp_matches(w, '{_ends(CONNECTIVE_ENDINGS)}') AND NOT regexp_matches(w, '{LOCATIVE_ENDING}\\z'))::INT, (i = len(ws))::INT])),
+    lambda acc, x: CASE WHEN x[3] = 1 OR x[2] = 1 AND acc[2] + x[1] >= 4 THEN list_append([acc[1] + 1, 0] || acc[3:], acc[1] + 1) ELSE [acc[1] + 1, acc[2] + x[1]] || acc[3:] END)[3:] AS cs FROM words),
+pieces AS (SELECT doc_id, sent, part, j, {strip_sql("array_to_string(ws[coalesce(cs[j - 1], 0) + 1 : cs[j]], ' ')")} AS text, CAST(list_sum(list_transform(ws[coalesce(cs[j - 1], 0) + 1 : cs[j]], lambda w: {_syllables_sql('w')})) AS BIGINT) AS n
+  FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS j FROM cuts) q),
+united AS (SELECT doc_id, sent, list(struct_pack(text := text, n := n) ORDER BY part, j) AS units FROM pieces WHERE text <> '' GROUP BY doc_id, sent)""",
+    merge_sql("joined", "united", f"o + m <= {JOIN_SYLLABLES}"), merge_sql("merged", "joined", f"least(o, m) < {MIN_SYLLABLES} AND o + m <= {MAX_SYLLABLES}"), """
+whole AS (SELECT doc_id, sent, pos, units[pos].text AS text, units[pos].n AS n FROM (SELECT *, unnest(range(1, len(units) + 1)) AS pos FROM merged) q)""",
+    force_sql("first_cut", "whole", "doc_id, sent, pos"), """
+items AS (SELECT doc_id, list(struct_pack(text := text, n := n, final := final, forced := cut) ORDER BY sent, pos, piece) AS items FROM
+  (SELECT *, row_number() OVER (PARTITION BY doc_id, sent ORDER BY pos DESC, piece DESC) = 1 AS final FROM first_cut) q GROUP BY doc_id),
+closed AS (SELECT doc_id, list_reduce(list_transform(items, lambda x: [x]), lambda acc, x: CASE WHEN x[1].n < 4 AND NOT acc[len(acc)].final
+    THEN acc[:len(acc) - 1] || [struct_pack(text := acc[len(acc)].text || ' ' || x[1].text, n := acc[len(acc)].n + x[1].n, final := x[1].final, forced := x[1].forced), struct_pack(text := '', n := CAST(0 AS BIGINT), final := x[1].final, forced := x[1].forced)]
+    ELSE acc || x END) AS items FROM items),
+left_over AS (SELECT doc_id, pos, x.text AS text, x.n AS n, x.final AS final, x.forced AS forced FROM (SELECT doc_id, unnest(range(1, len(items) + 1)) AS pos, unnest(items) AS x FROM closed) q WHERE x.text <> '')""",
+    force_sql("last_cut", "left_over", "doc_id, pos, final, forced"), """
+phrases AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, piece) - 1 AS INT) AS phrase_idx, text, final AND NOT cut AS sentence_final, cut OR forced AS forced FROM last_cut)""", tail="")
+
+
 def audible_chars(spark, d):
     return docs(spark, d).select("doc_id", X.audible(F.col("text")).alias("audible"), F.length(X.compact(F.col("text"))).alias("compact"))
 
@@ -332,8 +395,9 @@ QUERIES = {
         tail="SELECT doc_id, unnest(range(len(ps)))::INT AS pos, sha256(unnest(ps)) AS h FROM s")),
     "split_sentences_multi": (split_sentences_multi, B.with_sql(MULTI, tail="SELECT doc_id, unnest(range(len(ps)))::INT AS pos, sha256(unnest(ps)) AS h FROM multi")),
     "semantic_clauses": (semantic_clauses, CLAUSES_SQL),
-    "split_phrases": (phrase_summary, None),
-    "build_phrases": (build_phrases, B.with_sql(HDOC, tail="SELECT doc_id, CAST(length(regexp_replace(text, '[^가-힣]', '', 'g')) AS BIGINT) AS n_in, CAST(length(regexp_replace(text, '[^가-힣]', '', 'g')) AS BIGINT) AS n_out FROM hdocs")),
+    "split_phrases": (phrase_rows, PHRASES_SQL + f"SELECT doc_id, phrase_idx, sha256(text) AS h, CAST({_syllables_sql('text')} AS INT) AS n_syl, sentence_final, forced FROM phrases"),
+    "build_phrases": (build_phrases, PHRASES_SQL + f"""SELECT h.doc_id, {_syllables_sql(respell_sql('h.text'))} AS n_in, coalesce(n_out, 0) AS n_out, sha256(coalesce(texts, '')) AS h FROM hdocs h
+        LEFT JOIN (SELECT doc_id, CAST(sum({_syllables_sql('text')}) AS BIGINT) AS n_out, string_agg(text, '|' ORDER BY phrase_idx) AS texts FROM phrases GROUP BY doc_id) p ON p.doc_id = h.doc_id"""),
     "audible_chars": (audible_chars, f"SELECT doc_id, {AUD} AS audible, length(regexp_replace(text, '{WS}+', '', 'g')) AS compact FROM documents"),
     "parse_batch_text": (parse_batch_text, f"""WITH l AS (SELECT doc_id, {kept_sql(f"regexp_split_to_array(text, '{LINE_END}')")} AS ls FROM documents),
         i AS (SELECT doc_id, {kept_sql(f"flatten(list_transform(ls, lambda x: string_split(regexp_replace(x, '([{ENDERS}]){WS}+', '\\1' || chr(1), 'g'), chr(1))))")} AS ps FROM l)
