@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import finite, semitones
-from .ordered import Hot, quantile_neighbours
+from .ordered import Hot, join_null_safe, quantile_neighbours
 
 END_WINDOW = 0.55
 TAIL_WINDOW, PREVIOUS_WINDOW = 0.25, 0.60
@@ -46,8 +46,8 @@ def pitch(frames: DataFrame, lengths: DataFrame, keys: list[str], hot: Hot = Non
 
     base = base.select(*keys, "n_voiced", "median_hz", (at("p90") - at("p10")).alias("range_st"))
     ends = voiced.groupBy(*keys).agg(F.max("t").alias("_end"))
-    context = base.join(ends, keys).join(lengths, keys)
-    near_end = voiced.join(context.select(*keys, "_end", "dur", "median_hz"), keys).where(
+    context = join_null_safe(join_null_safe(base, ends, keys), lengths, keys)
+    near_end = join_null_safe(voiced, context.select(*keys, "_end", "dur", "median_hz"), keys).where(
         (F.col("t") > F.col("dur") - END_WINDOW) | (F.col("t") > F.col("_end") - PREVIOUS_WINDOW)
     ).withColumn("st", semitones(F.col("f0"), F.col("median_hz")))
     t, end = F.col("t"), F.col("_end")
@@ -69,7 +69,9 @@ def pitch(frames: DataFrame, lengths: DataFrame, keys: list[str], hot: Hot = Non
     )
     first = _edge(voiced, keys, "first_hz", F.col("t").asc())
     last = _edge(voiced, keys, "last_hz", F.col("t").desc())
-    joined = lengths.join(base, keys, "left").join(shape, keys, "left").join(first, keys, "left").join(last, keys, "left")
+    joined = lengths
+    for part in (base, shape, first, last):
+        joined = join_null_safe(joined, part, keys, "left")
     good = (F.col("dur") >= MIN_SECONDS) & (F.coalesce("n_voiced", F.lit(0)) >= MIN_VOICED)
     values = {
         "median_hz": F.col("median_hz"),

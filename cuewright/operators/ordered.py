@@ -102,6 +102,36 @@ def number_rows(
     return _by_heat(df, keys, hot, plain, chunked)
 
 
+def number_with_next(
+    df: DataFrame, keys: list[str], order: list[Column], chunk: list[Column], name: str, following: dict[str, str], hot: Hot = None
+) -> DataFrame:
+    """1-based row number within the keys, and ``lead(column, 1)`` for each ``{new name: column}``, in one pass."""
+    packed = F.struct(*[F.col(c).alias(new) for new, c in following.items()])
+
+    def plain(part: DataFrame) -> DataFrame:
+        w = W.partitionBy(*keys).orderBy(*order)
+        return part.withColumns({name: F.row_number().over(w).cast("bigint"), **{new: F.lead(c).over(w) for new, c in following.items()}})
+
+    def chunked(part: DataFrame) -> DataFrame:
+        base, marks = _chunked(part, keys, chunk)
+        within = W.partitionBy(*keys, *marks).orderBy(*order)
+        across = W.partitionBy(*keys).orderBy(*marks)
+        local = base.withColumns({"_local": F.row_number().over(within), "_row_next": F.lead(packed).over(within)})
+        pieces = local.groupBy(*keys, *marks).agg(F.count(F.lit(1)).alias("_n"), F.min_by(packed, "_local").alias("_head"))
+        inherited = pieces.select(
+            *keys, *marks, F.coalesce(F.sum("_n").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
+            F.lead("_head").over(across).alias("_chunk_next"),
+        )
+        return (
+            join_null_safe(local, inherited, [*keys, *marks])
+            .withColumns({name: (F.col("_start") + F.col("_local")).cast("bigint"), "_found": F.coalesce("_row_next", "_chunk_next")})
+            .withColumns({new: F.col(f"_found.{new}") for new in following})
+            .drop("_local", "_row_next", "_start", "_chunk_next", "_found", *marks)
+        )
+
+    return _by_heat(df, keys, hot, plain, chunked)
+
+
 def previous_row(
     df: DataFrame, keys: list[str], order: list[str], chunk: list[Column], columns: dict[str, str], hot: Hot = None
 ) -> DataFrame:

@@ -116,19 +116,21 @@ def build(candidates: DataFrame, features: list[str]) -> DataFrame:
 def sufficiency(candidates: DataFrame, pairs: DataFrame, features: list[str]) -> DataFrame:
     """One row of counts, shares and the reasons why data is or is not enough."""
     winners = pairs.groupBy(*PHRASE).agg(F.min("sentence_class").alias("sentence_class"), F.count(F.lit(1)).alias("n"))
-    per_project = winners.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+    # one row per block and class: all counts below read this, so pairs are built once
+    per = cut_lineage(winners.groupBy("project_id", "block_id", "sentence_class").agg(F.count(F.lit(1)).alias("phrases"), F.sum("n").alias("pairs")))
+    per_project = per.groupBy("project_id").agg(F.sum("phrases").alias("n"))
     judged = F.col("hard_gate_pass") & F.col("decision").isin("selected", "not_selected")
     empty_cells = sum((F.col(f).isNull().cast("long") for f in features), F.lit(0).cast("long"))
     cells = candidates.where(judged).agg(
         F.coalesce(F.sum(empty_cells), F.lit(0)).alias("missing"), F.count(F.lit(1)).alias("eligible")
     )
-    blocks = winners.select("project_id", "block_id").distinct().agg(F.count(F.lit(1)).alias("block_count"))
-    whole = winners.agg(
-        F.count(F.lit(1)).alias("pinned_phrase_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("pair_count")
+    blocks = per.select("project_id", "block_id").distinct().agg(F.count(F.lit(1)).alias("block_count"))
+    whole = per.agg(
+        F.coalesce(F.sum("phrases"), F.lit(0)).alias("pinned_phrase_count"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pair_count")
     )
     top = per_project.agg(F.count(F.lit(1)).alias("project_count"), F.max("n").alias("_top"))
     # a handful of class names, never more than the classes themselves
-    classes = winners.groupBy("sentence_class").agg(F.count(F.lit(1)).alias("n")).agg(
+    classes = per.groupBy("sentence_class").agg(F.sum("phrases").alias("n")).agg(
         F.array_sort(F.collect_list(F.struct("sentence_class", "n"))).alias("classes")
     )
     one = whole.crossJoin(blocks).crossJoin(top).crossJoin(cells).crossJoin(classes)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions.numeric import sigmoid
 from . import metrics, pairs as P
-from .ordered import Hot, number_rows
+from .ordered import Hot, number_with_next
 
 PHRASE = P.PHRASE
 
@@ -133,11 +133,10 @@ def rank(
     """
     scored = candidates.withColumn("utility", model.utility())
     best = F.round("utility", 9)
-    good = number_rows(
-        scored.where("hard_gate_pass"), PHRASE, [best.desc(), F.col("take_id")], [F.coalesce(F.floor(-best * 64), F.lit(1 << 50))], "rank", hot
+    ranked = number_with_next(
+        scored.where("hard_gate_pass"), PHRASE, [best.desc(), F.col("take_id")], [F.coalesce(F.floor(-best * 64), F.lit(1 << 50))], "rank",
+        {"_second": "utility"}, hot,
     )
-    second = good.where("rank = 2").select(*PHRASE, F.col("utility").alias("_second"))
-    ranked = good.join(second, PHRASE, "left")
     margin = F.abs(sigmoid(F.col("utility") - F.col("_second")) - 0.5) * 2.0
     confidence = F.when(F.col("rank") == 1, F.coalesce(margin, F.lit(0.0)))
     ranked = ranked.withColumn("confidence", confidence).drop("_second")

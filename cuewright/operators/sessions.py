@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .ordered import Hot, number_rows, ordered_fold, running_before
+from .ordered import Hot, join_null_safe, number_rows, ordered_fold, running_before
 
 SESSION = "session_id"
 UNDERRUN_SECONDS = 0.02
@@ -33,7 +33,7 @@ def discard_stale(events: DataFrame, hot: Hot = None) -> DataFrame:
     opening = events.where("kind = 'synth'").groupBy(SESSION).agg(
         F.min_by("generation_id", F.struct("ts", "seq")).alias("_first")
     )
-    out = run.where("kind = 'synth'").join(opening, SESSION)
+    out = join_null_safe(run.where("kind = 'synth'"), opening, [SESSION])
     current = F.coalesce(F.col("_last.generation_id"), F.col("_first"))
     return out.withColumn("current_generation", current).withColumn(
         "stale", F.col("generation_id") != current

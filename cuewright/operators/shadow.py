@@ -59,18 +59,31 @@ def complete_validations(takes: DataFrame, results: DataFrame, validators: tuple
             for name, hard, absent in validators
         ]
     )
-    wanted = takes.select(*TAKE, F.inline(names))
-    full = wanted.join(results, [*TAKE, "validator_name"], "left")
-    absent = F.col("status").isNull()
-    return full.select(
-        *TAKE,
-        "validator_name",
-        F.coalesce("status", F.lit("not_run")).alias("status"),
-        F.coalesce("hard_gate", "default_hard_gate").alias("hard_gate"),
-        "score",
-        F.when(absent, F.array("absent_reason")).otherwise(F.col("reasons")).alias("reasons"),
-        "metrics",
-    )
+    # a take's own results, so the list is no longer than the validators that ran on it
+    columns = ("validator_name", "status", "hard_gate", "score", "reasons", "metrics")
+    folded = results.groupBy(*TAKE).agg(F.collect_list(F.struct(*columns)).alias("_results"))
+    kinds = results.select(*columns).schema
+
+    def completed(v: Column) -> Column:
+        """The rows of one validator: its results, or one that says why there is none."""
+        absent = F.struct(*[F.lit(None).cast(kinds[c].dataType).alias(c) for c in columns])
+        found = F.filter("_results", lambda r: r["validator_name"] == v["validator_name"])
+        own = F.when(F.size(F.coalesce(found, F.array())) > 0, found).otherwise(F.array(absent))
+        return F.transform(
+            own,
+            lambda r: F.struct(
+                v["validator_name"].alias("validator_name"),
+                F.coalesce(r["status"], F.lit("not_run")).alias("status"),
+                F.coalesce(r["hard_gate"], v["default_hard_gate"]).alias("hard_gate"),
+                r["score"].alias("score"),
+                F.when(r["status"].isNull(), F.array(v["absent_reason"])).otherwise(r["reasons"]).alias("reasons"),
+                r["metrics"].alias("metrics"),
+            ),
+        )
+
+    # rows fan out behind the join, so one row per take is shuffled
+    joined = takes.select(*TAKE).join(folded, TAKE, "left")
+    return joined.select(*TAKE, F.inline(F.flatten(F.transform(names, completed))))
 
 
 def guarded_validator(name: str, hard_gate: bool, check: Callable[[dict], tuple[str, float | None, list[str]]]):
@@ -113,11 +126,12 @@ def survives(validations: DataFrame) -> DataFrame:
     )
 
 
-def survival(takes: DataFrame, results: DataFrame, validators: tuple = VALIDATORS) -> DataFrame:
+def survival(takes: DataFrame, results: DataFrame, validators: tuple = VALIDATORS, with_passed: bool = False) -> DataFrame:
     """What ``survives`` says of the completed validations, without writing a row for what did not run.
 
     Results fold to one row per take before they are shuffled; validators that a
-    take has no result of are counted by subtraction.
+    take has no result of are counted by subtraction. ``with_passed`` adds the
+    names of the validators that passed, in their order.
     """
     names = [name for name, _, _ in validators]
     default = F.create_map(*[F.lit(x) for name, hard, _ in validators for x in (name, hard)])
@@ -129,7 +143,9 @@ def survival(takes: DataFrame, results: DataFrame, validators: tuple = VALIDATOR
         F.count_if(status == "not_run").alias("_not_run"),
         F.count_if(status == "unknown").alias("_unknown"),
         *[F.max((F.col("validator_name") == n).cast("int")).alias(f"_has_{i}") for i, n in enumerate(names)],
+        *[F.bool_or((F.col("validator_name") == n) & (status == "pass")).alias(f"_ok_{i}") for i, n in enumerate(names) if with_passed],
     )
+    passed = [F.array_compact(F.array(*[F.when(F.col(f"_ok_{i}"), F.lit(n)) for i, n in enumerate(names)])).alias("passed")] if with_passed else []
     found = sum((F.coalesce(F.col(f"_has_{i}"), F.lit(0)) for i in range(len(names))), F.lit(0))
     return takes.select(*TAKE).join(folded, TAKE, "left").select(
         *TAKE,
@@ -137,6 +153,7 @@ def survival(takes: DataFrame, results: DataFrame, validators: tuple = VALIDATOR
         F.coalesce("_pass", F.lit(0)).alias("n_pass"),
         (F.coalesce("_not_run", F.lit(0)) + F.lit(len(names)) - found).alias("n_not_run"),
         F.coalesce("_unknown", F.lit(0)).alias("n_unknown"),
+        *passed,
     )
 
 

@@ -392,12 +392,7 @@ REQUIRED = ["audio_sanity", "existing_prosody_gate"]
 
 def eligible_takes(spark, d):
     s = cut_lineage(scored(spark, d))
-    v = shadow.complete_validations(s, results(spark, d, s))
-    # at most one entry per configured validator and take
-    passed = v.groupBy(*IDENT).agg(
-        F.collect_set(F.when(F.col("status") == "pass", F.col("validator_name"))).alias("passed"),
-        (~F.bool_or(F.col("hard_gate") & (F.col("status") == "fail"))).alias("hard_gate_pass"),
-    )
+    passed = shadow.survival(s, results(spark, d, s), with_passed=True).select(*IDENT, "passed", F.col("survives").alias("hard_gate_pass"))
     e = shadow.ranking_features(s.withColumn("normalized_edit_distance", F.when(F.col("numeric_heavy"), (F.col("n_syl") % 10) / F.lit(10.0))))
     return selection.eligible(e.join(passed, IDENT), REQUIRED, 0.5, FEATURES)
 

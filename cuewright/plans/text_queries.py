@@ -189,6 +189,19 @@ def sino_number(spark, d):
     return o.select("v", korean.normalise("v").alias("reading"))
 
 
+def _digit_sql(d):
+    return f"substr('{korean.DIGITS}', {d} + 1, 1)"
+
+
+SINO_SQL = f"""WITH o AS (SELECT DISTINCT printf('%.2f', o_totalprice) AS v FROM orders),
+g AS (SELECT v, list_transform(range(0, 4), lambda i: substr(lpad(split_part(v, '.', 1), 16, '0'), CAST(4 * i + 1 AS INT), 4)) AS gs FROM o),
+r AS (SELECT v, list_transform(gs, lambda g, i: CASE WHEN CAST(g AS INT) = 0 THEN '' ELSE array_to_string(list_transform(range(1, 5), lambda k:
+    CASE WHEN CAST(substr(g, CAST(k AS INT), 1) AS INT) = 0 THEN '' WHEN CAST(substr(g, CAST(k AS INT), 1) AS INT) = 1 AND k < 4 THEN {list(reversed(korean.PLACES))}[k]
+    ELSE {_digit_sql('CAST(substr(g, CAST(k AS INT), 1) AS INT)')} || {list(reversed(korean.PLACES))}[k] END), '') || {list(reversed(korean.MYRIADS))}[i] END) AS words FROM g)
+SELECT v, CASE WHEN len(list_filter(words, lambda w: w <> '')) = 0 THEN '{korean.DIGITS[0]}' ELSE array_to_string(list_filter(words, lambda w: w <> ''), ' ') END
+  || ' 점 ' || array_to_string(list_transform(string_split(split_part(v, '.', 2), ''), lambda d: {_digit_sql('CAST(d AS INT)')}), ' ') AS reading FROM r"""
+
+
 def turns(spark, d):
     """Each turn as expected text, the next turn of its conversation as what was heard."""
     c = spread(B.table(spark, d, "conversations"))
@@ -403,7 +416,7 @@ QUERIES = {
         i AS (SELECT doc_id, {kept_sql(f"flatten(list_transform(ls, lambda x: string_split(regexp_replace(x, '([{ENDERS}]){WS}+', '\\1' || chr(1), 'g'), chr(1))))")} AS ps FROM l)
         SELECT doc_id, format('S{{:04d}}', unnest(range(1, len(ps)+1))) AS item_id, sha256(unnest(ps)) AS h FROM i"""),
     "normalize_pronunciation": (normalize_pronunciation, None),
-    "sino_number": (sino_number, None),
+    "sino_number": (sino_number, SINO_SQL),
     "content_align": (content_align, ALIGN_SQL),
     "critical_terms": (critical_terms, B.with_sql(TURNS_SQL, tail="""SELECT conv_id, turn, concat_ws('|', CASE WHEN NOT contains(p, ' '||e[1]||' ') THEN e[1] END, CASE WHEN NOT contains(p, ' '||e[1]||' '||e[2]||' ') THEN e[1]||' '||e[2] END,
         CASE WHEN NOT contains(p, ' '||e[3]||' ') THEN e[3] END, ' ') AS missing FROM (SELECT *, ' ' || array_to_string(a, ' ') || ' ' AS p FROM toks WHERE len(e) >= 3) q""")),

@@ -90,6 +90,8 @@ def test_hot_keys_take_the_chunked_plan_and_agree(rows):
     for hot in (None, [], found):
         same(O.number_rows(rows, ["k"], order, chunk, "n", hot), rows.withColumn("n", F.row_number().over(w)), ["k", "id", "n"])
         same(O.previous_row(rows, ["k"], ["t", "id"], chunk, {"p": "v"}, hot), rows.withColumn("p", F.lag("v").over(w)), ["k", "id", "p"])
+        both = rows.withColumns({"n": F.row_number().over(w), "x": F.lead("v").over(w)})
+        same(O.number_with_next(rows, ["k"], order, chunk, "n", {"x": "v"}, hot), both, ["k", "id", "n", "x"])
         got = O.running_before(rows, ["k"], order, chunk, {"s": ("sum", F.col("v"))}, hot)
         want = rows.withColumn("s", F.coalesce(F.sum("v").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         same(got, want, ["k", "id", "s"])
@@ -113,6 +115,8 @@ def test_null_keys_and_null_order(spark):
         for plan in (None, [], hot):
             same(O.number_rows(rows, keys, order, chunk, "n", plan), want, ["id", "n"])
             same(O.previous_row(rows, keys, ["t", "id"], chunk, {"p": "v"}, plan), want, ["id", "p"])
+            following = O.number_with_next(rows, keys, order, chunk, "n", {"x": "v"}, plan)
+            same(following, want.withColumn("x", F.lead("v").over(w)), ["id", "n", "x"])
             same(O.running_before(rows, keys, order, chunk, {"s": ("sum", F.col("v"))}, plan), want, ["id", "s"])
             near = O.quantile_neighbours(rows, keys, "v", {"m": 0.5}, 10.0, plan).agg(F.sum("_count")).first()[0]
             assert near == 400
