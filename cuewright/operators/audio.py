@@ -52,20 +52,19 @@ class SanityConfig:
 BLOCK_SAMPLES = 65536
 
 
-def _decode_wav(content: bytes) -> tuple[int, int, int, np.ndarray]:
-    """(rate, channels, width, mono samples) of a PCM WAV; ValueError for anything else."""
+def wav_layout(content: bytes) -> tuple[int, int, int, int, int]:
+    """(rate, channels, width, first byte, bytes of samples) of a PCM WAV; ValueError for anything else."""
     if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
         raise ValueError("not_wave")
     at, fmt, data = 12, None, None
     while at + 8 <= len(content):
         tag, size = content[at : at + 4], int.from_bytes(content[at + 4 : at + 8], "little")
-        body = content[at + 8 : at + 8 + size]
         if tag == b"fmt ":
-            fmt = body
+            fmt = content[at + 8 : at + 8 + size]
         elif tag == b"data":
-            if len(body) < size:
+            if len(content) - at - 8 < size:
                 raise ValueError("truncated")
-            data = body
+            data = at + 8, size
         at += 8 + size + (size & 1)
     if fmt is None or data is None or len(fmt) < 16:
         raise ValueError("incomplete")
@@ -74,11 +73,16 @@ def _decode_wav(content: bytes) -> tuple[int, int, int, np.ndarray]:
     width = bits // 8
     if code not in (1, 0xFFFE):
         raise ValueError("compressed")
-    if channels < 1 or width not in (1, 2, 3, 4) or not data:
+    if channels < 1 or width not in (1, 2, 3, 4) or not data[1]:
         raise ValueError("unsupported")
-    if len(data) % (channels * width):
+    if data[1] % (channels * width):
         raise ValueError("truncated")
-    raw = np.frombuffer(data, dtype=np.uint8)
+    return rate, channels, width, *data
+
+
+def mono_samples(raw: memoryview, channels: int, width: int) -> np.ndarray:
+    """Channel means of whole frames as numbers between -1 and 1."""
+    raw = np.frombuffer(raw, dtype=np.uint8)
     if width == 1:
         values = (raw.astype(np.float64) - 128.0) / 128.0
     else:
@@ -86,7 +90,7 @@ def _decode_wav(content: bytes) -> tuple[int, int, int, np.ndarray]:
         padded = np.zeros((len(raw) // width, 4), dtype=np.uint8)
         padded[:, 4 - width :] = raw.reshape(-1, width)
         values = padded.reshape(-1).view("<i4") / 2.0**31
-    return rate, channels, width, values.reshape(-1, channels).mean(axis=1)
+    return values.reshape(-1, channels).mean(axis=1)
 
 
 DECODED = (
@@ -97,6 +101,9 @@ DECODED = (
 def decode(files: DataFrame) -> DataFrame:
     """Mono samples of WAV files in blocks, or one row with the decode error.
 
+    The header is read once; samples are decoded and handed on block by block, so
+    beside the bytes of one file a task holds the samples of one block.
+
     ``files``: path, content (as from Spark's binaryFile source).
     """
 
@@ -104,13 +111,15 @@ def decode(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    rate, channels, width, mono = _decode_wav(bytes(content))
+                    rate, channels, width, first, size = wav_layout(content)
                 except ValueError as exc:
                     yield pd.DataFrame([(path, None, None, None, 0, None, str(exc))], columns=_names())
                     continue
-                starts = range(0, len(mono), BLOCK_SAMPLES)
-                rows = [(path, rate, channels, width, s, mono[s : s + BLOCK_SAMPLES], None) for s in starts]
-                yield pd.DataFrame(rows, columns=_names())
+                frame, view = channels * width, memoryview(content)
+                for start in range(0, size // frame, BLOCK_SAMPLES):
+                    stop = min(size, (start + BLOCK_SAMPLES) * frame)
+                    mono = mono_samples(view[first + start * frame : first + stop], channels, width)
+                    yield pd.DataFrame([(path, rate, channels, width, start, mono, None)], columns=_names())
 
     def _names():
         return [c.strip().split(" ")[0] for c in DECODED.split(",")]

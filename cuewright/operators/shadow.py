@@ -221,28 +221,24 @@ def selection_overlay(reports: DataFrame, pins: DataFrame) -> DataFrame:
     )
 
 
-def agreement(evaluated: DataFrame, ranked: DataFrame, selections: DataFrame) -> DataFrame:
+def agreement(evaluated: DataFrame, selections: DataFrame, score: str = "rank_score") -> DataFrame:
     """Per phrase: selected take, whether it exists, the recommendation, and if they agree.
 
-    ``agreement`` is null without a selection; a selected take that is gone
-    counts as disagreement.
+    The recommendation is the best surviving take, null scores last. ``agreement``
+    is null without a selection; a selected take that is gone counts as
+    disagreement. Takes meet the selections once and fold to their phrase in the
+    same partitions.
     """
     at = selections.select(*PHRASE, F.col("take_id").alias("selected_take"), "source")
-    phrases = evaluated.select(*PHRASE).distinct()
-    first = ranked.where("shadow_rank = 1").select(*PHRASE, F.col("take_id").alias("shadow_top_1"))
-    present = evaluated.join(at.select(*PHRASE, F.col("selected_take").alias("take_id")), TAKE, "left_semi").select(
-        *PHRASE, F.lit(True).alias("_present")
-    )
-    out = phrases.join(at, PHRASE, "left").join(first, PHRASE, "left").join(present, PHRASE, "left")
-    same = F.coalesce(F.col("_present") & (F.col("selected_take") == F.col("shadow_top_1")), F.lit(False))
-    return out.select(
-        *PHRASE,
-        "selected_take",
-        "source",
-        F.coalesce("_present", F.lit(False)).alias("selected_present"),
-        "shadow_top_1",
-        F.when(F.col("selected_take").isNotNull(), same).alias("agreement"),
+    takes = evaluated.select(*TAKE, "survives", score).join(at, PHRASE, "left")
+    place = F.struct(F.coalesce(-F.round(F.col(score), 9), F.lit(float("inf"))), F.col("take_id"))
+    folded = takes.groupBy(*PHRASE).agg(
+        F.max("selected_take").alias("selected_take"), F.max("source").alias("source"),
+        F.bool_or(F.coalesce(F.col("take_id") == F.col("selected_take"), F.lit(False))).alias("selected_present"),
+        F.min_by("take_id", F.when(F.col("survives"), place)).alias("shadow_top_1"),
     )
+    same = F.coalesce(F.col("selected_present") & (F.col("selected_take") == F.col("shadow_top_1")), F.lit(False))
+    return folded.withColumn("agreement", F.when(F.col("selected_take").isNotNull(), same))
 
 
 def disagreements(verdicts: DataFrame, evaluated: DataFrame, features: list[str]) -> DataFrame:

@@ -326,11 +326,11 @@ AGREED = (*OVERLAID, VALID_SQL, AGREE_SQL)
 
 def verdicts(spark, d):
     e = cut_lineage(evaluated(spark, d))
-    return e, shadow.agreement(e, shadow.shadow_rank(e, hot=B.hot_phrases(spark, d)), selection_overlay(spark, d))
+    return e, shadow.agreement(e, selection_overlay(spark, d))
 
 
 def agreement(spark, d):
-    return verdicts(spark, d)[1]
+    return shadow.agreement(evaluated(spark, d), selection_overlay(spark, d))
 
 
 def actual_lookup(spark, d):

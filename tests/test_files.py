@@ -184,3 +184,77 @@ def test_decisions(spark):
     pins = spark.createDataFrame([("p", "B", "3", 0)], "project_id string, block_id string, phrase_id string, take_id int")
     got = {r["phrase_id"]: r["decision"] for r in bank.pin_decision(takes, pins).collect()}
     assert got == {"1": "rejected", "2": "unknown", "3": "selected", "4": "unknown"}
+
+
+def test_wav_blocks_of_every_width(spark, tmp_path, monkeypatch):
+    from cuewright.operators import audio
+
+    values = [((i * 37) % 200 - 100) / 128 for i in range(1000)]
+    for width in (1, 2, 3, 4):
+        scale = 1 << (8 * width - 1)
+        with wave.open(str(tmp_path / f"w{width}.wav"), "wb") as w:
+            w.setnchannels(2)
+            w.setsampwidth(width)
+            w.setframerate(8000)
+            frames = b""
+            for v in values:
+                for side in (v, 0.0):
+                    n = int(side * scale)
+                    frames += (n + 128).to_bytes(1, "little") if width == 1 else n.to_bytes(width, "little", signed=True)
+            w.writeframes(frames)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    whole = {r["path"][-6:]: r["samples"] for r in audio.decode(files).collect()}
+    assert sorted(whole) == ["w1.wav", "w2.wav", "w3.wav", "w4.wav"]
+    assert all(max(abs(a - v / 2) for a, v in zip(s, values)) < 1e-2 for s in whole.values()) and all(len(s) == 1000 for s in whole.values())
+    monkeypatch.setattr(audio, "BLOCK_SAMPLES", 64)
+    layout = audio.wav_layout((tmp_path / "w3.wav").read_bytes())
+    content = memoryview((tmp_path / "w3.wav").read_bytes())
+    first, frame = layout[3], layout[1] * layout[2]
+    pieces = [x for at in range(0, 1000, 64) for x in audio.mono_samples(content[first + at * frame : first + min(1000, at + 64) * frame], 2, 3)]
+    assert pieces == whole["w3.wav"]
+
+
+def test_names_of_groups_and_configurations(spark):
+    from pyspark.sql import functions as F
+
+    from cuewright.operators import audio, ranker
+    from cuewright.rules import FEATURE_NAMES
+
+    assert spark.range(1).select(audio.SanityConfig.config_hash_of()).first()[0] == audio.SanityConfig().config_hash
+    changed = audio.SanityConfig.config_hash_of(peak_guard=F.lit(0.5))
+    assert spark.range(1).select(changed).first()[0] == audio.SanityConfig(peak_guard=0.5).config_hash
+    names = F.array(*[F.lit(n) for n in FEATURE_NAMES])
+    assert spark.range(1).select(ranker.schema_hash_of(names)).first()[0] == ranker.schema_hash()
+    scores = spark.createDataFrame([("me", 0.9), ("me", 0.7), ("other", 0.2), ("other", 0.75), ("tired", 0.6)], "group string, primary_score double")
+    row = audio.calibrate(scores, positives=("me",), negative="other", extras=("tired",)).first()
+    assert (row["status"], round(row["threshold"], 6), row["n_tired"], row["false_accepts"], row["false_rejects"]) == ("calibrated_candidate", 0.725, 1, 1, 1)
+
+
+def test_null_keys_keep_their_measures(spark):
+    from datetime import datetime
+
+    from cuewright.operators import measure, sessions
+
+    frames = [(k, i / 100, 200.0 + i % 7) for k in (None, "a") for i in range(120)]
+    lengths = spark.createDataFrame([(None, 1.2), ("a", 1.2)], "k string, dur double")
+    got = measure.pitch(spark.createDataFrame(frames, "k string, t double, f0 double"), lengths, ["k"]).collect()
+    assert len(got) == 2 and got[0][2:] == got[1][2:] and all(r["measurable"] and r["end_slope"] is not None for r in got)
+    events = [(None, datetime(2024, 1, 1, 0, i), i, "synth", "g1" if i < 3 else "g2") for i in range(5)]
+    out = sessions.discard_stale(spark.createDataFrame(events, "session_id long, ts timestamp, seq long, kind string, generation_id string"))
+    assert sorted((r["seq"], r["stale"]) for r in out.collect()) == [(0, False), (1, False), (2, False), (3, True), (4, True)]
+
+
+def test_completed_validations(spark):
+    from cuewright.operators import shadow
+
+    validators = (("x", True, "x_absent"), ("y", False, "y_absent"))
+    takes = spark.createDataFrame([("p", "b", 1, 0), ("p", "b", 1, 1)], "project_id string, block_id string, phrase_id long, take_id int")
+    kinds = "project_id string, block_id string, phrase_id long, take_id int, validator_name string, status string, hard_gate boolean, score double, reasons array<string>, metrics map<string,double>"
+    results = spark.createDataFrame([("p", "b", 1, 0, "y", "pass", None, 0.5, [], None), ("p", "b", 1, 0, "z", "fail", True, None, [], None), ("p", "b", 1, 0, "y", "fail", True, 0.1, ["low"], None)], kinds)
+    got = sorted((r["take_id"], r["validator_name"], r["status"], r["hard_gate"], r["score"] or 0, tuple(r["reasons"])) for r in shadow.complete_validations(takes, results, validators).collect())
+    assert got == [
+        (0, "x", "not_run", True, 0, ("x_absent",)), (0, "y", "fail", True, 0.1, ("low",)), (0, "y", "pass", False, 0.5, ()),
+        (1, "x", "not_run", True, 0, ("x_absent",)), (1, "y", "not_run", False, 0, ("y_absent",)),
+    ]
+    alive = {r["take_id"]: (r["survives"], r["passed"]) for r in shadow.survival(takes, results, validators, with_passed=True).collect()}
+    assert alive == {0: (False, ["y"]), 1: (True, [])}
