@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterable
+from heapq import nsmallest
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -114,23 +114,26 @@ def beam_assemble(cands: DataFrame, order: str = "phrase_id", hot: Hot = None) -
     # the first phrase of a block follows one take without a pitch
     before = F.coalesce("_before", F.array(F.lit(None).cast("double")))
     gains = F.transform(before, lambda end: F.transform("_cands", lambda c: step_gain(c["quality"], c["first_hz"], end)))
-    tables = led.select(*BLOCK, order, F.col("_cands.take_id").alias("takes"), gains.alias("gains"))
+    tables = led.select(*BLOCK, order, F.col("_cands.take_id").alias("takes"), F.flatten(gains).alias("gains"))
 
     def forward():
         state = {"key": None}
 
         def handle(key, rows):
             if key != state["key"]:
-                state.update(key=key, scores=np.zeros(1), at=np.zeros(1, int))
+                state.update(key=key, held=[(0.0, 0)])
             out = []
             for phrase, takes, gains in rows:
-                table = np.stack([np.asarray(g, float) for g in gains])
-                sums = (state["scores"][:, None] + table[state["at"]]).ravel()
+                table, width = list(gains), len(takes)
                 # compared at nine decimals; of equal ones the better beam, then the better candidate
-                best = np.argsort(-np.round(sums, 9), kind="stable")[: R.BEAM_WIDTH]
-                parents, at = np.divmod(best, table.shape[1])
-                state.update(scores=sums[best], at=at)
-                out.append((*key, phrase, [int(takes[i]) for i in at], parents.tolist(), float(sums[best[0]])))
+                ends = [
+                    (-round(score + gain, 9), slot, i, score + gain)
+                    for slot, (score, at) in enumerate(state["held"])
+                    for i, gain in enumerate(table[at * width : (at + 1) * width])
+                ]
+                best = nsmallest(R.BEAM_WIDTH, ends)
+                state["held"] = [(total, i) for _, _, i, total in best]
+                out.append((*key, phrase, [int(takes[i]) for _, _, i, _ in best], [slot for _, slot, _, _ in best], float(best[0][3])))
             return out
 
         return handle
