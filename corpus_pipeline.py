@@ -38,9 +38,11 @@ def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dup.near_duplicates(docs, width=5, percent=80).where("kept AND id IS NOT NULL").select(F.col("id").alias("_id")).distinct()
+    rows = docs.withColumn("_text", F.xxhash64("text"))
+    kept = near_dup.near_duplicates(rows, width=5, percent=80, keep=("_text",)).where("kept AND id IS NOT NULL")
+    kept = kept.select(F.col("id").alias("_id"), F.col("_text").alias("_hash")).distinct()
     # a row that repeats id and text is a copy too
-    rows = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_text", F.xxhash64("text"))
+    rows = rows.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
     once = rows.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
     return once.unionByName(docs.where("doc_id IS NULL"))
 

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.pairs import components as connected
 from .store import stored
@@ -44,10 +45,11 @@ COMPONENTS = 128
 CHUNKS = 24
 ERRORS = 1
 THRESHOLD = CHUNKS * (ERRORS + 1) - 1
-#: Members of a key that are compared in one piece.
+#: Members of a key that are compared in one piece, and shingles (8 bytes each) that they may have.
 BLOCK = 2048
-#: Ids of documents to fetch that may be broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BLOCK_SHINGLES = 1 << 21
+#: Documents to fetch whose numbers may be broadcast (24 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 _RANDOM = np.random.default_rng(977)
 _FLIP = _RANDOM.integers(0, 2**32, COMPONENTS, dtype=np.uint32)[:, None]
@@ -74,26 +76,29 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (low ^ (low >> np.uint32(16))).astype(np.uint16)
 
 
-def signatures(df: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """(id, n, s1, s2, sig) per row: set size, 128 bits of the whole set, signature; null sig for an empty set."""
+def set_marks(shingles: np.ndarray) -> tuple[int, int, int]:
+    """Size of a set and 128 bits of it."""
+    total = np.array([shingles.sum(), mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum()]).astype(np.int64)
+    return len(shingles), int(total[0]), int(total[1])
+
+
+def signatures(df: DataFrame, id_col: str, text: str, width: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n, s1, s2, sig, kept columns) per row: set size, 128 bits of the whole set, signature; null sig for an empty set."""
 
     def run(batches):
         for batch in row_slices(batches, "text"):
             found = []
             for shingles in shingle_sets(batch.column("text"), width):
-                if not len(shingles):
-                    found.append((0, 0, 0, None))
-                    continue
-                total = np.array([shingles.sum(), mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum()]).astype(np.int64)
-                found.append((len(shingles), int(total[0]), int(total[1]), signature(shingles).tobytes()))
+                found.append((*set_marks(shingles), signature(shingles).tobytes()) if len(shingles) else (0, 0, 0, None))
             n, s1, s2, sig = zip(*found)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sig, pa.binary())],
-                ["id", "n", "s1", "s2", "sig"],
+                [batch.column("id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sig, pa.binary()), *(batch.column(c) for c in keep)],
+                ["id", "n", "s1", "s2", "sig", *keep],
             )
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, s1 long, s2 long, sig binary")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), *keep)
+    schema = T._parse_datatype_string("id long, n long, s1 long, s2 long, sig binary")
+    return rows.mapInArrow(run, T.StructType([*schema.fields, *(rows.schema[c] for c in keep)]))
 
 
 def _choices() -> list[tuple[int, int, list[tuple[int, ...]]]]:
@@ -171,64 +176,105 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(df: DataFrame, id_col: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(id, shingles) of the wanted documents; 64-bit hashes, packed."""
+    """(id, shingles) of the wanted classes (id, rep, s1); 64-bit hashes, packed.
+
+    A class is read from the rows with the id of its first member; of several
+    texts under that id, the one whose set is the class's.
+    """
 
     def run(batches):
         for batch in row_slices(batches, "text"):
-            sets = [s.tobytes() for s in shingle_sets(batch.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+            sets, own = [], batch.column("s1").to_pylist()
+            for shingles, s1 in zip(shingle_sets(batch.column("text"), width), own, strict=True):
+                sets.append(shingles.tobytes() if len(shingles) and set_marks(shingles)[1] == s1 else None)
+            found = pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+            yield found.filter(found.column("shingles").is_valid())
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text).alias("text"))
     wanted = stored(wanted, "wanted")
     small = wanted.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(wanted) if small else wanted, "id", "left_semi").mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    return rows.join(F.broadcast(wanted) if small else wanted, "rep").select("id", "s1", "text").mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
 
 
-def rest_pairs(open_rows: DataFrame, reps: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs of different components that share a key and are within the distance, each once.
+def contested(open_rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows of mixed keys, dealt into pieces of two blocks, that have a partner in their piece.
 
-    A key's members are dealt into blocks; each pair of blocks is one piece of
-    work. A pair is taken only in the first key that it shares.
+    Partners are of different components and within the distance. A pair counts
+    only in the first key that it shares.
     """
-    parts = sizes.select("key", F.ceil(F.col("members") / BLOCK).alias("blocks"))
-    rows = open_rows.join(parts, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = open_rows.join(reps.select("id", "n", "sig"), "id")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    rows = rows.join(rows.groupBy("key").agg(blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("key", "id", "root", "block", other)
-    rows = rows.select(
-        "key", "id", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-    ).join(reps.select("id", "n", "sig"), "id")
+    rows = rows.select("key", "id", "root", "block", "n", "sig", other)
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "root", "block", "n", "sig")
+    return rows.repartition(*PIECE).sortWithinPartitions(*PIECE, "root", "id").mapInArrow(by_piece(_partnered), rows.schema)
+
+
+def joining_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) on the full sets; a piece gives only links that join what it had not joined yet."""
+    dealt = rows.join(sets, "id").repartition(*PIECE).sortWithinPartitions(*PIECE, "root", "id")
+
+    def links(piece, group):
+        yield from _linked(piece, group, percent)
+
+    return dealt.mapInArrow(by_piece(links), "a long, b long").distinct()
+
+
+PIECE = ("key", "low", "high")
+#: Bytes of rows that are gone through at once, if they are several pieces.
+TOGETHER = 8 << 20
+
+
+def by_piece(work):
+    """An Arrow function that hands whole pieces to ``work``, which gets sorted rows and the piece of each."""
 
     def run(batches):
         rest = None
-        for batch in batches:
+        for batch in (part for b in batches for part in _slices(b)):
             rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             group = _groups(rest)
-            # the last group may go on in the next batch
+            # the last piece may go on in the next batch
             full = int(np.searchsorted(group, group[-1])) if len(group) else 0
             if full:
-                yield from _compare(rest.slice(0, full), group[:full])
-                rest = rest.slice(full).combine_chunks()
+                yield from work(rest.slice(0, full), group[:full])
+                rest = rest.slice(full)
         if rest is not None and rest.num_rows:
-            yield from _compare(rest, _groups(rest))
+            yield from work(rest, _groups(rest))
+
+    return run
+
 
-    dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "root", "id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    step = max(1, TOGETHER * batch.num_rows // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
 
 
 def _groups(rows: pa.Table) -> np.ndarray:
-    """Number of the (key, low, high) group of each row; rows are sorted by it."""
-    marks = np.stack([rows.column(c).to_numpy() for c in ("key", "low", "high")])
+    """Number of the piece of each row; rows are sorted by it."""
+    marks = np.stack([rows.column(c).to_numpy() for c in PIECE])
     return np.cumsum(np.concatenate([[True], (marks[:, 1:] != marks[:, :-1]).any(axis=0)])) if rows.num_rows else np.zeros(0, int)
 
 
-def _compare(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs of whole groups, rows sorted by root. A row meets only those behind its own root's rows, step by step, all rows at once."""
-    key, ids, root, n, block = (rows.column(c).to_numpy() for c in ("key", "id", "root", "n", "block"))
+def _behind(group: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row where the rows of other roots behind it begin, and where its piece ends; rows are sorted by root."""
+    fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (root[1:] != root[:-1])])
+    return np.append(np.flatnonzero(fresh)[1:], len(group))[np.cumsum(fresh) - 1], np.searchsorted(group, group, "right")
+
+
+def _first_shared(keys_one: np.ndarray, keys_two: np.ndarray) -> np.ndarray:
+    shared = (keys_one == keys_two).argmax(axis=1)
+    return np.take_along_axis(np.broadcast_to(keys_one, keys_two.shape), shared[:, None], 1)[:, 0].view(np.int64)
+
+
+def _partnered(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows with a partner. A row meets only those behind its own root's rows, step by step, all rows at once."""
+    key, root, n, block = (rows.column(c).to_numpy() for c in ("key", "root", "n", "block"))
     mixed = rows.column("low").to_numpy() != rows.column("high").to_numpy()
     sigs = unpack(rows.column("sig").to_pylist())
-    ends = np.searchsorted(group, group, "right")
-    fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (root[1:] != root[:-1])])
-    firsts = np.append(np.flatnonzero(fresh)[1:], len(group))[np.cumsum(fresh) - 1]
+    firsts, ends = _behind(group, root)
+    hit = np.zeros(len(group), bool)
     live = np.arange(len(group))
     for step in range(len(group)):
         live = live[firsts[live] + step < ends[live]]
@@ -237,16 +283,57 @@ def _compare(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         other = firsts[live] + step
         fit = (100 * np.minimum(n[live], n[other]) >= 80 * np.maximum(n[live], n[other]))
         fit &= ~mixed[live] | (block[live] != block[other])
+        fit &= ~(hit[live] & hit[other])
         one, two = live[fit], other[fit]
         if len(one):
             close = (sigs[one] != sigs[two]).sum(axis=1) <= THRESHOLD
             one, two = one[close], two[close]
         if len(one):
-            keys_one = key_matrix(sigs[one])
-            first = keys_one[np.arange(len(one)), (keys_one == key_matrix(sigs[two])).argmax(axis=1)].view(np.int64)
-            here = first == key[one]
-            a, b = ids[one[here]], ids[two[here]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            here = _first_shared(key_matrix(sigs[one]), key_matrix(sigs[two])) == key[one]
+            hit[one[here]] = hit[two[here]] = True
+    yield from rows.filter(pa.array(hit)).to_batches()
+
+
+def _linked(rows: pa.Table, group: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between components of a piece, by full sets; what a link has joined is one component from then on."""
+    key, ids, root, n, block = (rows.column(c).to_numpy() for c in ("key", "id", "root", "n", "block"))
+    mixed = rows.column("low").to_numpy() != rows.column("high").to_numpy()
+    sigs = unpack(rows.column("sig").to_pylist())
+    named = key_matrix(sigs)
+    firsts, ends = _behind(group, root)
+    packed = rows.column("shingles").combine_chunks()
+    a, b = [], []
+    for low in np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])):
+        high = ends[low]
+        sets = [np.frombuffer(packed[i].as_buffer(), np.uint64) for i in range(low, high)]
+        words_, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        at = np.cumsum([0, *map(len, sets)])
+        mark = np.zeros(len(words_), bool)
+        part = np.unique(root[low:high], return_inverse=True)[1]
+        for i in range(low, high):
+            other = np.arange(firsts[i], high)
+            other = other[part[other - low] != part[i - low]]
+            fit = 100 * np.minimum(n[i], n[other]) >= 80 * np.maximum(n[i], n[other])
+            if mixed[i]:
+                fit &= block[other] != block[i]
+            other = other[fit]
+            other = other[(sigs[other] != sigs[i]).sum(axis=1) <= THRESHOLD]
+            if len(other):
+                other = other[_first_shared(named[i : i + 1], named[other]) == key[i]]
+            if not len(other):
+                continue
+            own = numbers[at[i - low] : at[i - low + 1]]
+            mark[own] = True
+            for j in other:
+                if part[j - low] == part[i - low]:
+                    continue
+                both = int(np.count_nonzero(mark[numbers[at[j - low] : at[j - low + 1]]]))
+                if 100 * both >= percent * (n[i] + n[j] - both):
+                    a.append(max(ids[i], ids[j]))
+                    b.append(min(ids[i], ids[j]))
+                    part[part == part[j - low]] = part[i - low]
+            mark[own] = False
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def with_roots(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -272,48 +359,53 @@ def central_star(rows: DataFrame) -> DataFrame:
     return rows.join(centre, "key").where("root <> centre.root_b").select(F.col("id").alias("a"), F.col("centre.b").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id, kept), one row per input row.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80,
+                    keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_shingles, component_id, kept, ``keep`` columns), one row per input row.
 
     ``component_id`` is the smallest id that links reach, the row's own if it has
     none; ``kept`` says that it is the row's own. ``percent`` may be 80 or more:
-    the threshold of the signatures is made for that.
+    the threshold of the signatures is made for that. ``keep`` may not name a
+    column of the result.
     """
     if percent < 80:
         raise ValueError("the signature threshold is made for a similarity of 0.8 or more")
-    marks = stored(signatures(df, id_col, text, width), "marks")
+    marks = stored(signatures(df, id_col, text, width, keep), "marks")
     classes = marks.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(
         F.min("id").alias("rep"), F.min("sig").alias("sig")
     )
-    classes = stored(classes, "classes")
-    reps = classes.select(F.col("rep").alias("id"), "n", "sig")
+    # numbered as it is written: every reader sees the same numbers
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    reps = classes.select("id", "n", "sig")
     every = keys(reps)
     leaders = every.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = stored(every.join(leaders, "key"), "keys")
     star = shared.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     near = stored(within_distance(star, reps), "near")
-    sizes = shared.select("key", "members").distinct()
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = classes.join(ids.distinct(), "id", "left_semi").select("id", "rep", "s1")
         return stored(full_sets(df, id_col, text, width, wanted), "sets")
 
-    near_sets = sets_of(near)
+    def ends_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+    near_sets = sets_of(ends_of(near))
     links = stored(confirmed(near.groupBy("a").agg(F.min("b").alias("b")), near_sets, percent), "links")
     left, roots = with_roots(near.withColumnRenamed("a", "id"), links)
     side = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
     apart = left.join(side, "b", "left").where(F.col("root") != F.coalesce("root_b", "b")).select(F.col("id").alias("a"), "b")
     links = stored(links.unionByName(confirmed(apart, near_sets, percent)), "links")
     central = stored(within_distance(central_star(mixed_rows(shared, links)), reps), "central")
-    links = stored(links.unionByName(confirmed(central, sets_of(central), percent)), "links")
-    rest = stored(rest_pairs(mixed_rows(shared, links), reps, sizes), "rest")
-    links = stored(links.unionByName(confirmed(rest, sets_of(rest), percent)), "links")
-    final = stored(connected(links, "a", "b"), "roots").withColumnsRenamed({"node": "rep", "root": "_root"})
-    named = classes.select("n", "s1", "s2", "rep").join(final, "rep", "left").select(
-        "n", "s1", "s2", F.coalesce("_root", "rep").alias("component_id")
-    )
-    joined = marks.select("id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
+    links = stored(links.unionByName(confirmed(central, sets_of(ends_of(central)), percent)), "links")
+    rest = stored(contested(mixed_rows(shared, links), reps), "rest")
+    links = stored(links.unionByName(joining_links(rest, sets_of(rest.select("id")), percent)), "links")
+    final = stored(connected(links, "a", "b"), "roots").withColumnsRenamed({"node": "id", "root": "_root"})
+    named = classes.select("n", "s1", "s2", "id", "rep").join(final, "id", "left").withColumn("_root", F.coalesce("_root", "id"))
+    smallest = named.groupBy("_root").agg(F.min("rep").alias("component_id"))
+    named = named.join(smallest, "_root").select("n", "s1", "s2", "component_id")
+    joined = marks.drop("sig").join(named, ["n", "s1", "s2"], "left")
     own = F.coalesce(F.when(F.col("id").isNotNull(), F.col("component_id")), F.col("id")).alias("component_id")
-    return joined.select("id", F.col("n").alias("n_shingles"), own).withColumn(
+    return joined.select("id", F.col("n").alias("n_shingles"), own, *keep).withColumn(
         "kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     )

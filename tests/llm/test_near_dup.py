@@ -53,6 +53,29 @@ def test_components_agree_with_all_pairs(spark, monkeypatch, width, percent, blo
     assert sorted([tuple(x) for x in got], key=str) == plain(rows, width, percent)
 
 
+def test_texts_under_one_id_are_told_apart(spark):
+    first = " ".join(f"a{i}" for i in range(40))
+    second = " ".join(f"b{i}" for i in range(40))
+    rows = [(1, first), (1, second), (3, second + " more"), (4, first), (0, first + " more"), (1, first)]
+    found = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", N.F.left("text", N.F.lit(2))), keep=("mark",))
+    got = sorted((r["id"], r["mark"], r["component_id"], r["kept"]) for r in found.collect())
+    assert got == [(0, "a0", 0, True), (1, "a0", 0, False), (1, "a0", 0, False), (1, "b0", 1, True), (3, "b0", 1, False), (4, "a0", 0, False)]
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_a_large_group_below_the_threshold(spark, monkeypatch, block):
+    """A template of 70 words in a hundred: most pairs are near the threshold, some above it."""
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "TOGETHER", 4096)
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(w if r.random() > 0.12 else f"x{r.randrange(400)}" for w in base)) for i in range(80)]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=1).select("id", "n_shingles", "component_id", "kept").collect()
+    want = plain(rows, 1, 80)
+    assert 1 < len({x[2] for x in want}) < 80
+    assert sorted([tuple(x) for x in got], key=str) == want
+
+
 def test_empty(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
