@@ -37,5 +37,19 @@ def test_any_blanks_at_the_ends_are_no_part_of_a_line(spark):
     assert L.removed_lines(short).count() == 0
 
 
+def test_rows_of_one_id_lose_their_own_lines_only(spark):
+    line = "share this page with all friends"
+    rows = [(i, f"text number {i}\n{line}", f"s{i}") for i in range(6)]
+    one, two = f"own words here\n{line}\nend", "another first line\nkeep this line of mine please\nlast"
+    rows += [(3, one, "s3"), (3, two, "s3"), (3, one, "s3"), (None, one, "s1"), (None, two, "s1")]
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows)
+    found = sorted((r["doc_id"], r["text"]) for r in got if r["doc_id"] == 3)
+    assert found == [(3, "another first line\nkeep this line of mine please\nlast"), (3, "own words here\nend"), (3, "own words here\nend"), (3, "text number 3")]
+    # the row without an id is the first: it keeps the line, all others lose it
+    assert sorted(r["text"] for r in got if r["doc_id"] is None) == [two, one]
+    assert sum(line in r["text"] for r in got) == 1
+
+
 def test_empty(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
