@@ -13,7 +13,8 @@ row, and a task loads one part at a time; rows are never grouped or joined, so
 ids may be null or repeat and the number of parts does not change the result.
 
 Null text has no words, a null item none either. Repeated documents are judged
-alike; repeated items count once. Extra columns pass through, and columns with
+alike; repeated items count once. Items without an id are looked for like all
+others; together they are one null in ``items``, behind the ids. Extra columns pass through, and columns with
 the names of the results are replaced. Empty tables: no documents give no rows,
 no items leave every document clean.
 """
@@ -41,7 +42,7 @@ RESULTS = ("n_words", "n_hit", "items", "hit_spans")
 class Windows:
     """Windows of one part of the benchmark, as word numbers."""
 
-    def __init__(self, ids: list[str], texts: list[str | None], window: int):
+    def __init__(self, ids: list[str | None], texts: list[str | None], window: int):
         body, at = utf8(pa.array(texts, pa.string()))
         body = LOWER[body]
         starts, ends, rows = words(body, at, LETTER_OR_DIGIT)
@@ -166,7 +167,7 @@ def scan(df: DataFrame, parts: Iterable[Windows], id_columns: list[str], text: s
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept]
                 + [
-                    pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                    pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x, key=lambda i: (i is None, i or "")) for x in items], pa.list_(pa.string())),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 ],
                 [*kept, *RESULTS],
@@ -178,7 +179,7 @@ def scan(df: DataFrame, parts: Iterable[Windows], id_columns: list[str], text: s
 
 def benchmark_parts(items: DataFrame, item_id: str, text: str, window: int, part_bytes: int) -> Iterator[Windows]:
     """The benchmark in parts of a bounded size; one part is fetched at a time."""
-    rows = items.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL").distinct()
+    rows = items.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")).distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // part_bytes) or 1
     for k in range(n):

@@ -68,6 +68,14 @@ def test_null_and_repeated_ids_with_many_parts(spark):
     assert cuts[0] == cuts[1]
 
 
+def test_items_without_an_id_count(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "one two alpha beta gamma"), (3, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "alpha beta gamma"), (None, "delta"), (7, "two"), (None, None)], "item_id long, text string")
+    for part in (1 << 20, 8):
+        got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in D.decontaminated(docs, items, part_bytes=part).collect()}
+        assert got == {1: (4, [None]), 2: (4, ["7", None]), 3: (0, [])}
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.decontaminated(docs, items).first()["n_hit"] == 0
