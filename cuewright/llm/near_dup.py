@@ -48,6 +48,8 @@ THRESHOLD = CHUNKS * (ERRORS + 1) - 1
 #: Members of a key that are compared in one piece, and shingles (8 bytes each) that they may have.
 BLOCK = 2048
 BLOCK_SHINGLES = 1 << 21
+#: Members of a piece from which on earlier keys are looked at before signatures.
+CROWDED = 64
 #: Documents to fetch whose numbers may be broadcast (24 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -223,7 +225,7 @@ def joining_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 PIECE = ("key", "low", "high")
 #: Bytes of rows that are gone through at once, if they are several pieces.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 
 
 def by_piece(work):
@@ -268,6 +270,25 @@ def _first_shared(keys_one: np.ndarray, keys_two: np.ndarray) -> np.ndarray:
     return np.take_along_axis(np.broadcast_to(keys_one, keys_two.shape), shared[:, None], 1)[:, 0].view(np.int64)
 
 
+def _met_before(key: np.ndarray, named: np.ndarray, ends: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """128 bits per row: a bit for each key before this one whose middle value in the piece the row has.
+
+    Two rows with a common bit share an earlier key, so they are no pair here. In
+    a piece of near copies most keys have one common value. Small pieces have no bits.
+    """
+    bits = np.zeros((len(group), 16), np.uint8)
+    for low in np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])):
+        high = ends[low]
+        if high - low >= CROWDED:
+            before = int((named[low].view(np.int64) == key[low]).argmax())
+            if before:
+                earlier = named[low:high, :before]
+                middle = np.partition(earlier, (high - low) // 2, axis=0)[(high - low) // 2]
+                same = np.packbits(earlier == middle, axis=1)
+                bits[low:high, : same.shape[1]] = same
+    return bits.view(np.uint64)
+
+
 def _partnered(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows with a partner. A row meets only those behind its own root's rows, step by step, all rows at once."""
     key, root, n, block = (rows.column(c).to_numpy() for c in ("key", "root", "n", "block"))
@@ -276,20 +297,24 @@ def _partnered(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
     firsts, ends = _behind(group, root)
     hit = np.zeros(len(group), bool)
     live = np.arange(len(group))
+    named = key_matrix(sigs)
+    met = _met_before(key, named, ends, group)
     for step in range(len(group)):
         live = live[firsts[live] + step < ends[live]]
         if not len(live):
             break
-        other = firsts[live] + step
-        fit = (100 * np.minimum(n[live], n[other]) >= 80 * np.maximum(n[live], n[other]))
-        fit &= ~mixed[live] | (block[live] != block[other])
-        fit &= ~(hit[live] & hit[other])
-        one, two = live[fit], other[fit]
+        one, two = live, firsts[live] + step
+        new = ~((met[one, 0] & met[two, 0]) | (met[one, 1] & met[two, 1])).astype(bool)
+        one, two = one[new], two[new]
+        fit = (100 * np.minimum(n[one], n[two]) >= 80 * np.maximum(n[one], n[two]))
+        fit &= ~mixed[one] | (block[one] != block[two])
+        fit &= ~(hit[one] & hit[two])
+        one, two = one[fit], two[fit]
         if len(one):
             close = (sigs[one] != sigs[two]).sum(axis=1) <= THRESHOLD
             one, two = one[close], two[close]
         if len(one):
-            here = _first_shared(key_matrix(sigs[one]), key_matrix(sigs[two])) == key[one]
+            here = _first_shared(named[one], named[two]) == key[one]
             hit[one[here]] = hit[two[here]] = True
     yield from rows.filter(pa.array(hit)).to_batches()
 

@@ -67,6 +67,7 @@ def test_a_large_group_below_the_threshold(spark, monkeypatch, block):
     """A template of 70 words in a hundred: most pairs are near the threshold, some above it."""
     monkeypatch.setattr(N, "BLOCK", block)
     monkeypatch.setattr(N, "TOGETHER", 4096)
+    monkeypatch.setattr(N, "CROWDED", 3)
     r = random.Random(4)
     base = [f"w{i}" for i in range(100)]
     rows = [(i, " ".join(w if r.random() > 0.12 else f"x{r.randrange(400)}" for w in base)) for i in range(80)]
