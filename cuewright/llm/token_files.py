@@ -36,11 +36,14 @@ from pyspark.sql import functions as F
 from .huffman import LIMIT, canonical_codes, code_lengths, decode_table, pack, unpack
 from .piece_cache import BytePairEncoder
 from .store import stored
+from .textkit import row_slices
 
 MAGIC = b"HTOK1\0"
 BLOCK_IDS = 1 << 16
 CHECKPOINT = 64
 END_ID = 2
+#: Text that is encoded at once; a longer one goes alone.
+SLICE_BYTES = 4 << 20
 
 
 def encoded(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -49,11 +52,8 @@ def encoded(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text: st
 
     def run(batches):
         encoder = BytePairEncoder.of(tokenizer_file)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [x + end for x in encoder.packed(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(ids, pa.binary())], ["doc", "ids"])
+        for part in row_slices(batches, "text", SLICE_BYTES):
+            yield pa.RecordBatch.from_arrays([part.column("doc"), encoder.packed_array(part.column("text"), end)], ["doc", "ids"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc long, ids binary")

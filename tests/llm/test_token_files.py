@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,6 +50,25 @@ def test_special_text_and_full_memory(monkeypatch):
     assert len(own.memory) <= 3  # the bound holds
 
 
+def test_pieces_of_all_kinds_in_their_rows():
+    own = BytePairEncoder(FILE)
+    texts = ["a1b2 c-d,e f's \n", "one\ntwo, three|4", None, "", " ", "caf\xe9s \u0142\u00f3d\u017a \u0434\u0430 \ud55c\uad6d x\u00d7y", "a\n\nb", "x<y <|endoftext|>", "\0 zero", "end\n", "tab\tbed 1990s (ab) \x1c|"]
+    want = [[*own.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    for _ in range(2):
+        got = own.packed_array(pa.array(texts, pa.string()).slice(0), np.array([2], "<u2").tobytes())
+        assert [np.frombuffer(x, "<u2").tolist() for x in got.to_pylist()] == want
+    part = own.packed_array(pa.array(texts, pa.string()).slice(3, 5))
+    assert [np.frombuffer(x, "<u2").tolist() for x in part.to_pylist()] == [w[:-1] for w in want[3:8]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="abZ09 '|,-(<>\n\t\0\xa0\xaa\xe9\xd7\u024f\u0250\u0661", max_size=25), max_size=6))
+def test_rows_of_odd_characters(texts):
+    own = BytePairEncoder.of(FILE)
+    want = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in own.packed(texts)] == want
+
+
 @pytest.mark.parametrize("rows", [[], [(3, "b b"), (1, None), (2, ""), (None, "no id"), (2, "again"), (9, "word " * 70_000)]])
 def test_files_round_trip(spark, tmp_path, rows):
     df = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, text string, ids string")
