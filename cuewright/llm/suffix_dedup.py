@@ -18,10 +18,11 @@ else goes. Strings are judged on the input, and never cross documents.
    with many variants (``HOT``) is dealt out further by both ends of the strings:
    equal strings still meet.
 
-Ids are integers and name one text each: rows that repeat an id must repeat its
-text, and then repeat each other in full. A row without an id takes no part and
-stays whole. Null text is empty text. An empty table gives an empty result; only
-the id and the text are read, so other columns cannot clash.
+Ids are integers. A row is known by its id (null or not) and 64 bits of its text,
+so rows of one id keep spans of their own, and rows without an id take part like
+all others. Rows that repeat id and text repeat each other in full. Null text is
+empty text. An empty table gives an empty result; only the id and the text are
+read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ RUN = 60_000
 BUCKET = 200_000
 #: Variants of a core beyond which its strings are dealt out by their ends, too.
 HOT = 1000
+#: What a row is known by.
+KEY = ("id", "mark")
 
 
 def anchors(body: np.ndarray, at: np.ndarray, length: int, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -92,12 +95,12 @@ def all_anchors(rows: DataFrame, length: int, window: int, gram: int) -> DataFra
         for batch in row_slices(batches, "text"):
             row, place, far, near, core, whole = anchors(*utf8(batch.column("text")), length, window, gram)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(batch.column("id").to_numpy(zero_copy_only=False)[row] if len(row) else [], pa.int64()), pa.array(place, pa.int32()),
+                [batch.column("id").take(pa.array(row)), batch.column("mark").take(pa.array(row)), pa.array(place, pa.int32()),
                  pa.array(far, pa.int16()), pa.array(near, pa.int16()), pa.array(core, pa.int64()), pa.array(whole, pa.int64())],
-                ["id", "place", "far", "near", "core", "whole"],
+                ["id", "mark", "place", "far", "near", "core", "whole"],
             )
 
-    return rows.mapInArrow(run, "id long, place int, far short, near short, core long, whole long")
+    return rows.mapInArrow(run, "id long, mark long, place int, far short, near short, core long, whole long")
 
 
 def front_coded(strings: list[bytes], length: int) -> tuple[np.ndarray, bytes]:
@@ -176,24 +179,23 @@ def merge(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, int]]:
 
 def sorted_runs(rows: DataFrame, length: int, buckets: int, hot: int) -> DataFrame:
     """(bucket, run) blobs of the suffixes that ``todo`` names: front-coded, with their places."""
-    def flush(strings: list[bytes], where: list[tuple[int, int]], cores: list[int]):
+    def flush(strings: list[bytes], where: list[tuple[int, int, int]], cores: list[int]):
         order = sorted(range(len(strings)), key=strings.__getitem__)
         dealt: dict[int, list[int]] = {}
         for i in order:
             dealt.setdefault(cores[i] % buckets, []).append(i)
         for bucket, part in dealt.items():
             shared, rests = front_coded([strings[i] for i in part], length)
-            docs = np.array([where[i][0] for i in part], np.int64)
-            starts = np.array([where[i][1] for i in part], np.int64)
-            body = zstandard.ZstdCompressor(level=3).compress(shared.tobytes() + docs.tobytes() + starts.tobytes() + rests)
+            places = np.array([where[i] for i in part], np.int64).T
+            body = zstandard.ZstdCompressor(level=3).compress(shared.tobytes() + places.tobytes() + rests)
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([len(part)], pa.int64()), pa.array([body], pa.binary())], ["bucket", "n", "run"])
 
     def run(batches):
         strings: list[bytes] = []
-        where: list[tuple[int, int]] = []
+        where: list[tuple[int, int, int]] = []
         cores: list[int] = []
         for batch in batches:
-            for doc, text, todo in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("todo"), strict=True):
+            for doc, mark, text, todo in zip(*[batch.column(c).to_pylist() for c in KEY], batch.column("text"), batch.column("todo"), strict=True):
                 body = (text.as_py() or "").encode()
                 for item in todo.as_py():
                     for start in range(item["place"] - item["far"], item["place"] - item["near"] + 1):
@@ -204,7 +206,7 @@ def sorted_runs(rows: DataFrame, length: int, buckets: int, hot: int) -> DataFra
                         if item["variants"] > hot:
                             core = xxhash.xxh64_intdigest(s[:8] + s[-8:], core & 0xFFFFFFFF)
                         strings.append(s)
-                        where.append((doc, start))
+                        where.append((doc, mark, start))
                         cores.append(core)
                     if len(strings) >= RUN:
                         yield from flush(strings, where, cores)
@@ -216,29 +218,26 @@ def sorted_runs(rows: DataFrame, length: int, buckets: int, hot: int) -> DataFra
 
 
 def merged_repeats(runs: DataFrame, length: int) -> DataFrame:
-    """(id, start) of every suffix whose first ``length`` bytes occur more than once."""
+    """(id, mark, start) of every suffix whose first ``length`` bytes occur more than once."""
     def finish(parts: list[tuple[int, bytes]]):
-        iterators, docs, starts = [], [], []
+        iterators, places = [], []
         for n, packed in parts:
             body = zstandard.ZstdDecompressor().decompress(packed)
-            docs.append(np.frombuffer(body, np.int64, n, 2 * n))
-            starts.append(np.frombuffer(body, np.int64, n, 10 * n))
-            iterators.append(run_strings(np.frombuffer(body, np.uint16, n).tolist(), body[18 * n :], length))
+            places.append(np.frombuffer(body, np.int64, 3 * n, 2 * n).reshape(3, n))
+            iterators.append(run_strings(np.frombuffer(body, np.uint16, n).tolist(), body[26 * n :], length))
         taken = [0] * len(iterators)
-        out_docs, out_starts, last = [], [], None
+        out, last = [], None
         for run, shared in merge(iterators):
             k = taken[run]
             taken[run] += 1
             if last is not None and shared >= length:
                 if last:
-                    out_docs.append(docs[last[0]][last[1]])
-                    out_starts.append(starts[last[0]][last[1]])
-                out_docs.append(docs[run][k])
-                out_starts.append(starts[run][k])
+                    out.append(places[last[0]][:, last[1]])
+                out.append(places[run][:, k])
                 last = ()
             else:
                 last = (run, k)
-        yield pa.RecordBatch.from_arrays([pa.array(out_docs, pa.int64()), pa.array(out_starts, pa.int64())], ["id", "start"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.array(out, np.int64).reshape(-1, 3).T.copy()], [*KEY, "start"])
 
     def run(batches):
         bucket, parts = None, []
@@ -252,26 +251,26 @@ def merged_repeats(runs: DataFrame, length: int) -> DataFrame:
         if parts:
             yield from finish(parts)
 
-    return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "id long, start long")
+    return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "id long, mark long, start long")
 
 
 def repeats(rows: DataFrame, length: int, window: int, gram: int, hot: int) -> DataFrame:
-    """(id, spans) of all documents with repeats; spans are (start, end) byte pairs that may overlap."""
+    """(id, mark, spans) of all rows (id, mark, text) with repeats; spans are (start, end) byte pairs that may overlap."""
     core = Window.partitionBy("core")
     variant = Window.partitionBy("core", "whole")
     found = all_anchors(rows, length, window, gram).repartition("core")
     found = found.withColumn("n_core", F.count(F.lit(1)).over(core)).where("n_core > 1")
-    found = found.withColumn("n_whole", F.count(F.lit(1)).over(variant)).withColumn("nth", F.row_number().over(variant.orderBy("id", "place")))
+    found = found.withColumn("n_whole", F.count(F.lit(1)).over(variant)).withColumn("nth", F.row_number().over(variant.orderBy(*KEY, "place")))
     # per core: how many variants, and whether one of them stands alone
     found = found.withColumn("variants", F.sum((F.col("nth") == 1).cast("long")).over(core)).withColumn("single", F.min("n_whole").over(core) == 1)
-    found = stored(found.select("id", "place", "far", "near", "core", "n_whole", "nth", "variants", "single"), "anchors")
-    sure = found.where("n_whole > 1").select("id", (F.col("place") - F.col("far")).cast("long").alias("start"), (F.col("place") - F.col("near") + length).cast("long").alias("end"))
+    found = stored(found.select(*KEY, "place", "far", "near", "core", "n_whole", "nth", "variants", "single"), "anchors")
+    sure = found.where("n_whole > 1").select(*KEY, (F.col("place") - F.col("far")).cast("long").alias("start"), (F.col("place") - F.col("near") + length).cast("long").alias("end"))
     open_ones = found.where("single AND nth = 1 AND variants > 1")
     total = open_ones.agg(F.sum(F.col("far") - F.col("near") + 1)).first()[0] or 0
-    todo = open_ones.groupBy("id").agg(F.collect_list(F.struct("place", "far", "near", "core", "variants")).alias("todo"))
-    runs = sorted_runs(rows.join(todo, "id"), length, max(1, -(-total // BUCKET)), hot)
-    more = merged_repeats(runs, length).select("id", "start", (F.col("start") + length).alias("end"))
-    return sure.unionByName(more).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    todo = open_ones.groupBy(*KEY).agg(F.collect_list(F.struct("place", "far", "near", "core", "variants")).alias("todo"))
+    runs = sorted_runs(rows.join(todo, [*KEY]), length, max(1, -(-total // BUCKET)), hot)
+    more = merged_repeats(runs, length).select(*KEY, "start", (F.col("start") + length).alias("end"))
+    return sure.unionByName(more).groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -279,7 +278,10 @@ def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
     if window + gram - 1 > length:
         raise ValueError("a window of starts and its last gram must fit into the length")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    spans = stored(repeats(rows.where("id IS NOT NULL AND text IS NOT NULL"), length, window, gram, hot), "spans")
+    # a row without an id goes by 0, and by other bits than a row with the id 0
+    rows = rows.withColumn("mark", F.xxhash64("text", F.col("id").isNull()))
+    key = F.coalesce("id", F.lit(0).cast("long"))
+    spans = stored(repeats(rows.where("text IS NOT NULL").select(key.alias("id"), "mark", "text"), length, window, gram, hot), "spans")
 
     def run(batches):
         for batch in batches:
@@ -299,7 +301,7 @@ def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
                 ["id", "n_bytes", "removed", "kept"],
             )
 
-    joined = rows.join(spans, "id", "left").select("id", "text", "spans")
+    joined = rows.withColumn("_key", key).join(spans.withColumnRenamed("id", "_key"), ["_key", "mark"], "left").select("id", "text", "spans")
     return joined.mapInArrow(run, "id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
 
 

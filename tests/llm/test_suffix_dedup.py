@@ -48,13 +48,25 @@ def test_agrees_with_all_substrings(spark, monkeypatch, seed, hot):
         texts[i] = "".join(r.choice([*shared, word(r.randrange(0, 30))]) for _ in range(r.randrange(0, 6)))
     texts[80] = texts[10]
     rows = [*texts.items(), (90, None), (None, "a" * 50)]
+    texts = {**texts, None: "a" * 50}
     df = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, spans int")
     got = S.dedup_suffixes(df, length=20, window=7, gram=4, hot=hot).collect()
     want = plain({k: t.encode() for k, t in texts.items()}, 20)
-    want |= {90: (0, 0, 0, b""), None: (50, 0, 0, b"a" * 50)}
+    want |= {90: (0, 0, 0, b"")}
     assert {g["id"]: (g["n_bytes"], sum(s["end"] - s["start"] for s in g["removed"]), len(g["removed"]), bytes(g["kept"])) for g in got} == want
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    r = random.Random(9)
+    long = "".join(r.choice("abcdef ") for _ in range(90))
+    rows = [(5, long + "own end"), (5, "short text."), (None, "x" + long[:60]), (None, "alone here"), (0, "y" * 3 + long[30:]), (0, "alone here"), (7, "z"), (7, "z"), (None, None)]
+    rows += [(8, "copy " + long[:40]), (8, "copy " + long[:40])]
+    got = S.dedup_suffixes(spark.createDataFrame(rows, "doc_id long, text string"), length=20, window=7, gram=4).collect()
+    want = plain(dict(enumerate((t or "").encode() for _, t in rows)), 20)
+    want = sorted((k is None, k or 0, *want[i]) for i, (k, _) in enumerate(rows))
+    assert sorted((g["id"] is None, g["id"] or 0, g["n_bytes"], sum(s["end"] - s["start"] for s in g["removed"]), len(g["removed"]), bytes(g["kept"])) for g in got) == want
+
+
 def test_empty(spark):
     assert S.dedup_suffixes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
