@@ -324,7 +324,8 @@ def scan_pins(spark, d):
 
 def scan_reports(spark, d):
     e = B.table(spark, d, "embeddings")
-    picks = F.transform("embedding", lambda x: F.floor(F.abs(x) * 20).cast("int"))
+    # the product stays a float as in SQL; next to an integer literal Spark would widen it to a double
+    picks = F.transform("embedding", lambda x: F.floor(F.abs(x) * F.lit(20).cast("float")).cast("int"))
     content = F.to_json(F.struct(F.concat(F.lit("B"), "vec_id").alias("id"), picks.alias("picks")))
     raw = e.select(F.concat(F.lit("/x/B"), "vec_id", F.lit("_report.json")).alias("path"), content.alias("content"))
     return readers.parse_reports(raw)
