@@ -330,13 +330,16 @@ def asr_timing(spark, d):
 def rule_documents(spark, d):
     """Rule documents made from benchmark items; every third is broken in its own way."""
     b = B.table(spark, d, "benchmark")
-    word = F.split(F.lower("text"), " ")
+    word = F.split(F.lower("text"), " ")[0]
+    # a word may hold line ends, quotes or nothing; an empty one would break the document and replaces nothing
+    key = F.regexp_extract(F.to_json(F.array(word)), r"^\[(.*)\]$", 1)
+    first = F.when(word == "", F.lit("")).otherwise(F.concat(key, F.lit(':"<1>",')))
     doc = F.when(F.col("item_id") % 3 == 1, F.lit('{"schema_version":"old","rules_version":"x","text_replacements":{}}')).when(
         F.col("item_id") % 3 == 2, F.lit("{broken")
     ).otherwise(
         F.concat(
-            F.lit('{"schema_version":"fast-speaker-rules/1","rules_version":"v'), F.col("item_id"), F.lit('","text_replacements":{"'),
-            word[0], F.lit('":"<1>","e":"E"}}'),
+            F.lit('{"schema_version":"fast-speaker-rules/1","rules_version":"v'), F.col("item_id"), F.lit('","text_replacements":{'),
+            first, F.lit('"e":"E"}}'),
         )
     )
     return b.select(F.col("item_id").alias("loaded_at"), doc.alias("document"))
