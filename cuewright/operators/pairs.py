@@ -9,7 +9,7 @@ from .. import rules as R
 from ..functions.numeric import finite
 from ..functions.text import squeeze, strip
 from ..session import cut_lineage
-from .digest import table_digest
+from .digest import sorted_digest
 from .ordered import number_rows
 
 PHRASE = ["project_id", "block_id", "phrase_id"]
@@ -265,10 +265,10 @@ def leakage(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def dataset_hash(candidates: DataFrame, features: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Fingerprint of identity, decision, gate, text and features of all candidates."""
+    """Hash over identity, decision, gate, text and features of all candidates in order."""
     cells = [F.coalesce(F.round(F.col(f), 6).cast("decimal(30,6)").cast("string"), F.lit("null")) for f in features]
     row = F.concat_ws(
         "|", "project_id", "block_id", F.col("phrase_id").cast("string"), F.col("take_id").cast("string"), "decision",
         F.col("hard_gate_pass").cast("string"), "text_hash", *cells,
     )
-    return table_digest(candidates, row, keys)
+    return sorted_digest(candidates, row, keys)

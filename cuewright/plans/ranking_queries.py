@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WS
 from ..operators import bank, gates, metrics, pairs as P, ranker, shadow
-from ..operators.digest import digest_sql
+from ..operators.digest import sorted_digest_sql
 from ..operators.ranker import LinearRanker
 from ..rules import FEATURE_NAMES, FEATURE_VERSION
 from ..session import cut_lineage, scratch_path
@@ -172,7 +172,7 @@ def cell_sql(name):
 
 HASH_SQL = B.with_sql(*PAIRED, f"""
 rows_ AS (SELECT project_id, sha256(concat_ws('|', project_id, block_id, CAST(phrase_id AS VARCHAR), CAST(take_id AS VARCHAR), decision, CAST(ok AS VARCHAR), text_hash,
-  {", ".join(cell_sql(n) for n in FEATURE_NAMES)})) AS r FROM cand x)""", tail=digest_sql("rows_", "project_id", "r"))
+  {", ".join(cell_sql(n) for n in FEATURE_NAMES)})) AS r FROM cand x)""", tail=sorted_digest_sql("rows_", "project_id", "r"))
 STATS_SQL = B.with_sql(*PAIRED, "sides AS (SELECT w AS x FROM pairs UNION ALL SELECT l FROM pairs)", tail="\nUNION ALL ".join(
     f"""SELECT '{n}' AS feature, round(coalesce(avg({e}),0),6) AS mean, round(CASE WHEN count({e})>=2 AND stddev_pop({e})>1e-12 THEN stddev_pop({e}) ELSE 1 END,6) AS scale, count({e}) AS n FROM sides"""
     for n, e in ((n, STAT_COLUMNS.get(n, "CAST(NULL AS DOUBLE)")) for n in FEATURE_NAMES)))
