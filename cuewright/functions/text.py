@@ -1,6 +1,7 @@
 """Text rules as column expressions, on whole texts.
 
-Patterns use only syntax that Java regular expressions and RE2 share.
+Patterns use only syntax that Java regular expressions and RE2 share, so that
+SQL twins can use them too; SENTENCE_START is for Java alone.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 ENDERS = ".!?。！？"
 CLAUSE_BOUNDARY = r"[,;:，；：]" + WS + r"*|(?:지만|는데|으며|하고|해서|라서|하면|다면)" + WS + "+"
 SENTENCE = rf"[^{ENDERS}\n]+(?:[{ENDERS}]+|\z)"
+# The same matches in linear time: a run of text without an end is tried once, not from each of its characters.
+SENTENCE_START = rf"(?<![^{ENDERS}\n])[^{ENDERS}\n]++(?:[{ENDERS}]+|\z)"
 FIRST_SENTENCE = r"(?s)[^가-힣]*[가-힣][^.]*\.|.+\z"
 SOFT_LIMIT = 80
 MARK = "\x01"
@@ -95,7 +98,7 @@ def sentences_multi(c: Column) -> Column:
             whole = compact(F.array_join(found, "")) == compact(text)
             return F.when((F.size(found) > 0) & whole, found).otherwise(F.array(text))
 
-        return bind(_kept(F.regexp_extract_all(text, F.lit(SENTENCE), 0)), checked)
+        return bind(_kept(F.regexp_extract_all(text, F.lit(SENTENCE_START), 0)), checked)
 
     return bind(strip(c), cut)
 
