@@ -12,9 +12,15 @@ from ..functions.numeric import finite
 
 
 def phrase_table(scripts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Phrase rows of each script with their position, after respelling."""
-    made = korean.phrases(X.respell(F.col(text)))
-    return scripts.select(*keys, F.posexplode(made).alias("phrase_idx", "_p")).select(*keys, "phrase_idx", "_p.*")
+    """Phrase rows of each script with their position, after respelling.
+
+    A worker gives rows back every million characters, so it never holds the
+    phrases of a whole Arrow batch.
+    """
+    spoken = scripts.select(*keys, X.respell(F.col(text)).alias("_spoken"))
+    schema = T.StructType([*spoken.schema.fields[:-1], T.StructField("phrase_idx", T.IntegerType()), *korean.PHRASE_TYPE.fields])
+    names, fields = schema.names, len(keys)
+    return spoken.mapInArrow(lambda batches: korean.phrase_batches(batches, fields, names), schema)
 
 
 def make_phrase_udtf():

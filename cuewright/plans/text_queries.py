@@ -102,9 +102,11 @@ def build_phrases(spark, d):
     out = content.phrase_table(h, ["doc_id"]).groupBy("doc_id").agg(
         F.sum(X.syllables(F.col("text"))).alias("n_out"), F.array_sort(F.collect_list(F.struct("phrase_idx", "text"))).alias("rows")
     )
-    return h.join(out, "doc_id", "left").select(
-        "doc_id", X.syllables(X.respell(F.col("text"))).cast("bigint").alias("n_in"), F.coalesce("n_out", F.lit(0)).alias("n_out"),
-        F.sha2(F.coalesce(F.array_join("rows.text", "|"), F.lit("")), 256).alias("h"),
+    # counts and hashes meet, texts do not
+    told = out.select("doc_id", "n_out", F.sha2(F.array_join("rows.text", "|"), 256).alias("h"))
+    scripts = h.select("doc_id", X.syllables(X.respell(F.col("text"))).cast("bigint").alias("n_in"))
+    return scripts.join(told, "doc_id", "left").select(
+        "doc_id", "n_in", F.coalesce("n_out", F.lit(0)).alias("n_out"), F.coalesce("h", F.sha2(F.lit(""), 256)).alias("h")
     )
 
 
