@@ -49,7 +49,7 @@ SCALAR = r'^\s*(-?\d+(\.\d+)?([eE][+-]?\d+)?|true|false|null|"([^"\\]|\\.)*")\s*
 
 def _other_json(content: Column) -> Column:
     """Well-formed JSON that is not an object."""
-    return content.rlike(SCALAR) | F.from_json(content, "array<string>").isNotNull() & content.rlike(r"^\s*\[")
+    return content.rlike(SCALAR) | content.rlike(r"^\s*\[") & F.from_json(content, "array<string>").isNotNull()
 
 
 def parse_jobs(raw: DataFrame) -> DataFrame:
@@ -80,7 +80,8 @@ def parse_takes(
     )
     if blocks is not None:
         keyed = keyed.where(F.col("block_id").isin(*blocks))
-    parsed = keyed.withColumn("doc", F.from_json("content", TAKE_SCHEMA, PERMISSIVE)).withColumn(
+    # as a generated column a document is parsed once; the filter on its errors would else go below, with all that made the content
+    parsed = keyed.select("*", F.explode(F.array(F.from_json("content", TAKE_SCHEMA, PERMISSIVE))).alias("doc")).withColumn(
         "error",
         F.when(F.col("phrase_idx").isNull() | F.col("take_id").isNull(), F.lit("take_name_error:OverflowError"))
         .when(_other_json(F.col("content")), F.lit("take_json_error:ValueError")).when(
