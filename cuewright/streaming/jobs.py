@@ -29,7 +29,7 @@ def keyed(events: DataFrame, processor, lateness: str, key: str = "session_id")
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = events.withWatermark("ts", lateness).select(key, "ts", F.unix_micros("ts").alias("at"), *processor.INPUT)
-    return rows.groupBy(key).transformWithStateInPandas(
+    return rows.groupBy(key).transformWithState(
         statefulProcessor=processor(), outputStructType=processor.OUTPUT, outputMode="append", timeMode="EventTime"
     )
 

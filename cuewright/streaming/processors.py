@@ -12,20 +12,17 @@ factors, the open sentence, or the items re-opened out of turn.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.sessions import CHANGES, ItemWalk
 
 ROLLING = 10
 UNDERRUN_SECONDS = 0.02
-
-
-def _values(column: pd.Series, kind: str) -> list:
-    """Plain values; pandas turns whole numbers with gaps into floats."""
-    whole = kind == "bigint"
-    return [None if absent else int(v) if whole else v for v, absent in zip(column.tolist(), column.isna())]
+#: Rows appended to state at a time.
+CHUNK_ROWS = 10_000
 
 
 class InOrder(StatefulProcessor):
@@ -59,18 +56,19 @@ class InOrder(StatefulProcessor):
             self.handle.registerTimer(at // 1000)
             self.timer.update((at,))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
-        for chunk in rows:
-            if len(chunk):
-                self.waiting.appendList(list(zip(*[_values(chunk[c], kind) for c, kind in {"at": "bigint", **self.INPUT}.items()])))
-                first = int(chunk["at"].min())
-                earliest = first if earliest is None else min(earliest, first)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        columns, earliest = ("at", *self.INPUT), None
+        while chunk := list(islice(rows, CHUNK_ROWS)):
+            at = [chunk[0].__fields__.index(c) for c in columns]
+            waiting = [tuple([row[i] for i in at]) for row in chunk]
+            self.waiting.appendList(waiting)
+            first = min(row[0] for row in waiting)
+            earliest = first if earliest is None else min(earliest, first)
         if earliest is not None:
             self._wake(earliest)
-        yield self._made([])
+        return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
         due, later = [], []
         for row in self.waiting.get() if self.waiting.exists() else ():
@@ -86,10 +84,8 @@ class InOrder(StatefulProcessor):
         self.timer.clear()
         if later:
             self._wake(min(row[0] for row in later))
-        yield self._made(out)
-
-    def _made(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[part.split()[0] for part in self.OUTPUT.split(", ")])
+        made = Row(*[part.split()[0] for part in self.OUTPUT.split(", ")])
+        yield from (made(*row) for row in out)
 
     def close(self) -> None:
         pass
