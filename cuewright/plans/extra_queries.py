@@ -15,7 +15,7 @@ from ..operators.ordered import number_rows, previous_row, running_before
 from ..session import scratch_path
 from ..sources import sinks
 from . import bindings as B
-from .bank_queries import BANKED, IDENT, bank_takes
+from .bank_queries import BANKED, IDENT, bank_revisions, pinned_phrases
 from .experiment_queries import ANALYSIS_SQL, results
 from .ranking_queries import PAIRED, candidates, fixed_model
 
@@ -125,17 +125,17 @@ def scan_wav(spark, d):
 
 def bank_store(spark, d):
     """Three ingest runs into Parquet tables: all files, all again, then known and unreadable files only."""
-    parsed = bank_takes(spark, d).select(
+    parsed = bank_revisions(spark, d, pinned_phrases(spark, d)).select(
         *IDENT, "path", "sha256", F.col("revision_seq").cast("bigint").alias("seq"), F.col("generated_at").alias("modified"), "ok", "why", "n_syl", "dur",
-        "tail_delta", "range_st", F.lit(None).cast("string").alias("error"),
+        "tail_delta", "range_st", "pinned_take", F.lit(None).cast("string").alias("error"),
     )
-    store = bank.Bank(spark, scratch_path(spark, "bank"))
-    store.ingest(parsed, B.pins(spark, d), "r1")
-    again = store.ingest(parsed, B.pins(spark, d), "r2")
+    store, along = bank.Bank(spark, scratch_path(spark, "bank")), ("phrase_id",)
+    store.ingest(parsed, None, "r1", along)
+    again = store.ingest(parsed, None, "r2", along)
     broken = parsed.groupBy("project_id").agg(F.max("seq").alias("seq")).select(
         "project_id", F.lit("broken").alias("path"), "seq", F.lit("take_json_error").alias("error")
     )
-    store.ingest(parsed.where("take_id = 0").unionByName(broken, allowMissingColumns=True), B.pins(spark, d), "r3")
+    store.ingest(parsed.where("take_id = 0").unionByName(broken, allowMissingColumns=True), None, "r3", along)
     listed = store.table("errors").groupBy("project_id").agg(F.count(F.lit(1)).alias("listed_errors"))
     takes = store.table("takes").groupBy("project_id").agg(
         F.count(F.lit(1)).alias("stored"), F.count_if(F.col("decision") == "selected").alias("selected"), F.round(F.sum("syllables_per_second"), 3).alias("rate_sum")
