@@ -199,13 +199,24 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def split_groups(pairs: DataFrame) -> DataFrame:
-    """Adds ``split_group``: blocks and sentences that touch, directly or not, share one."""
-    tokens = pairs.withColumn("_block", F.concat_ws(":", F.lit("block"), "project_id", "block_id")).withColumn(
+    """Adds ``split_group``: blocks and sentences that touch, directly or not, share one.
+
+    Two sentences of a block are one whatever else holds, so each block first
+    links its sentences to its smallest one; only those links, between sentences
+    alone, go through the rounds. The name of a group is its smallest token.
+    """
+    # read for the edges and again for the rows: built once
+    tokens = cut_lineage(pairs).withColumn("_block", F.concat_ws(":", F.lit("block"), "project_id", "block_id")).withColumn(
         "_sentence", F.concat_ws(":", F.lit("sentence"), "sentence_key")
     )
-    roots = components(tokens.select("_block", "_sentence"), "_block", "_sentence").select(
-        F.col("node").alias("_block"), F.col("root").alias("split_group")
-    )
+    edges = tokens.select("_block", "_sentence").distinct()
+    heads = edges.groupBy("_block").agg(F.min("_sentence").alias("_head"))
+    links = edges.join(heads, "_block").select("_sentence", "_head").where("_sentence <> _head").distinct()
+    found = components(links, "_sentence", "_head").select(F.col("node").alias("_head"), "root")
+    # a sentence without links stands alone
+    placed = heads.join(found, "_head", "left").select("_block", F.coalesce("root", "_head").alias("_root"))
+    names = placed.groupBy("_root").agg(F.min("_block").alias("_first"))
+    roots = placed.join(names, "_root").select("_block", F.least("_first", "_root").alias("split_group"))
     return tokens.join(roots, "_block").drop("_block", "_sentence")
 
 
