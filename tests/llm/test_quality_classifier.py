@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -42,3 +43,20 @@ def test_odd_texts_and_ties(spark):
     got = Q.grade_documents(df, model).collect()
     assert len(got) == 204 and all(x["kept"] == (x["doc_id"] % 2 == 0) for x in got if x["doc_id"] < 200)
     assert len({x["tail"] for x in got if x["doc_id"] == 502}) == 1
+
+
+def test_features_that_take_no_part_stay_off_the_driver(spark):
+    n, each = 3000, 300
+    noise = Q.F.array_join(Q.F.transform(Q.F.sequence(Q.F.lit(1), Q.F.lit(each)), lambda i: Q.F.concat(Q.F.lit("w"), Q.F.hex(Q.F.xxhash64("doc_id", i)))), " ")
+    docs = spark.range(n).withColumnRenamed("id", "doc_id").withColumn("text", Q.F.when(Q.F.col("doc_id") % 2 == 0, Q.F.concat(noise, Q.F.lit(" awful"))).otherwise(noise))
+    labels = docs.select("doc_id", (2 * (docs.doc_id % 2)).alias("grade"))
+    tracemalloc.start()
+    try:
+        model = Q.fit(docs, labels)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # one array of all pairs has 8 bytes for each
+    assert most < 8 * n * each
+    got = Q.grade_documents(docs, model).where("kept <> (doc_id % 2 = 1)")
+    assert len(model.chosen) < 100 and got.count() == 0
